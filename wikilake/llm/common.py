@@ -30,3 +30,29 @@ def saved(df: DataFrame) -> DataFrame:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wikilake-"))
     return df.checkpoint()
+
+
+BITS = 23
+
+
+def bitset(df: DataFrame, name: str, bits: int = BITS):
+    """A filter of 2**bits bits with the low bits of a long column set, as a numpy array of 64-bit
+    words.  Its size is fixed, however many rows there are: full, it lets more through, and the
+    exact join that follows sorts that out.  The bits are combined on the executors."""
+    import numpy as np
+
+    slot = F.col(name).bitwiseAND((1 << bits) - 1)
+    word = F.shiftright(slot, 6)
+    bit = F.expr(f"shiftleft(1L, int(`{name}` & 63))")
+    out = np.zeros(1 << bits - 6, np.uint64)
+    rows = df.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2**(bits - 6) rows
+    out[rows.w.to_numpy(np.int64)] = rows.b.to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def has(bits_set, h, bits: int = BITS):
+    """Which of the 64-bit hashes have their bit set."""
+    import numpy as np
+
+    slot = h & np.uint64((1 << bits) - 1)
+    return (bits_set[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from wikilake.llm.pii import op4_pii
 from wikilake.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_pii": op4_pii}
 SQL: dict[str, str] = {}

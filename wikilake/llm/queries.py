@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from wikilake.llm.jaccard import op8_jaccard_join
 from wikilake.llm.pii import op4_pii
 from wikilake.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_pii": op4_pii}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_pii": op4_pii, "op8_jaccard_join": op8_jaccard_join}
 SQL: dict[str, str] = {}

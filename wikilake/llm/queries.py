@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from wikilake.llm.bpe import op7_bpe
 from wikilake.llm.jaccard import op8_jaccard_join
 from wikilake.llm.pii import op4_pii
 from wikilake.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_pii": op4_pii, "op8_jaccard_join": op8_jaccard_join}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_pii": op4_pii, "op7_bpe": op7_bpe, "op8_jaccard_join": op8_jaccard_join}
 SQL: dict[str, str] = {}

@@ -56,3 +56,12 @@ def has(bits_set, h, bits: int = BITS):
 
     slot = h & np.uint64((1 << bits) - 1)
     return (bits_set[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+#: Rows of a table that may be broadcast; more are joined by a shuffle.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, which are counted; else df as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

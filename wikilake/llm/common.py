@@ -65,3 +65,16 @@ SMALL = 100_000
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, which are counted; else df as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables between jobs, beside the checkpoints that all machines share."""
+    import uuid
+
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    return f"{(named or tempfile.mkdtemp(prefix='wikilake-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of df whose key is not in ids, with those whose key is null."""
+    return df.join(small(ids.select(key).distinct()), key, "left_anti")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from wikilake.llm.bpe import op7_bpe
 from wikilake.llm.decontaminate import op2_decontaminate
+from wikilake.llm.fingerprint import op10_fingerprint
 from wikilake.llm.jaccard import op8_jaccard_join
 from wikilake.llm.pii import op4_pii
 from wikilake.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op4_pii": op4_pii, "op7_bpe": op7_bpe, "op8_jaccard_join": op8_jaccard_join}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op4_pii": op4_pii, "op7_bpe": op7_bpe, "op8_jaccard_join": op8_jaccard_join, "op10_fingerprint": op10_fingerprint}
 SQL: dict[str, str] = {}

@@ -8,7 +8,8 @@ from wikilake.llm.fingerprint import op10_fingerprint
 from wikilake.llm.jaccard import op8_jaccard_join
 from wikilake.llm.langid import op9_language
 from wikilake.llm.pii import op4_pii
+from wikilake.llm.secrets import op5_secrets
 from wikilake.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op4_pii": op4_pii, "op7_bpe": op7_bpe, "op8_jaccard_join": op8_jaccard_join, "op9_language": op9_language, "op10_fingerprint": op10_fingerprint}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op4_pii": op4_pii, "op5_secrets": op5_secrets, "op7_bpe": op7_bpe, "op8_jaccard_join": op8_jaccard_join, "op9_language": op9_language, "op10_fingerprint": op10_fingerprint}
 SQL: dict[str, str] = {}

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from wikilake.plans import documents, graph, pipeline, text
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for module in (graph, pipeline, documents, text):
+    QUERIES.update(module.QUERIES)
+    SQL.update(module.SQL)

@@ -115,7 +115,7 @@ def tokens(chars: Column) -> Column:
 
 def cost(n_tokens: Column) -> Column:
     """Dollars for the input and an output of 0.3 of its size."""
-    return F.round(n_tokens * F.lit(INPUT_PRICE / 1e6) + n_tokens * F.lit(OUTPUT_SHARE * OUTPUT_PRICE / 1e6), 6)
+    return F.round(n_tokens * F.lit(INPUT_PRICE / 1e6) + n_tokens * F.lit(OUTPUT_SHARE * OUTPUT_PRICE / 1e6), 7)
 
 
 def measures(prompts: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def to_markdown(page: str) -> str:
     text = "".join(b.out)
     parts = re.split(r"(```.*?```)", text, flags=re.S)
     for k in range(0, len(parts), 2):
-        p = re.sub(r"\*\*\s*\*\*|\[\s*\]\([^)]*\)", "", parts[k])
+        p = re.sub(r"\*\*\s*\*\*|(?<!!)\[\s*\]\([^)]*\)", "", parts[k])
         p = re.sub(r"[ \t]+\n|\n[ \t]+(?=[^\s\-0-9>])", "\n", p)
         p = re.sub(r"(?m)^#{1,6}\s*$", "", p)
         parts[k] = re.sub(r"\n{3,}", "\n\n", p)

@@ -56,7 +56,7 @@ def section(text: Column, heading: str) -> Column:
     rest = F.slice(all_, begin + 1, F.size(all_))
     end = F.array_position(F.transform(rest, lambda x: x.rlike(r"^##? ")), True)
     cut = F.when(end == 0, rest).otherwise(F.slice(rest, 1, F.greatest(end.cast("int") - 1, F.lit(0))))
-    return F.when(begin > 0, F.trim(F.array_join(cut, "\n")))
+    return F.when(begin > 0, F.regexp_replace(F.array_join(cut, "\n"), r"^\s+|\s+$", ""))
 
 
 def excerpt(text: Column, headings: tuple[str, ...]) -> Column:

@@ -83,9 +83,11 @@ def sketches(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
     x, d = raw.astype(K.U64) + K.U64(1), np.repeat(np.arange(n), np.diff(offsets))
     fine, coarse = ([], []), ([], [])
     for level in range(1, LEVELS + 1):
+        if level > 1 and len(x):  # a text that is one name has no more levels
+            more = np.bincount(d, minlength=n)[d] > 1
+            x, d = x[more], d[more]
         if not len(x):
             break
-        before = len(x)
         x, d = _parse(x, d, level)
         if level >= FINE:
             fine[0].append(x)
@@ -93,8 +95,6 @@ def sketches(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
         if level >= COARSE:
             coarse[0].append(x)
             coarse[1].append(d)
-        if len(x) == before and len(np.unique(d)) == before:
-            break
     return list(zip(_kept(*coarse, n, KEEP_COARSE), _kept(*fine, n, KEEP_FINE), strict=True))
 
 

@@ -38,8 +38,11 @@ _RAW = frozenset("script style textarea title noscript template iframe noembed n
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _AWAY = frozenset("head nav footer aside form button select dialog menu fieldset input header".split())
 _AWAY_WORDS = frozenset(
-    "nav navbar navigation menu submenu header masthead topbar footer bottombar sidebar sidenav aside rail notice alert cookie cookies consent gdpr banner popup modal overlay toast ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted form search login signup subscribe subscription newsletter comment comments commentlist disqus discussion replies respond breadcrumb breadcrumbs pagination pager related recommended share sharing social widget toolbar skip copyright legal disclaimer contentinfo complementary".split()
+    "nav navbar navigation menu submenu header masthead topbar footer bottombar sidebar sidenav aside rail notice alert cookie cookies consent gdpr banner popup modal overlay toast ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted form search login signup subscribe subscription newsletter comment comments commentlist disqus replies breadcrumb breadcrumbs pagination pager related recommended share sharing social widget toolbar skip copyright contentinfo complementary".split()
 )
+# Words that put even an <article> away, and words by which a "header" is an article's own heading.
+_NEVER = frozenset("comment comments commentlist disqus replies related recommended ad ads advert sponsored promo promoted".split())
+_HEADINGS, _OWN = frozenset("header masthead banner".split()), frozenset("post article entry title content story".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"([A-Za-z_:@][^\s=/>\"']*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -54,8 +57,11 @@ def _read(name: str, attributes: str) -> tuple[str, bool, bool]:
     label = f"{name}.{found.get('class', '')}#{found.get('id', '')}"
     words = set(_WORD.findall(_CAMEL.sub(" ", " ".join(found.get(k, "") for k in ("class", "id", "role"))).lower()))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    main = name in ("article", "main") or found.get("role") in ("main", "article")
-    return label, hidden or name in _AWAY or (bool(words & _AWAY_WORDS) and not main and name not in ("body", "html")), main
+    away = words & _AWAY_WORDS
+    main = (name in ("article", "main") or found.get("role") in ("main", "article")) and not words & _NEVER
+    if words & _OWN:
+        away -= _HEADINGS
+    return label, hidden or name in _AWAY or (bool(away) and not main and name not in ("body", "html")), main
 
 
 def blocks(page: str) -> list[tuple[int, int, bool, str]]:

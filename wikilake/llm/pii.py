@@ -28,54 +28,67 @@ LEFT = 3  # words of the longest pattern
 ROUNDS = 3
 #: A pattern needs this many different seeds, and this score, to be believed.
 MIN_SEEDS, MIN_SCORE = 3, 0.8
-MIN_DIGITS, MIN_LENGTH = 4, 6  # of an identifier-like word
+MIN_DIGITS, MIN_LENGTH = 4, 6  # of an identifier-like word, which has so many digits or an @
+HELD = 1 << 22  # occurrences counted at once
 KINDS = (*(k for k, _ in PERSONAL), "context")
 _TRIM = b"\"'()[]{}<>,.;:!?"
 SPANS = "array<struct<start:int,k:int,end:int>>"
 
 
-def _span_type() -> pa.DataType:
-    return pa.list_(pa.struct([("start", pa.int32()), ("k", pa.int32()), ("end", pa.int32())]))
+EDGES = "array<struct<pattern:long,instance:long,seed:boolean,start:int,end:int>>"
+_SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("k", pa.int32()), ("end", pa.int32())]))
+_EDGES_ARROW = pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def spanned(documents: DataFrame, kinds=PERSONAL) -> DataFrame:
-    """documents with a column base: the spans of the fixed kinds in the whole text."""
-    names = documents.columns
+def _scan(kinds, contexts: bool):
+    """A function for mapInArrow: one row for each text with its spans of the fixed kinds and, if wanted,
+    its candidates: patterns before seeds and before identifier-like words that no span covers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"start": s, "k": k, "end": e} for s, k, e in find(t, kinds)] if t else [] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _span_type())], [*names, "base"])
-
-    return documents.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in documents.dtypes) + f", base {SPANS}")
-
-
-def _instances(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Blocks of (words' hashes, document numbers, starts, ends, bytes, offsets, first document,
-    seed hash or 0, identifier-like, covered) for texts and their spans."""
-    raw, offsets = K.column(batch, "text")
-    spans = batch.column("base")
-    at = np.asarray(spans.offsets) - spans.offsets[0].as_py()
-    flat = spans.flatten()
-    begin, end = (np.asarray(flat.field(k)).astype(np.int64) for k in (0, 2))
-    for i, j, part, off in K.blocks(raw, offsets):
-        low = K.lower_ascii(part)
-        s, e, d = K.spans(~K._SPACE[low], off)
-        h = K.hash_spans(low, s, e)
-        digits = np.concatenate(([0], np.cumsum((low >= 0x30) & (low <= 0x39))))
-        like = (digits[e] - digits[s] >= MIN_DIGITS) & (e - s >= MIN_LENGTH)
-        seed, covered = np.zeros(len(s), K.U64), np.zeros(len(s), bool)
-        for k in range(i, j):
-            if at[k] == at[k + 1]:
-                continue
-            text = part[off[k - i] : off[k - i + 1]].tobytes().decode()
-            for b, f in zip(begin[at[k] : at[k + 1]], end[at[k] : at[k + 1]], strict=True):
-                x, y = off[k - i] + len(text[:b].encode()), off[k - i] + len(text[:f].encode())
-                w = int(np.searchsorted(e, x, "right"))
-                last = int(np.searchsorted(s, y, "left"))
-                seed[w] = K.hash_spans(low, np.array([x]), np.array([y]))[0]
-                covered[w:last] = True
-        yield h, d, s, e, part, off, i, seed, like & ~covered, covered
+            raw, offsets = K.column(batch, "text")
+            for i, j, part, off in K.blocks(raw, offsets):
+                base, edges = [], []
+                low = K.lower_ascii(part)
+                if contexts:
+                    s, e, d = K.spans(~K._SPACE[low], off)
+                    h = K.hash_spans(low, s, e)
+                    digits = np.concatenate(([0], np.cumsum((low >= 0x30) & (low <= 0x39))))
+                    signs = np.concatenate(([0], np.cumsum(low == 0x40)))
+                    like = np.flatnonzero(((digits[e] - digits[s] >= MIN_DIGITS) | (signs[e] > signs[s])) & (e - s >= MIN_LENGTH))
+                    like_at = np.searchsorted(d[like], np.arange(j - i + 1))
+                for k in range(j - i):
+                    text = part[off[k] : off[k + 1]].tobytes().decode()
+                    spans = find(text, kinds) if text else []
+                    base.append([{"start": x, "k": kind, "end": y} for x, kind, y in spans])
+                    if not contexts:
+                        continue
+                    near = like[like_at[k] : like_at[k + 1]]
+                    if not spans and not len(near):
+                        edges.append([])
+                        continue
+                    wide = len(text) != off[k + 1] - off[k]
+                    byte = (lambda c: int(off[k]) + len(text[:c].encode())) if wide else (lambda c: int(off[k]) + c)  # noqa: B023
+                    char = (lambda b: len(part[off[k] : b].tobytes().decode())) if wide else (lambda b: int(b - off[k]))  # noqa: B023
+                    taken = [(byte(x), byte(y)) for x, _, y in spans]
+                    found = [(int(np.searchsorted(e, x, "right")), int(K.hash_spans(low, np.array([x]), np.array([y]))[0].view(np.int64)), True, c[0], c[2]) for (x, y), c in zip(taken, spans, strict=True)]
+                    for w in near.tolist():
+                        word = part[s[w] : e[w]].tobytes()
+                        x, y = int(s[w]) + len(word) - len(word.lstrip(_TRIM)), int(e[w]) - len(word) + len(word.rstrip(_TRIM))
+                        if x < y and all(y <= b or x >= f for b, f in taken):
+                            found.append((w, int(h[w].view(np.int64)), False, char(x), char(y)))
+                    edges.append([{"pattern": int(p[0].view(np.int64)), "instance": f[1], "seed": f[2], "start": f[3], "end": f[4]} for f in found for p, kept in _patterns(h, d, np.array([f[0]])) if len(kept)])
+                arrays = [pa.array(base, _SPANS_ARROW)]
+                if contexts:
+                    arrays.append(pa.array(edges, _EDGES_ARROW))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), *arrays], [*batch.schema.names, "base", *["edges"] * contexts])
+
+    return run
+
+
+def spanned(documents: DataFrame, kinds=PERSONAL) -> DataFrame:
+    """documents with a column base: the spans of the fixed kinds in the whole text."""
+    return documents.mapInArrow(_scan(kinds, False), ", ".join(f"`{k}` {t}" for k, t in documents.dtypes) + f", base {SPANS}")
 
 
 def _patterns(h: np.ndarray, d: np.ndarray, pick: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -89,19 +102,18 @@ def _patterns(h: np.ndarray, d: np.ndarray, pick: np.ndarray) -> Iterator[tuple[
         yield acc, pick
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for h, d, *_, seed, like, _covered in _instances(batch):
-            pick = np.flatnonzero((seed != 0) | like)
-            for p, w in _patterns(h, d, pick):
-                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.where(seed[w] != 0, seed[w], h[w]).view(np.int64)), pa.array(seed[w] != 0)], ["pattern", "instance", "seed"])
+def candidates(documents: DataFrame) -> DataFrame:
+    """doc_id, version (a hash of the text), base and edges of documents (doc_id long, text); saved, as it is small beside the texts."""
+    texts = only(documents, "doc_id", "text")
+    kinds = f"doc_id long, text string, base {SPANS}, edges {EDGES}"
+    return saved(texts.mapInArrow(_scan(PERSONAL, True), kinds).select("doc_id", F.xxhash64("text").alias("version"), "base", "edges"))
 
 
-def fit(texts: DataFrame) -> DataFrame:
-    """Believed patterns (pattern, score) of a table with the columns text and base."""
-    spark = texts.sparkSession
-    edges = texts.select("text", "base").mapInArrow(_edges, "pattern long, instance long, seed boolean")
-    edges = saved(edges.groupBy("pattern", "instance", "seed").agg(F.count("*").alias("n")))
+def fit(documents: DataFrame, cands: DataFrame) -> DataFrame:
+    """Believed patterns (pattern, score).  cands: candidates() of the documents."""
+    spark = documents.sparkSession
+    edges = cands.select(F.explode("edges").alias("e")).groupBy("e.pattern", "e.instance", "e.seed").agg(F.count("*").alias("n"))
+    edges = saved(edges)
     good = edges.where("seed").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
     shared = spark.sparkContext.broadcast(bitset(good, "pattern"))
 
@@ -109,14 +121,23 @@ def fit(texts: DataFrame) -> DataFrame:
         wanted = shared.value
         if not wanted.any():
             return
-        for batch in batches:
-            for h, d, *_, seed, _like, covered in _instances(batch):
-                pick = np.flatnonzero(~covered | (seed != 0))
-                for p, _ in _patterns(h, d, pick):
-                    u, n = np.unique(p[has(wanted, p)], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["pattern", "n"])
+        held: list[np.ndarray] = []
 
-    seen = texts.select("text", "base").mapInArrow(totals, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+        def told() -> pa.RecordBatch:
+            u, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["pattern", "n"])
+
+        for batch in batches:
+            for _, _, part, off in K.blocks(*K.column(batch, "text")):
+                h, d = K.words(part, off)
+                held += [p[has(wanted, p)] for p, _ in _patterns(h, d, np.arange(len(h)))]
+                if sum(map(len, held)) >= HELD:
+                    yield told()
+                    held = []
+        if held:
+            yield told()
+
+    seen = documents.select("text").mapInArrow(totals, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
     graph = saved(edges.join(good.join(seen, "pattern"), "pattern"))
     trust = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("trust"))
     for _ in range(ROUNDS):
@@ -126,39 +147,14 @@ def fit(texts: DataFrame) -> DataFrame:
     return saved(scores.where(F.col("score") >= MIN_SCORE))
 
 
-def discovered(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc_id, version, start, end) of identifier-like words after a believed pattern."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitset(patterns, "pattern"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        if not wanted.any():
-            return
-        for batch in batches:
-            rows = []
-            for h, d, s, e, part, off, i, _seed, like, _covered in _instances(batch):
-                for p, w in _patterns(h, d, np.flatnonzero(like)):
-                    for q, k in zip(p[hit := has(wanted, p)], w[hit], strict=True):
-                        word = part[s[k] : e[k]].tobytes()
-                        x, y = s[k] + len(word) - len(word.lstrip(_TRIM)), e[k] - len(word) + len(word.rstrip(_TRIM))
-                        if x < y:
-                            first = off[d[k]]
-                            x, y = (len(part[first:z].tobytes().decode()) for z in (x, y))
-                            rows.append((batch.column("doc_id")[i + int(d[k])].as_py(), batch.column("version")[i + int(d[k])].as_py(), int(q.view(np.int64)), x, y))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 3 + (pa.int32(),) * 2, strict=True)], ["doc_id", "version", "pattern", "start", "end"])
-
-    rows = texts.select("doc_id", "version", "text", "base").mapInArrow(run, "doc_id long, version long, pattern long, start int, end int")
-    return rows.join(patterns, "pattern", "left_semi").groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", F.lit(len(PERSONAL)).alias("k"), "end")).alias("more"))
-
-
-def found(documents: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+def found(documents: DataFrame) -> DataFrame:
     """doc_id, version (a hash of the text), base and spans: all spans of every row, by start, then kind.
-    documents has doc_id (long) and text; patterns: of fit(), by default learnt from the same texts."""
-    texts = spanned(only(documents, "doc_id", "text").withColumn("version", F.xxhash64("text")))
-    patterns = fit(texts) if patterns is None else patterns
-    more = discovered(texts, patterns)
-    return texts.drop("text").join(more, ["doc_id", "version"], "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as {SPANS})"))))).drop("more")
+    documents has doc_id (long) and text; the patterns are learnt from all of its texts."""
+    cands = candidates(documents)
+    patterns = fit(documents, cands)
+    more = cands.select("doc_id", "version", F.explode("edges").alias("e")).where("not e.seed").withColumn("pattern", F.col("e.pattern")).join(patterns, "pattern", "left_semi")
+    more = more.groupBy("doc_id", "version").agg(F.collect_set(F.struct("e.start", F.lit(len(PERSONAL)).alias("k"), "e.end")).alias("more"))
+    return cands.drop("edges").join(more, ["doc_id", "version"], "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as {SPANS})"))))).drop("more")
 
 
 def listed(spans: str, kinds=KINDS):
@@ -175,3 +171,12 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
     """Spans of personal data in every text of documents."""
     out = found(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *(counted("base", k).alias(f"n_{n}") for k, (n, _) in enumerate(PERSONAL)), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), counted("spans", len(PERSONAL)).alias("n_context"))
+
+
+def masked(text: str, spans: str, kinds=KINDS):
+    """The text with <KIND> in place of each span; a span that begins within another one extends it."""
+    names = ", ".join(f"'<{k.upper()}>'" for k in kinds)
+    step = f"""struct(
+        if(x.start >= a.at, concat(a.out, substring({text}, a.at + 1, x.start - a.at), element_at(array({names}), x.k + 1)), a.out) as out,
+        greatest(a.at, x.end) as at)"""
+    return F.expr(f"aggregate({spans}, struct('' as out, 0 as at), (a, x) -> {step}, a -> concat(a.out, substring({text}, a.at + 1)))")

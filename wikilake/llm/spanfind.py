@@ -1,7 +1,7 @@
 """Leftmost, non-overlapping spans of the fixed kinds of personal data and secrets, in linear time.
 
-The possessive forms find what the plain ones would: a failed start inside a run of
-digits or letters fails for every later start in that run, so those are not tried.
+A failed start inside a run of digits or letters fails for every later start in that run,
+so those are not tried.
 Offsets are code points; ends are exclusive.
 """
 
@@ -14,7 +14,7 @@ Span = tuple[int, int]
 # The patterns of the contract.
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ASSIGN = re.compile(r"(?ai)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -43,7 +43,18 @@ def _number(digits: str) -> bool:
 
 
 def ips(text: str) -> list[Span]:
-    return [m.span() for m in _IP.finditer(text) if all(map(_number, m.groups()))]
+    out = []
+    for m in _DOTTED.finditer(text):  # a dotted run holds one match in each four parts
+        if m[0].count(".") < 3:
+            continue
+        at, parts = m.start(), m[0].split(".")
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(map(_number, four)):
+                out.append((at, end))
+            at = end + 1
+    return out
 
 
 def luhn(digits: str) -> bool:

@@ -33,7 +33,7 @@ def test_hosts(spark):
     assert one(spark, U.hostname_of(F.col("c0")), "https://WWW.h.org:8080/x") == "www.h.org"
     assert one(spark, U.host_of(F.col("c0")), "https://WWW.h.org:8080/x") == "h.org"
     assert one(spark, U.is_lan(F.col("c0")), "http://10.0.0.1/x") is True
-    assert one(spark, U.unwrap_share_url(F.col("c0")), "https://link.zhihu.com/?target=https%3A%2F%2Fa.b%2Fc") == "https://a.b/c"
+    assert one(spark, U.unwrap_share_url(F.col("c0")), "https://share.google/?link=https%3A%2F%2Fa.b%2Fc") == "https://a.b/c"
     assert one(spark, U.route_site(F.col("c0")), "https://www.github.com/a/b") == "github"
     assert one(spark, U.route_site(F.col("c0")), "nothing") == "_default"
     assert one(spark, U.resolve_against(F.lit("https://h.org/a/b/c.html"), F.col("c0")), "../i.png") == "https://h.org/a/i.png"
@@ -62,12 +62,13 @@ def test_null_and_empty_text(spark):
 
 
 def test_failure_order(spark):
-    f = lambda url, flags, stub=False: spark.createDataFrame([(url, flags)], "u string, f array<string>").select(quality.failure_kind(F.col("u"), F.lit(True), F.lit(stub), F.col("f")).alias("k")).first().k
+    f = lambda url, flags: spark.createDataFrame([(url, flags)], "u string, f array<string>").select(quality.failure_kind(F.col("u"), F.lit(True), F.col("f")).alias("k")).first().k
     assert f("https://h.org/post/a", []) == "clean"
-    assert f("https://h.org/post/a", ["has-images"]) == "clean"
+    assert f("https://h.org/", ["pdf-rendered"]) == "clean"
     assert f("https://h.org/post/a", ["short-body", "login-wall-keyword"]) == "upstream-paywall"
-    assert f("https://h.org/app/", ["short-body"]) == "intentional-stub-app-only"
-    assert f("https://h.org/post/a", ["x-not-found"], True) == "upstream-deleted"
+    assert f("https://www.wsj.com/post/a", []) == "upstream-paywall"
+    assert f("https://h.org/search?q=1", ["short-body"]) == "intentional-stub-app-only"
+    assert f("https://h.org/post/a", ["x-not-found", "intentional-stub"]) == "upstream-deleted"
     assert f("nope", []) == "host-malformed"
 
 

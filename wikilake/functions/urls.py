@@ -8,22 +8,51 @@ from pyspark.sql import functions as F
 # Tracking parameters, rules of share links, hosts of site modules in order of priority.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "ref_src")
 PARTS = r"^(?i)(https?)://([^/?#]*)([^?#]*)\??([^#]*)"
-SHARE_RULES = ((r"(^|\.)link\.zhihu\.com$", "target"), (r"(^|\.)link\.csdn\.net$", "target"), (r"(^|\.)google\.com$", "url"), (r"(^|\.)l\.facebook\.com$", "u"), (r"(^|\.)t\.umblr\.com$", "z"))
+SHARE_RULES = ((r"^share\.google$", "link"),)
+# (site, rule on the host without www., rule on the path), in order of priority.
 SITE_RULES = (
-    ("github", r"(^|\.)github\.com$"),
-    ("zhihu", r"(^|\.)zhihu\.com$"),
-    ("weixin", r"^mp\.weixin\.qq\.com$"),
-    ("linux-do", r"^linux\.do$"),
-    ("epoch-ai", r"(^|\.)epoch\.ai$"),
-    ("substack", r"(^|\.)substack\.com$"),
-    ("arxiv", r"(^|\.)arxiv\.org$"),
-    ("huggingface", r"(^|\.)huggingface\.co$"),
-    ("readthedocs", r"\.readthedocs\.io$"),
-    ("reddit", r"(^|\.)reddit\.com$"),
-    ("x-twitter", r"^(www\.)?(x|twitter)\.com$"),
-    ("v2ex", r"(^|\.)v2ex\.com$"),
-    ("blog", r"^blog\."),
-    ("mobile", r"^m\."),
+    ("xhs", r"^xhslink\.com$|(^|\.)xiaohongshu\.com$", ""),
+    ("github", r"^(gist\.)?github\.com$", ""),
+    ("zhihu", r"^zhuanlan\.zhihu\.com$", ""),
+    ("zhihu", r"^zhihu\.com$", r"^/question/\d+/answer/\d+/?$"),
+    ("weixin", r"^mp\.weixin\.qq\.com$", ""),
+    ("deepwiki-litenext", r"^wiki\.litenext\.digital$", ""),
+    ("deepwiki-com", r"^deepwiki\.com$", ""),
+    ("linux-do", r"^linux\.do$", ""),
+    ("nvidianews", r"^nvidianews\.nvidia\.com$", ""),
+    ("epoch-ai", r"^epoch\.ai$", ""),
+    ("sebastianraschka-gallery", r"^sebastianraschka\.com$", r"^/llm-architecture-gallery"),
+    ("substack", r"(^|\.)substack\.com$|^magazine\.sebastianraschka\.com$|^newsletter\.semianalysis\.com$", ""),
+    ("arxiv", r"^arxiv\.org$", ""),
+    ("intuitionlabs", r"^intuitionlabs\.ai$", ""),
+    ("sspai", r"^sspai\.com$", ""),
+    ("aleksagordic", r"^aleksagordic\.com$", ""),
+    ("blog-google", r"^blog\.google$", ""),
+    ("01-me", r"^01\.me$", ""),
+    ("blog-csdn", r"^blog\.csdn\.net$", ""),
+    ("developer-nvidia", r"^developer\.nvidia\.com$", ""),
+    ("docs-nvidia", r"^docs\.nvidia\.com$", ""),
+    ("lmsys", r"^lmsys\.org$", ""),
+    ("sohu", r"^sohu\.com$", ""),
+    ("huggingface", r"^huggingface\.co$", ""),
+    ("qwenlm-github-io", r"^qwenlm\.github\.io$", ""),
+    ("anthropic", r"^anthropic\.com$", ""),
+    ("readthedocs", r"\.readthedocs\.(io|org)$", ""),
+    ("feishu", r"\.feishu\.cn$", ""),
+    ("reddit", r"^(old\.)?reddit\.com$", ""),
+    ("sebastianraschka-blog", r"^sebastianraschka\.com$", ""),
+    ("x-twitter", r"^(x|twitter)\.com$", ""),
+    ("qwen-ai", r"^qwen\.ai$", ""),
+    ("v2ex", r"^v2ex\.com$", r"/t/\d+"),
+)
+APP_SHAPES = (
+    r"(?i)/(login|signin|signup|register|dashboard|console|admin)\b",
+    r"(?i)/(tools?|calculator|search|vram-calculator)\b",
+    r"(?i)\.eth\.limo\b",
+    r"(?i)^https?://[a-f0-9]{8,}\.",
+    r"(?i)^https?://[^/?#]+/?([?#].*)?$",
+    r"(?i)^https?://[^/?#]+/index\.[a-z]+([?#].*)?$",
+    r"(?i)[?&](search|q|query|keyword|kw|term)=",
 )
 DEFAULT_SITE = "_default"
 
@@ -69,15 +98,16 @@ def unwrap_share_url(url: Column) -> Column:
     out = url
     for rule, name in reversed(SHARE_RULES):
         target = F.url_decode(F.regexp_extract(part(url, 4), rf"(?:^|&){name}=([^&]*)", 1))
-        out = F.when(hostname_of(url).rlike(rule) & target.rlike("^https?://"), target).otherwise(out)
+        out = F.when(host_of(url).rlike(rule) & target.rlike("(?i)^https?://"), target).otherwise(out)
     return out
 
 
 def route_site(url: Column) -> Column:
-    """The first site module, by priority, whose rule fits the host; one takes all the rest."""
+    """The first site module, by priority, whose rules fit host and path; one takes all the rest."""
     out = F.lit(DEFAULT_SITE)
-    for name, rule in reversed(SITE_RULES):
-        out = F.when(hostname_of(url).rlike(rule), name).otherwise(out)
+    for name, rule, path in reversed(SITE_RULES):
+        fits = host_of(url).rlike(rule)
+        out = F.when(fits & part(url, 3).rlike(path) if path else fits, name).otherwise(out)
     return out
 
 
@@ -112,8 +142,11 @@ def is_lan(url: Column) -> Column:
 
 
 def looks_like_app(url: Column) -> Column:
-    """A URL without an article's path: an app, a dashboard or a login."""
-    return F.lower(part(url, 3)).rlike(r"^/?$|/(app|dashboard|login|signin|console|chat|playground)(/|$)")
+    """A URL that is no article's: a login, a tool, a bare host, a search."""
+    out = F.lit(False)
+    for shape in APP_SHAPES:
+        out = out | F.trim(url).rlike(shape)
+    return out
 
 
 def looks_like_article(url: Column) -> Column:

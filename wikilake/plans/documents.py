@@ -16,14 +16,14 @@ def _any(words, where):
     return "(" + " OR ".join(f"contains({where}, '{w}')" for w in words) + ")"
 
 
-_SIZE = "length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))"
-_HEADINGS = "len(regexp_extract_all(text, '(?m)^#{1,6} '))"
-_REGION = f"lower(CASE WHEN length(text) < {quality.LOGIN_TEXT} THEN text ELSE left(text, {quality.LOGIN_HEAD}) END)"
-_FLAGS = f"""flagged AS (SELECT doc_id, lang, source, n_chars, list_filter([
+_SIZE = "length(t)"
+_HEADINGS = "len(regexp_extract_all(t, '(?m)^#{1,6}\\s+\\S'))"
+_REGION = f"(CASE WHEN length(t) < {quality.LOGIN_TEXT} THEN t ELSE left(t, {quality.LOGIN_HEAD}) END)"
+_FLAGS = f"""trimmed AS (SELECT doc_id, lang, source, n_chars, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents), flagged AS (SELECT doc_id, lang, source, n_chars, list_filter([
   CASE WHEN {_SIZE} < {quality.SHORT} THEN 'short-body' END,
   CASE WHEN {_SIZE} >= {quality.NO_HEADINGS} AND {_HEADINGS} = 0 THEN 'no-headings-in-body' END,
-  CASE WHEN {_any(quality.LOGIN, _REGION)} AND {_HEADINGS} < 3 THEN 'login-wall-keyword' END,
-  CASE WHEN {_any(quality.LOADING, 'lower(text)')} AND length(text) < {quality.LOADING_TEXT} THEN 'loading-skeleton' END], lambda x: x IS NOT NULL) AS flags FROM documents)"""
+  CASE WHEN {_HEADINGS} < 3 AND {_any(quality.LOGIN, _REGION)} THEN 'login-wall-keyword' END,
+  CASE WHEN {_SIZE} < {quality.LOADING_TEXT} AND {_any(quality.LOADING, 't')} THEN 'loading-skeleton' END], lambda x: x IS NOT NULL) AS flags FROM trimmed)"""
 
 
 def _flagged(spark, d):
@@ -43,8 +43,8 @@ def quality_status_counts(spark, d):
 
 
 @query(
-    f"""WITH {_FLAGS} SELECT doc_id, CASE WHEN list_contains(flags, 'login-wall-keyword') THEN 'fetch with a session' WHEN list_contains(flags, 'loading-skeleton') THEN 'fetch with a browser'
-    WHEN list_contains(flags, 'short-body') THEN 'fetch again or accept as a stub' WHEN list_contains(flags, 'no-headings-in-body') THEN 'check the headings' ELSE 'none' END AS advice FROM flagged"""
+    f"""WITH {_FLAGS} SELECT doc_id, CASE WHEN list_contains(flags, 'login-wall-keyword') THEN 'log in and fetch again' WHEN list_contains(flags, 'loading-skeleton') THEN 'fetch with a browser'
+    WHEN list_contains(flags, 'short-body') THEN 'check the source; accept it if it is short' ELSE 'look at it by hand' END AS advice FROM flagged"""
 )
 def quality_remediation(spark, d):
     return _flagged(spark, d).select("doc_id", quality.remediation(F.col("flags")).alias("advice"))
@@ -63,11 +63,12 @@ def failure_kind(spark, d):
         F.when(i % 11 == 0, "nowhere")
         .when(i % 13 == 0, "http://192.168.1.9/post/x")
         .when(i % 17 == 0, "https://h.example.org/a.PDF")
-        .when(i % 2 == 0, "https://h.example.org/app/")
+        .when(i % 2 == 0, "https://h.example.org/login/")
         .otherwise("https://h.example.org/post/x")
     )
     pinned = F.when(i % 23 == 0, "dead-link-accepted")
-    return _flagged(spark, d).select("doc_id", quality.failure_kind(url, i % 5 != 0, i % 7 == 0, F.col("flags"), pinned).alias("kind"))
+    flags = F.when(i % 7 == 0, F.array_append("flags", F.lit(quality.STUB))).otherwise(F.col("flags"))
+    return _flagged(spark, d).select("doc_id", quality.failure_kind(url, i % 5 != 0, flags, pinned).alias("kind"))
 
 
 @query(

@@ -11,7 +11,9 @@ from wikilake.plans.registry import registry
 
 QUERIES, SQL, query = registry()
 _B, _R = A.with_(A.BOOKMARKS), A.with_(A.REVISIONS)
-_ROUTE = "CASE " + " ".join(f"WHEN regexp_matches(h, '{rule}') THEN '{name}'" for name, rule in U.SITE_RULES) + f" ELSE '{U.DEFAULT_SITE}' END"
+_ROUTE = "CASE " + " ".join(f"WHEN regexp_matches(h, '{rule}') AND regexp_matches(p, '{path}') THEN '{name}'" for name, rule, path in U.SITE_RULES) + f" ELSE '{U.DEFAULT_SITE}' END"
+#: Pages moved to hosts that have a site of their own.
+_MOVED = "CASE page_id % 6 WHEN 0 THEN 'https://www.github.com/a/b' WHEN 1 THEN 'https://zhihu.com/question/1/answer/2' WHEN 2 THEN 'https://zhihu.com/people/x' WHEN 3 THEN 'https://docs.x.readthedocs.io/en' WHEN 4 THEN 'https://v2ex.com/t/12' ELSE url END"
 #: Raw content of three quarters of the pages; every sixth page has been ingested.
 _STATE = """, raw AS (SELECT bookmark_id AS slug, norm_url, host, CASE WHEN length(title) >= 30 THEN 'good' ELSE 'flagged' END AS quality FROM bookmarks WHERE bookmark_id % 4 > 0),
   ingested AS (SELECT DISTINCT norm_url FROM bookmarks WHERE bookmark_id % 6 = 0)"""
@@ -53,10 +55,10 @@ def host_graduation(spark, d):
     return state.graduations(counts(b), counts(b.where("bookmark_id % 3 = 0")))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE concat('https://link.zhihu.com/?target=', url) END AS link, url AS target FROM pages WHERE NOT contains(url, '?') AND NOT contains(url, '#')")
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE concat('https://share.google/?link=', url) END AS link, url AS target FROM pages WHERE NOT contains(url, '?') AND NOT contains(url, '#')")
 def url_unwrap(spark, d):
     p = A.table(spark, d, "pages").where("not contains(url, '?') and not contains(url, '#')")
-    link = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("https://link.zhihu.com/?target="), "url"))
+    link = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("https://share.google/?link="), "url"))
     return p.select("page_id", link.alias("link")).withColumn("target", U.unwrap_share_url(F.col("link")))
 
 
@@ -66,9 +68,9 @@ def host_suffix_filter(spark, d):
     return h.where(U.host_matches(F.col("host"), F.lit("example.org")))
 
 
-@query(f"SELECT page_id, {_ROUTE} AS site FROM (SELECT page_id, {A.sql_host('url')} AS h FROM pages)")
+@query(f"SELECT page_id, {_ROUTE} AS site FROM (SELECT page_id, regexp_replace({A.sql_host('u')}, '^www\\.', '') AS h, {A.sql_part('u', 3)} AS p FROM (SELECT page_id, {_MOVED} AS u FROM pages))")
 def route_site(spark, d):
-    return A.table(spark, d, "pages").select("page_id", U.route_site(F.col("url")).alias("site"))
+    return A.table(spark, d, "pages").select("page_id", F.expr(_MOVED).alias("u")).select("page_id", U.route_site(F.col("u")).alias("site"))
 
 
 @query(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wikilake.plans import documents, graph, pipeline, text
+from wikilake.plans import documents, graph, pipeline, reports, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (graph, pipeline, documents, text):
+for module in (graph, pipeline, documents, text, reports):
     QUERIES.update(module.QUERIES)
     SQL.update(module.SQL)

@@ -78,3 +78,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of df whose key is not in ids, with those whose key is null."""
     return df.join(small(ids.select(key).distinct()), key, "left_anti")
+
+
+def frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of counts with the largest values of n (1 or more): as many as whole steps of an eighth of a
+    power of two allow below `most`.  Only the numbers of rows by step reach the driver."""
+    step = F.floor(F.log2(n) * 8)
+    sizes = {r.step: r["count"] for r in counts.groupBy(step.alias("step")).count().collect()}
+    least, total = None, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > most:
+            break
+        least = k
+    return counts.limit(0) if least is None else counts.where(step >= least)

@@ -37,6 +37,7 @@ END = "</w>"
 # The tokenizer's own pattern, with the white space of Unicode's White_Space property written out.
 _SPACES = r"\t-\r \x85\xa0  -     　"
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
+_SHORT = (2, 1)
 _NO_SPACE = regex.compile(rf"[^{_SPACES}]+")
 _SEPARATORS = {"\x1c", "\x1d", "\x1e", "\x1f"}  # white space to Python, not to Unicode
 
@@ -59,6 +60,13 @@ class Transducer:
             self.rank.setdefault((a, b), r)
             self.parts.setdefault(a + b, (a, b))
         self.most = max((self.size(t) for t in vocab), default=1)
+        # Sizes of tokens by their last three symbols, the longest first, for tokens within and at the end of a word.
+        sizes: tuple[dict[str, set[int]], ...] = ({}, {})
+        for t in vocab:
+            n = self.size(t)
+            if n > 2:
+                sizes[n < len(t)].setdefault(t[n - 3 : n], set()).add(n)
+        self._sizes = [{k: (*sorted(v, reverse=True), 2, 1) for k, v in by.items()} for by in sizes]
         self._right: dict[str, tuple] = {}
         self._left: dict[str, tuple] = {}
         self._stable: dict[tuple[str, str], bool] = {}
@@ -99,28 +107,34 @@ class Transducer:
                     r = rank((x, y))
                     if r is not None and r < x_end and r <= y_end:
                         out = False
+                        break
+                if not out:
+                    break
             self._stable[a, b] = out
         return out
 
     def tokens(self, word: str) -> Iterator[str]:
         """The tokens of one word, as they become stable.  A prefix's last token is its longest one that is
         stable after the last token of the prefix before it."""
-        vocab, most, n, known = self.vocab, self.most, len(word), self._stable.get
-        if not n:
-            return
+        vocab, most, n, known, inner = self.vocab, self.most, len(word), self._stable.get, self._sizes[0]
         last = [""]  # last token of each prefix from base on; with all single symbols known, each has one
         base = 0  # all before it has been emitted
         for p in range(1, n + 1):
-            if p == n:
-                word += END  # belongs to the last symbol
-            end = len(word) if p == n else p
-            for i in range(max(base, p - most), p):
-                t = word[i:end]
-                if t in vocab:
+            sizes, end = inner, p
+            if p == n:  # the end of the word belongs to the last symbol
+                sizes, word, end = self._sizes[1], word + END, n + len(END)
+            for size in sizes.get(word[p - 3 : p], _SHORT) if p > 2 else _SHORT:
+                i = p - size
+                if i >= base and (t := word[i:end]) in vocab:
                     before = last[i - base]
-                    if not before or known((before, t)) or ((before, t) not in self._stable and self.stable(before, t)):
-                        last.append(t)
-                        break
+                    if before:
+                        apart = known((before, t))
+                        if apart is None:
+                            apart = self.stable(before, t)
+                        if not apart:
+                            continue
+                    last.append(t)
+                    break
             else:
                 raise ValueError(f"the vocabulary has no symbol for a part of {word[:40]!r}")
             if p % most == 0 and p - base >= 2 * most and p < n:
@@ -165,6 +179,7 @@ class WordBPE:
         chars = byte_characters()
         self._map = {b: c for b, c in enumerate(chars)}
         self._bytes = {c: bytes([b]) for b, c in enumerate(chars)}
+        self._packed = {t: i.to_bytes(4, "little") for t, i in model["vocab"].items()}
         outer = self
 
         class Known(dict):
@@ -193,9 +208,13 @@ class WordBPE:
 
     def _of_word(self, word: str) -> bytes:
         symbols = word.encode("utf-8").decode("latin-1").translate(self._map)
-        return np.array([self.transducer.vocab[t] for t in self.transducer.tokens(symbols)], "<u4").tobytes()
+        return b"".join(map(self._packed.__getitem__, self.transducer.tokens(symbols)))
 
     def _of_chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():  # the pattern would find one word
+            return self._word[chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():  # a word and a mark
+            return self._word[chunk[:-1]] + self._word[chunk[-1]]
         return b"".join(map(self._word.__getitem__, _WORDS.findall(chunk)))
 
     @staticmethod

@@ -35,21 +35,50 @@ def saved(df: DataFrame) -> DataFrame:
 BITS = 23
 
 
+_CHUNK_BITS = 16
+
+
 def bitset(df: DataFrame, name: str, bits: int = BITS):
     """A filter of 2**bits bits with the low bits of a long column set, as a numpy array of 64-bit
     words.  Its size is fixed, however many rows there are: full, it lets more through, and the
-    exact join that follows sorts that out.  The bits are combined on the executors."""
+    exact join that follows sorts that out.  The bits are set on the executors, in chunks."""
     import numpy as np
-
-    slot = F.col(name).bitwiseAND((1 << bits) - 1)
-    word = F.shiftright(slot, 6)
-    bit = F.expr(f"shiftleft(1L, int(`{name}` & 63))")
+    import pyarrow as pa
+
+    def chunks(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            for c in np.unique(slot >> _CHUNK_BITS):
+                flags = held.setdefault(int(c), np.zeros(1 << _CHUNK_BITS, bool))
+                flags[slot[slot >> _CHUNK_BITS == c] & ((1 << _CHUNK_BITS) - 1)] = True
+        for c, flags in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
+
+    slots = df.select(F.col(name).bitwiseAND((1 << bits) - 1).alias("slot"))
+    n = 1 << max(0, bits - _CHUNK_BITS)
+    rows = slots.repartition(min(n, 64), F.shiftright("slot", _CHUNK_BITS)).mapInArrow(chunks, "chunk long, bits binary").collect()  # at most 2**bits bits
     out = np.zeros(1 << bits - 6, np.uint64)
-    rows = df.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2**(bits - 6) rows
-    out[rows.w.to_numpy(np.int64)] = rows.b.to_numpy(np.int64).view(np.uint64)
+    words = 1 << _CHUNK_BITS - 6
+    for r in rows:
+        out[r.chunk * words : (r.chunk + 1) * words] = np.frombuffer(r.bits, np.uint64)
     return out
 
 
+def give_back() -> None:
+    """Returns the driver's freed memory to the system, before a later step needs it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def has(bits_set, h, bits: int = BITS):
     """Which of the 64-bit hashes have their bit set."""
     import numpy as np

@@ -127,6 +127,20 @@ def test_html(spark):
     assert htmltext.extracted(df.limit(0)).count() == 0
 
 
+def test_html_template_decides_inside_articles(spark):
+    notice = "<div class=zz>Support this site</div><p>Read our other pages</p>"
+    long = " ".join(["word"] * 12)
+    rows = [(k, f"http://a.org/{k}", f"<main>{notice}<p>{long} {k}</p></main>") for k in range(5)]
+    rows += [(10 + k, f"http://b.org/{k}", f"<div>{k}</div><article>{notice}<h2>{long} {k}</h2></article>") for k in range(4)]
+    rows += [(20 + k, f"http://c.org/{k}", f"<div>{k}</div><article><h1>{long}</h1><p>{long} x</p></article>") for k in range(4)]  # copies
+    rows += [(30 + k, f"http://d.org/{k}", f"<article><p>{long} y</p><p>{long} z</p><p>edit {k}</p></article>") for k in range(4)]  # near copies
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in htmltext.extracted(df).collect()}
+    want = {k: f"{long} {k}" for k in range(5)} | {10 + k: f"{long} {k}" for k in range(4)}
+    want |= {20 + k: f"{long}\n{long} x" for k in range(4)} | {30 + k: f"{long} y\n{long} z\nedit {k}" for k in range(4)}
+    assert out == want
+
+
 def test_language(spark):
     en, de = "the house and the garden with that tree of the river", "das haus und der garten mit einem baum an dem fluss"
     rows = [(k, (en if k % 2 else de) * (1 + k % 3), "en" if k % 2 else "de", "s") for k in range(60)]

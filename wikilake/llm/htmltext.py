@@ -8,7 +8,9 @@ the host's template, and a place whose blocks all belong to it is boilerplate.
 remains are the slots.  The main text is the slots of the article: of its <article> or
 <main> where a page has one, else of the body, without the elements whose names, roles
 or classes say that they are menus, headers, footers, sidebars, notices, adverts, forms
-or comments.  Inside an <article> or <main> repeated text stays: it is the author's.
+or comments.  Inside an <article> or <main> the blocks of valid classes go too, counted over
+distinct articles, so copies of an article don't support each other.  If that took more than half
+of an article it is a near copy, not a template: then only places that are boilerplate go, or nothing.
 
 Vectors are compared by their hashes and classes found by aggregation, so the pages of a
 host never meet in one task.  A null page has an empty text.  Broken markup is read as
@@ -22,6 +24,7 @@ import html
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
@@ -43,6 +46,7 @@ _AWAY_WORDS = frozenset(
 # Words that put even an <article> away, and words by which a "header" is an article's own heading.
 _NEVER = frozenset("comment comments commentlist disqus replies related recommended ad ads advert sponsored promo promoted".split())
 _HEADINGS, _OWN = frozenset("header masthead banner".split()), frozenset("post article entry title content story".split())
+_INSIDE, _TOKEN = 1 << 32, (1 << 62) - 1
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"([A-Za-z_:@][^\s=/>\"']*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -141,12 +145,26 @@ def blocks(page: str) -> list[tuple[int, int, bool, str]]:
     return out
 
 
+def _place(place: int, rank: int) -> int:
+    """Places in an article or main part are apart from those outside."""
+    return place + (_INSIDE if rank else 0)
+
+
+def _token(place: int, text: str) -> int:
+    """Negative, as places are not."""
+    return -1 - (((place << 31) ^ crc32(text.encode())) & _TOKEN)
+
+
 def main_text(found: list[tuple[int, int, bool, str]], boilerplate: frozenset[int]) -> str:
-    """The text of a page's slots: of its highest-ranked part that has any."""
+    """The text of a page's slots: of its highest-ranked part that has any.  boilerplate has places, and tokens
+    of main parts."""
     for rank in (2, 1):
-        inside = [t for _, r, away, t in found if r >= rank and not away]
+        inside = [(_place(p, r), t) for p, r, away, t in found if r >= rank and not away]
         if inside:
-            return "\n".join(inside)
+            slots = [t for p, t in inside if _token(p, t) not in boilerplate]
+            if 2 * sum(map(len, slots)) < sum(len(t) for _, t in inside):
+                slots = [t for p, t in inside if p not in boilerplate] or [t for _, t in inside]
+            return "\n".join(slots)
     return "\n".join(t for place, _, away, t in found if not away and place not in boilerplate)
 
 
@@ -155,34 +173,45 @@ def host(url: str):
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of pages and, under a key of their own, of articles; a row with n = 0 stands for the whole of each."""
     for batch in batches:
         rows = []
         for key, site, page in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "html")), strict=True):
-            seen: dict[tuple[int, int], list[int]] = {}
-            for pos, (place, rank, away, text) in enumerate(blocks(page or "")):
-                if rank < 2:
-                    seen.setdefault((place, crc32(text.encode())), []).append(pos)
-            rows += [(site, key, place, (place << 31) ^ t, len(at), at[0]) for (place, t), at in seen.items()]
+            found = [(_place(p, r), away, t) for p, r, away, t in blocks(page or "")]
+            article = [(p, t) for p, away, t in found if p >= _INSIDE and not away]
+            own = int.from_bytes(blake2b(repr(article).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            for whole, name, part in ((0, key, [(p, t) for p, _, t in found if p < _INSIDE]), (_INSIDE, own, article)):
+                seen: dict[tuple[int, int], list[int]] = {}
+                for pos, (place, text) in enumerate(part):
+                    seen.setdefault((place, _token(place, text)), []).append(pos)
+                rows += [(site, name, place, token, len(at), at[0]) for (place, token), at in seen.items()]
+                if part or not whole:
+                    rows.append((site, name, whole, 0, 0, 0))
         if rows:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "page", "place", "token", "n", "pos"])
 
 
 def template(pages: DataFrame) -> DataFrame:
-    """(host, places): the boilerplate places of each host, of pages (url, html), outside of articles."""
+    """(host, places): the boilerplate places of each host, of pages (url, html), and the tokens of its articles' template."""
     pages = pages.select(host("url").alias("host"), F.xxhash64("url", "html").alias("page"), "html")
     kinds = "host string, page long, place long, token long, n int, pos int"
-    rows = saved(pages.mapInArrow(_tokens, kinds))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    vectors = rows.groupBy("host", "token", "place").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("support"))
-    frequent = vectors.join(totals, "host").where((F.col("support") >= MIN_PAGES) & (F.col("support") >= MIN_SHARE * F.col("pages")))
+    inside = (F.col("place") >= _INSIDE).alias("inside")
+    all_rows = saved(pages.mapInArrow(_tokens, kinds).dropDuplicates(["host", "page", "place", "token"]).select("*", inside))
+    rows = all_rows.where("n > 0")
+    totals = all_rows.where("n = 0").groupBy("host", "inside").agg(F.count("*").alias("pages"))
+    vectors = rows.groupBy("host", "token", "place", "inside").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("support"))
+    frequent = vectors.join(totals, ["host", "inside"]).where((F.col("support") >= MIN_PAGES) & (F.col("support") >= MIN_SHARE * F.col("pages")))
     # A class is valid if all of its pages have its tokens in one order.
-    orders = rows.join(frequent.select("host", "token", "vector"), ["host", "token"]).groupBy("host", "vector", "page").agg(F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x.token)).alias("order"))
-    valid = orders.groupBy("host", "vector").agg((F.min("order") == F.max("order")).alias("ok")).where("ok").select("host", "vector")
-    inside = frequent.join(valid, ["host", "vector"], "left_semi").groupBy("host", "place").agg(F.sum("support").alias("covered"))
-    all_ = rows.groupBy("host", "place").agg(F.count("*").alias("present"))
-    whole = inside.join(all_, ["host", "place"]).where("covered >= present")
-    return whole.groupBy("host").agg(F.collect_set("place").alias("places"))
+    keys = ["host", "token", "place"]
+    orders = rows.join(frequent.select(*keys, "vector"), keys).groupBy("host", "inside", "vector", "page").agg(F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x.token)).alias("order"))
+    valid = orders.groupBy("host", "inside", "vector").agg((F.min("order") == F.max("order")).alias("ok")).where("ok").select("host", "inside", "vector")
+    good = frequent.join(valid, ["host", "inside", "vector"], "left_semi")
+    covered = good.groupBy("host", "place").agg(F.sum("support").alias("covered"))
+    present = rows.groupBy("host", "place").agg(F.count("*").alias("present"))
+    whole = covered.join(present, ["host", "place"]).where("covered >= present").select("host", "place")
+    known = whole.union(good.where("inside").select("host", F.col("token").alias("place")))
+    return known.groupBy("host").agg(F.collect_set("place").alias("places"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The join, decontamination, models and the pipeline against brute force and held-out labels."""
 
 import collections
+import itertools
 import math
 import zlib
 
@@ -99,6 +100,24 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(frame(spark, texts).limit(0), bench).count() == 0
 
 
+def test_short_items_with_changed_words(spark):
+    items, texts, want = [], [], set()
+    for n in range(1, 13):
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append(" ".join(item))
+        lacks = [c for m in range(4) for c in itertools.combinations(range(n), m) if m < n]
+        for lack in lacks:
+            swapped = [f"other{k}" if k in lack else w for k, w in enumerate(item)]
+            cut = swapped[1:] if 0 in lack else swapped  # a missing first word
+            for text in (["a", *swapped, "b"], cut, swapped[: n - 1] if n - 1 in lack else swapped):
+                if n - len(lack) >= 0.8 * n:
+                    want.add((len(texts), n - 1, n - len(lack)))
+                texts.append(" ".join(text))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_equal) for r in decontaminate.overlaps(frame(spark, texts), bench).collect()}
+    assert got == want
+
+
 def test_lm_base_is_exact_and_model_is_a_distribution(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(f"{'ab'[k % 2]}{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 60)))) for k in range(300)] + [None, "", "Never SEEN words"]

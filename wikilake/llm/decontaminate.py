@@ -6,7 +6,9 @@ positions that a mask ignores.  Around each hit the text and the item are laid b
 each other and the best stretch is measured: one point for an equal token, minus
 MISMATCH for another.  A stretch with enough equal tokens is an overlap.
 
-Items shorter than a mask are looked up whole.  Nulls and empty texts on either side have
+Items of fewer than SHORT tokens have masks of their own, one for each way to ignore as many of
+their tokens as an overlap may lack, so none is missed; their stretch is from the first equal token
+to the last.  Nulls and empty texts on either side have
 no overlap.  Repeated items and repeated texts are each reported.  Rows without a key are
 left out.
 """
@@ -14,6 +16,8 @@ left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +29,26 @@ from wikilake.llm.common import bitset, has, only, saved, small, table
 
 #: Positions of a window that count; a window spans ten tokens.
 MASKS = ((0, 1, 2, 5, 7, 9), (0, 2, 3, 4, 8, 9), (0, 1, 4, 6, 8, 9), (0, 1, 3, 5, 6, 9))
-SPAN = 10
+#: Below this length an overlap needs MIN_ITEM_SHARE of the item, and all masks that allow it are few.
+SHORT = 13
 MISMATCH = 1.5
 #: An overlap has this many equal tokens, or this share of a shorter item, and this share of equal tokens in its stretch.
 MIN_EQUAL, MIN_ITEM_SHARE, MIN_IDENTITY = 10, 0.8, 0.75
 FILTER_BITS = 25
 
 
-def seeds(h: np.ndarray, d: np.ndarray, counts: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, first tokens) of all windows of each mask, and of all windows of each of the short lengths."""
-    for k, mask in enumerate((*MASKS, *(tuple(range(n)) for n in lengths))):
+@lru_cache(maxsize=64)
+def short_masks(lengths: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """All choices of the tokens that an overlap with an item of one of the lengths has at least; each begins at 0."""
+    need = {n: next(k for k in range(n + 1) if enough(k, k, n)) for n in lengths}
+    return sorted({tuple(p - m[0] for p in m) for n, k in need.items() for m in combinations(range(n), k)})
+
+
+def seeds(h: np.ndarray, d: np.ndarray, counts: np.ndarray, short: list[tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, first tokens) of all windows of each mask, and of each of the masks of short items."""
+    for k, mask in enumerate((*MASKS, *short)):
         out, at = K.windows(h, d, counts, mask)
-        yield K.mix(out ^ K.U64((k if k < len(MASKS) else 100 + len(mask)) + 1)), at
+        yield K.mix(out ^ K.U64((k if k < len(MASKS) else 100 + sum(1 << p for p in mask)) + 1)), at
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +62,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(j - i):
                 n = int(counts[k])
                 own = h[cuts[k] : cuts[k + 1]]
-                for s, at in seeds(own, np.zeros(n, np.int64), counts, (n,) if 0 < n < SPAN else ()):
+                for s, at in seeds(own, np.zeros(n, np.int64), counts, short_masks((n,)) if 0 < n < SHORT else []):
                     found[k] += [{"seed": x, "at": y} for x, y in zip(s.view(np.int64).tolist(), at.tolist(), strict=True)]
             kind = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(i, j - i), K.lists(h.view(np.int64), cuts), pa.array(found, kind)], ["item_id", "item", "seeds"])
@@ -63,6 +75,9 @@ def measured(item: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, int,
     if a >= b:
         return 0, 0, 0
     same = item[a:b] == text[a + shift : b + shift]
+    if len(item) < SHORT:
+        hit = np.flatnonzero(same)
+        return (len(hit), a + shift + int(hit[0]), a + shift + int(hit[-1]) + 1) if len(hit) else (0, 0, 0)
     total = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -MISMATCH))))
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
@@ -93,7 +108,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     documents has doc_id (long) and text, benchmark item_id (long) and text; begin and end count tokens."""
     spark = documents.sparkSession
     items = saved(only(benchmark, "item_id", "text").mapInArrow(_items, "item_id long, item array<long>, seeds array<struct<seed:long,at:int>>"))
-    lengths = tuple(sorted(r.n for r in items.select(F.size("item").alias("n")).where(f"n between 1 and {SPAN - 1}").distinct().collect()))  # at most SPAN - 1 rows
+    lengths = tuple(sorted(r.n for r in items.select(F.size("item").alias("n")).where(f"n between 1 and {SHORT - 1}").distinct().collect()))  # at most SHORT - 1 rows
+    short = short_masks(lengths)
     keys = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", "s.seed", F.col("s.at").alias("item_at"))
     # Each seed sets two bits of the filter; its size is fixed.
     both = keys.select(F.explode(F.array("seed", F.shiftrightunsigned("seed", 32))).alias("seed"))
@@ -108,7 +124,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 counts = np.bincount(d, minlength=j - i)
                 cuts = np.concatenate(([0], np.cumsum(counts)))
                 found: dict[int, list] = {}
-                for s, at in seeds(h, d, counts, lengths):
+                for s, at in seeds(h, d, counts, short):
                     ok = has(wanted, s, FILTER_BITS)
                     ok[ok] = has(wanted, s[ok] >> K.U64(32), FILTER_BITS)
                     for x, y in zip(s[ok].view(np.int64).tolist(), at[ok].tolist(), strict=True):

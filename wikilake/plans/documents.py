@@ -183,3 +183,31 @@ def comparison_heading(spark, d):
 def page_parts(spark, d):
     b = F.col("body")
     return wiki(spark, d).select("slug", F.regexp_replace(F.element_at(T.observations(b), 1), "^- ", "").alias("first_observation"), T.human_title(b).alias("title"), T.first_paragraph(b).alias("paragraph"))
+
+
+def wiki_whole(spark, d):
+    """Pages of wiki with the whole text before and in the observations."""
+    i, s, t = F.col("doc_id").cast("string"), F.lit, F.coalesce("text", F.lit(""))
+    text = F.concat(s("# page "), i, s("\n"), t, s("\nSee [[page "), (F.col("doc_id") % 10).cast("string"), s("]] and [[page 3|three]].\n## Observations\n- seen "), "lang", s("\n"), t)
+    return A.table(spark, d, "documents").select(F.concat(s("page "), i).alias("slug"), text.alias("body"))
+
+
+@query()
+def rename_rewrite_whole(spark, d):
+    return curation.renamed(wiki_whole(spark, d), "page 3", "p3").select("slug", "changed", "body")
+
+
+@query()
+def merge_docs_whole(spark, d):
+    return curation.merged(wiki_whole(spark, d), "page 3", "page 5").select("slug", "body")
+
+
+@query()
+def comparison_heading_whole(spark, d):
+    return wiki_whole(spark, d).withColumn("body", curation.with_heading(F.col("body"), "Comparison"))
+
+
+@query()
+def page_parts_whole(spark, d):
+    b = F.col("body")
+    return wiki_whole(spark, d).select("slug", F.regexp_replace(F.element_at(T.observations(b), 1), "^- ", "").alias("first_observation"), T.human_title(b).alias("title"), T.first_paragraph(b).alias("paragraph"))

@@ -69,3 +69,10 @@ def tag_markup(spark, d):
     s = F.lit
     raw = F.concat(s('<grid cols="2">\n<callout emoji="x">\nnote <text color="red">'), "lang", s('</text>\n</callout>\n<image token="'), "source", s('" width="1"/> <equation>x</equation> end</grid>'))
     return A.table(spark, d, "documents").select("doc_id", report.rewrite_tags(raw).alias("text"))
+
+
+@query()
+def tag_markup_whole(spark, d):
+    s, t = F.lit, F.coalesce("text", F.lit(""))
+    raw = F.concat(t, s('<grid cols="2">\n<callout emoji="x">\n'), t, s('<text color="red">'), t, s('</text>\n</callout>\n<image token="'), "source", s('" width="1"/> <equation>x</equation> '), t, s("</grid>"))
+    return A.table(spark, d, "documents").select("doc_id", report.rewrite_tags(raw).alias("text"))

@@ -42,6 +42,36 @@ def md_features(spark, d):
     return _fenced(spark, d).select("doc_id", *(c.alias(k) for k, c in T.features(F.col("body")).items()))
 
 
+def _whole(spark, d):
+    """The markup with the whole text before, in and after the fence, in the section and after it; every fifth fence stays open."""
+    k, t = (F.col("doc_id") % 7).cast("string"), F.coalesce("text", F.lit(""))
+    s = F.lit
+    fence = F.when(F.col("doc_id") % 5 == 4, "").otherwise("```\n")
+    text = F.concat(s("# T\n[[a "), k, s("]]\n"), t, s("\n```\n[[hidden]]\n# hidden\n"), t, s("\n"), fence, t, s("\n## Observations\n- [[b|see]]\n"), t, s("\n- [[a "), k, s("]]\n## End\n"), t, s("\n![i](x.png) ![j](http://h/y.png)"))
+    return A.table(spark, d, "documents").select("doc_id", text.alias("body"))
+
+
+@query()
+def fence_strip_whole(spark, d):
+    return _whole(spark, d).select("doc_id", T.strip_fences(F.col("body")).alias("text"))
+
+
+@query()
+def wikilinks_extract_whole(spark, d):
+    return _whole(spark, d).select("doc_id", F.array_join(T.wikilinks(F.col("body")), ",").alias("links"))
+
+
+@query()
+def section_extract_whole(spark, d):
+    b = F.col("body")
+    return _whole(spark, d).select("doc_id", T.section(b, "Observations").alias("section"), F.size(T.observations(b)).alias("bullets"), T.excerpt(b, ("Observations", "Missing")).alias("excerpt"))
+
+
+@query()
+def md_features_whole(spark, d):
+    return _whole(spark, d).select("doc_id", *(c.alias(k) for k, c in T.features(F.col("body")).items()))
+
+
 @query(
     """SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '(?m)^#{1,6} ')) AS headings, len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '```'))) AS fences,
     len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\|.*\\|\\s*$'))) AS table_rows, len(regexp_extract_all(text, '!\\[[^\\]]*\\]\\(([^)\\s]+)[^)]*\\)')) AS images FROM documents"""

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from wikilake.llm import decontaminate, jaccard, lmscore, toxicity
+from wikilake.llm import common, decontaminate, jaccard, lmscore, toxicity
 
 
 def frame(spark, texts, start=0):
@@ -30,11 +30,16 @@ def near_copies(rng, n_groups=12, spread=6):
     return texts
 
 
-def brute_components(texts):
+def shingle_sets(texts):
     sets = []
     for t in texts:
         w = (t or "").encode().lower().split()
         sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    return sets
+
+
+def brute_components(texts):
+    sets = shingle_sets(texts)
     parent = list(range(len(sets)))
 
     def root(x):
@@ -55,6 +60,11 @@ def brute_components(texts):
 def test_join_equals_all_pairs(spark, monkeypatch, cell, heavy):
     monkeypatch.setattr(jaccard, "CELL", cell)
     monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    if cell < 512:
+        monkeypatch.setattr(jaccard, "PIVOTS", 1)
+        monkeypatch.setattr(jaccard, "DEALT", 2)
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
+        monkeypatch.setattr(common, "HOT_KEYS", 1000)
     texts = near_copies(np.random.default_rng(cell))
     out = {r.doc_id: r for r in jaccard.joined(frame(spark, texts).repartition(3)).collect()}
     sizes, roots = brute_components(texts)
@@ -71,6 +81,24 @@ def test_join_of_many_near_copies_in_cells(monkeypatch):
     assert len(links) == 119 and all(max(p, q) < 120 for p, q in links)
 
 
+@pytest.mark.parametrize("cell", [512, 6])
+def test_link_counts(spark, monkeypatch, cell):
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    texts = near_copies(np.random.default_rng(3), n_groups=5)
+    got = {r.doc_id: r.n_links for r in jaccard.link_counts(frame(spark, texts)).collect()}
+    sets = shingle_sets(texts)
+    want = {i: sum(1 for j, b in enumerate(sets) if i != j and a & b and 100 * len(a & b) >= 80 * len(a | b)) for i, a in enumerate(sets)}
+    assert got == want
+
+
+def test_join_of_rows_without_ids_and_with_repeated_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(None, a), (None, a + " x"), (5, a + " y"), (5, b), (7, b + " z"), (None, None), (9, "solo word")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.joined(df).collect()))
+    assert got == sorted([(0, 36, 5), (0, 37, 5), (5, 37, 5), (5, 36, 5), (7, 37, 5), (0, 0, 0), (9, 1, 9)])
+
+
 def test_join_empty(spark):
     assert jaccard.joined(frame(spark, []).limit(0)).count() == 0
     assert [r.component_id for r in jaccard.joined(frame(spark, [None, ""])).orderBy("doc_id").collect()] == [0, 1]
@@ -138,14 +166,58 @@ def test_lm_base_is_exact_and_model_is_a_distribution(spark):
 
 
 def test_lm_probabilities_sum_to_one():
+    """Over all cells, and all classes of endings, after one history."""
     rng = np.random.default_rng(0)
-    lex = lmscore.Lexicon(0, 0, np.zeros(1), np.zeros(1), np.zeros(1), np.zeros(lmscore.RARE), np.zeros(lmscore.RARE), rng.normal(size=lmscore.WIDTH).astype(np.float32), rng.normal(size=(lmscore.CLASSES, lmscore.CLASS_SIZE)).astype(np.float32))
-    w = lmscore.Weights(rng.normal(size=(1 << lmscore.ROW_BITS, lmscore.WIDTH)).astype(np.float32), rng.normal(size=(1 << lmscore.ROW_BITS, lmscore.CLASS_SIZE)).astype(np.float32))
+    depth, rows = 10, 1 << 12
+    prior, mass = lmscore.unigram_tree(rng.integers(0, 50, 1 << depth).astype(float), rng.integers(0, 5, 1 << depth).astype(float))
+    lex = lmscore.Lexicon(0, 0, None, None, depth, prior, mass)
+    w = rng.normal(size=rows * lmscore.ROW).astype(np.float32)
+    before_h, before_t = rng.integers(1, 2**63, 2).astype(np.uint64), rng.integers(1, 2**63, 2).astype(np.uint64)
     total = 0.0
-    for word, rare in [(k, 0) for k in range(lmscore.VOCAB)] + [(-1, r) for r in range(lmscore.RARE)]:
-        p = lmscore.log_probabilities(lex, w, np.array([3, 7, word]), np.array([0, 0, rare]), np.array([0, 3]))
-        total += math.exp(p[2])
+    for cell in range(1 << depth):
+        h, tail = np.uint64((cell & 31) << 59), np.uint64((cell >> 5) << 59)
+        got = lmscore.log_probabilities(lex, w, np.append(before_h, h), np.append(before_t, tail), np.array([0, 3]))
+        assert lmscore.paths(np.array([h]), np.array([tail]), depth)[0] == cell
+        total += math.exp(got[2])
     assert total == pytest.approx(1, abs=1e-4)
+    flat = lmscore.log_probabilities(lex, np.zeros_like(w), np.append(before_h, h), np.append(before_t, tail), np.array([0, 3]))
+    assert flat[2] == pytest.approx(mass[-1] - math.log(np.exp(mass).sum()), abs=1e-4)  # without weights: the cell's share
+
+
+def brute_log10(lex, w, counts, words):
+    """The score of one text, token by token, in plain Python."""
+    out, level_bits = 0.0, lmscore.HALVINGS
+    h, tail, at = lmscore.tokens(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words).encode())]))
+    seen = lmscore.histories(h, tail, at)
+    for t in range(len(h)):
+        path = int(lmscore.paths(h[t : t + 1], tail[t : t + 1], lex.depth)[0])
+        for step in range(lex.depth):
+            level, k = divmod(step, level_bits)
+            so_far = path >> (lex.depth - step)
+            node = (1 << k) | (so_far & ((1 << k) - 1))
+            z = float(lex.prior[(1 << step) | so_far])
+            for f in lmscore.FEATURES[level]:
+                prefix = np.array([path >> (lex.depth - level_bits * level)])
+                z += float(w[lmscore._weights_at(seen[f][t : t + 1], f, level, prefix, np.array([[node]]), (len(w) // lmscore.ROW).bit_length() - 1)[0, 0]])
+            right = path >> (lex.depth - step - 1) & 1
+            out -= math.log1p(math.exp(-z if right else z))
+        word = words[t] if t < len(words) else None
+        out += math.log(counts[word] + 0.5) - lex.mass[path]
+    return out / math.log(10)
+
+
+def test_lm_score_equals_brute_force(spark, monkeypatch):
+    kept = {}
+    train = lmscore.train
+    monkeypatch.setattr(lmscore, "train", lambda t, lex: kept.update(lex=lex, w=train(t, lex)) or kept["w"])
+    monkeypatch.setattr(lmscore, "TOP", 40)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"v{int(x)}" for x in rng.zipf(1.5, 40)) for _ in range(80)]
+    docs = [*texts[:5], "never seen w1x", ""]
+    out = lmscore.scored(frame(spark, docs), frame(spark, texts)).orderBy("doc_id").collect()
+    counts = collections.Counter(x for t in texts for x in [*t.split(), None])
+    for r, t in zip(out, docs, strict=True):
+        assert r.score == pytest.approx(brute_log10(kept["lex"], kept["w"], counts, t.split()), rel=1e-3)
 
 
 def test_lm_without_training(spark):
@@ -215,3 +287,47 @@ def test_pipeline_decides(spark, tmp_path):
 
 def test_crc_of_python_and_spark_agree():
     assert zlib.crc32(b"12") % 3 == 0x4F5344CD % 3
+
+
+@pytest.mark.parametrize("n", [8, 12, 16, 24, 40])
+def test_decontamination_recall(spark, n):
+    """Against the alignment of every pair of an item and a text, at substitution rates up to a quarter."""
+    rng = np.random.default_rng(n)
+    words = [f"w{k}" for k in range(3000)]
+    items = [list(rng.choice(words, n)) for _ in range(12)]
+    texts = []
+    for rate in (0.0, 0.1, 0.2, 0.25):
+        for item in items:
+            for _ in range(3):
+                copy = [str(rng.choice(words)) if rng.random() < rate else w for w in item]
+                texts.append([*rng.choice(words, int(rng.integers(0, 30))), *copy, *rng.choice(words, int(rng.integers(0, 30)))])
+    number = {w: k for k, w in enumerate(words)}
+    as_array = lambda t: np.array([number[w] for w in t])
+    want = set()
+    for d, text in enumerate(map(as_array, texts)):
+        for i, item in enumerate(map(as_array, items)):
+            for shift in range(-n + 1, len(text)):
+                equal, begin, end = decontaminate.measured(item, text, shift)
+                if decontaminate.enough(equal, end - begin, n):
+                    want.add((d, i))
+    docs = frame(spark, [" ".join(t) for t in texts])
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) > 20
+
+
+def test_toxicity_forward_pass_equals_brute_force():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (0, 1, 2, 7, 30)]
+    m = toxicity.train([rng.integers(0, 2**63, 6).astype(np.uint64) for _ in range(30)], np.arange(30) % 2, epochs=1)
+    got = toxicity.score(m, np.concatenate(texts), np.array([len(t) for t in texts]))
+    for t, s in zip(texts, got, strict=True):
+        a, b, c = toxicity._rows(t)
+        x = np.concatenate((m.word[a] + m.word[b] + m.stem[c], np.zeros((toxicity.PAD, toxicity.DIM), np.float32)))
+        z = m.out_bias
+        for f in range(toxicity.FILTERS * len(toxicity.WIDTHS)):
+            i, k = divmod(f, toxicity.FILTERS)
+            w = toxicity.WIDTHS[i]
+            best = max(sum(float(x[p + j] @ m.conv[i][j][:, k]) for j in range(w)) for p in range(len(t) + 1))
+            z += float(m.out[f]) * max(best + float(m.bias[f]), 0)
+        assert s == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4)

@@ -1,11 +1,20 @@
-"""What the operators of this subpackage share: reading tables, checked broadcasts, safe checkpoints."""
+"""What the operators of this subpackage share: reading tables, checked broadcasts, safe checkpoints, tidy workers."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
+from functools import wraps
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows of an Arrow batch where the session has Spark's default: whole texts are long, and a batch stands in the JVM and in Python.
+BATCH_ROWS, _SPARKS_ROWS, _ROWS_KEY = 2_000, "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,37 +22,100 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """Just these columns, whatever else the table has.  Rows without a key (the first name) go."""
-    return df.select(*names).where(F.col(names[0]).isNotNull())
+    """Just these columns, whatever else the table has.  All rows stay.  Texts go to Python in batches of
+    BATCH_ROWS, unless the session has a bound of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS_KEY) == _SPARKS_ROWS:
+        conf.set(_ROWS_KEY, BATCH_ROWS)
+    return df.select(*names)
 
 
 def fold(key: Column, n: int) -> Column:
-    """crc32 of a key's text modulo n."""
-    return F.crc32(key.cast("string").cast("binary")) % n
+    """crc32 of a key's text modulo n; 0 for a null."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % n, F.lit(0))
+
+
+# --- memory ----------------------------------------------------------------------------------------------------------
+
+
+def trim() -> None:
+    """Returns freed memory to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if malloc_trim:
+        malloc_trim(0)
+
+
+def give_back() -> None:
+    """trim, after a collection of garbage; for the driver, before a later step needs its memory."""
+    import gc
+
+    gc.collect()
+    trim()
+
+
+#: Functions that empty the caches of a worker, by the operator that has them.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def tidy(f: Callable, owner: str | None = None) -> Callable:
+    """f, a function for mapInArrow, whose worker gives its freed memory back when a task ends, and the caches
+    of other operators than the owner when one begins: workers are used again by later steps, beside which it would stay."""
+
+    @wraps(f)
+    def run(batches):
+        for name in [x for x in CACHES if x != owner]:
+            CACHES.pop(name)()
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
+# --- tables between jobs -----------------------------------------------------------------------------------------------
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, or that the context has been given.  Without
+    either, a local session gets a temporary folder; on a cluster no machine's own folder will do."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    own = tempfile.mkdtemp(prefix="wikilake-")
+    sc.setCheckpointDir(own)
+    return own
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the folder that the cluster names in
-    spark.checkpoint.dir.  Only where no folder is set (tests) a temporary one is."""
+    """Cuts the lineage by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wikilake-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
-BITS = 23
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables between jobs, beside the checkpoints that all machines share."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# --- filters and small tables ------------------------------------------------------------------------------------------
+
+BITS = 23
 _CHUNK_BITS = 16
 
 
-def bitset(df: DataFrame, name: str, bits: int = BITS):
+def bitset(df: DataFrame, name: str, bits: int = BITS) -> np.ndarray:
     """A filter of 2**bits bits with the low bits of a long column set, as a numpy array of 64-bit
     words.  Its size is fixed, however many rows there are: full, it lets more through, and the
     exact join that follows sorts that out.  The bits are set on the executors, in chunks."""
-    import numpy as np
-    import pyarrow as pa
 
     def chunks(batches):
         held: dict[int, np.ndarray] = {}
@@ -57,7 +129,7 @@ def bitset(df: DataFrame, name: str, bits: int = BITS):
 
     slots = df.select(F.col(name).bitwiseAND((1 << bits) - 1).alias("slot"))
     n = 1 << max(0, bits - _CHUNK_BITS)
-    rows = slots.repartition(min(n, 64), F.shiftright("slot", _CHUNK_BITS)).mapInArrow(chunks, "chunk long, bits binary").collect()  # at most 2**bits bits
+    rows = slots.repartition(min(n, 64), F.shiftright("slot", _CHUNK_BITS)).mapInArrow(tidy(chunks), "chunk long, bits binary").collect()  # at most 2**bits bits
     out = np.zeros(1 << bits - 6, np.uint64)
     words = 1 << _CHUNK_BITS - 6
     for r in rows:
@@ -65,59 +137,76 @@ def bitset(df: DataFrame, name: str, bits: int = BITS):
     return out
 
 
-def give_back() -> None:
-    """Returns the driver's freed memory to the system, before a later step needs it."""
-    import ctypes
-    import gc
+def has(bits_set, h, bits: int = BITS):
+    """Which of the 64-bit hashes have their bit set."""
+    slot = h & np.uint64((1 << bits) - 1)
+    return (bits_set[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
-    import pyarrow as pa
 
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+def gathered(df: DataFrame, *names: str) -> list[np.ndarray]:
+    """Long columns of a table of a proven size, as numpy arrays.  They come packed, not as rows."""
 
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(k).to_numpy().tobytes()], pa.binary()) for k in names], list(names))
 
-def has(bits_set, h, bits: int = BITS):
-    """Which of the 64-bit hashes have their bit set."""
-    import numpy as np
+    packed = df.select(*(F.col(k).cast("long").alias(k) for k in names)).mapInArrow(tidy(pack), ", ".join(f"{k} binary" for k in names)).collect()
+    return [np.frombuffer(b"".join(r[k] for r in packed), np.int64) for k in names]
 
-    slot = h & np.uint64((1 << bits) - 1)
-    return (bits_set[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
+#: Rows and bytes of a table that may be broadcast; larger ones are joined by a shuffle.
+SMALL, SMALL_BYTES = 100_000, 1 << 25
 
-#: Rows of a table that may be broadcast; more are joined by a shuffle.
-SMALL = 100_000
 
+def _size(kind: T.DataType, c: Column) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + _size(kind.elementType, x)), F.lit(0)) if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType) else F.coalesce(F.size(c), F.lit(0)) * 8
+    return F.lit(8)
 
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, which are counted; else df as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
+def small(df: DataFrame, rows: int = SMALL, size: int = SMALL_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes, which are counted; else df as it is."""
+    each = sum((_size(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(16))
+    n = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(each.cast("long")), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if n.n <= rows and n.b <= size else df
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for tables between jobs, beside the checkpoints that all machines share."""
-    import uuid
 
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    return f"{(named or tempfile.mkdtemp(prefix='wikilake-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: A key is hot with so many rows, or with this share of all rows: so there are at most HOT_KEYS hot keys.
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
 
 
-def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of df whose key is not in ids, with those whose key is null."""
-    return df.join(small(ids.select(key).distinct()), key, "left_anti")
+def spread_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """many joined (inner or left) with one, which has a row for each key at most.  Rows of hot keys stay where they
+    are and meet their row by a broadcast of HOT_KEYS rows at most; all others are shuffled.  counts: (key, n)."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    hot = counts.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).select(key)
+    if not hot.limit(1).count():
+        return many.join(one, key, how)
+    keys = F.broadcast(hot)  # fewer than HOT_KEYS rows
+    near = many.join(keys, key, "left_semi").join(F.broadcast(one.join(keys, key, "left_semi")), key, how)
+    return near.unionByName(many.join(keys, key, "left_anti").join(one, key, how))
 
 
-def frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
-    """The rows of counts with the largest values of n (1 or more): as many as whole steps of an eighth of a
-    power of two allow below `most`.  Only the numbers of rows by step reach the driver."""
+def frequent(counts: DataFrame, key: str, n: str, most: int) -> DataFrame:
+    """The rows of counts with the largest values of n (1 or more), about `most` and not more: whole steps of an eighth
+    of a power of two, and of the step that would be too much the part that fits, by a hash of the key.  Only
+    the numbers of rows by step reach the driver."""
     step = F.floor(F.log2(n) * 8)
     sizes = {r.step: r["count"] for r in counts.groupBy(step.alias("step")).count().collect()}
-    least, total = None, 0
+    total = 0
     for k in sorted(sizes, reverse=True):
+        if total + sizes[k] > most:
+            part = int((most - total) * 0.98 / sizes[k] * (1 << 30))
+            return counts.where((step > k) | ((step == k) & (F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < part)))
         total += sizes[k]
-        if total > most:
-            break
-        least = k
-    return counts.limit(0) if least is None else counts.where(step >= least)
+    return counts
+
+
+def attach(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """many joined (inner or left) with one, a saved table with a row for each key at most: by a broadcast if it is
+    small, else by spread_join."""
+    hinted = small(one)
+    return many.join(hinted, key, how) if hinted is not one else spread_join(many, one, key, many.groupBy(key).agg(F.count("*").alias("n")), how)

@@ -1,25 +1,33 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class, history).  The most frequent
-tokens are VOCAB words in classes of equal size; every other token, known or not, is in
-one of RARE open classes by a hash of its last bytes.  Logits are a fixed unigram part,
-from exact counts over all training tokens, plus hashed rows for features of the history:
-the last token, the last two together, and skips to the second and third last.  Within an
-open class the exact counts decide, smoothed by a half, with one place for the unknown.
-
-Training is one pass over all training texts in ROUNDS rounds.  In a round every task
-takes gradient steps on its texts from the weights that all share and passes on the
-change; the changes are averaged row by row on the executors, and the driver gets one
-table of a fixed size.  Counts of tokens beyond the TOP most frequent are joined, never
+Every token, known or not, has a path from its spelling: five bits of a hash of its last bytes
+(its class), then bits of a hash of the whole token, five at a time (classes within classes), down
+to a cell.  P(token | history) is the product of P(class | history), P(class within | class, history)
+and so on, and of the token's share in its cell.  Each choice is a softmax over 32 classes,
+taken in five halvings, so that only the path's own logits are computed.  The more distinct
+tokens there are, the deeper the paths.
+
+A halving's logit is a fixed unigram part, from the exact counts of all training tokens, plus a
+hashed weight for each feature of the history: the last token, the last two together, skips to the
+second and third last, and a skip to all that stands before, by the signs of eight random projections
+of the endings of those words.  There are more weights the more training tokens there are.  In a
+cell the exact counts decide, smoothed by a half, with one place for the unknown.
+
+Training is one pass over all training texts in rounds, the more the more tokens there are.  In a
+round every task takes gradient steps on about TASK_TOKENS tokens from the weights that all share and
+passes on the change; the changes are averaged row by row on the executors, and the driver gets
+one table of at most 2**ROW_BITS[1] rows.  Counts of tokens beyond the TOP most frequent are joined, never
 collected.
 
-Nulls and empty texts have one token, the end.  Repeated rows get equal scores.  Rows
-without a doc_id are left out.  With no training text N and V are 0: base_score is 0 for
-every token, and so is the model's.
+Nulls and empty texts have one token, the end.  A text of any length is scored whole, in one go.  Repeated
+rows get equal scores, one row each; rows with a null doc_id too.  Of tokens with tied counts any may be among
+the TOP; scores don't depend on it.  With no training text N and V are 0: base_score is 0 for every
+token, and so is the model's.  An empty table gives no rows.  Other columns, of whatever names, are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,34 +37,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wikilake.llm import kernels as K
-from wikilake.llm.common import fold, frequent, give_back, only, saved, table
-
-CLASSES, CLASS_SIZE, RARE = 32, 32, 16
-VOCAB = CLASSES * CLASS_SIZE
-WIDTH = CLASSES + RARE
-ROW_BITS = 15
-ROUNDS, RATE, BATCH = 2, 0.15, 8192
-#: Tokens with counts on every executor: a table of fixed size; all others are joined.
-TOP, SLOT_BITS = 1 << 17, 20
+from wikilake.llm.common import fold, frequent, gathered, give_back, only, saved, table, tidy
+
+#: Halvings of a class, levels of classes (least and most), and weights of a row (one for each inner node, and a spare one).
+HALVINGS, LEVELS, ROW = 5, (2, 4), 32
+#: Features of the history that each level looks at: 0 last token, 1 last two, 2 and 3 skips, 4 skip to all before.
+FEATURES = ((0, 1, 2, 3, 4), (0, 1, 4), (0, 1, 4), (0, 4))
+ROW_BITS = (12, 18)
+RATE, BATCH = 0.1, 4096
+#: Tokens with counts on every executor: tables of fixed size; all others are joined.
+TOP, SLOT_BITS = 1 << 17, 19
 HELD = 1 << 21  # tokens counted at once
-TASK_TOKENS = 4_000_000  # of a training task, about
+TASK_TOKENS = 3_000_000
 CHUNK = 1 << 10  # rows of a chunk of weights
-END = K.mix(np.array([0x0E0D], K.U64))[0]
+END, END_TAIL = K.mix(np.array([0x0E0D, 0x0E0E], K.U64))
 _SUFFIX = 2  # bytes
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of each document and its end, in order, their open classes, and where each document begins (n + 1)."""
+    """Hashes of the words of each document and its end, in order, of their endings, and where each document begins (n + 1)."""
     n = len(offsets) - 1
     low = K.lower_ascii(raw)
     s, e, d = K.spans(~K._SPACE[low], offsets)
     counts = np.bincount(d, minlength=n)
     at = np.concatenate(([0], np.cumsum(counts + 1)))
-    h, rare = np.full(at[-1], END, K.U64), np.zeros(at[-1], np.int8)
+    h, tail = np.full(at[-1], END, K.U64), np.full(at[-1], END_TAIL, K.U64)
     where = np.arange(len(s)) + d
     h[where] = K.hash_spans(low, s, e)
-    rare[where] = (K.hash_spans(low, np.maximum(s, e - _SUFFIX), e) >> K.U64(60)).astype(np.int8)
-    return h, rare, at
+    tail[where] = K.mix(K.hash_spans(low, np.maximum(s, e - _SUFFIX), e))
+    return h, tail, at
+
+
+def _class(tail: np.ndarray) -> np.ndarray:
+    return (tail >> K.U64(64 - HALVINGS)).astype(np.int64)
+
+
+def paths(h: np.ndarray, tail: np.ndarray, depth: int) -> np.ndarray:
+    """The cell of each token: its class, and depth - HALVINGS bits of its hash."""
+    return (_class(tail) << (depth - HALVINGS)) | (h >> K.U64(64 - depth + HALVINGS)).astype(np.int64)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,14 +82,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def told() -> pa.RecordBatch:
-        h, rare = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, cls = (np.concatenate(x) for x in zip(*held, strict=True))
         u, first, n = np.unique(h, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(rare[first]), pa.array(n.astype(np.int64))], ["h", "rare", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(cls[first]), pa.array(n.astype(np.int64))], ["h", "cls", "n"])
 
     for batch in batches:
         for _, _, part, off in K.blocks(*K.column(batch, "text")):
-            h, rare, _ = tokens(part, off)
-            held.append((h, rare))
+            h, tail, _ = tokens(part, off)
+            held.append((h, _class(tail).astype(np.int8)))
             size += len(h)
             if size >= HELD:
                 yield told()
@@ -82,258 +100,251 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Lexicon:
-    """Exact counts: N and V; a direct-mapped table of the most frequent tokens (hash, count, word number or -1);
-    for open classes their tokens and distinct tokens; unigram logits of classes and of words in their class."""
+    """Exact counts: N and V; two direct-mapped tables of the most frequent tokens, the second for those whose place
+    in the first is taken; the bits of a path, the unigram logit of each inner node, and each cell's mass (its log)."""
 
     total: int
     distinct: int
     keys: np.ndarray
     count: np.ndarray
-    word: np.ndarray
-    rare_total: np.ndarray
-    rare_distinct: np.ndarray
-    class_logit: np.ndarray
-    word_logit: np.ndarray
+    depth: int
+    prior: np.ndarray
+    mass: np.ndarray
 
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (-1: not in the table) and word numbers (-1: in an open class)."""
-        slot = (h & K.U64((1 << SLOT_BITS) - 1)).astype(np.int64)
-        hit = self.keys[slot] == h
-        return np.where(hit, self.count[slot], -1), np.where(hit, self.word[slot], -1)
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """Counts; -1 for what is not in the tables."""
+        out = np.full(len(h), -1, np.int64)
+        rest = np.arange(len(h))
+        for k in range(2):
+            slot = _slot(h[rest], k)
+            hit = self.keys[k][slot] == h[rest]
+            out[rest[hit]] = self.count[k][slot[hit]]
+            rest = rest[~hit]
+        return out
 
 
-def lexicon(counts: DataFrame) -> Lexicon:
-    """counts: h, rare, c of all training tokens."""
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = frequent(counts, "c", TOP).toPandas().sort_values(["c", "h"], ascending=[False, True])
-    h, c, rare = top.h.to_numpy(np.int64).view(K.U64), top.c.to_numpy(np.int64), top.rare.to_numpy(np.int64)
-    slot = (h & K.U64((1 << SLOT_BITS) - 1)).astype(np.int64)
-    _, first = np.unique(slot, return_index=True)  # the most frequent token of a slot has it
-    keys, count, word = np.zeros(1 << SLOT_BITS, K.U64), np.full(1 << SLOT_BITS, -1, np.int64), np.full(1 << SLOT_BITS, -1, np.int32)
-    keys[slot[first]], count[slot[first]] = h[first], c[first]
-    known = np.sort(first)[:VOCAB]
-    word[slot[known]] = np.arange(len(known))
-    rows = counts.groupBy("rare").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # RARE rows
-    rare_n, rare_v = np.zeros(RARE), np.zeros(RARE)
-    for r in rows:
-        rare_n[r.rare], rare_v[r.rare] = r.n, r.v
-    np.subtract.at(rare_n, rare[known], c[known])
-    np.subtract.at(rare_v, rare[known], 1)
-    words = np.full(VOCAB, -40.0)
-    words[: len(known)] = np.log(c[known])
-    by_class = np.zeros(CLASSES)
-    np.add.at(by_class, np.arange(len(known)) // CLASS_SIZE, c[known])
-    mass = np.concatenate((by_class, rare_n + 0.5 * (rare_v + 1)))
-    return Lexicon(int(sums.n), int(sums.v), keys, count, word, rare_n, rare_v, np.log(np.maximum(mass, 1e-17)).astype(np.float32), words.reshape(CLASSES, CLASS_SIZE).astype(np.float32))
+def _slot(h: np.ndarray, k: int) -> np.ndarray:
+    return ((h >> K.U64(k * 20)) & K.U64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
 
-@dataclass
-class Weights:
-    """Hashed rows: of class logits, and of logits within a class."""
+def depth_of(distinct: int) -> int:
+    """Bits of a path: so many levels that a cell has about 64 distinct tokens or fewer, within LEVELS."""
+    wanted = math.ceil((math.log2(distinct + 1) - 6) / HALVINGS)
+    return HALVINGS * min(LEVELS[1], max(LEVELS[0], wanted))
 
-    classes: np.ndarray
-    words: np.ndarray
 
+def rows_of(total: int) -> int:
+    """The number of rows of weights, as a power of two."""
+    return min(ROW_BITS[1], max(ROW_BITS[0], math.ceil(math.log2(total + 1)) - 5))
 
-def _zero() -> Weights:
-    return Weights(np.zeros((1 << ROW_BITS, WIDTH), np.float32), np.zeros((1 << ROW_BITS, CLASS_SIZE), np.float32))
 
+def rounds_of(total: int) -> int:
+    return min(6, max(2, (total >> 23).bit_length()))
 
-def _row(x: np.ndarray, kind: int) -> np.ndarray:
-    return (K.mix(x.astype(K.U64) + K.U64(kind << 56)) >> K.U64(64 - ROW_BITS)).astype(np.int64)
 
+def unigram_tree(n: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of the inner nodes (number 1 is the root, 2k and 2k + 1 are the children of k) and logs of the cells' masses."""
+    mass = n + 0.5 * (v + 1)
+    prior, m = np.zeros(len(mass), np.float32), mass
+    while len(m) > 1:
+        left, right = m[0::2], m[1::2]
+        prior[len(m) // 2 : len(m)] = np.log(right / left)
+        m = left + right
+    return prior, np.log(mass)
 
-def _history(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class features (tokens x 4) and of the within-class features, before the class is known (tokens x 2)."""
-    place = np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))
+
+def lexicon(counts: DataFrame) -> Lexicon:
+    """counts: h, cls, c of all training tokens."""
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    h, c = gathered(frequent(counts, "h", "c", TOP), "h", "c")  # at most TOP rows
+    order = np.lexsort((h, -c))
+    h, c = h[order].view(K.U64), c[order]
+    keys, count = np.zeros((2, 1 << SLOT_BITS), K.U64), np.full((2, 1 << SLOT_BITS), -1, np.int64)
+    for k in range(2):
+        slot, first = np.unique(_slot(h, k), return_index=True)  # the most frequent token of a slot has it
+        keys[k][slot], count[k][slot] = h[first], c[first]
+        h, c = np.delete(h, first), np.delete(c, first)
+    depth = depth_of(sums.v)
+    cell = F.shiftleft(F.col("cls").cast("long"), depth - HALVINGS).bitwiseOR(F.shiftrightunsigned("h", 64 - depth + HALVINGS))
+    where, n, v = gathered(counts.groupBy(cell.alias("cell")).agg(F.sum("c").alias("n"), F.count("*").alias("v")), "cell", "n", "v")  # at most 2**depth rows
+    cell_n, cell_v = np.zeros(1 << depth), np.zeros(1 << depth)
+    cell_n[where], cell_v[where] = n, v
+    return Lexicon(int(sums.n), int(sums.v), keys, count, depth, *unigram_tree(cell_n, cell_v))
+
+
+def histories(h: np.ndarray, tail: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """A hash of each feature of each token's history."""
+    place = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
     back = []
     for k in (1, 2, 3):
-        b = np.zeros(len(ids), np.int64)
-        b[k:] = ids[:-k] + 1
-        b[place < k] = 0
+        b = np.zeros(len(h), K.U64)
+        b[k:] = h[:-k]
+        b[place < k] = k
         back.append(b)
     one, two, three = back
-    return np.stack((_row(one, 1), _row(one * 4096 + two, 2), _row(two, 3), _row(three, 4)), 1), np.stack((one, two), 1)
-
-
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, and the logarithm of the sum."""
-    top = x.max(1, keepdims=True)
-    e = np.exp(x - top)
-    s = e.sum(1, keepdims=True)
-    return e / s, (np.log(s) + top)[:, 0]
-
-
-def _within(back: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return np.stack((_row(back[:, 0] * 64 + cls, 5), _row(back[:, 1] * 64 + cls, 6)), 1)
-
-
-def log_probabilities(lex: Lexicon, w: Weights, word: np.ndarray, rare: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural logarithms of P(class | history) and, for words of the vocabulary, P(word | class, history)."""
-    ids = np.where(word >= 0, word, VOCAB + rare)
-    rows, back = _history(ids, at)
-    cls = np.where(word >= 0, word // CLASS_SIZE, CLASSES + rare)
-    out = np.zeros(len(ids))
-    for i in range(0, len(ids), BATCH):
+    votes = np.zeros((len(h) + 1, 8), np.int32)
+    np.cumsum(np.unpackbits((tail & K.U64(255)).astype(np.uint8)).reshape(-1, 8).astype(np.int32) * 2 - 1, axis=0, out=votes[1:])
+    signs = np.packbits(votes[:-1] > votes[np.repeat(at[:-1], np.diff(at))], axis=1)[:, 0].astype(K.U64)
+    return [one, K.mix(one * K.U64(3) + two), K.mix(two + K.U64(0x51ED)), K.mix(three + K.U64(0xA7B3)), K.mix(signs + K.U64(0xC001))]
+
+
+def _levels(path: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level of classes: its number, the class so far, and for its halvings the node in a row of weights, the node
+    in the whole tree, and the side that the path takes."""
+    k = np.arange(HALVINGS)
+    for level in range(depth // HALVINGS):
+        rest = depth - HALVINGS * (level + 1)
+        prefix, code = path >> (rest + HALVINGS), ((path >> rest) & (ROW - 1))[:, None]
+        node = (1 << k) | (code >> (HALVINGS - k))
+        tree = (1 << (HALVINGS * level + k)) | ((prefix[:, None] << k) | (node - (1 << k)))
+        yield level, prefix, node, tree, (code >> (HALVINGS - 1 - k)) & 1 == 1
+
+
+def _weights_at(history: np.ndarray, feature: int, level: int, prefix: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    salt = (feature * 8 + level + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1
+    row = K.mix(history + (prefix.astype(K.U64) << K.U64(8)) * K.U64(0x9E3779B97F4A7C15) + K.U64(salt)) >> K.U64(64 - bits)
+    return (row.astype(np.int64) * ROW)[:, None] + node
+
+
+def log_probabilities(lex: Lexicon, w: np.ndarray, h: np.ndarray, tail: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the probability of each token's cell after its history."""
+    bits, seen, path = (len(w) // ROW).bit_length() - 1, histories(h, tail, at), paths(h, tail, lex.depth)
+    out = np.zeros(len(h))
+    for i in range(0, len(h), BATCH):
         s = slice(i, i + BATCH)
-        x = w.classes[rows[s, 0]] + lex.class_logit
-        for k in range(1, 4):
-            x += w.classes[rows[s, k]]
-        _, z = _softmax(x)
-        out[s] = x[np.arange(len(x)), cls[s]] - z
-        pick = np.flatnonzero(word[s] >= 0)
-        if len(pick):
-            r = _within(back[s][pick], cls[s][pick])
-            y = w.words[r[:, 0]] + w.words[r[:, 1]] + lex.word_logit[cls[s][pick]]
-            _, z = _softmax(y)
-            out[i + pick] += y[np.arange(len(y)), word[s][pick] % CLASS_SIZE] - z
+        for level, prefix, node, tree, right in _levels(path[s], lex.depth):
+            z = lex.prior[tree]
+            for f in FEATURES[level]:
+                z += w[_weights_at(seen[f][s], f, level, prefix, node, bits)]
+            out[s] -= np.log((1 + np.exp(np.clip(np.where(right, -z, z), -30, 30))).prod(1, dtype=np.float64))
     return out
 
 
-def _descend(table_: np.ndarray, power: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    r = rows[order]
-    first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    g = np.add.reduceat(grad[order], first, axis=0)
-    r = r[first]
-    p = power[r] + g * g
-    power[r] = p
-    table_[r] -= RATE * g / np.sqrt(p)
-
-
-def learn(lex: Lexicon, w: Weights, power: Weights, word: np.ndarray, rare: np.ndarray, at: np.ndarray) -> None:
-    """Gradient steps on some documents, in place."""
-    ids = np.where(word >= 0, word, VOCAB + rare)
-    rows, back = _history(ids, at)
-    cls = np.where(word >= 0, word // CLASS_SIZE, CLASSES + rare)
-    for i in range(0, len(ids), BATCH):
+def learn(lex: Lexicon, w: np.ndarray, power: np.ndarray, h: np.ndarray, tail: np.ndarray, at: np.ndarray) -> None:
+    """Gradient steps on some documents, in place; power has the sums of squares that set each weight's step size."""
+    bits, seen, path = (len(w) // ROW).bit_length() - 1, histories(h, tail, at), paths(h, tail, lex.depth)
+    for i in range(0, len(h), BATCH):
         s = slice(i, i + BATCH)
-        x = w.classes[rows[s, 0]] + lex.class_logit
-        for k in range(1, 4):
-            x += w.classes[rows[s, k]]
-        g, _ = _softmax(x)
-        g[np.arange(len(g)), cls[s]] -= 1
-        for k in range(4):
-            _descend(w.classes, power.classes, rows[s, k], g)
-        pick = np.flatnonzero(word[s] >= 0)
-        if len(pick):
-            r = _within(back[s][pick], cls[s][pick])
-            g, _ = _softmax(w.words[r[:, 0]] + w.words[r[:, 1]] + lex.word_logit[cls[s][pick]])
-            g[np.arange(len(g)), word[s][pick] % CLASS_SIZE] -= 1
-            for k in range(2):
-                _descend(w.words, power.words, r[:, k], g)
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of changes of each chunk that this task has, and of the tasks that made one, row by row."""
+        for level, prefix, node, tree, right in _levels(path[s], lex.depth):
+            z = lex.prior[tree]
+            where = [_weights_at(seen[f][s], f, level, prefix, node, bits) for f in FEATURES[level]]
+            for x in where:
+                z += w[x]
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - right).astype(np.float32)
+            square = (g * g).ravel()
+            for x in where:
+                np.add.at(power, x.ravel(), square)
+                np.subtract.at(w, x.ravel(), (np.float32(RATE) * g / np.sqrt(power[x])).ravel())
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean change of each row of the chunks that this task has, over the tasks that changed it."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, value in zip(batch.column("chunk").to_pylist(), batch.column("value"), strict=True):
-            x = np.frombuffer(value.as_py(), np.float16).astype(np.float32)
+            x = np.frombuffer(value.as_py(), np.float16).astype(np.float32).reshape(CHUNK, ROW + 1)
             sums[chunk] = sums[chunk] + x if chunk in sums else x
     for chunk, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([x.tobytes()], pa.binary())], ["chunk", "value"])
+        mean = (x[:, :ROW] / np.maximum(x[:, ROW:], 1)).astype(np.float16)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([mean.tobytes()], pa.binary())], ["chunk", "value"])
 
 
-def train(texts: DataFrame, lex: Lexicon) -> Weights:
-    """One pass over all texts (column text and part, from 0 to ROUNDS - 1)."""
-    spark = texts.sparkSession
-    w = _zero()
-    lexed = spark.sparkContext.broadcast(lex)  # fixed size: 2**SLOT_BITS slots
-    parts = 1 << ROW_BITS - 10
-    for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(w)  # fixed size: 2**ROW_BITS rows
+def train(texts: DataFrame, lex: Lexicon) -> np.ndarray:
+    """Weights after one pass over all texts (column text)."""
+    sc = texts.sparkSession.sparkContext
+    rows, rounds = 1 << rows_of(lex.total), rounds_of(lex.total)
+    w = np.zeros(rows * ROW, np.float32)
+    lexed = sc.broadcast(lex)  # 2**(SLOT_BITS + 1) slots and 2**depth cells
+    texts = texts.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(rounds)))
+    tasks = max(1, -(-lex.total // (rounds * TASK_TOKENS)))
+    for k in range(rounds):
+        shared = sc.broadcast(w)  # at most 2**ROW_BITS[1] rows
 
         def changes(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lex, old = lexed.value, shared.value
-            new = Weights(old.classes.copy(), old.words.copy())
-            power = Weights(np.full_like(new.classes, 1.0), np.full_like(new.words, 1.0))
+            new, power = old.copy(), np.ones_like(old)
             for batch in batches:
                 for _, _, part, off in K.blocks(*K.column(batch, "text")):
-                    h, rare, at = tokens(part, off)
-                    _, word = lex.look_up(h)
-                    learn(lex, new, power, word.astype(np.int64), rare.astype(np.int64), at)
-            for t, (a, b) in enumerate(((new.classes, old.classes), (new.words, old.words))):
-                diff = a - b
-                full = np.concatenate((diff, diff.any(1)[:, None]), 1).astype(np.float16)
-                for c in range(parts):
-                    rows = full[c * CHUNK : (c + 1) * CHUNK]
-                    if rows.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([t * parts + c]), pa.array([rows.tobytes()], pa.binary())], ["chunk", "value"])
-
-        tasks = max(spark.sparkContext.defaultParallelism, -(-lex.total // (ROUNDS * TASK_TOKENS)))
-        own = texts.where(F.col("part") == k).select("text").coalesce(tasks).mapInArrow(changes, "chunk long, value binary")
-        sums = own.repartition(2 * parts, "chunk").mapInArrow(_summed, "chunk long, value binary").collect()  # the size of the weights
-        for r in sums:
-            t, c = divmod(r.chunk, parts)
-            into = (w.classes, w.words)[t]
-            x = np.frombuffer(r.value, np.float32).reshape(CHUNK, -1)
-            into[c * CHUNK : (c + 1) * CHUNK] += x[:, :-1] / np.maximum(x[:, -1:], 1)
+                    learn(lex, new, power, *tokens(part, off))
+            del power
+            for c in range(rows // CHUNK):
+                at = slice(c * CHUNK * ROW, (c + 1) * CHUNK * ROW)
+                diff = (new[at] - old[at]).reshape(CHUNK, ROW)
+                changed = diff.any(1)
+                if changed.any():
+                    full = np.concatenate((diff, changed[:, None]), 1).astype(np.float16)
+                    yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([full.tobytes()], pa.binary())], ["chunk", "value"])
+
+        own = texts.where(F.col("part") == k).select("text").coalesce(tasks).mapInArrow(tidy(changes), "chunk long, value binary")
+        for r in own.repartition(min(64, rows // CHUNK), "chunk").mapInArrow(tidy(_averaged), "chunk long, value binary").collect():  # the size of the weights
+            w[r.chunk * CHUNK * ROW : (r.chunk + 1) * CHUNK * ROW] += np.frombuffer(r.value, np.float16)
+        shared.unpersist()
+        give_back()
+    lexed.unpersist()
     return w
 
 
 def scored(documents: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of documents (doc_id long, text);
     training has the column text."""
-    spark = documents.sparkSession
-    texts = training.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(ROUNDS)))
-    counts = texts.select("text").mapInArrow(_counts, "h long, rare byte, n long").groupBy("h").agg(F.max("rare").alias("rare"), F.sum("n").alias("c"))
+    sc = documents.sparkSession.sparkContext
+    documents = only(documents, "doc_id", "text")
+    texts = training.select(F.coalesce("text", F.lit("")).alias("text"))
+    counts = texts.mapInArrow(tidy(_counts), "h long, cls byte, n long").groupBy("h").agg(F.max("cls").alias("cls"), F.sum("n").alias("c"))
     counts = saved(counts)
     lex = lexicon(counts)
     if not lex.total:
-        plain = only(documents, "doc_id", "text")
         n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), lambda x: x != "")).cast("long") + 1
-        return plain.select("doc_id", n.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    w = spark.sparkContext.broadcast(train(texts, lex))
+        return documents.select("doc_id", n.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
+    w = sc.broadcast(train(texts, lex))
     give_back()
-    lexed = spark.sparkContext.broadcast(lex)
-    rest = np.log(lex.rare_total + 0.5 * (lex.rare_distinct + 1))
+    lexed = sc.broadcast(lex)
     all_ = np.log(lex.total + 0.5 * (lex.distinct + 1))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document with sums over the tokens in the table, and one for each other distinct token."""
+        """A row for each document with sums over the tokens in the tables (own), and one for each other distinct token."""
+        lex = lexed.value
         for batch in batches:
-            ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
+            ids, keys = batch.column("doc_id"), batch.column("key").to_numpy()
             for i, j, part, off in K.blocks(*K.column(batch, "text")):
-                h, rare, at = tokens(part, off)
-                c, word = lexed.value.look_up(h)
-                rare = rare.astype(np.int64)
-                p = log_probabilities(lexed.value, w.value, word.astype(np.int64), rare, at)
+                h, tail, at = tokens(part, off)
+                c = lex.look_up(h)
                 known = c >= 0
-                p[known & (word < 0)] += (np.log(np.maximum(c, 0) + 0.5) - rest[rare])[known & (word < 0)]
-                base = np.where(known, np.log(np.maximum(c, 0) + 0.5) - all_, 0.0)
-                n = np.diff(at)
+                log_c = np.log(np.maximum(c, 0) + 0.5)
+                p = log_probabilities(lex, w.value, h, tail, at) - lex.mass[paths(h, tail, lex.depth)] + np.where(known, log_c, 0.0)
+                base = np.where(known, log_c - all_, 0.0)
                 sums = [np.add.reduceat(x, at[:-1]) for x in (known.astype(np.int64), base, p)]
                 own = keys[i:j]
                 salt = K.mix(own.view(K.U64) + K.U64(77)).view(np.int64)
-                doc = np.repeat(np.arange(j - i), n)[~known]
-                u, first, m = np.unique(np.stack((doc.astype(K.U64), h[~known]), 1), axis=0, return_index=True, return_counts=True) if len(doc) else (np.zeros((0, 2), K.U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-                k = len(u)
+                doc, other = np.repeat(np.arange(j - i), np.diff(at))[~known], h[~known]
+                order = np.lexsort((other, doc))
+                doc, other = doc[order], other[order]
+                first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])))) if len(doc) else np.zeros(0, np.int64)
+                m, k = np.diff(np.append(first, len(doc))), len(first)
+                whole = np.arange(j - i + k) < j - i
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate((own, own[u[:, 0].astype(np.int64)]))),
-                        pa.array(np.concatenate((salt, u[:, 1].view(np.int64)))),
-                        pa.array(np.concatenate((np.zeros(j - i, np.int8), rare[~known][first].astype(np.int8)))),
+                        pa.array(np.concatenate((own, own[doc[first]]))),
+                        pa.array(np.concatenate((salt, other[first].view(np.int64)))),
+                        pa.array(whole),
                         pa.array(np.concatenate((np.zeros(j - i, np.int32), m.astype(np.int32)))),
-                        pa.array(np.concatenate((ids[i:j], np.zeros(k, np.int64))), mask=np.arange(j - i + k) >= j - i),
-                        *(pa.array(np.concatenate((x, np.zeros(k, x.dtype))), mask=np.arange(j - i + k) >= j - i) for x in (n.astype(np.int64), *sums)),
+                        pa.concat_arrays([ids.slice(i, j - i), pa.nulls(k, ids.type)]),
+                        *(pa.array(np.concatenate((x, np.zeros(k, x.dtype))), mask=~whole) for x in (np.diff(at), *sums)),
                     ],
-                    ["key", "h", "rare", "n", "doc_id", "n_tokens", "known", "base", "p"],
+                    ["key", "h", "own", "n", "doc_id", "n_tokens", "known", "base", "p"],
                 )
 
-    kinds = "key long, h long, rare byte, n int, doc_id long, n_tokens long, known long, base double, p double"
-    rows = only(documents, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(partial, kinds)
+    kinds = "key long, h long, own boolean, n int, doc_id long, n_tokens long, known long, base double, p double"
+    rows = documents.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(tidy(partial), kinds)
     rows = rows.join(counts.select("h", "c"), "h", "left")
-    log = F.log(F.coalesce("c", F.lit(0)) + F.lit(0.5))
-    of_rest = F.element_at(F.array(*(F.lit(float(x)) for x in rest)), F.col("rare").cast("int") + 1)
-    real = F.col("doc_id").isNull()
+    other, log_c = ~F.col("own"), F.log(F.coalesce("c", F.lit(0)) + F.lit(0.5))
     sums = rows.groupBy("key").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("n_tokens").alias("n_tokens"),
-        F.count("doc_id").alias("copies"),
-        (F.sum("known") + F.sum(F.when(real & F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("known"),
-        (F.sum("base") + F.sum(F.when(real, F.col("n") * (log - F.lit(float(all_)))).otherwise(0.0))).alias("base"),
-        (F.sum("p") + F.sum(F.when(real, F.col("n") * (log - of_rest)).otherwise(0.0))).alias("p"),
+        F.count_if("own").alias("copies"),
+        (F.sum("known") + F.sum(F.when(other & F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("known"),
+        (F.sum("base") + F.sum(F.when(other, F.col("n") * (log_c - F.lit(float(all_)))).otherwise(0.0))).alias("base"),
+        (F.sum("p") + F.sum(F.when(other, F.col("n") * log_c).otherwise(0.0))).alias("p"),
     )
     ten = F.lit(float(np.log(10.0)))
     out = sums.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

@@ -4,15 +4,20 @@ Encoding.  A sequence of tokens is the encoding of its text if and only if each
 neighbours are stable: no merge across their boundary would have come before the merges
 that built them.  So the last token of every prefix is unique, and it is found from the
 last tokens of the prefixes at most one token's length shorter.  The transducer reads one
-symbol at a time, keeps only that window of prefixes, and emits a token as soon as every
-prefix in the window descends from it: then no further input can change it.  How many
-symbols that can take at most follows from the merge list (`lookahead`).
+symbol at a time and emits a token as soon as `lookahead` further symbols have been read; that many
+are sufficient for this merge list (see there), so nothing that follows can change it.  It keeps the last
+tokens of twice that many prefixes at most, however long the word is.
 
-Decoding runs ids through a byte-to-text state machine that holds at most the bytes of
+Decoding runs ids through a byte-to-text state machine (`Decoder`) that holds at most the bytes of
 one unfinished code point.
 
 The file format is the public JSON one of the tokenizers library: NFC, lower case, a split
 into words that drops white space, bytes as characters, and an end-of-word suffix.
+
+Nulls and empty texts have no ids, and the digests of nothing.  A text of any length is encoded whole,
+piece by piece.  Repeated rows get equal results, one row each; rows with a null doc_id too.  Ties of merges don't
+occur, as each has a rank of its own.  An empty table gives no rows.  Other columns pass through; those named as
+the results are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import codecs
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -29,7 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from wikilake.llm.common import only, table
+from wikilake.llm.common import CACHES, only, table, tidy
 
 #: Code points of a text split at once, and words whose encoding a worker remembers.
 PIECE, REMEMBERED = 1 << 16, 300_000
@@ -76,12 +81,24 @@ class Transducer:
         """Symbols of a token; the end of a word belongs to its last symbol."""
         return len(token) - len(END) if token.endswith(END) and token != END else len(token)
 
-    @property
+    @cached_property
     def lookahead(self) -> int:
-        """A number of further symbols after which a token can't change any more.  A change moves left by one
-        merge at a time, and each of these merges must come earlier in the list than the one before it, so no
-        more than all of them can take part, each over the symbols of the longest token."""
-        return len(self.rank) * self.most
+        """A number of further symbols after which a token can't change any more.
+
+        Compare the merging of a text with that of the same text and more behind it.  Both have the same tokens to
+        the left of some boundary, at first the end of the shorter text.  It moves left only if one of them merges
+        across it a token S, which both have, with a token X that begins there: by the size of S.  The next such merge
+        needs a token X that begins where S began, so S stands on X's left edge, and merges come in
+        the order of their ranks.  So the way that the boundary can go is the heaviest path in a graph of merges:
+        (S, X) may follow (A, B) if it comes later and A stands on the left edge of X.  It is found in one pass over
+        the merges in their order."""
+        reach: dict[str, int] = {}  # the longest way of a merge so far, by its left part
+        most = 0
+        for s, x in self.rank:
+            way = self.size(s) + max((reach.get(t, 0) for t, _ in self._spine(x, 0)), default=0)
+            reach[s] = max(reach.get(s, 0), way)
+            most = max(most, way)
+        return most
 
     def _spine(self, token: str, side: int) -> tuple:
         """What stands at one edge of a token while it is built, with the rank of the merge that ends it."""
@@ -116,7 +133,7 @@ class Transducer:
     def tokens(self, word: str) -> Iterator[str]:
         """The tokens of one word, as they become stable.  A prefix's last token is its longest one that is
         stable after the last token of the prefix before it."""
-        vocab, most, n, known, inner = self.vocab, self.most, len(word), self._stable.get, self._sizes[0]
+        vocab, n, known, inner, ahead = self.vocab, len(word), self._stable.get, self._sizes[0], self.lookahead
         last = [""]  # last token of each prefix from base on; with all single symbols known, each has one
         base = 0  # all before it has been emitted
         for p in range(1, n + 1):
@@ -137,25 +154,16 @@ class Transducer:
                     break
             else:
                 raise ValueError(f"the vocabulary has no symbol for a part of {word[:40]!r}")
-            if p % most == 0 and p - base >= 2 * most and p < n:
-                cut = self._common(last, base, p)
+            if p - base >= 2 * ahead and p < n:
+                cut = p
+                while cut > p - ahead:  # the last boundary that is settled
+                    cut -= self.size(last[cut - base])
                 if cut > base:
                     yield from self._chain(last, cut - base)
                     last = ["", *last[cut - base + 1 :]]
                     base = cut
         yield from self._chain(last, n - base)
 
-    def _common(self, last: list[str], base: int, p: int) -> int:
-        """The longest prefix that ends a token in the encodings of all prefixes within reach of the next symbol."""
-        common: set[int] | None = None
-        for k in range(p - self.most + 1, p + 1):
-            chain = set()
-            while k > base:
-                chain.add(k)
-                k -= self.size(last[k - base])
-            common = chain if common is None else common & chain
-        return max((k for k in common if k <= p - self.most), default=base)
-
     def _chain(self, last: list[str], end: int) -> list[str]:
         out = []
         while end > 0:
@@ -164,6 +172,57 @@ class Transducer:
         return out[::-1]
 
 
+class Decoder:
+    """A byte-to-text state machine: reads ids and gives the text as far as its code points are finished.  Its state is the
+    bytes of an unfinished code point; what can't be finished is replaced."""
+
+    def __init__(self, spelt: dict[int, bytes], between: bytes = b""):
+        """spelt: the bytes of each id; between: those between two ids."""
+        self.spelt, self.between = spelt, between
+        outer = self
+
+        class Resting(dict):
+            """Transitions from the state without pending bytes into itself, by the ids read, as they are met; bounded."""
+
+            def __missing__(self, ids: bytes) -> str:
+                text, pending = outer.step(b"", ids)
+                if pending:
+                    raise _Unfinished
+                if len(self) >= REMEMBERED:
+                    self.clear()
+                self[ids] = text
+                return text
+
+        self.resting = Resting()
+
+    def step(self, pending: bytes, ids: bytes) -> tuple[str, bytes]:
+        """(text, pending bytes) after some ids (little-endian, 32 bits)."""
+        state = codecs.getincrementaldecoder("utf-8")("replace")
+        state.setstate((pending, 0))
+        text = "".join(state.decode(self.between + self.spelt[i]) for i in np.frombuffer(ids, "<u4").tolist())
+        return text, state.getstate()[0]
+
+    def texts(self, groups: Iterable[list[bytes]]) -> Iterator[str]:
+        """The text, a piece for each group of runs of ids, and what is left at the end."""
+        pending, begun = b"", False
+        for runs in groups:
+            try:
+                if pending:
+                    raise _Unfinished
+                text = "".join(map(self.resting.__getitem__, runs))
+            except _Unfinished:
+                text, pending = self.step(pending, b"".join(runs))
+            if runs and not begun:
+                text, begun = text[len(self.between) :], True
+            yield text
+        if pending:
+            yield pending.decode("utf-8", "replace")
+
+
+class _Unfinished(Exception):
+    """A code point that goes on in the next ids."""
+
+
 class WordBPE:
     """A tokenizer file: text to ids and back."""
 
@@ -174,13 +233,16 @@ class WordBPE:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.transducer = Transducer(model["vocab"], merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         chars = byte_characters()
         self._map = {b: c for b, c in enumerate(chars)}
         self._bytes = {c: bytes([b]) for b, c in enumerate(chars)}
         self._packed = {t: i.to_bytes(4, "little") for t, i in model["vocab"].items()}
-        outer = self
+        names = {i: t.encode() for t, i in [*model["vocab"].items(), *self.special.items()]}
+        #: What the library's decode gives for a file without a decoder: the tokens as they are, joined by spaces.
+        self.joined = Decoder(names, b" ")
+        #: Plain text: the bytes that the characters stand for, the end of a word as a space.
+        self.plain = Decoder({i: t.encode() if t in self.special else b"".join(map(self._bytes.__getitem__, t.removesuffix(END))) + b" " * t.endswith(END) for t, i in [*model["vocab"].items(), *self.special.items()]})
 
         class Known(dict):
             """Bytes of the ids of each string, as it is met; bounded."""
@@ -195,16 +257,12 @@ class WordBPE:
                 self[key] = out = self.encode(key)
                 return out
 
-        class Spelt(dict):
-            """What the ids of each word decode to, as they are met; bounded."""
-
-            def __missing__(self, ids: bytes) -> str:
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                self[ids] = out = " ".join(map(outer.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                return out
+        self._word, self._chunk = Known(self._of_word), Known(self._of_chunk)
 
-        self._word, self._chunk, self._spelt = Known(self._of_word), Known(self._of_chunk), Spelt()
+    def forget(self) -> None:
+        """Empties the caches."""
+        for kept in (self._word, self._chunk, self.joined.resting, self.plain.resting, self.transducer._stable):
+            kept.clear()
 
     def _of_word(self, word: str) -> bytes:
         symbols = word.encode("utf-8").decode("latin-1").translate(self._map)
@@ -244,23 +302,9 @@ class WordBPE:
                 for chunks in self.chunks(part):
                     yield [x for x in map(self._chunk.__getitem__, chunks) if x]
 
-    def pieces(self, ids: Iterable[bytes]) -> str:
-        """What the library's decode gives, for a file without a decoder, for ids in groups: the tokens, joined by spaces."""
-        return " ".join(map(self._spelt.__getitem__, ids))
-
     def text(self, ids: Iterable[int]) -> Iterator[str]:
-        """Plain text, token by token: bytes come from the characters, the end of a word is a space, and the
-        bytes of an unfinished code point wait for the next token; what can't be finished is replaced."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            name = self.names[i]
-            if name in self.special:
-                yield state.decode(b"", True) + name
-                state.reset()
-                continue
-            stem, end = (name[: -len(END)], " ") if name.endswith(END) else (name, "")
-            yield state.decode(b"".join(map(self._bytes.__getitem__, stem)), bool(end)) + end
-        yield state.decode(b"", True)
+        """Plain text, token by token."""
+        return self.plain.texts([i.to_bytes(4, "little")] for i in ids)
 
 
 @lru_cache(maxsize=4)
@@ -273,32 +317,40 @@ def encoded(documents: DataFrame, path: str, ids: bool = True, digests: bool = T
 
     path: the tokenizer file, at the same place on every machine.  A null is an empty text: no ids, and the
     digests of nothing.  One pass without a shuffle; a worker keeps one piece of a text and a bounded cache."""
-    names = documents.columns
     extra = [("n_tokens", pa.int64(), "long")] + [("ids", pa.list_(pa.int32()), "array<int>")] * ids + [(k, pa.string(), "string") for k in ("ids_sha256", "decoded_sha256") * digests]
+    documents = documents.drop(*(k for k, _, _ in extra))
+    names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        CACHES["bpe"] = bpe.forget
         for batch in batches:
             rows: list[list] = [[] for _ in extra]
             for text in batch.column("text"):
-                text, n, all_ids = text.as_py() or "", 0, []
+                n, all_ids = 0, []
                 of_ids, of_text = sha256(), sha256()
-                for groups in bpe.encode(text):
-                    if groups:
-                        piece = b"".join(groups)
-                        if digests:
-                            of_ids.update(piece)
-                            of_text.update(((" " if n else "") + bpe.pieces(groups)).encode())
-                        if ids:
-                            all_ids.append(piece)
-                        n += len(piece) // 4
-                row = [n, *([np.frombuffer(b"".join(all_ids), "<i4")] * ids), *([of_ids.hexdigest(), of_text.hexdigest()] * digests)]
+
+                def read(text=text.as_py() or "", all_ids=all_ids, of_ids=of_ids) -> Iterator[list[bytes]]:
+                    for runs in bpe.encode(text):
+                        piece = b"".join(runs)
+                        of_ids.update(piece)
+                        all_ids.append(piece if ids else len(piece) // 4)
+                        yield runs
+
+                if digests:
+                    for piece in bpe.joined.texts(read()):
+                        of_text.update(piece.encode())
+                else:
+                    for _ in read():
+                        pass
+                n = sum(len(x) // 4 if ids else x for x in all_ids)
+                row = [n, *((np.frombuffer(b"".join(all_ids), "<i4"),) if ids else ()), *((of_ids.hexdigest(), of_text.hexdigest()) if digests else ())]
                 for k, v in enumerate(row):
                     rows[k].append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, (_, t, _) in zip(rows, extra, strict=True))], [*names, *(k for k, _, _ in extra)])
 
     kinds = [f"`{k}` {t}" for k, t in documents.dtypes] + [f"{k} {t}" for k, _, t in extra]
-    return documents.mapInArrow(run, ", ".join(kinds))
+    return documents.mapInArrow(tidy(run, "bpe"), ", ".join(kinds))
 
 
 def tokenizer_path() -> str:

@@ -5,12 +5,16 @@ deterministic coin tossing (the lowest bit in which a name differs from its left
 neighbour, four times over) gives each name a label from a handful, different from its
 neighbours'; local maxima of the labels begin phrases, and a phrase's name is a hash of
 the names in it.  A cut depends on a few names around it only, so equal substrings have
-the same phrases inside, wherever they stand.  The fingerprint keeps the smallest hashes
-of the names of long phrases, and of those of shorter ones for short texts.
-
-Nulls and empty texts have an empty fingerprint, alike to each other.  Equal texts have
-equal fingerprints.  Rows without a doc_id are left out.  Rows that repeat a doc_id
-follow each other by their texts.
+the same phrases inside, wherever they stand.  The fingerprint is of the names of long phrases, or
+of shorter ones for a text with few of them; the k-th occurrence of a name counts as a name of its own, so a
+repeated passage weighs as much as it is long.  It keeps the smallest hashes, and all below a
+fixed share of their range, so it grows with the text.
+
+Nulls and empty texts have an empty fingerprint, alike to each other.  A text of any length is parsed
+whole.  Equal texts have equal fingerprints, whatever stands beside them.  Documents follow each other by doc_id,
+those without one first, and by text where they share one; repeated rows are each told, one row each.
+An empty table gives no rows; a single document is followed by itself.  Other columns, of
+whatever names, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wikilake.llm import kernels as K
-from wikilake.llm.common import only, table
+from wikilake.llm.common import only, table, tidy
 
 #: Coin tosses on a level; levels; the first level of the fine and of the coarse names, and how many of each are kept.
 TOSSES, LEVELS, FINE, COARSE, KEEP_FINE, KEEP_COARSE = 4, 8, 1, 3, 32, 48
-#: Fewer coarse names than this, and the fine ones are compared.
+#: Fewer coarse names than this, and a text has fine ones too.
 LEAST = 12
+#: All hashes (of 32 bits) up to this are kept.
+ALWAYS = (1 << 27) - 1
 
 
 def _toss(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -70,18 +76,27 @@ def _parse(x: np.ndarray, d: np.ndarray, level: int) -> tuple[np.ndarray, np.nda
     return K.mix(names ^ K.U64((level + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64))), d[s]
 
 
-def _kept(names: list[np.ndarray], docs: list[np.ndarray], n_docs: int, keep: int) -> list[np.ndarray]:
+def _kept(names: list[np.ndarray], docs: list[np.ndarray], n_docs: int, keep: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The hashes that each document keeps, ascending, and how many names it has.  Each occurrence of a name has a hash of its own."""
     if not names:
-        return [np.zeros(0, K.U64)] * n_docs
-    h, at = K.sets(np.concatenate(names) >> K.U64(32), np.concatenate(docs), n_docs)
-    return [h[at[k] : min(at[k + 1], at[k] + keep)] for k in range(n_docs)]
+        return [np.zeros(0, K.U64)] * n_docs, np.zeros(n_docs, np.int64)
+    x, d = np.concatenate(names), np.concatenate(docs)
+    order = np.lexsort((x, d))
+    x, d = x[order], d[order]
+    at = np.arange(len(x))
+    first = np.ones(len(x), bool)
+    first[1:] = (x[1:] != x[:-1]) | (d[1:] != d[:-1])
+    again = at - np.maximum.accumulate(np.where(first, at, 0))
+    h, cuts = K.sets(K.mix(x + again.astype(K.U64) * K.U64(0x9E3779B97F4A7C15)) >> K.U64(32), d, n_docs)
+    low = np.add.reduceat(np.append(h <= K.U64(ALWAYS), False).astype(np.int64), cuts[:-1]) * (np.diff(cuts) > 0) if n_docs else cuts[:0]
+    return [h[cuts[k] : min(cuts[k + 1], cuts[k] + max(keep, int(low[k])))] for k in range(n_docs)], np.diff(cuts)
 
 
 def sketches(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(coarse, fine) smallest 32-bit hashes of each document's phrase names, ascending."""
+    """(coarse, fine) hashes of 32 bits of each document's phrase names, ascending; fine ones for texts with few coarse names."""
     n = len(offsets) - 1
     x, d = raw.astype(K.U64) + K.U64(1), np.repeat(np.arange(n), np.diff(offsets))
-    fine, coarse = ([], []), ([], [])
+    levels = []
     for level in range(1, LEVELS + 1):
         if level > 1 and len(x):  # a text that is one name has no more levels
             more = np.bincount(d, minlength=n)[d] > 1
@@ -89,30 +104,35 @@ def sketches(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
         if not len(x):
             break
         x, d = _parse(x, d, level)
-        if level >= FINE:
-            fine[0].append(x)
-            fine[1].append(d)
-        if level >= COARSE:
-            coarse[0].append(x)
-            coarse[1].append(d)
-    return list(zip(_kept(*coarse, n, KEEP_COARSE), _kept(*fine, n, KEEP_FINE), strict=True))
+        levels.append((x, d))
+    coarse, count = _kept([x for x, _ in levels[COARSE - 1 :]], [d for _, d in levels[COARSE - 1 :]], n, KEEP_COARSE)
+    few = count < LEAST
+    fine, _ = _kept([x[few[d]] for x, d in levels[FINE - 1 :]], [d[few[d]] for _, d in levels[FINE - 1 :]], n, KEEP_FINE)
+    return list(zip(coarse, fine, strict=True))
 
 
 def written(sketch: tuple[np.ndarray, np.ndarray]) -> str:
     return ".".join(x.astype(">u4").tobytes().hex() for x in sketch)
 
 
+def _reach(x: np.ndarray, keep: int) -> int:
+    """The hash up to which a sketch has all."""
+    return (1 << 32) - 1 if len(x) < keep else max(ALWAYS, int(x[-1]))
+
+
 def _alike(a: np.ndarray, b: np.ndarray, keep: int) -> float:
-    """Jaccard similarity of two sets from their smallest hashes."""
-    both = np.union1d(a, b)[:keep]
-    return float(np.isin(both, np.intersect1d(a, b)).mean()) if len(both) else 1.0
+    """Jaccard similarity of two sets, from what both sketches reach."""
+    top = min(_reach(a, keep), _reach(b, keep))
+    a, b = a[a <= top], b[b <= top]
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """0 to 1.  Two empty fingerprints are alike."""
-    if min(len(a[0]), len(b[0])) >= LEAST:
-        return _alike(a[0], b[0], KEEP_COARSE)
-    return _alike(a[1], b[1], KEEP_FINE)
+    """0 to 1: by the fine names of two short texts, else by the coarse ones.  Two empty fingerprints are alike."""
+    if len(a[1]) and len(b[1]) or not len(a[0]) + len(b[0]):
+        return _alike(a[1], b[1], KEEP_FINE)
+    return _alike(a[0], b[0], KEEP_COARSE)
 
 
 def _of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -131,7 +151,7 @@ def fingerprinted(documents: DataFrame) -> DataFrame:
             found = [written(s) for _, _, part, off in K.blocks(raw, offsets) for s in sketches(part, off)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*names, "fingerprint"])
 
-    return documents.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in documents.dtypes) + ", fingerprint string")
+    return documents.mapInArrow(tidy(run), ", ".join(f"`{k}` {t}" for k, t in documents.dtypes) + ", fingerprint string")
 
 
 def _dealt(documents: DataFrame) -> DataFrame:
@@ -144,10 +164,11 @@ def _dealt(documents: DataFrame) -> DataFrame:
     bounds = sorted(set(cuts))
     bucket = F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<long>"), lambda b: b < F.col("doc_id")))
     rows = documents.withColumn("bucket", bucket)
-    firsts = sorted((r.bucket, r.first) for r in documents.select("doc_id").withColumn("bucket", bucket).groupBy("bucket").agg(F.min("doc_id").alias("first")).collect())
+    first = F.when(F.bool_or(F.col("doc_id").isNull()), None).otherwise(F.min("doc_id"))
+    firsts = [(r.bucket, r.first) for r in documents.select("doc_id").withColumn("bucket", bucket).groupBy("bucket").agg(first.alias("first")).orderBy("bucket").collect()]  # a row for each bucket
     back = [(firsts[k][1], firsts[k - 1][0]) for k in range(len(firsts))]  # the very first goes to the last bucket
-    to = F.broadcast(spark.createDataFrame(back, "doc_id long, back int"))  # a row for each bucket
-    rows = rows.join(to, "doc_id", "left")
+    to = F.broadcast(spark.createDataFrame(back, "first long, back int"))  # a row for each bucket
+    rows = rows.join(to, F.col("doc_id").eqNullSafe(F.col("first")), "left")
     both = F.array(F.struct("bucket", F.lit(False).alias("late")), F.struct(F.col("back").alias("bucket"), F.lit(True).alias("late")))
     rows = rows.withColumn("to", F.explode(F.filter(both, lambda x: x.bucket.isNotNull()))).select("to.bucket", "to.late", "doc_id", "text")
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "late", "doc_id", "text")
@@ -195,7 +216,7 @@ def compared(documents: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text (the last quarter replaced by the beginning of the next
     document, by doc_id), and how alike these and the next document's are."""
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _dealt(only(documents, "doc_id", "text")).mapInArrow(_edited, kinds)
+    return _dealt(only(documents, "doc_id", "text")).mapInArrow(tidy(_edited), kinds)
 
 
 def op10_fingerprint(spark, sf_dir: str) -> DataFrame:

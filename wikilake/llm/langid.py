@@ -10,8 +10,10 @@ What enters a filter is every n-gram with a share of at least MIN_SHARE of a lan
 n-grams, over all learning rows; so there are at most 1 / MIN_SHARE for each language.
 
 Nulls and texts without a letter are `und`, with a score of 0.  Ties go to the first name.
-Texts none of whose n-grams is known get the language with the most learning n-grams.
-Rows without a doc_id are left out.  With nothing to learn from, all is `und`.
+Texts none of whose n-grams is known get the language with the most learning n-grams.  A text of any
+length counts whole.  Repeated rows get equal results, one row each; rows with a null doc_id too.
+With nothing to learn from, all is `und`.  An empty table gives no rows.  Other columns, of whatever
+names, are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wikilake.llm import kernels as K
-from wikilake.llm.common import fold, only, saved, table
+from wikilake.llm.common import fold, gathered, only, saved, table, tidy
 
 N = 4  # bytes of an n-gram; letters in lower case, everything else one space
 MIN_SHARE, MIN_COUNT = 1e-5, 2
@@ -94,18 +96,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(documents: DataFrame) -> Model:
     """Learns from the columns text and lang of all rows that have both."""
     rows = documents.where("text is not null and lang is not null").select("text", "lang")
-    counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = saved(counts)
     totals = {r.lang: r.total for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # a row for each language
     names = sorted(totals)
     if not names:
         return Model([], [], np.zeros(0), 0)
     least = F.create_map(*(F.lit(x) for k in names for x in (k, max(MIN_COUNT, MIN_SHARE * totals[k]))))
-    common = counts.where(F.col("n") >= least[F.col("lang")]).select("lang", "gram").toPandas()  # at most 1 / MIN_SHARE rows for each language
+    number = F.create_map(*(F.lit(x) for k, name in enumerate(names) for x in (name, k)))
+    langs, common = gathered(counts.where(F.col("n") >= least[F.col("lang")]).select(number[F.col("lang")].alias("k"), "gram"), "k", "gram")  # at most 1 / MIN_SHARE rows for each language
     masks = [np.zeros(1 << SLOT_BITS, np.uint8) for _ in range(0, len(names), 8)]
     fill = np.zeros(len(names))
-    for k, name in enumerate(names):
-        for slot in _slots(common.gram[common.lang == name].to_numpy(np.int64)):
+    for k in range(len(names)):
+        for slot in _slots(common[langs == k]):
             masks[k // 8][slot] |= np.uint8(1 << k % 8)
         fill[k] = (masks[k // 8] >> k % 8 & 1).mean()
     return Model(names, masks, fill**HASHES, max(range(len(names)), key=lambda k: (totals[names[k]], -k)))
@@ -155,7 +158,7 @@ def predicted(documents: DataFrame, model: Model) -> DataFrame:
                         scores.append(float(min(1.0, c[k, best] / total[k])) if total[k] > 0 else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    return documents.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in documents.dtypes) + ", lang_pred string, score double")
+    return documents.mapInArrow(tidy(run), ", ".join(f"`{k}` {t}" for k, t in documents.dtypes) + ", lang_pred string, score double")
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:

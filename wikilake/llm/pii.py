@@ -1,14 +1,18 @@
 """Personal data: fixed kinds, and contextual patterns that are bootstrapped from them.
 
-The fixed kinds (e-mail, IP address, card, phone) are the seeds.  The one, two or three
-words before an instance are lexical patterns.  Spark scores the graph of patterns and
+The fixed kinds (e-mail, IP address, card, phone) are the seeds.  Lexical patterns are the one, two or
+three words before an instance, the two words after it, and the words on both sides of an instance
+of one word.  Spark scores the graph of patterns and
 instances in rounds: a pattern is as good as the share of all its occurrences, over the
-whole corpus, that stand before trusted instances; an instance is as good as its best
+whole corpus, that stand beside trusted instances; an instance is as good as its best
 pattern.  Patterns above a bar then mark identifier-like words that no fixed kind knows;
 these spans have the kind `context`.
 
-Nulls and empty texts have no spans.  Repeated rows get equal results.  Rows without a
-doc_id are left out.  A context span never overlaps a span of a fixed kind.
+Nulls and empty texts have no spans.  A text of any length is scanned whole.  Repeated rows get equal results, one row
+each; spans follow from the text alone, so rows that share a doc_id, or have none, get those of their own
+texts.  Spans of a tied start come in the order of kinds; patterns of a tied score both count.  An empty table
+gives no rows and no patterns.  Other columns, of whatever names, are not looked at.  A context span never
+overlaps a span of a fixed kind.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wikilake.llm import kernels as K
-from wikilake.llm.common import bitset, has, only, saved, table
+from wikilake.llm.common import attach, bitset, has, only, saved, small, table, tidy
 from wikilake.llm.spanfind import PERSONAL, find
 
-LEFT = 3  # words of the longest pattern
+LEFT, RIGHT = 3, 2  # words of the longest pattern before an instance, and of that after it
 ROUNDS = 3
 #: A pattern needs this many different seeds, and this score, to be believed.
 MIN_SEEDS, MIN_SCORE = 3, 0.8
@@ -42,7 +46,7 @@ _EDGES_ARROW = pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.int6
 
 def _scan(kinds, contexts: bool):
     """A function for mapInArrow: one row for each text with its spans of the fixed kinds and, if wanted,
-    its candidates: patterns before seeds and before identifier-like words that no span covers."""
+    its candidates: patterns beside seeds and beside identifier-like words that no span covers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,13 +75,19 @@ def _scan(kinds, contexts: bool):
                     byte = (lambda c: int(off[k]) + len(text[:c].encode())) if wide else (lambda c: int(off[k]) + c)  # noqa: B023
                     char = (lambda b: len(part[off[k] : b].tobytes().decode())) if wide else (lambda b: int(b - off[k]))  # noqa: B023
                     taken = [(byte(x), byte(y)) for x, _, y in spans]
-                    found = [(int(np.searchsorted(e, x, "right")), int(K.hash_spans(low, np.array([x]), np.array([y]))[0].view(np.int64)), True, c[0], c[2]) for (x, y), c in zip(taken, spans, strict=True)]
+                    found = [(int(np.searchsorted(e, x, "right")), int(np.searchsorted(s, y, "left")), int(K.hash_spans(low, np.array([x]), np.array([y]))[0].view(np.int64)), True, c[0], c[2]) for (x, y), c in zip(taken, spans, strict=True)]
                     for w in near.tolist():
                         word = part[s[w] : e[w]].tobytes()
                         x, y = int(s[w]) + len(word) - len(word.lstrip(_TRIM)), int(e[w]) - len(word) + len(word.rstrip(_TRIM))
                         if x < y and all(y <= b or x >= f for b, f in taken):
-                            found.append((w, int(h[w].view(np.int64)), False, char(x), char(y)))
-                    edges.append([{"pattern": int(p[0].view(np.int64)), "instance": f[1], "seed": f[2], "start": f[3], "end": f[4]} for f in found for p, kept in _patterns(h, d, np.array([f[0]])) if len(kept)])
+                            found.append((w, w + 1, int(h[w].view(np.int64)), False, char(x), char(y)))
+                    if not found:
+                        edges.append([])
+                        continue
+                    rows = []
+                    for p, kept in _patterns(h, d, np.array([f[0] for f in found]), np.array([f[1] for f in found])):
+                        rows += [{"pattern": x, "instance": f[2], "seed": f[3], "start": f[4], "end": f[5]} for x, f in zip(p.view(np.int64).tolist(), (found[n] for n in kept.tolist()), strict=True)]
+                    edges.append(rows)
                 arrays = [pa.array(base, _SPANS_ARROW)]
                 if contexts:
                     arrays.append(pa.array(edges, _EDGES_ARROW))
@@ -88,25 +98,41 @@ def _scan(kinds, contexts: bool):
 
 def spanned(documents: DataFrame, kinds=PERSONAL) -> DataFrame:
     """documents with a column base: the spans of the fixed kinds in the whole text."""
-    return documents.mapInArrow(_scan(kinds, False), ", ".join(f"`{k}` {t}" for k, t in documents.dtypes) + f", base {SPANS}")
+    return documents.mapInArrow(tidy(_scan(kinds, False)), ", ".join(f"`{k}` {t}" for k, t in documents.dtypes) + f", base {SPANS}")
 
 
-def _patterns(h: np.ndarray, d: np.ndarray, pick: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, word numbers) of the patterns of one to LEFT words before each picked word."""
-    acc = np.zeros(len(pick), K.U64)
+def _patterns(h: np.ndarray, d: np.ndarray, pick: np.ndarray, after: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each kind of pattern (hashes, numbers of instances that have it): one to LEFT words before an instance, one
+    to RIGHT after it (only the longest is told), and one on both sides of an instance of one word.  pick: the first word of each
+    instance; after: the first word behind it."""
+    every = np.arange(len(pick))
+    acc, own = np.zeros(len(pick), K.U64), d[np.minimum(pick, len(d) - 1)]
+    before = None
     for n in range(1, LEFT + 1):
-        ok = pick >= n
-        ok[ok] = d[pick[ok] - n] == d[pick[ok]]
-        pick, acc = pick[ok], acc[ok]
-        acc = K.mix(acc * K.U64(3) + h[pick - n])
-        yield acc, pick
+        ok = pick[every] >= n
+        ok[ok] = d[pick[every[ok]] - n] == own[every[ok]]
+        every, acc = every[ok], acc[ok]
+        acc = K.mix(acc * K.U64(3) + h[pick[every] - n])
+        before = before or (acc, every)
+        yield acc, every
+    there = lambda x, n: (after[x] + n < len(h)) & (d[np.minimum(after[x] + n, len(h) - 1)] == own[x])
+    acc, every = before
+    ok = there(every, 0)
+    ok[ok] = after[every[ok]] == pick[every[ok]] + 1
+    acc, every = acc[ok], every[ok]
+    yield K.mix(acc * K.U64(5) + h[after[every]] + K.U64(0xB07)), every
+    every = np.flatnonzero(there(np.arange(len(pick)), RIGHT - 1))
+    acc = np.zeros(len(every), K.U64)
+    for n in range(RIGHT):
+        acc = K.mix(acc * K.U64(7) + h[after[every] + n] + K.U64(0xAF7E))
+    yield acc, every
 
 
 def candidates(documents: DataFrame) -> DataFrame:
     """doc_id, version (a hash of the text), base and edges of documents (doc_id long, text); saved, as it is small beside the texts."""
     texts = only(documents, "doc_id", "text")
     kinds = f"doc_id long, text string, base {SPANS}, edges {EDGES}"
-    return saved(texts.mapInArrow(_scan(PERSONAL, True), kinds).select("doc_id", F.xxhash64("text").alias("version"), "base", "edges"))
+    return saved(texts.mapInArrow(tidy(_scan(PERSONAL, True)), kinds).select("doc_id", F.xxhash64("text").alias("version"), "base", "edges"))
 
 
 def fit(documents: DataFrame, cands: DataFrame) -> DataFrame:
@@ -130,19 +156,21 @@ def fit(documents: DataFrame, cands: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, part, off in K.blocks(*K.column(batch, "text")):
                 h, d = K.words(part, off)
-                held += [p[has(wanted, p)] for p, _ in _patterns(h, d, np.arange(len(h)))]
+                if len(h):
+                    held += [p[has(wanted, p)] for p, _ in _patterns(h, d, np.arange(len(h)), np.arange(1, len(h) + 1))]
                 if sum(map(len, held)) >= HELD:
                     yield told()
                     held = []
         if held:
             yield told()
 
-    seen = documents.select("text").mapInArrow(totals, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
-    graph = saved(edges.join(good.join(seen, "pattern"), "pattern"))
+    seen = documents.select("text").mapInArrow(tidy(totals), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    graph = saved(edges.join(small(saved(good.join(seen, "pattern"))), "pattern"))
     trust = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("trust"))
     for _ in range(ROUNDS):
         scores = graph.join(trust, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("trust")) / (F.max("total") + 1)).alias("score"))
-        best = graph.join(scores.where(F.col("score") >= MIN_SCORE / 2), "pattern").groupBy("instance").agg(F.max("score").alias("best"))
+        scores = saved(scores.where(F.col("score") >= MIN_SCORE / 2))
+        best = graph.join(small(scores), "pattern").groupBy("instance").agg(F.max("score").alias("best"))
         trust = saved(trust.join(best, "instance", "left").select("instance", F.greatest("trust", F.coalesce("best", F.lit(0.0))).alias("trust")))
     return saved(scores.where(F.col("score") >= MIN_SCORE))
 
@@ -152,9 +180,9 @@ def found(documents: DataFrame) -> DataFrame:
     documents has doc_id (long) and text; the patterns are learnt from all of its texts."""
     cands = candidates(documents)
     patterns = fit(documents, cands)
-    more = cands.select("doc_id", "version", F.explode("edges").alias("e")).where("not e.seed").withColumn("pattern", F.col("e.pattern")).join(patterns, "pattern", "left_semi")
-    more = more.groupBy("doc_id", "version").agg(F.collect_set(F.struct("e.start", F.lit(len(PERSONAL)).alias("k"), "e.end")).alias("more"))
-    return cands.drop("edges").join(more, ["doc_id", "version"], "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as {SPANS})"))))).drop("more")
+    more = cands.select("version", F.explode("edges").alias("e")).where("not e.seed").withColumn("pattern", F.col("e.pattern")).join(small(patterns), "pattern", "left_semi")
+    more = saved(more.groupBy("version").agg(F.collect_set(F.struct("e.start", F.lit(len(PERSONAL)).alias("k"), "e.end")).alias("more")))
+    return attach(cands.drop("edges"), more, "version", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as {SPANS})"))))).drop("more")
 
 
 def listed(spans: str, kinds=KINDS):
@@ -170,7 +198,7 @@ def counted(spans: str, k: int):
 def op4_pii(spark, sf_dir: str) -> DataFrame:
     """Spans of personal data in every text of documents."""
     out = found(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", *(counted("base", k).alias(f"n_{n}") for k, (n, _) in enumerate(PERSONAL)), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), counted("spans", len(PERSONAL)).alias("n_context"))
+    return out.select("doc_id", *(counted("base", k).alias(f"n_{n}") for k, (n, _) in enumerate(PERSONAL)), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), counted("spans", len(PERSONAL)).alias("n_context"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def masked(text: str, spans: str, kinds=KINDS):

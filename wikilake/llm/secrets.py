@@ -6,8 +6,9 @@ characters per token, unless it is a known digest (of nothing or of a common tes
 or named as a checksum or revision just before it) or an identifier (a UUID, a number, or
 words joined by punctuation or capital letters).  These spans have the kind `random`.
 
-Nulls and empty texts have no spans.  Repeated rows get equal results.  Rows without a
-doc_id are left out.
+Nulls and empty texts have no spans.  A text of any length is scanned whole, and a run of any length is encoded
+whole.  Repeated rows get equal results, one row each; rows with a null doc_id too.  Spans of a tied start come
+in the order of kinds.  An empty table gives no rows.  Other columns, of whatever names, are not looked at.
 """
 
 from __future__ import annotations
@@ -22,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wikilake.llm.common import only, table
+from wikilake.llm.common import only, table, tidy
 from wikilake.llm.pii import counted, listed
 from wikilake.llm.spanfind import SECRET, find
 
 KINDS = (*(k for k, _ in SECRET), "random")
 #: Least length of a candidate, and the most characters a token that still look random.
 MIN_LENGTH, MAX_RATIO = 20, 2.2
-PIECE = 1 << 12  # a long candidate is encoded in pieces
 # Lengths of the digests in use, their names, common values whose digests are known.
 _DIGESTS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
 _VALUES = (b"", b"\n", b"0", b"1", b"a", b"abc", b"test", b"hello", b"hello world", b"password", b"The quick brown fox jumps over the lazy dog")
@@ -73,8 +73,7 @@ def identifier(run: str) -> bool:
 
 def ratio(run: str, path: str) -> float:
     """Characters for each token."""
-    encode = vocabulary(path).encode_ordinary
-    return len(run) / max(1, sum(len(encode(run[k : k + PIECE])) for k in range(0, len(run), PIECE)))
+    return len(run) / max(1, len(vocabulary(path).encode_ordinary(run)))
 
 
 def random_spans(text: str, covered: list[tuple[int, int]], path: str) -> list[tuple[int, int]]:
@@ -109,7 +108,7 @@ def found(documents: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, kind), pa.array(both, kind)], ["doc_id", "base", "spans"])
 
     spans = "array<struct<start:int,k:int,end:int>>"
-    return only(documents, "doc_id", "text").mapInArrow(run, f"doc_id long, base {spans}, spans {spans}")
+    return only(documents, "doc_id", "text").mapInArrow(tidy(run), f"doc_id long, base {spans}, spans {spans}")
 
 
 def vocabulary_path() -> str:
@@ -121,4 +120,4 @@ def vocabulary_path() -> str:
 def op5_secrets(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     """Spans of secrets in every text of documents."""
     out = found(table(spark, sf_dir, "documents"), path or vocabulary_path())
-    return out.select("doc_id", *(counted("base", k).alias(f"n_{n}") for k, (n, _) in enumerate(SECRET)), F.sha2(listed("base", KINDS).cast("binary"), 256).alias("base_sha256"), listed("spans", KINDS).alias("spans"), counted("spans", len(SECRET)).alias("n_random"))
+    return out.select("doc_id", *(counted("base", k).alias(f"n_{n}") for k, (n, _) in enumerate(SECRET)), F.sha2(listed("base", KINDS).cast("binary"), 256).alias("base_sha256"), listed("spans", KINDS).alias("spans"), counted("spans", len(SECRET)).alias("n_random"), F.size("spans").cast("long").alias("n_spans"))

@@ -108,9 +108,41 @@ def test_bpe_round_trip_and_memory():
     ids = lambda t: [i for g in own.encode(t) for x in g for i in np.frombuffer(x, "<u4").tolist()]
     assert "".join(own.text(ids("Héllo wörld 日本 😀"))) == "héllo wörld 日本 😀 "
     state = own.transducer
-    assert state.lookahead == len(state.rank) * state.most
-    got = state.tokens("ab" * 20_000)
-    assert next(got)  # the first token comes before the last symbol is read
+    assert state.most < state.lookahead < 1000
+
+    class Word(str):
+        read = 0
+
+        def __getitem__(self, key):
+            Word.read = max(Word.read, key.stop)
+            return Word(str.__getitem__(self, key)) if key.step else str.__getitem__(self, key)
+
+    got = state.tokens(Word("ab" * 20_000))
+    assert next(got) and Word.read <= 2 * state.lookahead + 1  # the first token comes before more is read
+
+
+def test_bpe_lookahead_is_sufficient():
+    """Tokens that end so many symbols before the end of a prefix are those of every longer text."""
+    t = bpe.load(bpe.tokenizer_path()).transducer
+    rng = np.random.default_rng(4)
+    parts = ["ing", "tion", "the", "e", "a", "st", "er", "on", "q", "zz"]
+    for _ in range(30):
+        word = "".join(rng.choice(parts, 1200))[:2500]
+        short, full = (list(t.tokens(w)) for w in (word[: 700 + int(rng.integers(0, 900))], word))
+        size = sum(map(t.size, short))
+        at, settled = 0, []
+        for x in short:
+            at += t.size(x)
+            if at <= size - t.lookahead:
+                settled.append(x)
+        assert full[: len(settled)] == settled and settled
+
+
+def test_decoder_waits_for_code_points():
+    d = bpe.Decoder({k: bytes([k]) for k in range(256)})
+    pack = lambda data: [bytes([b, 0, 0, 0]) for b in data]
+    assert list(d.texts([pack("é".encode()[:1]), pack("é".encode()[1:]), pack("日".encode()[:2])])) == ["", "é", "", "\ufffd"]
+    assert list(bpe.Decoder({0: b"a", 1: b"b"}, b" ").texts([[], [b"\0\0\0\0\1\0\0\0"], [b"\0\0\0\0"]])) == ["", "a b", " a"]
 
 
 PAGE = "<!DOCTYPE html><html><head><title>T</title><script>var t='</p>';</script></head><body><header>Site</header><nav><a href=x>Menu</a></nav><div class='ad'>Buy</div><article><h1>One &amp; two</h1><p><b>A  b.<br><p>C&nbsp;d</p><div class=comments>no</div></article><footer>F</footer></body></html>"
@@ -141,6 +173,37 @@ def test_html_template_decides_inside_articles(spark):
     assert out == want
 
 
+def test_html_without_names(spark):
+    """Pages without telling elements, classes or ids: the template finds the article, and nothing else would."""
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(200)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    rows, want = [], {}
+    for k in range(8):
+        paragraphs = [text(int(rng.integers(20, 60))) for _ in range(int(rng.integers(2, 6)))]
+        menu = "".join(f"<p><a href=x>{text(2)}</a></p>" for _ in range(6))
+        page = f"<body><div class=q1>{menu}</div><div class=q2><div>{text(8)}</div></div><div class=q3><h1>Title {k}</h1><div>Same words on each page</div>" + "".join(f"<p>{p}</p>" for p in paragraphs) + f"</div><div class=q4>{text(6)}<p>All rights</p></div></body>"
+        rows.append((k, f"http://x.org/{k}", page))
+        want[k] = "\n".join([f"Title {k}", *paragraphs])
+    df = spark.createDataFrame([*rows, rows[0], (None, None, "<p>x")], "page_id long, url string, html string")
+    got = [(r.page_id, r.text) for r in htmltext.extracted(df).collect()]
+    assert len(got) == 10 and {k: t for k, t in got if k is not None} == want and (None, "x") in got
+    alone = {r.page_id: r.text for r in htmltext.extracted(df.where("page_id < 2")).collect()}
+    assert alone != {k: want[k] for k in (0, 1)}  # two pages make no template
+
+
+def test_html_of_bare_parts(spark):
+    rows = [(k, f"http://u.org/{k}", f"<body><div><p><a href=x>a {k}</a></p></div><div><p>{'text ' * 30}{k}</p></div><div>foot {k}</div></body>") for k in range(5)]
+    out = htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.text for r in out.collect()} == {f"{'text ' * 30}{k}" for k in range(5)}
+
+
+def test_html_title_outside_of_the_slot(spark):
+    rows = [(k, f"http://t.org/{k}", f"<div class=a><h1>Head {k}</h1></div><div class=b><p>{'text ' * 30}{k}</p><p>{'more ' * 20}{k}</p></div>") for k in range(5)]
+    out = htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.text.split("\n")[0] for r in out.collect()} == {f"Head {k}" for k in range(5)}
+
+
 def test_language(spark):
     en, de = "the house and the garden with that tree of the river", "das haus und der garten mit einem baum an dem fluss"
     rows = [(k, (en if k % 2 else de) * (1 + k % 3), "en" if k % 2 else "de", "s") for k in range(60)]
@@ -190,3 +253,86 @@ def test_folds(spark):
 
     got = [r.f for r in spark.range(20).select(fold(F.col("id"), 5).alias("f")).collect()]
     assert got == [zlib.crc32(str(k).encode()) % 5 for k in range(20)]
+
+
+def test_repetitive_texts_keep_their_likeness():
+    rng = np.random.default_rng(6)
+    for n in (20, 60, 200):
+        line = "".join(rng.choice(list("abcdefghij "), 60))
+        text = line * n
+        other = "".join(rng.choice(list("klmnopqrs "), len(text) // 4))
+        a, b, c = fingerprint._of([text, text[: len(text) - len(text) // 4] + other, other])
+        assert fingerprint.likeness(a, b) > 0.3 > 0.05 > fingerprint.likeness(a, c)
+
+
+def test_pii_recall_and_precision_of_unseen_identifiers(spark):
+    """Identifiers of kinds that no fixed pattern knows, beside words that stand beside known ones."""
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 8)))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    code = lambda: "".join(rng.choice(list("ABCDEFGH"), 2)) + "-" + "".join(rng.choice(list("0123456789"), 7))
+    mail = lambda: "".join(rng.choice(list("abcdef"), 6)) + "@mail.example.com"
+    before = ["contact address:", "reach me under", "account holder is"]
+    texts, planted, decoys = [], [], 0
+    for k in range(400):
+        ask = before[k % 3]
+        if k % 2:
+            texts.append(f"{prose(12)} {ask} {mail()} {prose(8)}")
+        elif k % 4 == 0:
+            head = f"{prose(10)} {ask} "
+            c = code()
+            planted.append((len(texts), len(head), len(head) + len(c)))
+            texts.append(head + c + " " + prose(7))
+        else:  # numbers that are no personal data
+            decoys += 1
+            texts.append(f"{prose(9)} serial {code()} {prose(5)}")
+    out = pii.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {(r.doc_id, s.start, s.end) for r in out.collect() for s in r.spans if s.k == len(spanfind.PERSONAL)}
+    right = got & set(planted)
+    assert decoys and len(right) >= 0.95 * len(planted) and len(right) >= 0.95 * len(got)
+
+
+def test_secrets_recall_and_precision(spark):
+    """Random strings of common alphabets against names, paths, words and digests."""
+    rng = np.random.default_rng(10)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    keys = ["".join(rng.choice(list(alphabets[k % 3]), 24 + k % 20)) for k in range(300)]
+    words = "configuration manager service request handler connection timeout default buffer parallel internal response metadata session validator document processing pipeline registry factory".split()
+    names = []
+    for k in range(300):
+        w = list(rng.choice(words, 3))
+        names.append(["_".join(w), w[0] + "".join(x.title() for x in w[1:]), "/".join(w), "-".join(w) + "-2"][k % 4])
+    path = secrets.vocabulary_path()
+    flagged = lambda xs: sum(bool(secrets.random_spans(f"see {x} there", [], path)) for x in xs)
+    assert flagged(keys) >= 0.95 * len(keys) and flagged(names) <= 0.02 * len(names)
+
+
+def test_very_long_text_in_every_operator(spark):
+    """A text of some MB, beside a short one."""
+    rng = np.random.default_rng(11)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(5000)])
+    long = " ".join(rng.choice(words, 450_000)) + " last@mail.example.com"
+    docs = spark.createDataFrame([(1, long, "en"), (2, long + " tail", "en"), (3, "short", "en")], "doc_id long, text string, lang string")
+    from wikilake.llm import decontaminate, jaccard, lmscore, toxicity
+
+    assert len(long) > 3_000_000
+    spans = {r.doc_id: r.spans for r in pii.found(docs).collect()}
+    assert [(s.start, s.end) for s in spans[1]] == [(len(long) - 21, len(long))]
+    assert all(not r.spans for r in secrets.found(docs, secrets.vocabulary_path()).collect())
+    assert {r.doc_id: r.component_id for r in jaccard.joined(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    item = " ".join(long.split(" ")[300_000:300_030])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {(r.doc_id, r.begin) for r in decontaminate.overlaps(docs, bench).collect()} == {(1, 300_000), (2, 300_000)}
+    near = {r.doc_id: r for r in fingerprint.compared(docs).collect()}
+    assert near[1].near_next > 0.9 and near[2].n_chars == len(long) + 5
+    m = langid.fit(docs)
+    assert {r.lang_pred for r in langid.predicted(docs, m).collect()} == {"en"}
+    scores = {r.doc_id: r for r in lmscore.scored(docs, docs).collect()}
+    assert scores[1].n_tokens == 450_002 and scores[2].score < scores[1].score < scores[3].score
+    out = {r.doc_id: r.n_tokens for r in bpe.encoded(docs, bpe.tokenizer_path(), ids=False).collect()}
+    assert out[2] > out[1] > 450_000
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.scored(docs, toxicity.fit(docs, labels)).count() == 3
+    page = "<article>" + "".join(f"<p>{w}</p>" for w in words) * 20 + "</article>"
+    pages = spark.createDataFrame([(1, "http://l.org", page)], "page_id long, url string, html string")
+    assert htmltext.extracted(pages).first().text.count("\n") == 99_999

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from wikilake.llm.common import CACHES, only, table, tidy
 
 #: Code points of a text split at once, and words whose encoding a worker remembers.
-PIECE, REMEMBERED = 1 << 16, 300_000
+PIECE, REMEMBERED = 1 << 16, 1 << 17
 END = "</w>"
 # The tokenizer's own pattern, with the white space of Unicode's White_Space property written out.
 _SPACES = r"\t-\r \x85\xa0  -     　"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of an Arrow batch where the session has Spark's default: whole texts are long, and a batch stands in the JVM and in Python.
-BATCH_ROWS, _SPARKS_ROWS, _ROWS_KEY = 2_000, "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, _SPARKS_ROWS, _ROWS_KEY = 1_000, "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,7 @@ def tidy(f: Callable, owner: str | None = None) -> Callable:
 
     @wraps(f)
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # which gives back what is freed
         for name in [x for x in CACHES if x != owner]:
             CACHES.pop(name)()
         try:

@@ -80,16 +80,67 @@ def test_markdown():
 
 
 def test_cleanups_settle():
-    text = "# A\n\n# B\n\n## C\n## C\n[\n\nlink\n](http://x)\n[](y)\n- \n![:smile:](e/emoji/s.png)\n## **bold**\na**b**c\n```\n# kept\n```\nShare\n"
+    text = "# A\n---\n# A and more\n\n# B\n\n## C\n## C\n[\n\nlink\n](http://x)\n[](y)\n- \n![:smile:](https://h/emoji/s.png)\n## **bold**\n```\n# kept\n[](y)\n```\nShare\n"
     once, applied = M.cleaned(text)
     assert M.cleaned(once)[0] == once and "one-h1" in applied
-    assert "## B" in once and "[link](http://x)" in once and ":smile:" in once and "## bold" in once and "a **b** c" in once and "# kept" in once and "Share" not in once
+    assert once.startswith("# A and more\n---\n## B\n\n## C\n[link](http://x)\n")
+    assert ":smile:" in once and "## bold" in once and "# kept\n[](y)" in once and "Share" not in once and "- " not in once
+
+
+def test_link_rows_get_dots_between_links():
+    row = "".join(f"[Category {k}](https://h.org/category/{k})" for k in range(6))
+    assert M.split_link_rows(row) == row.replace(")[", ") · [")
+    assert M.split_link_rows("[a](b)[c](d)") == "[a](b)[c](d)"  # a short row
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("# T\n---\na\n\nSubscribe\n\nb\n分享\n```\nShare\n```\n", "# T\n---\na\n\nb\n```\nShare\n```\n"),
+        ("Share\n---\nEmail\nPrint\nReddit\n", "Share\n---\nEmail\nPrint\nReddit\n"),
+        ("Share\nno preamble\n", "Share\nno preamble\n"),
+    ],
+)
+def test_share_lines(text, want):
+    assert M.share_lines(text) == want
+
+
+def test_avatars_tags_and_brackets():
+    assert M.strip_avatars("x [![me](https://h/m.png)](/users/me) y [Name](/u/name/) z [long](/a/b/c)") == "x  y  z [long](/a/b/c)"
+    assert M.tag_lines("text\n\n[a](/tag/a)[b](/tag/b)\n") == "text\n"
+    assert M.tag_lines("[a](/tag/a)[b](/tag/b)\n" + "x\n" * 9) == "[a](/tag/a)[b](/tag/b)\n" + "x\n" * 9
+    assert M.unescape_brackets(r"[\[profile\_data\]](u)") == "[[profile_data]](u)"
+    assert M.cleaned("![a](../i.png) ![b](//c/d.png) ![e](local.png)", "https://h.org/x/y/z")[0] == "![a](https://h.org/x/i.png) ![b](https://c/d.png) ![e](local.png)"
+
+
+def test_structural_rules():
+    text = "a **b**c\nd**e** f\n`**x**y`\n```\n**x**y\n```\n**two\nlines** ok\n[\n\nx\n\n](http://u)\n:a\\_b:\n\\!\\[\n## \n****\n\n\nend"
+    got = {(rule, line) for rule, line, _ in M.structural_issues(text)}
+    assert got == {("bold-glued", 1), ("bold-glued", 2), ("multi-line-link", 9), ("escaped-emoji", 14), ("escaped-image", 15), ("empty-heading", 16), ("asterisk-run", 17), ("blank-run", 17)}
+    assert M.structural_issues("") == []
+
+
+def test_bold_spaces():
+    assert M.space_bold("**GTC**Powering a**b** `x**y**z` **c\nd**e") == "**GTC** Powering a **b** `x**y**z` **c\nd** e"
 
 
 def test_pdf_and_threads():
-    assert M.clean_pdf("H e l l o wor-\nld\n12\n\nA long enough block of text here.") == "Hello world\n\nA long enough block of text here."
+    raw = "  Title of it\n Authors\n\nAbstract\nF LUX wor-\nld.\n12\n\nSpeed\n\nModel\n\nThis is a block of text that is long enough and ends in a point.\nPreprint. Under review.\narXiv:2401.01234v1 [cs] x\nall rights reserved by no one."
+    assert M.clean_pdf(raw) == "Abstract\nFLUX wor-ld.\n\nThis is a block of text that is long enough and ends in a point.\nall rights reserved by no one."
+    assert M.pdf_title("arXiv:1\n2024-01-02\nBeyond the buzz:\n A  pragmatic take\nx") == "Beyond the buzz: A pragmatic take" and M.pdf_title("x") is None
     assert M.thread([(2, "b", "two", 1), (1, "a", "one", None)]) == "**#1 a**\n\none\n\n> **#2 b**\n> \n> two"
 
 
+def test_links_resolved(spark):
+    raw = "---\na: b\n---\n\n# Head\n\nSee [[A b|shown]] [[C]] [[D|]].\n```\n[[C]]\n```\n[[C]]"
+    urls = F.create_map(F.lit("C"), F.lit("http://c"))
+    c = F.col("c0")
+    assert one(spark, T.prepared(c, urls), raw) == "---\na: b\n---\nSee [shown](wiki-unresolved:A%20b) [C](http://c) [[D|]].\n```\n[[C]]\n```\n[C](http://c)"
+    assert "See shown" in one(spark, T.prepared(c, urls, "plain"), raw)
+    with pytest.raises(Exception, match="unresolved link"):
+        one(spark, T.prepared(c, urls, "fail"), raw)
+    assert [(x.line, x.target) for x in one(spark, T.link_places(c), raw)] == [(7, "A b"), (7, "C"), (7, "D"), (11, "C")]
+
+
 def test_largest_source(spark):
     assert one(spark, M.largest_source(F.col("c0")), "a.png 100w, b.png 300w, c.png 2x") == "b.png"

@@ -8,14 +8,14 @@ import html
 import re
 from collections.abc import Callable
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Elements that hold no article text, labels of share buttons.
+# Elements that hold no article text.
 CHROME = frozenset("script style nav footer aside form iframe noscript button svg template head".split())
-SHARE = frozenset("share tweet print email copy link facebook twitter linkedin reddit whatsapp telegram pocket".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset("p div section article main header ul ol li blockquote pre table tr h1 h2 h3 h4 h5 h6 figure figcaption hr body html".split())
 
@@ -165,130 +165,301 @@ def to_markdown(page: str) -> str:
 
 # --- cleaning, in this order -----------------------------------------------------------------------------------------
 
+# Patterns and labels of what a page's chrome leaves behind in Markdown.
+_IMAGE = r"!\[[^\]\n]*\]\([^)\s]+(?:\s+\"[^\"]*\")?\)"
+_TARGET = r"\(([^)\s]+)(?:\s+\"[^\"]*\")?\)"
+_PROFILE = r"\(/(?:[\w@.-]+|(?:user|users|u|profile|people|members?|authors?|community)/[\w@.-]+)/?\)"
+_TAG_ROW = re.compile(r"(?:\[[^\]\n]+\]\(/tag/[^)\n]+\)){2,}")
+_EMOJI = re.compile(r"!\[:([a-z0-9_+-]+):\]\(https?://[^)\s]*/(?:twemoji|emoji|emojis)/[^)]*\)", re.I)
+SHARE = frozenset(("Share", "Copy link", "Subscribe", "Comment", "Like", "Save", "More", "Follow", "订阅", "分享", "复制链接", "评论", "Discuss on Hacker News"))
+LINK_ROW_CHARS, LINK_ROW_JOINS, TAG_ROWS = 100, 4, 8
+_RULE = "\n---\n"  # between a page's preamble and its body
+
 
 def _outside(text: str, f: Callable[[str], str]) -> str:
     """f on what is outside fences."""
-    parts = re.split(r"(?ms)(^```.*?^```[^\n]*$)", text)
+    parts = re.split(r"(?ms)(^[ \t]*```.*?^[ \t]*```[^\n]*$)", text)
     return "".join(p if k % 2 else f(p) for k, p in enumerate(parts))
 
 
+def _fenced(rows: list[str]) -> list[bool]:
+    """Which lines are a fence or inside of one."""
+    out, open_ = [], False
+    for x in rows:
+        fence = x.strip().startswith("```")
+        out.append(open_ or fence)
+        open_ ^= fence
+    return out
+
+
+def _blank_runs(text: str) -> str:
+    return re.sub(r"\n{3,}", "\n\n", text)
+
+
 def collapse_links(t: str) -> str:
-    return re.sub(r"\[\s*\n+([^\[\]]{1,300}?)\s*\n*\]\(([^)\s]+)\)", lambda m: f"[{' '.join(m[1].split())}]({m[2]})" if m[1].strip() else "", t)
+    """A link whose text takes several lines goes to one; without text it goes."""
+
+    def flat(m: re.Match) -> str:
+        if m[1].count("[") != m[1].count("]"):
+            return m[0]
+        text = " ".join(m[1].split())
+        return f"[{text}]({m[2]})" if text else ""
+
+    t = re.sub(rf"\[({_IMAGE}|[^\[\]\n]{{1,80}})\s*\n\s*\n\s*\]{_TARGET}", flat, t)
+    return re.sub(rf"\[\s*\n+([\s\S]{{0,300}}?)\s*\n+\s*\]{_TARGET}", flat, t)
 
 
 def strip_avatars(t: str) -> str:
-    t = re.sub(r"\[!\[[^\]]*(?:avatar|profile)[^\]]*\]\([^)]*\)\]\([^)]*\)", "", t, flags=re.I)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"!\[[^\]]*avatar[^\]]*\]\([^)]*\)", "", t, flags=re.I))
+    """Links to profiles go, with a picture or a short text."""
+    t = re.sub(rf"\[{_IMAGE}\]{_PROFILE}", "", t, flags=re.I)
+    t = re.sub(rf"\[[^\]\n]{{1,60}}\]{_PROFILE}", "", t, flags=re.I)
+    return _blank_runs(re.sub(r"(?m)^[^\S\n]+$", "", t))
 
 
 def split_link_rows(t: str) -> str:
+    """A dot between the links of a long row of them."""
+
     def one(line: str) -> str:
-        if len(line) >= 100 and "·" in line and len(re.findall(r"\]\([^)]*\)\s*·?\s*\[", line)) >= 3:
-            return re.sub(r"\)\s*·\s*\[", ")\n- [", "- " + line.lstrip("- "))
-        return line
+        if len(line) < LINK_ROW_CHARS or len(re.findall(r"\]\([^)]+\)\[", line)) < LINK_ROW_JOINS:
+            return line
+        return re.sub(r"\)\[(?=[^\]]{2,}\]\()", ") · [", line)
 
     return "\n".join(map(one, t.split("\n")))
 
 
+def resolve_images(base: str) -> Callable[[str], str]:
+    """References of images that begin with a slash or dots, made absolute."""
+    from urllib.parse import urljoin
+
+    def absolute(ref: str) -> str:
+        if not ref.startswith(("/", "./", "../")):
+            return ref
+        return "https:" + ref if ref.startswith("//") else urljoin(base, ref)
+
+    def run(t: str) -> str:
+        t = re.sub(r"(!\[[^\]]*\]\()([^)\s]+)", lambda m: m[1] + absolute(m[2]), t)
+        return re.sub(r"(<img[^>]+src=[\"'])([^\"']+)", lambda m: m[1] + absolute(m[2]), t, flags=re.I)
+
+    return run
+
+
 def empty_anchors(t: str) -> str:
-    t = re.sub(r"(?<!!)\[\s*\]\([^)]*\)", "", t)
-    return re.sub(r"(?m)^\s*[-*]\s*\n", "", t)
+    """Links without a text go, and a bullet that holds nothing else."""
+    rows = [re.sub(r"(?<!!)\[\]\([^)]*\)", "", x) for x in t.split("\n")]
+    rows = [x.rstrip(" \t") for x in rows if not re.fullmatch(r"\s*[-*+]\s*", x)]
+    return _blank_runs("\n".join(rows))
 
 
 def emoji_images(t: str) -> str:
-    return re.sub(r"!\[:?([a-z0-9_+-]+):?\]\([^)]*emoji[^)]*\)", r":\1:", t)
+    return _EMOJI.sub(r":\1:", t)
 
 
 def tag_lines(t: str) -> str:
-    rows = t.rstrip().split("\n")
-    for k in range(max(0, len(rows) - 8), len(rows)):
-        if re.fullmatch(r"\s*(?:(?:tags?|filed under)\s*:.*|(?:#[\w-]+[\s,]*){2,}|(?:\[#?[^\]]+\]\([^)]*/tags?/[^)]*\)[\s,·]*)+)", rows[k], re.I):
-            rows[k] = ""
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(rows)).rstrip()
+    """Rows of tag links among the last lines go, with the blank lines before them."""
+    rows = t.split("\n")
+    end = next((k for k in range(len(rows) - 1, -1, -1) if rows[k].strip()), -1)
+    while end >= max(0, len(rows) - TAG_ROWS) and _TAG_ROW.fullmatch(rows[end].strip()):
+        del rows[end]
+        end -= 1
+        while end >= 0 and not rows[end].strip():
+            del rows[end]
+            end -= 1
+    return "\n".join(rows)
 
 
 def share_lines(t: str) -> str:
-    return "\n".join(x for x in t.split("\n") if not (w := set(re.findall(r"[a-z]+", x.lower()))) or not w <= SHARE or x.startswith("#"))
+    """Lines of the body that are the label of a button go."""
+    head, rule, rest = t.partition(_RULE)
+    rows = rest.split("\n")
+    kept = [x for x, f in zip(rows, _fenced(rows), strict=True) if f or x.strip() not in SHARE]
+    return t if len(kept) == len(rows) else head + rule + _blank_runs("\n".join(kept))
 
 
 def unescape_brackets(t: str) -> str:
-    return re.sub(r"\[((?:[^\[\]]|\\[\[\]])*)\]\(", lambda m: "[" + m[1].replace("\\[", "[").replace("\\]", "]") + "](", t)
+    return re.sub(r"\[((?:\\.|[^\]\\])*)\]\(([^)]+)\)", lambda m: f"[{re.sub(r'\\([][_])', r'\1', m[1])}]({m[2]})", t)
 
 
 def color_tags(t: str) -> str:
-    return re.sub(r"</?text\b[^>]*>", "", t)
+    return re.sub(r"<text\s+color=[\"'][^\"']*[\"']\s*>|</text>", "", t, flags=re.I)
 
 
 def bold_headings(t: str) -> str:
-    return re.sub(r"(?m)^(#{1,6} )(.*)$", lambda m: m[1] + m[2].replace("**", ""), t)
+    return re.sub(r"(?m)^(#{1,6}[^\S\n]+)(.*)$", lambda m: m[1] + re.sub(r"\*{1,3}([^*\n]+?)\*{1,3}", r"\1", m[2]).strip(), t)
 
 
-def one_h1(t: str) -> str:
-    """The first H1 stays; later ones become H2; an H2 that repeats the one before goes."""
-    rows, seen, last = [], False, None
-    for x in t.split("\n"):
-        if x.startswith("# "):
-            if seen:
-                x = "#" + x
-            seen = True
-        if x.startswith("## "):
-            if x == last:
-                continue
-            last = x
-        elif x.strip():
-            last = None
-        rows.append(x)
-    return "\n".join(rows)
+def _tidy_preamble(head: str) -> str:
+    """Between the title and the first quote, or the end, only a blank line stays."""
+    rows = head.split("\n")
+    if not rows[0].startswith("# "):
+        return head
+    end = next((k for k, x in enumerate(rows) if k and x.startswith("> ")), len(rows))
+    return "\n".join([rows[0], "", *rows[end:]]) if any(x.strip() for x in rows[1:end]) else head
 
 
-def space_bold(t: str) -> str:
-    """Spaces between bold runs and ASCII letters or digits beside them."""
-    t = re.sub(r"(?<=[A-Za-z0-9])(\*\*[^*\n`]+\*\*)", r" \1", t)
-    return re.sub(r"(\*\*[^*\n`]+\*\*)(?=[A-Za-z0-9])", r"\1 ", t)
-
-
-CLEANUPS: tuple[tuple[str, Callable[[str], str]], ...] = (
-    ("collapse-link-wrappers", collapse_links),
-    ("strip-avatars", strip_avatars),
-    ("split-link-rows", split_link_rows),
-    ("strip-empty-anchors", empty_anchors),
-    ("emoji-images", emoji_images),
-    ("tag-lines", tag_lines),
-    ("share-lines", share_lines),
-    ("unescape-brackets", unescape_brackets),
-    ("color-tags", color_tags),
-    ("bold-headings", bold_headings),
-    ("one-h1", one_h1),
-    ("space-bold", space_bold),
+def one_h1(t: str) -> str:
+    """A page with a preamble has its only H1 there: one that the body's first H1 continues is completed by it, later ones
+    become H2, and an H2 that repeats the one before goes."""
+    head, rule, rest = t.partition(_RULE)
+    if not rule:
+        return t
+    head = _tidy_preamble(head)
+    title, first = re.search(r"(?m)^# (.+)$", head), re.search(r"(?m)^# (.+)$", rest)
+    if title and first:
+        short, full = title[1].strip(), first[1].strip()
+        if len(short) < len(full) and full.startswith(short) and not (full[len(short)].isalnum() or full[len(short)] in "$+<=>^`|~"):
+            head = head[: title.start()] + f"# {full}" + head[title.end() :]
+            rest = re.sub(r"(?m)^# .+\n+", "", rest, count=1)
+    rows = rest.split("\n")
+    rest = "\n".join("#" + x if x.startswith("# ") and not f else x for x, f in zip(rows, _fenced(rows), strict=True))
+    return head + rule + re.sub(r"(?m)(^## [^\n]+\n)\n*\1", r"\1", rest)
+
+
+#: name, function, and whether it sees what is outside fences only; those that see all look after fences themselves.
+CLEANUPS: tuple[tuple[str, Callable[[str], str], bool], ...] = (
+    ("collapse-link-wrappers", collapse_links, True),
+    ("strip-avatars", strip_avatars, True),
+    ("split-link-rows", split_link_rows, True),
+    ("strip-empty-anchors", empty_anchors, True),
+    ("emoji-images", emoji_images, True),
+    ("tag-lines", tag_lines, False),
+    ("share-lines", share_lines, False),
+    ("unescape-brackets", unescape_brackets, True),
+    ("color-tags", color_tags, True),
+    ("bold-headings", bold_headings, True),
+    ("one-h1", one_h1, False),
 )
 
 
 def cleaned(text: str, base: str = "") -> tuple[str, list[str]]:
-    """The text after all stages, and the names of those that changed it.  base resolves relative images first."""
-    from urllib.parse import urljoin
-
+    """The text after all stages, and the names of those that changed it.  base resolves relative images, after the third stage."""
+    stages = [*CLEANUPS[:3], *([("resolve-images", resolve_images(base), True)] if base else []), *CLEANUPS[3:]]
     applied = []
-    if base:
-        new = _outside(text, lambda t: re.sub(r"(!\[[^\]]*\]\()([^)\s]+)", lambda m: m[1] + urljoin(base, m[2]), t))
-        applied += ["resolve-images"] * (new != text)
-        text = new
-    for name, f in CLEANUPS:
-        new = _outside(text, f)
+    for name, f, outside in stages:
+        new = _outside(text, f) if outside else f(text)
         if new != text:
             applied.append(name)
             text = new
     return text, applied
 
 
+def space_bold(text: str) -> str:
+    """Spaces between bold runs and ASCII letters or digits beside them, outside fences and code; a run may cross lines."""
+
+    def one(part: str) -> str:
+        out, open_ = [], False
+        for piece in re.split(r"(`[^`\n]+`|\*\*)", part):
+            if piece == "**":
+                if not open_ and out and re.search(r"[A-Za-z0-9]$", out[-1]):
+                    out.append(" ")
+                open_ = not open_
+            elif not open_ and out and out[-1] == "**" and re.match(r"[A-Za-z0-9]", piece):
+                out.append(" ")
+            out += [piece] if piece else []
+        return "".join(out)
+
+    return _outside(text, one)
+
+
+# --- rules of well-formed Markdown -----------------------------------------------------------------------------------
+
+
+def structural_issues(text: str) -> list[tuple[str, int, str]]:
+    """(rule, line from 1, what stands there) of badly formed Markdown; fences and inline code don't count, save for wrapped
+    links and runs of blank lines."""
+    rows = text.split("\n")
+    fenced = _fenced(rows)
+    plain = ["" if f else re.sub(r"`[^`\n]+`", "\u2063", x) for x, f in zip(rows, fenced, strict=True)]
+    out: list[tuple[str, int, str]] = []
+    for k, x in enumerate(rows):
+        if x.strip() == "[":
+            ahead = [y.strip() for y in rows[k + 1 : k + 8] if y.strip()][:7]
+            if any(re.fullmatch(r"\]\(.+\)", y) for y in ahead):
+                out.append(("multi-line-link", k + 1, "["))
+        out += [("escaped-emoji", k + 1, m) for m in re.findall(r":[a-z][a-z\d]*\\_[a-z\d_]*:", plain[k])]
+        if "\\!\\[" in plain[k]:
+            out.append(("escaped-image", k + 1, "\\!\\["))
+        if not fenced[k] and re.fullmatch(r"#{1,6}\s*", x):
+            out.append(("empty-heading", k + 1, x))
+        if m := re.search(r"\*{4,}", plain[k]):
+            out.append(("asterisk-run", k + 1, m[0]))
+    out += [("blank-run", text.count("\n", 0, m.start()) + 1, str(len(m[0]))) for m in re.finditer(r"\n{3,}", text)]
+    open_, before = False, "\n"
+    for k, x in enumerate(plain):
+        for piece in re.split(r"(\*\*)", x):
+            if piece == "**":
+                if not open_ and re.match(r"[A-Za-z0-9]", before):
+                    out.append(("bold-glued", k + 1, before))
+                open_, before = not open_, "**" if open_ else ""
+            elif piece:
+                if before == "**" and re.match(r"[A-Za-z0-9]", piece):
+                    out.append(("bold-glued", k + 1, piece[0]))
+                before = piece[-1]
+        before = "\n"
+    return sorted(out, key=lambda r: (r[1], r[0]))
+
+
+# --- text of PDF files -----------------------------------------------------------------------------------------------
+
+# Lines that are boilerplate, lines that open a paper's text, captions, and words that only prose has.
+PDF_DROPPED = (
+    r"arXiv:\s*\d+\.\d+v?\d*\s*\[.*",
+    r"Preprint\.\s*Under\s+review\.?\s*",
+    r"Under\s+review\s+as\s+a\s+conference\s+paper.*",
+    r"Published\s+as\s+a\s+conference\s+paper.*",
+    r"Copyright\s+©?\s*\d{4}.*",
+    r"\d{1,3}\s*",
+    r"\d+(\.\d+)?\s*",
+    r"Page\s+\d+\s+of\s+\d+",
+    r"\*+\s*",
+    r"†+\s*",
+    r"These\s+authors\s+contributed\s+equally.*",
+)
+PDF_OPENERS = (r"Abstract", r"ABSTRACT", r"(?:1\.?\s+)?Introduction", r"(?i:I\.\s+INTRODUCTION)", r"(?i:Executive\s+Summary)")
+PDF_CAPTION = r"(?:Figure|Table|Algorithm|Listing)\s+\d+[:.]|\d+(?:\.\d+)?\s+[A-Z]|[IVX]+\.\s+[A-Z]"
+PDF_WORDS = frozenset("the a an of and to in is for with that this are on as be or not by from at we our their its it but if than have has can was were these those".split())
+PDF_LONG, PDF_CLUSTER, PDF_COVER, PDF_TITLE = 60, 2, 40, (8, 200)
+_PDF_DROPPED, _PDF_OPENER, _PDF_CAPTION = re.compile("(?i:" + "|".join(PDF_DROPPED) + ")"), re.compile("|".join(PDF_OPENERS)), re.compile(PDF_CAPTION)
+
+
+def _close_letters(line: str) -> str:
+    """Capitals that tracking has set apart, twice for chains."""
+    for _ in range(2):
+        line = re.sub(r"\b([A-Z]) ([A-Z]{2,})\b", r"\1\2", line)
+    return line
+
+
+def _pdf_prose(line: str) -> bool:
+    return bool(re.search(r"[.!?:;]\s*$", line) or _PDF_CAPTION.match(line) or (len(line) > PDF_LONG and sum(w in PDF_WORDS for w in re.findall(r"\b[a-z]+\b", line.lower())) >= 2))
+
+
 def clean_pdf(text: str) -> str:
-    """Text of a PDF: spaced-out letters joined, hyphenated line ends joined, page marks dropped, blank runs cut."""
-    t = re.sub(r"\b(?:[A-Za-z] ){3,}[A-Za-z]\b", lambda m: m[0].replace(" ", ""), text)
-    t = re.sub(r"([a-z])-\n([a-z])", r"\1\2", t)
-    rows = [x for x in t.split("\n") if not re.fullmatch(r"\s*(?:page )?\d+(?: (?:of|/) \d+)?\s*|.*all rights reserved.*", x, re.I)]
-    blocks = re.split(r"\n\s*\n", "\n".join(rows))
-    orphan = [len(b.split()) <= 3 and not b.startswith("#") for b in blocks]
-    kept = [b for k, b in enumerate(blocks) if not (orphan[k] and ((k and orphan[k - 1]) or (k + 1 < len(blocks) and orphan[k + 1])))]
-    return re.sub(r"\n{3,}", "\n\n", "\n\n".join(kept)).strip()
+    """Text of a PDF in seven passes: trim lines, close spaced capitals, drop boilerplate, join hyphenated line ends (the hyphen
+    stays), drop clusters of short blocks (of charts), skip the cover, cut blank runs."""
+    rows = [_close_letters(x.strip()) for x in re.split(r"\r?\n", text)]
+    rows = "\n".join(x for x in rows if not _PDF_DROPPED.fullmatch(x))
+    rows = re.sub(r"([a-z]-)\n(?=[a-z])([^\n]*)", r"\1\2", rows).split("\n")
+    blocks = [(blank, list(g)) for blank, g in groupby(rows, key=lambda x: x == "")]
+    loose = [not blank and not any(map(_pdf_prose, g)) for blank, g in blocks]
+    kept: list[str] = []
+    k = 0
+    while k < len(blocks):
+        end = k
+        while loose[k] and end + 2 < len(blocks) and loose[end + 2]:
+            end += 2
+        if (end - k) // 2 + 1 < PDF_CLUSTER:
+            kept += blocks[k][1]
+        k = end + 1
+    cover = next((n for n, x in enumerate(kept[:PDF_COVER]) if _PDF_OPENER.fullmatch(x)), 0)
+    return re.sub(r"\n+\s*\Z", "\n", re.sub(r"\A\s*\n+", "", _blank_runs("\n".join(kept[cover:]))))
+
+
+def pdf_title(page: str) -> str | None:
+    """A title from the first page's text: its first line that may be one, with the next if it ends in a colon."""
+    rows = [_close_letters(x.strip()) for x in re.split(r"\r?\n", page)]
+    rows = [x for x in rows if PDF_TITLE[0] <= len(x) <= PDF_TITLE[1] and not re.match(r"(?i)arXiv:", x) and not re.fullmatch(r"\d{4}-\d{2}-\d{2}|\d{1,2}\s+\w+\s+\d{4}", x)]
+    if len(rows) > 1 and rows[0].endswith(":"):
+        return " ".join(f"{rows[0]} {rows[1]}".split())
+    return rows[0] if rows else None
 
 
 def thread(posts: list[tuple[int, str, str, int | None]]) -> str:
@@ -328,6 +499,23 @@ def post_cleanups(text: Column, url: Column) -> Column:
     return F.pandas_udf(run, "struct<text:string,applied:array<string>>")(text, url)
 
 
+def issues(text: Column) -> Column:
+    """Array of (rule, line, detail) of badly formed Markdown; a null has none."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"rule": a, "line": b, "detail": c} for a, b, c in structural_issues(t)] if t else [])
+
+    return F.pandas_udf(run, "array<struct<rule:string,line:int,detail:string>>")(text)
+
+
+def bold_spaced(text: Column) -> Column:
+    return _each(space_bold)(text)
+
+
+def title_of_pdf(text: Column) -> Column:
+    return _each(pdf_title)(text)
+
+
 def unified_diff(old: Column, new: Column) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         import difflib

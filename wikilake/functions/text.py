@@ -3,6 +3,8 @@ where the docstring says `outside fences`.  Lengths are code points."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ LINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
 IMAGE = r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), lambda x: f(x))[0]
+
+
 def lines(text: Column) -> Column:
     return F.split(text, r"\r?\n", -1)
 
@@ -134,24 +141,28 @@ def features(text: Column) -> dict[str, Column]:
     }
 
 
-def structural_issues(text: Column) -> Column:
-    """Array of (rule, line, detail) of badly formed Markdown, outside fences."""
-    rules = {
-        "multi-line-link": r"^\[\s*$",
-        "escaped-emoji": r"\\:[a-z_]+\\:",
-        "escaped-image": r"\\!\\?\[",
-        "empty-heading": r"^#{1,6}\s*$",
-        "bold-glued": r"[A-Za-z0-9]\*\*[A-Za-z0-9][^*]*\*\*[A-Za-z0-9]",
-        "asterisk-run": r"\*{4,}",
-    }
-    rows = F.transform(outside_fences(text), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    of = lambda name, rule: F.transform(F.filter(rows, lambda r: r.x.rlike(rule)), lambda r: F.struct(F.lit(name).alias("rule"), r.i.alias("line"), F.substring(r.x, 1, 80).alias("detail")))
-    blank = F.when(text.rlike(r"\n\n\n\n"), F.array(F.struct(F.lit("blank-run").alias("rule"), F.lit(0).alias("line"), F.lit("").alias("detail")))).otherwise(F.array().cast("array<struct<rule:string,line:int,detail:string>>"))
-    return F.concat(*(of(k, v) for k, v in rules.items()), blank)
+def fenced_lines(text: Column) -> Column:
+    """Array of (line, fenced): whether a line is a fence or inside of one."""
+    step = lambda a, line: F.struct(
+        (a.open != line.startswith("```")).alias("open"), F.concat(a.rows, F.array(F.struct(line.alias("line"), (a.open | line.startswith("```")).alias("fenced")))).alias("rows")
+    )
+    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<struct<line:string,fenced:boolean>>").alias("rows"))
+    return F.aggregate(lines(text), start, step, lambda a: a.rows)
+
+
+def outside(text: Column, f: Callable[[Column], Column]) -> Column:
+    """f on each part of the text that is outside fences; fences that stay open go to the end."""
+    parts = F.split(text, r"(?m)(?=^```)", -1)
+    # Every other part begins with the fence line that ends a block.
+    step = lambda a, p: F.when(
+        ~p.startswith("```"), F.struct(a.open.alias("open"), F.concat(a.out, F.when(a.open, p).otherwise(f(p))).alias("out"))
+    ).when(a.open, F.struct(F.lit(False).alias("open"), F.concat(a.out, F.regexp_extract(p, r"(?s)^([^\n]*\n?)", 1), f(F.regexp_replace(p, r"^[^\n]*\n?", ""))).alias("out"))).otherwise(F.struct(F.lit(True).alias("open"), F.concat(a.out, p).alias("out")))
+    return F.aggregate(parts, F.struct(F.lit(False).alias("open"), F.lit("").alias("out")), step, lambda a: a.out)
 
 
 def collapse_asterisks(text: Column) -> Column:
-    return F.regexp_replace(text, r"\*{4,}", "**")
+    """Runs of four asterisks and more to two, outside fences."""
+    return outside(text, lambda t: F.regexp_replace(t, r"\*{4,}", "**"))
 
 
 def clamp(text: Column, most: int = 2000, mark: str = "... [truncated]") -> Column:
@@ -173,7 +184,53 @@ def glob_rule(glob: str) -> str:
     return "^" + "".join({"*": ".*", "?": "."}.get(c, c if c.isalnum() else "\\" + c) for c in glob) + "$"
 
 
+def quoted(text: str) -> str:
+    """A text as a pattern of itself."""
+    return "".join(c if c.isalnum() else "\\" + c for c in text)
+
+
 def rewrite_links(text: Column, old: str, new: str) -> Column:
-    """[[old]] and [[old|alias]] to the new target; aliases stay."""
-    quoted = "".join(c if c.isalnum() else "\\" + c for c in old)
-    return F.regexp_replace(text, rf"\[\[\s*{quoted}\s*(\|[^\]]*)?\]\]", f"[[{new}$1]]")
+    """[[old]] and [[old|alias]] to the new target, outside fences; aliases stay."""
+    return outside(text, lambda t: F.regexp_replace(t, rf"\[\[\s*{quoted(old)}\s*(\|[^\]]*)?\]\]", f"[[{new}$1]]"))
+
+
+def link_places(text: Column) -> Column:
+    """Array of (line from 1, target, link) of all wikilinks outside fences, each occurrence of its own."""
+    rows = F.transform(fenced_lines(text), lambda x, i: F.struct((i + 1).alias("n"), x.fenced.alias("fenced"), x.line.alias("line")))
+    kept = F.filter(rows, lambda x: ~x.fenced & F.contains(x.line, F.lit("[[")))
+    return F.flatten(F.transform(kept, lambda x: F.transform(F.regexp_extract_all(x.line, F.lit(LINK), F.lit(0)), lambda m: F.struct(x.n.alias("line"), F.trim(F.regexp_extract(m, LINK, 1)).alias("target"), m.alias("link")))))
+
+
+UNRESOLVED = "wiki-unresolved:"
+
+
+def resolved_links(text: Column, urls: Column, missing: str = "placeholder") -> Column:
+    """[[slug]] and [[slug|text]] to [text](url), outside fences.  urls: a map from slugs.  What it lacks becomes a placeholder, plain text,
+    or, if missing is fail, an error."""
+    url = lambda slug: F.try_element_at(urls, slug)
+    of = {
+        "placeholder": lambda slug, shown: F.concat(F.lit("["), shown, F.lit(f"]({UNRESOLVED}"), F.replace(F.url_encode(slug), F.lit("+"), F.lit("%20")), F.lit(")")),
+        "plain": lambda slug, shown: shown,
+        "fail": lambda slug, shown: F.raise_error(F.concat(F.lit("unresolved link: "), slug)).cast("string"),
+    }[missing]
+
+    def part(t: Column) -> Column:
+        def link(x: Column) -> Column:  # what stands after a pair of brackets
+            inner = F.regexp_extract(x, r"^([^\]]*)\]\]", 1)
+            slug = F.trim(F.regexp_extract(inner, r"^([^|]*)", 1))
+            shown = F.trim(F.when(F.contains(inner, F.lit("|")), F.regexp_extract(inner, r"\|(.*)$", 1)).otherwise(inner))
+            ok = x.rlike(r"^[^\]|]+(?:\|[^\]]+)?\]\]")
+            to = F.when(url(slug).isNotNull(), F.concat(F.lit("["), shown, F.lit("]("), url(slug), F.lit(")"))).otherwise(of(slug, shown))
+            return F.when(ok, F.concat(to, F.substring(x, F.length(inner) + 3, F.length(x)))).otherwise(F.concat(F.lit("[["), x))
+
+        pieces = F.split(t, r"\[\[", -1)
+        return F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), link), ""))
+
+    return outside(text, part)
+
+
+def prepared(raw: Column, urls: Column, missing: str = "placeholder") -> Column:
+    """A page to be sent: its frontmatter as it is, its body without the leading H1 and the blank lines behind it, links resolved."""
+    text = body(raw)
+    headless = F.when(text.rlike(r"\A\s*#\s+\S"), F.regexp_replace(text, r"\A\s*#[^\n]*(\n\s*(?=\S|\z)|\n?\z)", "")).otherwise(text)
+    return F.concat(frontmatter(raw), resolved_links(headless, urls, missing))

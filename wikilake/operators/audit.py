@@ -10,26 +10,27 @@ from wikilake.functions import text as T
 MIN_SIMILARITY, MIN_NAME = 0.8, 4
 
 
-def similar_slugs(names: DataFrame, refs: bool = False) -> DataFrame:
+def similar_slugs(names: DataFrame) -> DataFrame:
     """(a, b, distance) of distinct names (name) with 1 - distance / longer length of 0.8 or more.
 
     An exact blocked join: within an edit distance of k, one of k + 1 pieces of the shorter name stands in the
-    longer one, moved by k places at most.  Pairs that both end in a digit and agree before it are left out."""
+    longer one, moved by k places at most.  The shorter name gives each piece at each of these places, the longer
+    one its substrings of the lengths that such pieces have, and the join is by piece and place.  Pairs that both end in a digit
+    and agree before it are left out."""
     names = names.select(F.lower("name").alias("name")).distinct().where(F.length("name") >= 1).withColumn("n", F.length("name"))
     # The distance that a pair may have depends on the longer length; each name is cut for all lengths in reach.
-    most = lambda longer: F.floor(longer * (1 - MIN_SIMILARITY) + 1e-9).cast("int")
-    longest = F.floor(F.col("n") / MIN_SIMILARITY + 1e-9).cast("int")
-    k = most(longest)
+    most = lambda n: F.floor(F.floor(n / MIN_SIMILARITY + 1e-9) * (1 - MIN_SIMILARITY) + 1e-9).cast("int")
+    k = most(F.col("n"))
     cut = lambda i: F.floor(i * F.col("n") / (k + 1)).cast("int")
-    piece = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(cut(i).alias("at"), F.substring("name", cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))
-    short = names.select(F.col("name").alias("s"), F.col("n").alias("sn"), k.alias("k"), F.explode(piece).alias("p")).select("s", "sn", "k", "p.at", "p.piece").where("piece <> ''")
-    # A longer name offers every substring of the lengths that such pieces have.
-    lengths = short.select(F.length("piece").alias("w")).distinct()
-    spans = names.crossJoin(F.broadcast(lengths)).where("w <= n")  # piece lengths: a handful of numbers
-    long = spans.select(F.col("name").alias("l"), F.col("n").alias("ln"), F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("w")), lambda i: F.struct(i.alias("pos"), F.substring("name", i + 1, F.col("w")).alias("piece")))).alias("q")).select("l", "ln", "q.pos", "q.piece")
-    pairs = short.join(long, "piece").where((F.col("ln") >= F.col("sn")) & (F.abs(F.col("pos") - F.col("at")) <= F.col("k")) & (F.col("s") != F.col("l")))
-    pairs = pairs.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), "ln").distinct()
-    return _near(pairs)
+    moved = lambda i: F.transform(F.sequence(F.greatest(cut(i) - k, F.lit(0)), cut(i) + k), lambda at: F.struct(at.alias("at"), F.substring("name", cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))
+    short = names.select(F.col("name").alias("s"), F.col("n").alias("sn"), F.explode(F.flatten(F.transform(F.sequence(F.lit(0), k), moved))).alias("p")).select("s", "sn", "p.at", "p.piece").where("piece <> ''")
+    # Lengths of the pieces of names that this one can be the longer one of.
+    sizes = lambda n: F.transform(F.sequence(F.lit(0), F.lit(1)), lambda more: (F.floor(n / (most(n) + 1)) + more).cast("int"))
+    widths = F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.ceil(F.col("n") * MIN_SIMILARITY - 1e-9).cast("int"), F.lit(1)), F.col("n")), sizes)))
+    offered = names.select(F.col("name").alias("l"), F.col("n").alias("ln"), F.explode(widths).alias("w")).where("w between 1 and ln")
+    offered = offered.select("l", "ln", F.explode(F.transform(F.sequence(F.lit(0), F.col("ln") - F.col("w")), lambda i: F.struct(i.alias("at"), F.substring("l", i + 1, F.col("w")).alias("piece")))).alias("q")).select("l", "ln", "q.at", "q.piece")
+    pairs = short.join(offered, ["piece", "at"]).where((F.col("ln") >= F.col("sn")) & (F.col("ln") * MIN_SIMILARITY <= F.col("sn") + 1e-9) & (F.col("s") != F.col("l")))
+    return _near(pairs.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), "ln").distinct())
 
 
 def _near(pairs: DataFrame) -> DataFrame:
@@ -110,3 +111,8 @@ def topic_only(cites: DataFrame, bucket: DataFrame) -> DataFrame:
     known = cites.join(bucket, "src")
     by = lambda b: known.where(F.col("bucket") == b).select("dst").distinct()
     return by("01_Topics").join(by("02_Entities"), "dst", "left_anti")
+
+
+def stale_strict(items: DataFrame, newest: DataFrame, key: str) -> DataFrame:
+    """Items (key, synthesised: date) older than their newest citing source (key, newest: date), by any number of days."""
+    return items.join(newest, key).where(F.col("newest") > F.col("synthesised")).select(key, F.datediff("newest", "synthesised").alias("days"))

@@ -41,7 +41,7 @@ def orphans_to_delete(items: DataFrame) -> DataFrame:
 
 def with_heading(body: Column, heading: str) -> Column:
     """The heading at the end unless it is there."""
-    return F.when(T.section(body, heading).isNotNull(), body).otherwise(F.concat(F.rtrim(body), F.lit(f"\n\n## {heading}\n")))
+    return F.when(T.section(body, heading).isNotNull(), body).otherwise(F.concat(F.regexp_replace(body, r"\s+\z", ""), F.lit(f"\n\n## {heading}\n")))
 
 
 def with_section(body: Column, heading: str, text: Column) -> Column:
@@ -51,7 +51,7 @@ def with_section(body: Column, heading: str, text: Column) -> Column:
     rest = F.slice(rows, begin + 1, F.size(rows))
     end = F.array_position(F.transform(rest, lambda x: x.rlike("^##? ")), True).cast("int")
     tail = F.when(end == 0, F.array().cast("array<string>")).otherwise(F.slice(rest, F.greatest(end, F.lit(1)), F.size(rest)))
-    return F.when(begin > 0, F.array_join(F.concat(F.slice(rows, 1, F.greatest(begin, F.lit(1))), F.array(text), tail), "\n")).otherwise(F.concat(F.rtrim(body), F.lit(f"\n\n## {heading}\n"), text))
+    return F.when(begin > 0, F.array_join(F.concat(F.slice(rows, 1, F.greatest(begin, F.lit(1))), F.array(text), tail), "\n")).otherwise(F.concat(F.regexp_replace(body, r"\s+\z", ""), F.lit(f"\n\n## {heading}\n"), text))
 
 
 def backfilled_date(synthesised: Column, body: Column, updated: Column) -> Column:
@@ -127,10 +127,116 @@ def batch_parts(response: Column) -> Column:
     """(name, text) of a response whose parts begin with `=== name ===`."""
     rule = r"=== ([^=\n]+) ===\n([^=]*)"
     names, texts = F.regexp_extract_all(response, F.lit(rule), F.lit(1)), F.regexp_extract_all(response, F.lit(rule), F.lit(2))
-    return F.transform(F.arrays_zip(names.alias("name"), texts.alias("text")), lambda x: F.struct(F.trim(x["name"]).alias("name"), F.trim(x["text"]).alias("text")))
+    return F.transform(F.arrays_zip(names.alias("name"), texts.alias("text")), lambda x: F.struct(F.trim(x["name"]).alias("name"), F.regexp_replace(x["text"], r"^\s+|\s+$", "").alias("text")))
 
 
 def unmatched(asked: DataFrame, given: DataFrame) -> DataFrame:
     """(name, side) of names (name) only asked for or only given."""
     rows = asked.withColumn("a", F.lit(1)).join(given.withColumn("g", F.lit(1)), "name", "full").where("a is null or g is null")
     return rows.select("name", F.when(F.col("g").isNull(), "missing").otherwise("unmatched").alias("side"))
+
+
+TOPIC_SECTIONS, UNDERSTANDING = ("What", "Current understanding", "Open threads", "Sources drawn on"), "Current understanding"
+
+
+def merged_topics(docs: DataFrame, source: str, target: str, day: str) -> DataFrame:
+    """docs (slug, body) without the source topic; the target's sections get what the source's have to say, under a mark, and its
+    understanding is marked stale unless both were stubs.  Links are rewritten."""
+    given = docs.where(F.col("slug") == source).select(F.col("body").alias("_given")).limit(1)
+    joined = docs.where(F.col("slug") != source).join(F.broadcast(given), F.lit(True), "left")  # one row
+
+    def grown(name: str, x: Column) -> Column:
+        block = F.concat(F.lit(f"<!-- merged from `{source}` on {day} -->\n\n"), x.more, F.lit("\n"))
+        lead = F.lit("")
+        if name == UNDERSTANDING:
+            lead = F.when(~T.is_stub(x.own) | ~T.is_stub(x.more), f"<!-- TODO: re-synthesize ## {name} (post-merge {day}) -->\n\n").otherwise("")
+        text = F.concat(F.lit("\n"), lead, F.when(x.own == "", "").otherwise(F.concat(x.own, F.lit("\n\n"))), block)
+        added = F.concat(F.regexp_replace(x.body, r"\s+\z", ""), F.lit(f"\n\n## {name}\n\n"), block)
+        return F.when(F.coalesce(x.more, F.lit("")) == "", x.body).when(x.own.isNull(), added).otherwise(with_section(x.body, name, text))
+
+    body = F.col("body")
+    for name in TOPIC_SECTIONS:  # each step reads the body that the one before has made
+        body = T.bound(body, lambda b, name=name: T.bound(F.struct(b.alias("body"), T.section(b, name).alias("own"), T.section(F.col("_given"), name).alias("more")), lambda x: grown(name, x)))
+    body = F.when((F.col("slug") == target) & F.col("_given").isNotNull(), body).otherwise(F.col("body"))
+    return joined.withColumn("body", T.rewrite_links(body, source, target)).drop("_given")
+
+
+ITEM = r"^### (\d+)\.\s+(.+?)\s+\[confidence:\s*(high|medium|low)\]\s*$"
+
+
+def queue_items(queue: Column) -> Column:
+    """Array of (n, heading, confidence, approved, rationale, command) of a queue's text: a section for each item, ticked or not, whose first
+    fence has the command, comments apart."""
+    parts = F.filter(F.split(queue, r"(?m)(?=^#{2,3}\s)", -1), lambda p: F.split(p, "\n")[0].rlike(ITEM))
+
+    def item(p: Column) -> Column:
+        head = F.split(p, "\n")[0]
+        fence = F.regexp_extract(p, r"(?s)```\s*\n(.+?)```", 1)
+        command = F.array_join(F.filter(F.split(fence, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#")), "\n")
+        return F.struct(
+            F.regexp_extract(head, ITEM, 1).cast("int").alias("n"),
+            F.trim(F.regexp_extract(head, ITEM, 2)).alias("heading"),
+            F.regexp_extract(head, ITEM, 3).alias("confidence"),
+            p.rlike(r"(?im)^- \[x\]\s+approved").alias("approved"),
+            F.trim(F.regexp_extract(p, r"(?m)^\*\*Rationale\*\*:\s*(.+)$", 1)).alias("rationale"),
+            F.trim(command).alias("command"),
+        )
+
+    return F.transform(parts, item)
+
+
+COUNTED, SELECTED, SHOWN = ("dead-wikilinks", "tier-mismatch", "tag-vocabulary"), ("dead-wikilinks", "tier-mismatch", "tag-vocabulary", "topic-content-gaps"), 30
+
+
+def finding_count(issues: DataFrame, audits: DataFrame) -> DataFrame:
+    """(findings): the findings of audits (one row each) and the issues (kind) of the kinds that count."""
+    kept = issues.where(F.col("kind").isin(*COUNTED)).select(F.lit(1).alias("x")).unionByName(audits.select(F.lit(1).alias("x")))
+    return kept.agg(F.count("*").alias("findings"))
+
+
+def selected_findings(issues: DataFrame, most: int = SHOWN) -> DataFrame:
+    """The first issues (kind, severity, path, detail) worth a proposal, as lines, and how many there are."""
+    kept = issues.where(F.col("kind").isin(*SELECTED))
+    line = F.concat(F.lit("- ["), "severity", F.lit("] "), "kind", F.lit(" — "), "path", F.lit(": "), "detail")
+    return kept.select(line.alias("line")).orderBy("line").limit(most).join(F.broadcast(kept.agg(F.count("*").alias("total"))))  # one row
+
+
+def cited_sources(docs: DataFrame, sources: DataFrame, text: Column) -> DataFrame:
+    """(slug, cited, resolved) of pages (slug, body): what a text of theirs links to, and whether that is a source (slug)."""
+    rows = docs.select("slug", F.explode(T.wikilinks(text)).alias("link"))
+    token = F.regexp_replace(F.regexp_replace("link", r"^(?:03_)?Sources/(?:\d{4}/)?", ""), r"\.md$", "")
+    known = sources.select(F.col("slug").alias("cited"), F.lit(True).alias("resolved"))
+    return rows.select("slug", token.alias("cited")).distinct().join(known, "cited", "left").select("slug", "cited", F.coalesce("resolved", F.lit(False)).alias("resolved"))
+
+
+def entity_context(docs: DataFrame, sources: DataFrame, headings: tuple[str, ...]) -> DataFrame:
+    """(slug, synthesis, observations, sources, unresolved) of entities (slug, body): what a prompt is made of; sources: excerpts (slug, body) of
+    those cited, in the order of their slugs."""
+    b = F.col("body")
+    cites = cited_sources(docs.select("slug", F.array_join(T.observations(b), "\n").alias("body")), sources, F.col("body"))
+    given = cites.where("resolved").join(sources.select(F.col("slug").alias("cited"), T.excerpt(b, headings).alias("text")), "cited")
+    blocks = given.groupBy("slug").agg(F.array_sort(F.collect_list(F.concat(F.lit("### Source: "), "cited", F.lit("\n\n"), "text"))).alias("sources"))
+    lost = cites.where("not resolved").groupBy("slug").agg(F.array_sort(F.collect_list("cited")).alias("unresolved"))
+    none = F.array().cast("array<string>")
+    bullets = F.transform(T.observations(b), lambda x: F.trim(F.regexp_replace(x, r"^-\s+", "")))
+    rows = docs.select("slug", F.coalesce(T.section(b, "Synthesis"), F.lit("")).alias("synthesis"), bullets.alias("observations"))
+    rows = rows.join(blocks, "slug", "left").join(lost, "slug", "left")
+    return rows.select("slug", "synthesis", "observations", F.array_join(F.coalesce("sources", none), "\n\n").alias("sources"), F.coalesce("unresolved", none).alias("unresolved"))
+
+
+def topic_citations(body: Column) -> Column:
+    """Array of the sources that a topic links to: slugs that begin with a date, or paths of sources."""
+    slug = lambda x: F.regexp_replace(F.regexp_replace(x, r"^(?:03_)?Sources/(?:\d{4}/)?", ""), r"\.md$", "")
+    return F.array_distinct(F.transform(F.filter(T.wikilinks(body), lambda x: x.rlike(r"^\d{4}-\d{2}-\d{2}-|^03_Sources/")), slug))
+
+
+def topic_shape(body: Column) -> Column:
+    return F.when(T.section(body, "Comparison").isNotNull(), "comparison").otherwise("survey")
+
+
+def top_context(topics: DataFrame) -> DataFrame:
+    """(name, what, understanding, updated) of topics (slug, body, synthesised, updated) that are no stubs, for the root page."""
+    b = F.col("body")
+    understanding = T.section(b, UNDERSTANDING)
+    rows = topics.where(~T.is_stub(understanding)).select(F.col("slug").alias("name"), F.coalesce(T.section(b, "What"), F.lit("")).alias("what"), understanding.alias("understanding"), F.coalesce("synthesised", "updated").alias("updated"))
+    return rows.orderBy("name")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wikilake.functions import text as T
+
 PROMOTE_AT = 3
 
 
@@ -65,3 +67,15 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(text_id, name): names (name) of one word that stand in a text (text_id, text) as a whole word."""
     words = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1)))).alias("name"))
     return words.join(names, "name", "left_semi")
+
+
+def citation_index(docs: DataFrame) -> DataFrame:
+    """(dst, path, line, link): every wikilink outside fences of pages (repo_path, bucket, body), repeated ones too, with its line in the
+    body; generated pages (00_Meta) are left out."""
+    rows = docs.where("bucket <> '00_Meta'").select(F.col("repo_path").alias("path"), F.explode(T.link_places(F.col("body"))).alias("x"))
+    return rows.select(F.col("x.target").alias("dst"), "path", "x.line", "x.link")
+
+
+def plan_topic_updates(topics: DataFrame) -> DataFrame:
+    """Topics (key, stored, n_sources) whose stored count of sources differs."""
+    return topics.where(~F.col("stored").eqNullSafe(F.col("n_sources")))

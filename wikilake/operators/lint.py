@@ -98,13 +98,24 @@ def comparison_opportunity(topics: DataFrame, mentioned: DataFrame) -> DataFrame
     return issue(topics.join(n, "path").where(T.section(F.col("body"), "Comparison").isNull() & contrast & (F.col("n") >= 3)), "comparison-opportunity", "info", "path", F.col("n"))
 
 
-def stale_synthesis(items: DataFrame, newest: DataFrame, as_of: str | Column, key: str) -> DataFrame:
+def stale_synthesis(items: DataFrame, newest: DataFrame, as_of: str | Column, key: str, kind: str = "stale-synthesis") -> DataFrame:
     """Items (key, synthesised: date, observations) behind their newest citing source (key, newest: date) by a week, or
     old and with observations to take in.  The first reason counts."""
     as_of = F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of
     lag, age = F.datediff("newest", "synthesised"), F.datediff(as_of, F.col("synthesised"))
     why = F.when(lag > LAG_DAYS, F.concat(F.lit("lag "), lag)).when((age > AGE_DAYS) & (F.col("observations") >= MIN_OBSERVATIONS), F.concat(F.lit("age "), age))
-    return issue(items.join(newest, key, "left").withColumn("why", why).where("why is not null"), "stale-synthesis", "warn", key, F.col("why"))
+    return issue(items.join(newest, key, "left").withColumn("why", why).where("why is not null"), kind, "warn", key, F.col("why"))
+
+
+def stale_topics(topics: DataFrame, newest: DataFrame, as_of: str | Column, key: str) -> DataFrame:
+    """stale_synthesis for topics, whose open threads count as observations."""
+    return stale_synthesis(topics, newest, as_of, key, "stale-topic-synthesis")
+
+
+def observation_gaps(gaps: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Gaps (dst, n_citing, n_missing) of active items (key, tier)."""
+    active = items.where("tier = 'active'").select(F.col(key).alias("dst"))
+    return issue(gaps.join(active, "dst", "left_semi"), "observation-gaps", "warn", "dst", F.col("n_missing"))
 
 
 def stale_review(sources: DataFrame, fetches: DataFrame, key: str) -> DataFrame:

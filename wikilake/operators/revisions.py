@@ -126,3 +126,44 @@ def verify_sample(ledger: DataFrame, n: int = 5, seed: int = 1) -> DataFrame:
 def prune(files: DataFrame, glob: str, keep: bool = False) -> DataFrame:
     """Disposition rows for files (slug, name) that fit a glob; keep reverts."""
     return files.where(F.col("name").rlike(T.glob_rule(glob))).select("slug", "name", F.lit("keep" if keep else "delete").alias("decision"))
+
+
+def resolve_rev(revisions: DataFrame, asked: DataFrame, fallback: str = "last", key: str = "slug") -> DataFrame:
+    """asked (key, spec) with rev: of `revN` that one, of a date the last fetched by the end of that day, of nothing the first or last;
+    null where there is none."""
+    n = F.regexp_extract("spec", r"(?i)^rev(\d+)$", 1)
+    day = F.to_date(F.when(F.col("spec").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("spec")))
+    rows = asked.join(revisions.select(key, "rev", "fetched_at"), key, "left")
+    ok = F.when(F.col("spec").isNull(), F.lit(True)).when(n != "", F.col("rev") == n.cast("int")).when(day.isNotNull(), F.to_date("fetched_at") <= day).otherwise(False)
+    wanted = F.when(ok, F.col("rev"))
+    first = F.min(F.when(F.col("spec").isNull(), wanted)) if fallback == "first" else F.lit(None).cast("int")
+    return rows.groupBy(key, "spec").agg(F.coalesce(first, F.max(wanted)).alias("rev"))
+
+
+def history(revisions: DataFrame, key: str = "slug") -> DataFrame:
+    """Revisions in the order they came, with the number of each key's and what changed since the one before."""
+    w = Window.partitionBy(key).orderBy("rev")
+    before = F.lag("sha").over(w)
+    change = F.when(before.isNull(), "first").when(before == F.col("sha"), "same").otherwise("changed")
+    return revisions.select(key, "rev", "fetched_at", "status", change.alias("change"))
+
+
+SKIPPED = r"(^|/)(\.|tmp\.|_index\.json(/|$))"
+
+
+def slug_files(files: DataFrame) -> DataFrame:
+    """Files (slug, name: a path below the slug's folder) without dotfiles, unfinished files and indexes at any depth."""
+    return files.where(~F.col("name").rlike(SKIPPED))
+
+
+def slug_listing(files: DataFrame) -> DataFrame:
+    """(slug, n_files, bytes, names) of files (slug, name, bytes): what stands in each slug's folder, by name."""
+    return slug_files(files).groupBy("slug").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes"), F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def missing_refs(pages: DataFrame, objects: DataFrame, base: str) -> DataFrame:
+    """(path, key) of references in pages (path, body) to public objects, as images or in backticks, that aren't there (objects: key)."""
+    quoted = T.quoted(base)
+    image = F.regexp_extract_all("body", F.lit(rf"!\[(?:[^\]]|\](?!\())*\]\({quoted}/([^)]+)\)"), F.lit(1))
+    caption = F.regexp_extract_all("body", F.lit(rf"`{quoted}/([^`]+)`"), F.lit(1))
+    return pages.select("path", F.explode(F.concat(image, caption)).alias("key")).join(objects.select("key"), "key", "left_anti").select("path", "key")

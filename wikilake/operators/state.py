@@ -74,18 +74,24 @@ def graduations(now: DataFrame, before: DataFrame) -> DataFrame:
     return both.withColumn("change", change).where("change is not null").select("host", "n", "change")
 
 
-def running_limit(rows: DataFrame, counts: Column, most: int, *order: Column | str) -> DataFrame:
-    """Rows up to the point where `most` of those that count have come; the others don't use the limit up.
-
-    A running number over the whole table: first the counts of each slice of the order, then inside the slices, so that
-    no task has to hold all rows."""
-    rows = rows.withColumn("_c", F.when(counts, 1).otherwise(0))
-    total = F.sum("_c").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    # What can be kept lies among the first `most` counting rows and those before the next; rows beyond are cut first.
-    last = rows.where("_c = 1").orderBy(*order).limit(most + 1)
-    if last.count() <= most:
-        return rows.drop("_c")
-    return rows.withColumn("_n", total).where(f"_n <= {most}").drop("_c", "_n")
+def running_limit(rows: DataFrame, counts: Column, most: int, *order: str) -> DataFrame:
+    """Rows up to the point where `most` of those that count have come; the others don't use the limit up.  order: columns
+    that tell all rows apart, the last first where a minus stands before the name.
+
+    What is kept stands before the counting row number most + 1: a top-k finds that row, a plain filter does the rest,
+    so no task numbers all rows."""
+    keys = [(x.lstrip("-"), x.startswith("-")) for x in order]
+    by = lambda turned: [F.desc(k) if down != turned else F.asc(k) for k, down in keys]
+    first = rows.where(counts).orderBy(*by(False)).limit(most + 1).select(*(k for k, _ in keys))
+    ends = first.withColumn("_n", F.count("*").over(Window.partitionBy())).where(F.col("_n") > most)  # at most `most` + 1 rows
+    end = ends.orderBy(*by(True)).drop("_n").first()
+    if end is None:
+        return rows
+    before, same = F.lit(False), F.lit(True)
+    for k, down in keys:
+        at = F.lit(end[k])
+        before, same = before | (same & (F.col(k) > at if down else F.col(k) < at)), same & (F.col(k) == at)
+    return rows.where(before)
 
 
 def fetch_plan(bookmarks: DataFrame, raw: DataFrame, skipped: DataFrame, limit: int | None = None) -> DataFrame:
@@ -97,7 +103,7 @@ def fetch_plan(bookmarks: DataFrame, raw: DataFrame, skipped: DataFrame, limit:
     out = one.join(got, "norm_url", "left").join(skipped.select("norm_url", F.lit(1).alias("skip")).distinct(), "norm_url", "left")
     action = F.when(F.col("skip") == 1, "skip").when(F.col("quality") == "good", "keep").when(F.col("quality").isNotNull(), "retry").otherwise("fetch")
     out = out.withColumn("action", action).select("bookmark_id", "norm_url", "slug", "action")
-    return out if limit is None else running_limit(out, F.col("action") == "fetch", limit, F.desc("bookmark_id"))
+    return out if limit is None else running_limit(out, F.col("action") == "fetch", limit, "-bookmark_id")
 
 
 def sync_action(row: dict[str, Column]) -> Column:
@@ -148,3 +154,32 @@ def in_skip_list(rows: DataFrame, skips: DataFrame, column: str) -> DataFrame:
 
 def identifier_kind(text: Column) -> Column:
     return F.when(text.rlike(r"^\d+$"), "id").when(text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), "url").otherwise("slug")
+
+
+def needs_rebuild(files: DataFrame, built: Column) -> DataFrame:
+    """(rebuild, n_newer): whether any file (modified) is newer than the index; also if there is no index."""
+    newer = F.count_if(F.col("modified") > built)
+    return files.agg(F.coalesce((newer > 0) | F.max(built).isNull(), F.lit(True)).alias("rebuild"), newer.alias("n_newer"))
+
+
+def resolved_identifiers(asked: DataFrame, bookmarks: DataFrame, raw: DataFrame) -> DataFrame:
+    """asked (identifier) with kind, url and slug: a bookmark's number (bookmark_id, link, slug), a URL, or the slug of raw content (slug, link)."""
+    name = F.regexp_replace("identifier", "^raindrop:", "")
+    rows = asked.withColumn("_name", name).withColumn("kind", identifier_kind(name))
+    marks = bookmarks.select(F.col("bookmark_id").cast("string").alias("_name"), F.col("link").alias("_mark"), F.col("slug").alias("_mark_slug"))
+    kept = raw.select(F.col("slug").alias("_name"), F.col("link").alias("_raw"))
+    rows = rows.join(marks, "_name", "left").join(kept, "_name", "left")
+    by = lambda a, b, c: F.when(F.col("kind") == "id", a).when(F.col("kind") == "url", b).otherwise(c)
+    return rows.select("identifier", "kind", by(F.col("_mark"), F.col("_name"), F.col("_raw")).alias("url"), by(F.col("_mark_slug"), F.lit(None), F.col("_name")).alias("slug"))
+
+
+def forget_plan(targets: DataFrame, raw: DataFrame, sources: DataFrame) -> DataFrame:
+    """(target, branch, slug, skip_key) of targets (target: a slug or a URL), by what exists of it: raw content (slug, url) and a source (slug)."""
+    is_url = F.col("target").rlike("(?i)^https?://")
+    by_url = raw.select(F.lower("url").alias("_u"), F.col("slug").alias("_slug_u"))
+    by_slug = raw.select(F.col("slug").alias("target"), F.col("url").alias("_url"))
+    rows = targets.withColumn("_u", F.when(is_url, F.lower("target"))).join(by_url, "_u", "left").join(by_slug, "target", "left")
+    rows = rows.withColumn("slug", F.when(is_url, F.col("_slug_u")).otherwise(F.col("target"))).withColumn("_raw", F.col("_slug_u").isNotNull() | F.col("_url").isNotNull())
+    rows = rows.join(sources.select("slug", F.lit(True).alias("_source")), "slug", "left")
+    branch = F.when(F.col("_raw") & F.col("_source").isNotNull(), "source-and-raw").when(F.col("_raw"), "raw-only").otherwise("neither")
+    return rows.select("target", branch.alias("branch"), "slug", F.coalesce(F.when(is_url, F.col("target")), F.col("_url"), F.col("target")).alias("skip_key"))

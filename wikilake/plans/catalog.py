@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wikilake.plans import documents, graph, pipeline, reports, text
+from wikilake.plans import checks, documents, graph, ledgers, pages, pipeline, reports, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (graph, pipeline, documents, text, reports):
+for module in (graph, pipeline, documents, text, reports, pages, checks, ledgers):
     QUERIES.update(module.QUERIES)
     SQL.update(module.SQL)

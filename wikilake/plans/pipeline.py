@@ -189,7 +189,7 @@ def fetch_plan(spark, d):
 )
 def fetch_plan_running_limit(spark, d):
     rows = A.table(spark, d, "pages").select("page_id", (F.col("page_id") % 3 != 1).alias("counts"))
-    return state.running_limit(rows, F.col("counts"), 20, F.desc("page_id"))
+    return state.running_limit(rows, F.col("counts"), 20, "-page_id")
 
 
 @query(

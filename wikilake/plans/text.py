@@ -82,7 +82,7 @@ def md_structure(spark, d):
 
 @query()
 def structural_rules(spark, d):
-    rows = A.table(spark, d, "documents").select("doc_id", F.explode(T.structural_issues(F.col("text"))).alias("i"))
+    rows = A.table(spark, d, "documents").select("doc_id", F.explode(M.issues(F.col("text"))).alias("i"))
     return rows.select("doc_id", "i.rule", "i.line", "i.detail")
 
 

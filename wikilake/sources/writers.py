@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables between jobs, in the folder that the cluster shares and names in spark.checkpoint.dir.  Without
+    one, a local session gets a temporary folder; on a cluster no machine's own folder will do."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{(named or tempfile.mkdtemp(prefix='wikilake-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def replace(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Writes a new version, keeps the old one as <path>.bak, then swaps."""
     spark = df.sparkSession
@@ -32,8 +43,8 @@ def issues_text(issues: DataFrame) -> DataFrame:
     return issues.orderBy(order, "kind", "path").select(F.format_string("%-5s %s %s: %s", "severity", "kind", "path", "detail").alias("value"))
 
 
-def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A small report as a pipe table; the first rows only, as it is for people."""
-    rows = df.limit(most).collect()
+def markdown_table(df: DataFrame, most: int | None = None) -> str:
+    """A report as a pipe table, for people; only the first rows, if `most` says so."""
+    rows = (df if most is None else df.limit(most)).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows)])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from wikilake.sources.writers import scratch
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -56,8 +58,19 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def run_once(stream: DataFrame, mode: str, key: str | None = None) -> DataFrame:
-    """What a stream gives for all that is there now, in memory: for tests and small results.  With a key, the last row of each."""
-    name = f"wikilake_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    out = stream.sparkSession.table(name)
-    return out if key is None else out.groupBy(key).agg(*(F.max(c).alias(c) for c in out.columns if c != key))
+    """What a stream gives for all that is there now.  The executors write each batch to a folder that all machines share; of complete
+    results the last batch counts, of others all.  With a key, the last row of each."""
+    spark = stream.sparkSession
+    folder = scratch(spark, "stream")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number:09d}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/rows")
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(last), "batch", "left_semi").drop("batch")  # one row
+    if key is None:
+        return rows.drop("batch")
+    return rows.groupBy(key).agg(*(F.max_by(c, "batch").alias(c) for c in stream.columns if c != key))

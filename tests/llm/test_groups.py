@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from wikilake.llm import common, decontaminate, jaccard, lmscore, toxicity
+from wikilake.llm import common, components, decontaminate, jaccard, lmscore, toxicity
 
 
 def frame(spark, texts, start=0):
@@ -61,6 +61,7 @@ def test_join_equals_all_pairs(spark, monkeypatch, cell, heavy):
     monkeypatch.setattr(jaccard, "CELL", cell)
     monkeypatch.setattr(jaccard, "HEAVY", heavy)
     if cell < 512:
+        monkeypatch.setattr(components, "AT_ONCE", 5)
         monkeypatch.setattr(jaccard, "PIVOTS", 1)
         monkeypatch.setattr(jaccard, "DEALT", 2)
         monkeypatch.setattr(common, "HOT_ROWS", 2)

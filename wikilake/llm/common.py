@@ -94,12 +94,19 @@ def shared_root(spark: SparkSession) -> str:
     return own
 
 
+#: Rows of a partition of a saved table, at least: small tables don't keep the many partitions of the shuffle they come from.
+SAVED_ROWS = 10_000
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+    out = df.checkpoint()
+    rows = out._jdf.queryExecution().toRdd()
+    parts = max(1, -(-rows.count() // SAVED_ROWS))
+    return out.coalesce(parts) if parts < rows.getNumPartitions() else out
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

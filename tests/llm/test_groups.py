@@ -61,7 +61,6 @@ def test_join_equals_all_pairs(spark, monkeypatch, cell, heavy):
     monkeypatch.setattr(jaccard, "CELL", cell)
     monkeypatch.setattr(jaccard, "HEAVY", heavy)
     if cell < 512:
-        monkeypatch.setattr(components, "AT_ONCE", 5)
         monkeypatch.setattr(jaccard, "PIVOTS", 1)
         monkeypatch.setattr(jaccard, "DEALT", 2)
         monkeypatch.setattr(common, "HOT_ROWS", 2)
@@ -82,6 +81,17 @@ def test_join_of_many_near_copies_in_cells(monkeypatch):
     assert len(links) == 119 and all(max(p, q) < 120 for p, q in links)
 
 
+@pytest.mark.parametrize("at_once", [1 << 18, 2])
+def test_components(spark, monkeypatch, at_once):
+    """At once and in rounds, with a hot vertex."""
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    pairs = [(1, 2), (2, 3), (9, 8), (8, 3), (4, 4), *((50, k) for k in range(40, 48)), (60, 61), (61, 60), (-5, 61)]
+    got = {r.v: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = dict.fromkeys((1, 2, 3, 8, 9), 1) | dict.fromkeys((50, *range(40, 48)), 40) | dict.fromkeys((60, 61, -5), -5)
+    assert got == want
+
+
 @pytest.mark.parametrize("cell", [512, 6])
 def test_link_counts(spark, monkeypatch, cell):
     monkeypatch.setattr(jaccard, "CELL", cell)

@@ -39,6 +39,14 @@ def test_hosts(spark):
     assert one(spark, U.resolve_against(F.lit("https://h.org/a/b/c.html"), F.col("c0")), "../i.png") == "https://h.org/a/i.png"
 
 
+@pytest.mark.parametrize("ref", ["i.png", "./i.png", "../../i.png", "../../../../i.png", "a/./b/../c.png?x=1#y", "?q=2", "#f", "", "/r/../s.png", "//o.org/x", "https://z/", ".."])
+def test_references_resolve_as_urls_do(spark, ref):
+    from urllib.parse import urljoin
+
+    base = "https://h.org/a/b/c.html?k=1"
+    assert one(spark, U.resolve_against(F.lit(base), F.col("c0")), ref) == urljoin(base, ref)
+
+
 WIKI = "---\ntype: entity\ncreated: 2024-01-02\n---\n# Name\nSee [[A]] and [[B|b]].\n```\n[[C]]\n```\n## Synthesis\ntbd\n## Observations\n- one [[A]]\n- two\n"
 
 

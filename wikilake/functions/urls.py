@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tracking parameters, rules of share links, hosts of site modules in order of priority.
+# Tracking parameters, rules of share links, hosts of site modules in order of priority, shapes of URLs of apps.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "ref_src")
 PARTS = r"^(?i)(https?)://([^/?#]*)([^?#]*)\??([^#]*)"
 SHARE_RULES = ((r"^share\.google$", "link"),)
@@ -159,19 +159,29 @@ def local_image_name(prefix: Column, n: Column, url: Column) -> Column:
     return F.format_string("%s-img-%03d.%s", prefix, n, F.when(ext == "", "jpg").otherwise(ext))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root without . and .. segments; what leads above the root goes."""
+    parts = F.split(F.regexp_replace(path, r"^/", ""), "/", -1)
+    step = lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    ends = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends, "/").otherwise(""))
+
+
 def resolve_against(base: Column, ref: Column) -> Column:
-    """A reference made absolute: absolute ones stay, // and / take scheme or host, the rest the base's folder.  Dot
-    segments at the front are resolved once for each folder that remains."""
+    """A reference made absolute: one with a scheme stays, // takes the scheme, / the host, ? the path, # all of the base; the rest takes the
+    base's folder.  Dot segments are resolved."""
     root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
-    folder = F.regexp_replace(part(base, 3), r"[^/]*$", "")
-    folder = F.when(folder == "", "/").otherwise(folder)
-    up = F.regexp_replace(folder, r"[^/]+/$", "")
+    path = F.when(part(base, 3) == "", "/").otherwise(part(base, 3))
+    query = F.when(part(base, 4) == "", "").otherwise(F.concat(F.lit("?"), part(base, 4)))
+    own, tail = F.regexp_extract(ref, r"^([^?#]*)", 1), F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
+    whole = F.when(ref.startswith("/"), own).otherwise(F.concat(F.regexp_replace(path, r"[^/]*$", ""), own))
     return (
         F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
         .when(ref.startswith("//"), F.concat(part(base, 1), F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(root, ref))
-        .when(ref.startswith("../"), F.concat(root, up, F.regexp_replace(ref, r"^\.\./", "")))
-        .otherwise(F.concat(root, folder, F.regexp_replace(ref, r"^\./", "")))
+        .when((ref == "") | ref.startswith("#"), F.concat(root, path, query, ref))
+        .when(ref.startswith("?"), F.concat(root, path, ref))
+        .otherwise(F.concat(root, without_dots(whole), tail))
     )
 
 

@@ -43,7 +43,7 @@ from wikilake.llm.common import fold, frequent, gathered, give_back, only, saved
 HALVINGS, LEVELS, ROW = 5, (2, 4), 32
 #: Features of the history that each level looks at: 0 last token, 1 last two, 2 and 3 skips, 4 skip to all before.
 FEATURES = ((0, 1, 2, 3, 4), (0, 1, 4), (0, 1, 4), (0, 4))
-ROW_BITS = (12, 18)
+ROW_BITS = (12, 16)
 RATE, BATCH = 0.1, 4096
 #: Tokens with counts on every executor: tables of fixed size; all others are joined.
 TOP, SLOT_BITS = 1 << 17, 19

@@ -9,9 +9,10 @@ from wikilake.llm.htmltext import op6_html_text
 from wikilake.llm.jaccard import op8_jaccard_join
 from wikilake.llm.langid import op9_language
 from wikilake.llm.lmscore import op3_lm_score
+from wikilake.llm.mixing import op11_mixing
 from wikilake.llm.pii import op4_pii
 from wikilake.llm.secrets import op5_secrets
 from wikilake.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_lm_score": op3_lm_score, "op4_pii": op4_pii, "op5_secrets": op5_secrets, "op6_html_text": op6_html_text, "op7_bpe": op7_bpe, "op8_jaccard_join": op8_jaccard_join, "op9_language": op9_language, "op10_fingerprint": op10_fingerprint}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_lm_score": op3_lm_score, "op4_pii": op4_pii, "op5_secrets": op5_secrets, "op6_html_text": op6_html_text, "op7_bpe": op7_bpe, "op8_jaccard_join": op8_jaccard_join, "op9_language": op9_language, "op10_fingerprint": op10_fingerprint, "op11_mixing": op11_mixing}
 SQL: dict[str, str] = {}

@@ -1,8 +1,10 @@
-"""Queries of this subpackage.  None has SQL: their tests compare with brute force, round trips or held-out labels."""
+"""Queries of this subpackage and the SQL of two; tests compare the others with brute force, round trips or held-out labels."""
 
 from __future__ import annotations
 
+from wikilake.llm import clusters
 from wikilake.llm.bpe import op7_bpe
+from wikilake.llm.clusters import op13_clusters
 from wikilake.llm.decontaminate import op2_decontaminate
 from wikilake.llm.fingerprint import op10_fingerprint
 from wikilake.llm.htmltext import op6_html_text
@@ -14,5 +16,5 @@ from wikilake.llm.pii import op4_pii
 from wikilake.llm.secrets import op5_secrets
 from wikilake.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_lm_score": op3_lm_score, "op4_pii": op4_pii, "op5_secrets": op5_secrets, "op6_html_text": op6_html_text, "op7_bpe": op7_bpe, "op8_jaccard_join": op8_jaccard_join, "op9_language": op9_language, "op10_fingerprint": op10_fingerprint, "op11_mixing": op11_mixing}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_lm_score": op3_lm_score, "op4_pii": op4_pii, "op5_secrets": op5_secrets, "op6_html_text": op6_html_text, "op7_bpe": op7_bpe, "op8_jaccard_join": op8_jaccard_join, "op9_language": op9_language, "op10_fingerprint": op10_fingerprint, "op11_mixing": op11_mixing, "op13_clusters": op13_clusters}
+SQL: dict[str, str] = {"op13_clusters": clusters.SQL}

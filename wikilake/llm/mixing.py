@@ -31,7 +31,7 @@ BLOCK, SHARD = 512, 1024
 #: Weights by turns, the mix in percent of all words, and how often a source is taken at most.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 150, 2
 #: Documents of a stretch of a stream, about, and shards of a stretch of shards: sums run within them, then over them.
-STRETCH = 4_096
+STRETCH = 1_024
 ROUNDS, SEED = 4, 11
 
 

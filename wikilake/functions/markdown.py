@@ -177,8 +177,8 @@ _RULE = "\n---\n"  # between a page's preamble and its body
 
 
 def _outside(text: str, f: Callable[[str], str]) -> str:
-    """f on what is outside fences."""
-    parts = re.split(r"(?ms)(^[ \t]*```.*?^[ \t]*```[^\n]*$)", text)
+    """f on what is outside fences; a fence that stays open goes to the end."""
+    parts = re.split(r"(?ms)(^[ \t]*```.*?(?:^[ \t]*```[^\n]*$|\Z))", text)
     return "".join(p if k % 2 else f(p) for k, p in enumerate(parts))
 
 

@@ -21,13 +21,27 @@ def lines(text: Column) -> Column:
     return F.split(text, r"\r?\n", -1)
 
 
+def _runs(text: Column) -> Column:
+    """The text cut before every fence line: (text, n, more).  Of the parts numbered from the first fence on, odd ones begin
+    with the line that opens a fence, even ones with the line that closes it; 0 is what stands before.  more: another part follows."""
+    return bound(F.split(text, r"(?md)(?=^```)", -1), lambda p: F.transform(p, lambda x, i: F.struct(x.alias("text"), (i + F.when(p[0].startswith("```"), 1).otherwise(0)).alias("n"), (i + 1 < F.size(p)).alias("more"))))
+
+
+def _rows(text: Column, more: Column) -> Column:
+    """Lines of a part; the line break before the next part ends the last of them."""
+    return F.when(more & (text == ""), F.array().cast("array<string>")).otherwise(lines(F.when(more, F.regexp_replace(text, r"\r?\n\z", "")).otherwise(text)))
+
+
+def _behind(part: Column) -> Column:
+    """What follows the first line of a part."""
+    return F.regexp_replace(part, r"\A[^\n]*\n?", "")
+
+
 def outside_fences(text: Column) -> Column:
     """Array of the lines outside fences, without the fence lines."""
-    step = lambda a, line: F.when(
-        line.startswith("```"), F.struct((~a.fenced).alias("fenced"), a.kept.alias("kept"))
-    ).otherwise(F.struct(a.fenced.alias("fenced"), F.when(a.fenced, a.kept).otherwise(F.concat(a.kept, F.array(line))).alias("kept")))
-    start = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<string>").alias("kept"))
-    return F.aggregate(lines(text), start, step, lambda a: a.kept)
+    none = F.array().cast("array<string>")
+    rows = lambda p: F.when(p.n == 0, _rows(p.text, p.more)).when((p.n % 2 == 1) | ~F.contains(p.text, F.lit("\n")), none).otherwise(_rows(_behind(p.text), p.more))
+    return F.flatten(F.transform(_runs(text), rows))
 
 
 def strip_fences(text: Column) -> Column:
@@ -143,21 +157,14 @@ def features(text: Column) -> dict[str, Column]:
 
 def fenced_lines(text: Column) -> Column:
     """Array of (line, fenced): whether a line is a fence or inside of one."""
-    step = lambda a, line: F.struct(
-        (a.open != line.startswith("```")).alias("open"), F.concat(a.rows, F.array(F.struct(line.alias("line"), (a.open | line.startswith("```")).alias("fenced")))).alias("rows")
-    )
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<struct<line:string,fenced:boolean>>").alias("rows"))
-    return F.aggregate(lines(text), start, step, lambda a: a.rows)
+    marked = lambda p: F.transform(_rows(p.text, p.more), lambda line, i: F.struct(line.alias("line"), ((p.n % 2 == 1) | ((p.n > 0) & (i == 0))).alias("fenced")))
+    return F.flatten(F.transform(_runs(text), marked))
 
 
 def outside(text: Column, f: Callable[[Column], Column]) -> Column:
     """f on each part of the text that is outside fences; fences that stay open go to the end."""
-    parts = F.split(text, r"(?m)(?=^```)", -1)
-    # Every other part begins with the fence line that ends a block.
-    step = lambda a, p: F.when(
-        ~p.startswith("```"), F.struct(a.open.alias("open"), F.concat(a.out, F.when(a.open, p).otherwise(f(p))).alias("out"))
-    ).when(a.open, F.struct(F.lit(False).alias("open"), F.concat(a.out, F.regexp_extract(p, r"(?s)^([^\n]*\n?)", 1), f(F.regexp_replace(p, r"^[^\n]*\n?", ""))).alias("out"))).otherwise(F.struct(F.lit(True).alias("open"), F.concat(a.out, p).alias("out")))
-    return F.aggregate(parts, F.struct(F.lit(False).alias("open"), F.lit("").alias("out")), step, lambda a: a.out)
+    part = lambda p: F.when(p.n == 0, f(p.text)).when(p.n % 2 == 1, p.text).otherwise(F.concat(F.regexp_extract(p.text, r"\A([^\n]*\n?)", 1), f(_behind(p.text))))
+    return F.array_join(F.transform(_runs(text), part), "")
 
 
 def collapse_asterisks(text: Column) -> Column:

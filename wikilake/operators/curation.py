@@ -123,11 +123,18 @@ def measures(prompts: DataFrame) -> DataFrame:
     return prompts.groupBy("kind").agg(F.count("*").alias("prompts"), F.sum("chars").alias("chars"), F.sum(tokens(F.col("chars"))).alias("tokens"))
 
 
+#: Fixed value: the line that begins an entity's part of a batch response.
+MARKER = r"=== entity: (.+?) ===\s*"
+
+
 def batch_parts(response: Column) -> Column:
-    """(name, text) of a response whose parts begin with `=== name ===`."""
-    rule = r"=== ([^=\n]+) ===\n([^=]*)"
-    names, texts = F.regexp_extract_all(response, F.lit(rule), F.lit(1)), F.regexp_extract_all(response, F.lit(rule), F.lit(2))
-    return F.transform(F.arrays_zip(names.alias("name"), texts.alias("text")), lambda x: F.struct(F.trim(x["name"]).alias("name"), F.regexp_replace(x["text"], r"^\s+|\s+$", "").alias("text")))
+    """(name, text) of a response whose parts begin with a marker line `=== entity: name ===`, each but what a line of three backticks cuts
+    off; empty parts are left out, and of parts of one name the last stands."""
+    trimmed = lambda x: F.regexp_replace(x, r"\A\s+|\s+\z", "")
+    parts = F.filter(F.split(trimmed(response), rf"(?m)(?=^{MARKER}$)", -1), lambda p: p.rlike(rf"\A{MARKER}(\n|\z)"))
+    named = F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, rf"\A{MARKER}", 1)).alias("name"), trimmed(F.regexp_replace(trimmed(F.regexp_replace(p, r"\A[^\n]*\n?", "")), r"(?s)\n```.*", "")).alias("text")))
+    full = F.filter(named, lambda x: (x["name"] != "") & (x.text != ""))
+    return T.bound(full, lambda rows: F.filter(rows, lambda x, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda y: y["name"] == x["name"])))
 
 
 def unmatched(asked: DataFrame, given: DataFrame) -> DataFrame:

@@ -148,43 +148,6 @@ def detected_entities(spark, d):
     return curation.detected_entities(n.select("n_nationkey", F.col("n_name").alias("name")), aliases, items)
 
 
-_WIKI = "concat('# page ', doc_id, chr(10), 'See [[page ', doc_id % 10, ']] and [[page 3|three]].', chr(10), '## Observations', chr(10), '- seen ', lang)"
-
-
-def wiki(spark, d):
-    """Pages made of constant markup: a title, two links, observations."""
-    i, s = F.col("doc_id").cast("string"), F.lit
-    text = F.concat(s("# page "), i, s("\nSee [[page "), (F.col("doc_id") % 10).cast("string"), s("]] and [[page 3|three]].\n## Observations\n- seen "), "lang")
-    return A.table(spark, d, "documents").select(F.concat(s("page "), i).alias("slug"), text.alias("body"))
-
-
-@query(
-    f"""SELECT CASE WHEN doc_id = 3 THEN 'p3' ELSE concat('page ', doc_id) END AS slug, doc_id = 3 OR b <> r AS changed, r AS body
-    FROM (SELECT doc_id, b, replace(replace(CASE WHEN doc_id = 3 THEN replace(b, '# page 3' || chr(10), '# p3' || chr(10)) ELSE b END, '[[page 3]]', '[[p3]]'), '[[page 3|', '[[p3|') AS r FROM (SELECT doc_id, {_WIKI} AS b FROM documents))"""
-)
-def rename_rewrite(spark, d):
-    return curation.renamed(wiki(spark, d), "page 3", "p3").select("slug", "changed", "body")
-
-
-@query(
-    f"""SELECT concat('page ', doc_id) AS slug, replace(replace(b, '[[page 3]]', '[[page 5]]'), '[[page 3|', '[[page 5|') || CASE WHEN doc_id = 5 THEN concat(chr(10), '<!-- merged from page 3 -->', chr(10), '- seen ', (SELECT lang FROM documents WHERE doc_id = 3), chr(10), '<!-- synthesis: stale -->', chr(10)) ELSE '' END AS body
-    FROM (SELECT doc_id, {_WIKI} AS b FROM documents) WHERE doc_id <> 3"""
-)
-def merge_docs(spark, d):
-    return curation.merged(wiki(spark, d), "page 3", "page 5").select("slug", "body")
-
-
-@query(f"SELECT concat('page ', doc_id) AS slug, {_WIKI} || chr(10) || chr(10) || '## Comparison' || chr(10) AS body FROM documents")
-def comparison_heading(spark, d):
-    return wiki(spark, d).withColumn("body", curation.with_heading(F.col("body"), "Comparison"))
-
-
-@query("SELECT concat('page ', doc_id) AS slug, concat('seen ', lang) AS first_observation, concat('page ', doc_id) AS title, concat('See [[page ', doc_id % 10, ']] and [[page 3|three]].') AS paragraph FROM documents")
-def page_parts(spark, d):
-    b = F.col("body")
-    return wiki(spark, d).select("slug", F.regexp_replace(F.element_at(T.observations(b), 1), "^- ", "").alias("first_observation"), T.human_title(b).alias("title"), T.first_paragraph(b).alias("paragraph"))
-
-
 def wiki_whole(spark, d):
     """Pages of wiki with the whole text before and in the observations."""
     i, s, t = F.col("doc_id").cast("string"), F.lit, F.coalesce("text", F.lit(""))

@@ -94,12 +94,13 @@ def revision_history(spark, d):
     return revisions.history(A.revisions(spark, d))
 
 
-@query("SELECT doc_id, CAST(length(text) + 8 AS INTEGER) AS d_chars, CAST(1 AS INTEGER) AS d_headings, CAST(0 AS INTEGER) AS d_fences FROM documents WHERE text IS NOT NULL")
+@query(
+    """SELECT doc_id, CAST(length(text) + 8 AS INTEGER) AS d_chars, CAST(len(regexp_extract_all(text, '(?m)^#{1,6} ')) + 1 AS INTEGER) AS d_headings, CAST(len(regexp_extract_all(text, '(?m)^```')) AS INTEGER) AS d_fences FROM documents WHERE text IS NOT NULL"""
+)
 def structural_deltas(spark, d):
     new = F.concat(F.lit("## new\n"), "text", F.lit("\n"), "text")
-    rows = A.table(spark, d, "documents").where("text is not null and not text rlike '(?m)^(#{1,6} |```)'").select("doc_id", F.col("text").alias("a"), new.alias("b"))
-    odd = A.table(spark, d, "documents").where("text rlike '(?m)^(#{1,6} |```)'").select("doc_id", (F.length("text") + 8).alias("d_chars"), F.lit(1).alias("d_headings"), F.lit(0).alias("d_fences"))
-    return revisions.structural_delta(rows, "a", "b").select("doc_id", "d_chars", "d_headings", "d_fences").unionByName(odd)
+    rows = A.table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("a"), new.alias("b"))
+    return revisions.structural_delta(rows, "a", "b").select("doc_id", "d_chars", "d_headings", "d_fences")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size * 30 < 60 THEN concat(p_size * 30, ' days') WHEN p_size * 30 < 730 THEN concat(p_size, ' months') ELSE concat(CAST(round(p_size * 30 / 365.0) AS BIGINT), ' years') END AS age FROM part")

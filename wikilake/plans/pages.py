@@ -106,7 +106,7 @@ def page_cleanup(spark, d):
 @query(
     CTE
     + """SELECT doc_id, rule, count(*) AS n FROM (SELECT doc_id, unnest(['escaped-image', 'escaped-emoji', 'empty-heading', 'multi-line-link', 'blank-run']) AS rule FROM docs
-    UNION ALL SELECT doc_id, 'blank-run' FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\\n{3,}')) FROM docs) UNION ALL SELECT doc_id, 'asterisk-run' FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM docs) WHERE regexp_matches(x, '\*{4,}')) GROUP BY ALL"""
+    UNION ALL SELECT doc_id, 'blank-run' FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\\n{3,}')) FROM docs) UNION ALL SELECT doc_id, 'asterisk-run' FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM docs) WHERE regexp_matches(x, '\\*{4,}')) GROUP BY ALL"""
 )
 def page_structure(spark, d):
     """Each rule but that of glued bolds (see the tests) broken once in a page, before its whole text; what the text breaks itself comes on top."""
@@ -184,13 +184,17 @@ def queue_parsed(spark, d):
     return rows.select("doc_id", F.concat(s("- [ ] "), F.col("doc_id").cast("string")).alias("open"), "q.approved", "q.confidence", "q.command", "q.rationale", "q.n")
 
 
-@query(CTE + "SELECT doc_id, concat('one:', length(regexp_replace(t, '^\s+|\s+$', '', 'g')), ',two:', doc_id) AS parts FROM docs WHERE NOT contains(t, '=')")
+@query(
+    CTE
+    + """, own AS (SELECT doc_id, regexp_replace(concat('one: a = b', chr(10), regexp_replace(t, '^\\s+', ''), chr(10), '```'), '(?s)\\n```.*', '') AS x FROM docs)
+    SELECT doc_id, CAST(2 AS INTEGER) AS parts, sha256(regexp_replace(x, '\\s+$', '')) AS one, concat('two = ', doc_id) AS two FROM own"""
+)
 def batch_parsed(spark, d):
-    s = F.lit
-    p = pages(spark, d).where("not contains(t, '=')")
-    text = F.concat(s("=== one ===\n"), F.col("t"), s("\n=== two ===\n"), F.col("doc_id").cast("string"), s("\n"))
-    rows = p.select("doc_id", "t", curation.batch_parts(text).alias("b"))
-    return rows.select("doc_id", F.concat(s("one:"), F.length(F.col("b")[0].text).cast("string"), s(",two:"), F.col("b")[1].text).alias("parts"))
+    s, i = F.lit, F.col("doc_id").cast("string")
+    text = F.concat(s("Here is it:\n\n=== entity: one ===\n\nold\n=== entity: gone ===\n\n=== entity: two ===\ntwo = "), i, s("\n```\nbye\n=== entity: one ===\none: a = b\n"), F.regexp_replace("t", r"\A\s+", ""), s("\n```"))
+    rows = pages(spark, d).select("doc_id", curation.batch_parts(text).alias("b"))
+    of = lambda name: F.element_at(F.filter("b", lambda x: x["name"] == name), 1).text
+    return rows.select("doc_id", F.size("b").alias("parts"), F.sha2(of("one").cast("binary"), 256).alias("one"), of("two").alias("two"))
 
 
 @query(

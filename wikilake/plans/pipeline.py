@@ -55,13 +55,6 @@ def host_graduation(spark, d):
     return state.graduations(counts(b), counts(b.where("bookmark_id % 3 = 0")))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE concat('https://share.google/?link=', url) END AS link, url AS target FROM pages WHERE NOT contains(url, '?') AND NOT contains(url, '#')")
-def url_unwrap(spark, d):
-    p = A.table(spark, d, "pages").where("not contains(url, '?') and not contains(url, '#')")
-    link = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("https://share.google/?link="), "url"))
-    return p.select("page_id", link.alias("link")).withColumn("target", U.unwrap_share_url(F.col("link")))
-
-
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE concat('https://share.google/?link=', url_encode(url)) END AS link, url AS target FROM pages")
 def url_unwrap_all(spark, d):
     link = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("https://share.google/?link="), F.url_encode("url")))
@@ -99,16 +92,6 @@ def slugify(spark, d):
     return p.select("p_partkey", U.slugify(F.col("p_name")).alias("slug"), U.year_for_slug(dated, 1999).alias("year"))
 
 
-@query(
-    f"""WITH p AS (SELECT page_id, {A.sql_part('url', 1)} AS s, {A.sql_part('url', 2)} AS a, regexp_replace({A.sql_part('url', 3)}, '[^/]*$', '') AS f FROM pages)
-    SELECT page_id, concat(s, '://', a, CASE WHEN f = '' THEN '/' ELSE f END, 'img/a.png') AS relative, concat(s, '://', a, '/b.png') AS rooted, concat('page-img-', lpad(CAST(page_id AS VARCHAR), 3, '0'), '.jpg') AS name FROM p WHERE page_id < 1000"""
-)
-def image_urls_resolved(spark, d):
-    u = F.col("url")
-    rows = A.table(spark, d, "pages").where("page_id < 1000")
-    return rows.select("page_id", U.resolve_against(u, F.lit("./img/a.png")).alias("relative"), U.resolve_against(u, F.lit("/b.png")).alias("rooted"), U.local_image_name(F.lit("page"), F.col("page_id"), u).alias("name"))
-
-
 @query(
     f"""WITH p AS (SELECT page_id, {A.sql_part('url', 1)} AS s, {A.sql_part('url', 2)} AS a, regexp_replace({A.sql_part('url', 3)}, '[^/]*$', '') AS f FROM pages)
     SELECT page_id, concat(s, '://', a, CASE WHEN f = '' THEN '/' ELSE f END, 'img/a.png') AS relative, concat(s, '://', a, '/b.png') AS rooted, concat('page-img-', printf('%03d', page_id), '.jpg') AS name FROM p"""
@@ -337,15 +320,6 @@ def sync_changes(spark, d):
     return revisions.sync_changes(docs.where("slug % 5 > 0"), docs.where("slug % 7 > 0").select("slug", sha.alias("content_sha")))
 
 
-@query(
-    """WITH r AS (SELECT user_id AS slug, min(ts) AS up, max(ts) AS ed FROM events WHERE event_id % 50 < 3 GROUP BY user_id)
-    SELECT slug, 'title' AS issue FROM r WHERE slug % 2 = 1 UNION ALL SELECT slug, 'edited' FROM r WHERE ed > up + INTERVAL 5 MINUTE"""
-)
-def reconcile_skew(spark, d):
-    e = A.table(spark, d, "events").where("event_id % 50 < 3").groupBy(F.col("user_id").alias("slug")).agg(F.min("ts").alias("uploaded_at"), F.max("ts").alias("edited_at"))
-    return revisions.reconcile_light(e.withColumn("title", F.when(F.col("slug") % 2 == 1, F.lit(-1)).otherwise(F.col("slug"))))
-
-
 @query(
     """WITH r AS (SELECT user_id AS slug, min(ts) AS up, max(ts) AS ed FROM events GROUP BY user_id)
     SELECT slug, 'title' AS issue FROM r WHERE slug % 2 = 1 UNION ALL SELECT slug, 'edited' FROM r WHERE ed > up + INTERVAL 5 MINUTE"""

@@ -64,13 +64,6 @@ def assemble_content(spark, d):
     return report.assembled(c.select("conv_id", F.col("turn").alias("place"), F.col("role").alias("tag"), "text"), "conv_id")
 
 
-@query("SELECT doc_id, concat('> note ', lang, chr(10), '![](', source, ') $x$ end') AS text FROM documents")
-def tag_markup(spark, d):
-    s = F.lit
-    raw = F.concat(s('<grid cols="2">\n<callout emoji="x">\nnote <text color="red">'), "lang", s('</text>\n</callout>\n<image token="'), "source", s('" width="1"/> <equation>x</equation> end</grid>'))
-    return A.table(spark, d, "documents").select("doc_id", report.rewrite_tags(raw).alias("text"))
-
-
 @query()
 def tag_markup_whole(spark, d):
     s, t = F.lit, F.coalesce("text", F.lit(""))

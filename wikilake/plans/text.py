@@ -11,35 +11,6 @@ from wikilake.plans.registry import registry
 from wikilake.streaming import windows
 
 QUERIES, SQL, query = registry()
-_FENCED = "concat('# T', chr(10), '[[a ', doc_id % 7, ']]', chr(10), '```', chr(10), '[[hidden]]', chr(10), '```', chr(10), '## Observations', chr(10), '- [[b|see]]', chr(10), '- [[a ', doc_id % 7, ']]', chr(10), '## End', chr(10), '![i](x.png) ![j](http://h/y.png)')"
-
-
-def _fenced(spark, d):
-    k = (F.col("doc_id") % 7).cast("string")
-    s = F.lit
-    text = F.concat(s("# T\n[[a "), k, s("]]\n```\n[[hidden]]\n```\n## Observations\n- [[b|see]]\n- [[a "), k, s("]]\n## End\n![i](x.png) ![j](http://h/y.png)"))
-    return A.table(spark, d, "documents").select("doc_id", text.alias("body"))
-
-
-@query("SELECT doc_id, concat('# T', chr(10), '[[a ', doc_id % 7, ']]', chr(10), '## Observations', chr(10), '- [[b|see]]', chr(10), '- [[a ', doc_id % 7, ']]', chr(10), '## End', chr(10), '![i](x.png) ![j](http://h/y.png)') AS text FROM documents")
-def fence_strip(spark, d):
-    return _fenced(spark, d).select("doc_id", T.strip_fences(F.col("body")).alias("text"))
-
-
-@query("SELECT doc_id, concat('a ', doc_id % 7, ',b') AS links FROM documents")
-def wikilinks_extract(spark, d):
-    return _fenced(spark, d).select("doc_id", F.array_join(T.wikilinks(F.col("body")), ",").alias("links"))
-
-
-@query("SELECT doc_id, concat('- [[b|see]]', chr(10), '- [[a ', doc_id % 7, ']]') AS section, CAST(2 AS INTEGER) AS bullets, concat('## Observations', chr(10), '- [[b|see]]', chr(10), '- [[a ', doc_id % 7, ']]') AS excerpt FROM documents")
-def section_extract(spark, d):
-    b = F.col("body")
-    return _fenced(spark, d).select("doc_id", T.section(b, "Observations").alias("section"), F.size(T.observations(b)).alias("bullets"), T.excerpt(b, ("Observations", "Missing")).alias("excerpt"))
-
-
-@query(f"SELECT doc_id, 1 AS h1, 2 AS h2, 0 AS h3, 2 AS fences, 0 AS tables, 2 AS images, 1 AS remote_images, length({_FENCED}) AS body_chars, 0 AS unbalanced_bold, 0 AS empty_headings, 0 AS frontmatter FROM documents")
-def md_features(spark, d):
-    return _fenced(spark, d).select("doc_id", *(c.alias(k) for k, c in T.features(F.col("body")).items()))
 
 
 def _whole(spark, d):

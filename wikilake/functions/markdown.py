@@ -32,6 +32,7 @@ class _Builder(HTMLParser):
         self.row: list[str] | None = None
         self.rows: list[list[str]] = []
         self.code = 0
+        self.bolds: list[int] = []
         self.title = ""
 
     def _gap(self, n: int = 2) -> None:
@@ -59,6 +60,7 @@ class _Builder(HTMLParser):
             self._put("#" * int(tag[1]) + " ")
         elif tag in ("b", "strong"):
             self._put("**")
+            self.bolds.append(len(self.out))
         elif tag in ("i", "em"):
             self._put("*")
         elif tag == "a":
@@ -114,8 +116,12 @@ class _Builder(HTMLParser):
                 while self.skip.pop() != tag:
                     pass
             return
-        if tag in ("b", "strong"):
-            self._put("**")
+        if tag in ("b", "strong") and self.bolds:
+            begin = self.bolds.pop()
+            if self.row is None and 0 < begin <= len(self.out) and self.out[begin - 1] == "**" and not "".join(self.out[begin:]).strip():
+                self.out[begin - 1] = ""  # nothing is bold
+            else:
+                self._put("**")
         elif tag in ("i", "em"):
             self._put("*")
         elif tag == "a" and self.links:
@@ -156,7 +162,7 @@ def to_markdown(page: str) -> str:
     text = "".join(b.out)
     parts = re.split(r"(```.*?```)", text, flags=re.S)
     for k in range(0, len(parts), 2):
-        p = re.sub(r"\*\*\s*\*\*|(?<!!)\[\s*\]\([^)]*\)", "", parts[k])
+        p = re.sub(r"(?<!!)\[\s*\]\([^)]*\)", "", parts[k])
         p = re.sub(r"[ \t]+\n|\n[ \t]+(?=[^\s\-0-9>])", "\n", p)
         p = re.sub(r"(?m)^#{1,6}\s*$", "", p)
         parts[k] = re.sub(r"\n{3,}", "\n\n", p)
@@ -544,6 +550,11 @@ def largest_source(srcset: Column) -> Column:
     return F.array_max(ranked).u
 
 
+def escaped(value: Column) -> Column:
+    """A value between double quotes in HTML."""
+    return F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+
+
 def text_of(page: Column) -> Column:
     """Plain text by patterns alone, for counts: no scripts, styles or tags; character references stay."""
     t = F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")

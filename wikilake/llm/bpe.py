@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 
 from wikilake.llm.common import CACHES, only, table, tidy
 
-#: Code points of a text split at once, and words whose encoding a worker remembers.
-PIECE, REMEMBERED = 1 << 16, 1 << 17
+#: Code points of a text split at once, and half of the results of a kind that a worker remembers.
+PIECE, REMEMBERED = 1 << 16, 1 << 18
 END = "</w>"
 # The tokenizer's own pattern, with the white space of Unicode's White_Space property written out.
 _SPACES = r"\t-\r \x85\xa0  -     　"
@@ -54,6 +54,28 @@ def byte_characters() -> list[str]:
     return [chr(b if b in keep else next(spare)) for b in range(256)]
 
 
+class Recent(dict):
+    """Results by key: the latest `half` of them, and those that have been used again of the half before."""
+
+    def __init__(self, make, half: int):
+        super().__init__()
+        self.make, self.half, self.before = make, half, {}
+
+    def __missing__(self, key):
+        out = self.before.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.half:
+            self.before = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+    def forget(self) -> None:
+        self.before = {}
+        self.clear()
+
+
 class Transducer:
     """Encodes words, given as strings of symbols, by a merge list."""
 
@@ -74,7 +96,7 @@ class Transducer:
         self._sizes = [{k: (*sorted(v, reverse=True), 2, 1) for k, v in by.items()} for by in sizes]
         self._right: dict[str, tuple] = {}
         self._left: dict[str, tuple] = {}
-        self._stable: dict[tuple[str, str], bool] = {}
+        self._stable = Recent(self._apart, REMEMBERED)
 
     @staticmethod
     def size(token: str) -> int:
@@ -114,26 +136,45 @@ class Transducer:
 
     def stable(self, a: str, b: str) -> bool:
         """Whether a and b stay apart when one follows the other."""
-        out = self._stable.get((a, b))
-        if out is None:
-            if len(self._stable) > REMEMBERED:
-                self._stable.clear()
-            rank, out = self.rank.get, True
-            for x, x_end in self._spine(a, 1):
-                for y, y_end in self._spine(b, 0):
-                    r = rank((x, y))
-                    if r is not None and r < x_end and r <= y_end:
-                        out = False
-                        break
-                if not out:
-                    break
-            self._stable[a, b] = out
-        return out
-
-    def tokens(self, word: str) -> Iterator[str]:
+        return self._stable[a, b]
+
+    def _apart(self, pair: tuple[str, str]) -> bool:
+        rank, left = self.rank.get, self._spine(pair[1], 0)
+        for x, x_end in self._spine(pair[0], 1):
+            for y, y_end in left:
+                r = rank((x, y))
+                if r is not None and r < x_end and r <= y_end:
+                    return False
+        return True
+
+    def tokens(self, word: str) -> Iterable[str]:
         """The tokens of one word, as they become stable.  A prefix's last token is its longest one that is
         stable after the last token of the prefix before it."""
-        vocab, n, known, inner, ahead = self.vocab, len(word), self._stable.get, self._sizes[0], self.lookahead
+        n, ahead = len(word), self.lookahead
+        if n < 2 * ahead:
+            return self._at_once(word)
+        return self._in_pieces(word, n, ahead)
+
+    def _at_once(self, word: str) -> list[str]:
+        """The tokens of a word that ends before the first of them could be emitted."""
+        vocab, known, whole = self.vocab, self._stable, word + END
+        n = len(word)
+        last = [""]
+        for p in range(1, n):
+            for size in self._sizes[0].get(word[p - 3 : p], _SHORT) if p > 2 else _SHORT[-p:]:
+                if size <= p and (t := word[p - size : p]) in vocab and (not (before := last[p - size]) or known[before, t]):
+                    last.append(t)
+                    break
+            else:
+                raise ValueError(f"the vocabulary has no symbol for a part of {word[:40]!r}")
+        for size in self._sizes[1].get(word[n - 3 :], _SHORT) if n > 2 else _SHORT[-n:]:
+            if size <= n and (t := whole[n - size :]) in vocab and (not (before := last[n - size]) or known[before, t]):
+                last.append(t)
+                return self._chain(last, n)
+        raise ValueError(f"the vocabulary has no symbol for the end of {word[-40:]!r}")
+
+    def _in_pieces(self, word: str, n: int, ahead: int) -> Iterator[str]:
+        vocab, known, inner = self.vocab, self._stable, self._sizes[0]
         last = [""]  # last token of each prefix from base on; with all single symbols known, each has one
         base = 0  # all before it has been emitted
         for p in range(1, n + 1):
@@ -144,12 +185,8 @@ class Transducer:
                 i = p - size
                 if i >= base and (t := word[i:end]) in vocab:
                     before = last[i - base]
-                    if before:
-                        apart = known((before, t))
-                        if apart is None:
-                            apart = self.stable(before, t)
-                        if not apart:
-                            continue
+                    if before and not known[before, t]:
+                        continue
                     last.append(t)
                     break
             else:
@@ -179,24 +216,22 @@ class Decoder:
     def __init__(self, spelt: dict[int, bytes], between: bytes = b""):
         """spelt: the bytes of each id; between: those between two ids."""
         self.spelt, self.between = spelt, between
-        outer = self
-
-        class Resting(dict):
-            """Transitions from the state without pending bytes into itself, by the ids read, as they are met; bounded."""
-
-            def __missing__(self, ids: bytes) -> str:
-                text, pending = outer.step(b"", ids)
-                if pending:
-                    raise _Unfinished
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                self[ids] = text
-                return text
+        def rest(ids: bytes) -> str:
+            """The text of some ids read in the state without pending bytes, if they lead back to it."""
+            text, pending = self.step(b"", ids)
+            if pending:
+                raise _Unfinished
+            return text
 
-        self.resting = Resting()
+        self.resting = Recent(rest, REMEMBERED)
 
     def step(self, pending: bytes, ids: bytes) -> tuple[str, bytes]:
         """(text, pending bytes) after some ids (little-endian, 32 bits)."""
+        if not pending:  # whole code points, as a rule
+            try:
+                return b"".join([self.between + self.spelt[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode(), b""
+            except UnicodeDecodeError:
+                pass
         state = codecs.getincrementaldecoder("utf-8")("replace")
         state.setstate((pending, 0))
         text = "".join(state.decode(self.between + self.spelt[i]) for i in np.frombuffer(ids, "<u4").tolist())
@@ -244,25 +279,12 @@ class WordBPE:
         #: Plain text: the bytes that the characters stand for, the end of a word as a space.
         self.plain = Decoder({i: t.encode() if t in self.special else b"".join(map(self._bytes.__getitem__, t.removesuffix(END))) + b" " * t.endswith(END) for t, i in [*model["vocab"].items(), *self.special.items()]})
 
-        class Known(dict):
-            """Bytes of the ids of each string, as it is met; bounded."""
-
-            def __init__(self, encode):
-                super().__init__()
-                self.encode = encode
-
-            def __missing__(self, key: str) -> bytes:
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                self[key] = out = self.encode(key)
-                return out
-
-        self._word, self._chunk = Known(self._of_word), Known(self._of_chunk)
+        self._word, self._chunk = Recent(self._of_word, REMEMBERED), Recent(self._of_chunk, REMEMBERED)
 
     def forget(self) -> None:
         """Empties the caches."""
         for kept in (self._word, self._chunk, self.joined.resting, self.plain.resting, self.transducer._stable):
-            kept.clear()
+            kept.forget()
 
     def _of_word(self, word: str) -> bytes:
         symbols = word.encode("utf-8").decode("latin-1").translate(self._map)

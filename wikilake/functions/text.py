@@ -211,33 +211,49 @@ def link_places(text: Column) -> Column:
 UNRESOLVED = "wiki-unresolved:"
 
 
-def resolved_links(text: Column, urls: Column, missing: str = "placeholder") -> Column:
-    """[[slug]] and [[slug|text]] to [text](url), outside fences.  urls: a map from slugs.  What it lacks becomes a placeholder, plain text,
-    or, if missing is fail, an error."""
-    url = lambda slug: F.try_element_at(urls, slug)
-    of = {
-        "placeholder": lambda slug, shown: F.concat(F.lit("["), shown, F.lit(f"]({UNRESOLVED}"), F.replace(F.url_encode(slug), F.lit("+"), F.lit("%20")), F.lit(")")),
-        "plain": lambda slug, shown: shown,
-        "fail": lambda slug, shown: F.raise_error(F.concat(F.lit("unresolved link: "), slug)).cast("string"),
-    }[missing]
-
-    def part(t: Column) -> Column:
-        def link(x: Column) -> Column:  # what stands after a pair of brackets
-            inner = F.regexp_extract(x, r"^([^\]]*)\]\]", 1)
+def link_pieces(text: Column) -> Column:
+    """The text as an array of (slug, shown, text): a link [[slug]] or [[slug|shown]] outside fences, within a line, or none, and the text
+    that follows it."""
+    none = F.lit(None).cast("string")
+    plain = lambda t: F.struct(none.alias("slug"), none.alias("shown"), t.alias("text"))
+
+    def piece(x: Column) -> Column:  # what stands after a pair of brackets
+        def link(inner: Column) -> Column:
             slug = F.trim(F.regexp_extract(inner, r"^([^|]*)", 1))
             shown = F.trim(F.when(F.contains(inner, F.lit("|")), F.regexp_extract(inner, r"\|(.*)$", 1)).otherwise(inner))
-            ok = x.rlike(r"^[^\]|]+(?:\|[^\]]+)?\]\]")
-            to = F.when(url(slug).isNotNull(), F.concat(F.lit("["), shown, F.lit("]("), url(slug), F.lit(")"))).otherwise(of(slug, shown))
-            return F.when(ok, F.concat(to, F.substring(x, F.length(inner) + 3, F.length(x)))).otherwise(F.concat(F.lit("[["), x))
+            return F.struct(slug.alias("slug"), shown.alias("shown"), F.substring(x, F.length(inner) + 3, F.length(x)).alias("text"))
+
+        return F.when(x.rlike(r"\A[^\]|\n]+(?:\|[^\]\n]+)?\]\]"), bound(F.regexp_extract(x, r"\A([^\]]*)\]\]", 1), link)).otherwise(plain(F.concat(F.lit("[["), x)))
+
+    def pieces(t: Column) -> Column:
+        return bound(F.split(t, r"\[\[", -1), lambda x: F.concat(F.array(plain(x[0])), F.transform(F.slice(x, 2, F.size(x)), piece)))
+
+    part = lambda p: F.when(p.n == 0, pieces(p.text)).when(p.n % 2 == 1, F.array(plain(p.text))).otherwise(F.concat(F.array(plain(F.regexp_extract(p.text, r"\A([^\n]*\n?)", 1))), pieces(_behind(p.text))))
+    return F.flatten(F.transform(_runs(text), part))
+
+
+def rendered_link(slug: Column, shown: Column, url: Column, missing: str = "placeholder") -> Column:
+    """[shown](url); without a url a placeholder, plain text, or, if missing is fail, an error."""
+    of = {
+        "placeholder": lambda: F.concat(F.lit("["), shown, F.lit(f"]({UNRESOLVED}"), F.replace(F.url_encode(slug), F.lit("+"), F.lit("%20")), F.lit(")")),
+        "plain": lambda: shown,
+        "fail": lambda: F.raise_error(F.concat(F.lit("unresolved link: "), slug)).cast("string"),
+    }[missing]()
+    return F.when(url.isNotNull(), F.concat(F.lit("["), shown, F.lit("]("), url, F.lit(")"))).otherwise(of)
+
+
+def resolved_links(text: Column, urls: Column, missing: str = "placeholder") -> Column:
+    """[[slug]] and [[slug|text]] to [text](url), outside fences.  urls: a map from slugs, for few of them; operators.links
+    joins a table.  What it lacks becomes a placeholder, plain text, or, if missing is fail, an error."""
+    one = lambda x: F.when(x.slug.isNull(), x.text).otherwise(F.concat(rendered_link(x.slug, x.shown, F.try_element_at(urls, x.slug), missing), x.text))
+    return F.array_join(F.transform(link_pieces(text), one), "")
 
-        pieces = F.split(t, r"\[\[", -1)
-        return F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), link), ""))
 
-    return outside(text, part)
+def headless(raw: Column) -> Column:
+    """The body of a page without the leading H1 and the blank lines behind it."""
+    return bound(body(raw), lambda text: F.when(text.rlike(r"\A\s*#\s+\S"), F.regexp_replace(text, r"\A\s*#[^\n]*(\n\s*(?=\S|\z)|\n?\z)", "")).otherwise(text))
 
 
 def prepared(raw: Column, urls: Column, missing: str = "placeholder") -> Column:
-    """A page to be sent: its frontmatter as it is, its body without the leading H1 and the blank lines behind it, links resolved."""
-    text = body(raw)
-    headless = F.when(text.rlike(r"\A\s*#\s+\S"), F.regexp_replace(text, r"\A\s*#[^\n]*(\n\s*(?=\S|\z)|\n?\z)", "")).otherwise(text)
-    return F.concat(frontmatter(raw), resolved_links(headless, urls, missing))
+    """A page to be sent: its frontmatter as it is, its body headless, links resolved."""
+    return F.concat(frontmatter(raw), resolved_links(headless(raw), urls, missing))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wikilake.functions import markdown as M
 from wikilake.functions import text as T
-from wikilake.operators import curation, graph, quality, revisions
+from wikilake.operators import curation, graph, links, quality, revisions
 from wikilake.plans import adapters as A
 from wikilake.plans.registry import registry
 from wikilake.plans.spliced import CTE, pages
@@ -26,8 +26,8 @@ def page_fences(spark, d):
 
 @query(CTE + "SELECT doc_id, count(DISTINCT link) AS links, min(link) AS first FROM (SELECT doc_id, trim(unnest(regexp_extract_all(line, '\\[\\[([^\\]|]+)(?:\\|[^\\]]*)?\\]\\]', 1))) AS link FROM numbered WHERE out) GROUP BY doc_id")
 def page_links(spark, d):
-    links = T.wikilinks(F.col("body"))
-    return pages(spark, d).select("doc_id", F.size(links).cast("long").alias("links"), F.array_min(links).alias("first"))
+    found = T.wikilinks(F.col("body"))
+    return pages(spark, d).select("doc_id", F.size(found).cast("long").alias("links"), F.array_min(found).alias("first"))
 
 
 @query(CTE + "SELECT doc_id, place AS line, trim(regexp_extract(link, '\\[\\[([^\\]|]+)', 1)) AS dst, link FROM (SELECT doc_id, place, unnest(regexp_extract_all(line, '\\[\\[([^\\]|]+)(?:\\|[^\\]]*)?\\]\\]', 0)) AS link FROM numbered WHERE out AND doc_id % 3 <> 1)")
@@ -74,6 +74,15 @@ def page_prepared(spark, d):
     return pages(spark, d).select("doc_id", F.sha2(T.prepared(F.col("body"), urls).cast("binary"), 256).alias("sha"))
 
 
+@query(CTE + "SELECT doc_id, sha256(string_agg(CASE WHEN out THEN replace(replace(line, '[[b|see]]', '[see](https://w/11)'), concat('[[a ', doc_id % 7, ']]'), CASE WHEN doc_id % 7 % 2 = 0 THEN concat('[a ', doc_id % 7, '](https://w/', doc_id % 7, ')') ELSE concat('[a ', doc_id % 7, '](wiki-unresolved:a%20', doc_id % 7, ')') END) ELSE line END, chr(10) ORDER BY place)) AS sha FROM numbered WHERE place > 1 GROUP BY doc_id")
+def page_links_joined(spark, d):
+    """Links by a join with the documents of even numbers, and number 11, as the table of slugs."""
+    i = F.col("doc_id")
+    slugs = A.table(spark, d, "documents").where("doc_id % 2 = 0 or doc_id = 11").select(F.when(i == 11, "b").otherwise(F.concat(F.lit("a "), i.cast("string"))).alias("slug"), F.concat(F.lit("https://w/"), i.cast("string")).alias("url"))
+    rows = links.prepared(pages(spark, d).select(i.alias("key"), F.col("body").alias("raw")), slugs)
+    return rows.select(F.col("key").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
 @query(CTE + "SELECT doc_id, sha256(t) AS headless, concat('page ', doc_id) AS title FROM bodies")
 def page_title(spark, d):
     head = F.concat(F.lit("# [2024-05-06] page "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("t"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wikilake.plans import articles, checks, documents, graph, ledgers, pages, pipeline, reports, text
+from wikilake.plans import articles, checks, documents, graph, ledgers, pages, pipeline, reports, streams, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (graph, pipeline, documents, text, reports, pages, checks, ledgers, articles):
+for module in (graph, pipeline, documents, text, reports, pages, checks, ledgers, articles, streams):
     QUERIES.update(module.QUERIES)
     SQL.update(module.SQL)

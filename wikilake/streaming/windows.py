@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
@@ -57,6 +57,19 @@ def fold(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(_fold, kind, "n long, purchases long", "update", GroupStateTimeout.NoTimeout)
 
 
+def logged_once(log: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """A stream of log rows (ts, slug, outcome, ..) of which repeated ones count once: rows are the same if ts, slug and outcome are.  A
+    row that comes after the stream has seen another one `delay` later is late and left out; lateness() tells which."""
+    return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["ts", "slug", "outcome"])
+
+
+def lateness(log: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """log (batch, ts, ..) with late: whether the batches before a row's had shown a time `delay` or more after it."""
+    times = log.groupBy("batch").agg(F.max("ts").alias("seen"))
+    shown = times.select("batch", F.max("seen").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)).alias("shown"))
+    return log.join(F.broadcast(shown), "batch").withColumn("late", F.coalesce(F.col("ts") <= F.col("shown") - F.expr(f"interval {delay}"), F.lit(False))).drop("shown")  # a row a batch
+
+
 def run_once(stream: DataFrame, mode: str, key: str | None = None) -> DataFrame:
     """What a stream gives for all that is there now.  The executors write each batch to a folder that all machines share; of complete
     results the last batch counts, of others all.  With a key, the last row of each."""

@@ -514,6 +514,14 @@ def issues(text: Column) -> Column:
     return F.pandas_udf(run, "array<struct<rule:string,line:int,detail:string>>")(text)
 
 
+@F.udtf(returnType="rule string, line int, detail string", useArrow=True)
+class StructuralRules:
+    """The rules of well-formed Markdown as a table function: a row for each breach, for a lateral join with a table of texts."""
+
+    def eval(self, text: str):
+        yield from structural_issues(text or "")
+
+
 def bold_spaced(text: Column) -> Column:
     return _each(space_bold)(text)
 

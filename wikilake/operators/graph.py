@@ -69,6 +69,36 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     return words.join(names, "name", "left_semi")
 
 
+TOKEN = r"[A-Za-z0-9]+|[^A-Za-z0-9]"
+#: Names may be broadcast up to so many rows and bytes; more are joined by a shuffle on their first token.
+SMALL_ROWS, SMALL_BYTES = 100_000, 1 << 25
+
+
+def named_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(text_id, place, name): where names (name) of any number of words stand in texts (text_id, text), with no ASCII letter or digit beside
+    them.  Mentions of a text don't overlap: from left to right, the longest at each place.  place counts tokens from 0.
+
+    Texts and names are cut into the same tokens, so a name stands where its tokens do.  Candidates are found by an equality join on
+    the first token, with as many tokens behind it as the longest name has; a text's hits are gathered, never its candidates."""
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+    known = names.select("name").where("name <> ''").distinct().select("name", tokens(F.col("name")).alias("own")).withColumn("first", F.col("own")[0])
+    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(2 * F.octet_length("name")), F.lit(0)).alias("b"), F.coalesce(F.max(F.size("own")), F.lit(0)).alias("longest")).first()
+    if size.n <= SMALL_ROWS and size.b <= SMALL_BYTES:
+        known = F.broadcast(known)
+    wide = lambda t, i: F.struct(i.alias("place"), t.alias("first"), F.get(F.col("cut"), i - 1).alias("before"), F.slice(F.col("cut"), i + 1, size.longest + 1).alias("rest"))
+    cut = texts.select("text_id", tokens(F.col("text")).alias("cut"))
+    places = cut.select("text_id", F.explode(F.filter(F.transform("cut", wide), lambda x: ~x["first"].rlike(r"^\s$"))).alias("x")).select("text_id", "x.*")
+    word = lambda t: F.coalesce(t.rlike("^[A-Za-z0-9]"), F.lit(False))
+    n = F.size("own")
+    # beside a token of letters stands none, so only a name that begins or ends with another sign needs a look
+    apart = (word(F.col("first")) | ~word(F.col("before"))) & (word(F.element_at("own", -1)) | ~word(F.get(F.col("rest"), n)))
+    hits = places.join(known, "first").where((F.slice("rest", F.lit(1), n) == F.col("own")) & apart)
+    gathered = hits.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("place", (-n).alias("back"), "name"))).alias("hits"))
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<place:int,name:string>>").alias("kept"))
+    step = lambda a, h: F.when(h.place >= a.free, F.struct((h.place - h.back).alias("free"), F.array_append(a.kept, F.struct(h.place.alias("place"), h["name"].alias("name"))).alias("kept"))).otherwise(a)
+    return gathered.select("text_id", F.explode(F.aggregate("hits", start, step, lambda a: a.kept)).alias("m")).select("text_id", "m.place", "m.name")
+
+
 def citation_index(docs: DataFrame) -> DataFrame:
     """(dst, path, line, link): every wikilink outside fences of pages (repo_path, bucket, body), repeated ones too, with its line in the
     body; generated pages (00_Meta) are left out."""

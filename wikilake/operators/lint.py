@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wikilake.functions import text as T
+from wikilake.operators import graph
 
 # The required keys of a page's frontmatter, and thresholds of the checks.
 REQUIRED = {"03_Sources": ("type", "created", "updated", "source_url", "tags"), "02_Entities": ("type", "created", "updated", "refs", "tier"), "01_Topics": ("type", "created", "updated", "source_count"), "00_Meta": ("type", "created", "updated")}
@@ -91,11 +92,21 @@ def comparison_table_missing(topics: DataFrame) -> DataFrame:
     return issue(topics.where(T.section(F.col("body"), "Comparison").isNotNull() & (rows < 3)), "comparison-table-missing", "warn", "path", rows)
 
 
-def comparison_opportunity(topics: DataFrame, mentioned: DataFrame) -> DataFrame:
-    """Topics (path, body) without a comparison that contrast three active entities or more (mentioned: path, name)."""
-    n = mentioned.groupBy("path").agg(F.count_distinct("name").alias("n"))
-    contrast = F.lower("body").rlike(r"\b(vs|versus|compared|unlike|whereas|better|faster|cheaper)\b")
-    return issue(topics.join(n, "path").where(T.section(F.col("body"), "Comparison").isNull() & contrast & (F.col("n") >= 3)), "comparison-opportunity", "info", "path", F.col("n"))
+# Contrasts, the mark of a stub, how many entities, and how long a bare name is at least.
+CONTRAST = r"(?i)\bvs\b|\bcompared to\b|\btradeoff\b|\bdiffers from\b|\bversus\b|\bvs\.\b"
+STUB_MARK, COMPARED, NAME_CHARS = "_(stub —", 3, 3
+
+
+def comparison_opportunity(topics: DataFrame, entities: DataFrame) -> DataFrame:
+    """Topics (path, body) without a comparison whose understanding draws contrasts and which name three active entities (name) or more: by
+    links anywhere, or by bare names of one word or several in their understanding."""
+    said = T.section(F.col("body"), "Current understanding")
+    open_ = topics.where(~F.exists(T.lines(F.col("body")), lambda x: F.trim(x) == "## Comparison")).select("path", "body", said.alias("said"))
+    open_ = open_.where((F.trim("said") != "") & ~F.contains("said", F.lit(STUB_MARK)) & F.col("said").rlike(CONTRAST))
+    linked = open_.select("path", F.explode(T.wikilinks(F.col("body"))).alias("name")).join(entities.select("name").distinct(), "name", "left_semi")
+    named = graph.named_mentions(open_.select(F.col("path").alias("text_id"), F.col("said").alias("text")), entities.where(F.length("name") >= NAME_CHARS))
+    n = linked.select("path", "name").unionByName(named.select(F.col("text_id").alias("path"), "name")).groupBy("path").agg(F.count_distinct("name").alias("n"))
+    return issue(n.where(F.col("n") >= COMPARED), "comparison-opportunity", "info", "path", F.col("n"))
 
 
 def stale_synthesis(items: DataFrame, newest: DataFrame, as_of: str | Column, key: str, kind: str = "stale-synthesis") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wikilake.functions import elements as E
 from wikilake.functions import urls as U
 from wikilake.operators.quality import kind_order
 
@@ -183,3 +184,11 @@ def forget_plan(targets: DataFrame, raw: DataFrame, sources: DataFrame) -> DataF
     rows = rows.join(sources.select("slug", F.lit(True).alias("_source")), "slug", "left")
     branch = F.when(F.col("_raw") & F.col("_source").isNotNull(), "source-and-raw").when(F.col("_raw"), "raw-only").otherwise("neither")
     return rows.select("target", branch.alias("branch"), "slug", F.coalesce(F.when(is_url, F.col("target")), F.col("_url"), F.col("target")).alias("skip_key"))
+
+
+def host_suffixes(hosts: DataFrame) -> DataFrame:
+    """(key, suffix, hosts): the longest suffix, by labels, that all hosts (key, host) of a key share, and how many there are.  The smallest and the
+    largest of the reversed labels share no more than all do, so nothing is gathered."""
+    labels = F.reverse(F.split("host", r"\."))
+    rows = hosts.where("host is not null").groupBy("key").agg(F.min(labels).alias("low"), F.max(labels).alias("high"), F.count_distinct("host").alias("hosts"))
+    return rows.select("key", F.array_join(F.reverse(E.shared_prefix(F.col("low"), F.col("high"))), ".").alias("suffix"), "hosts")

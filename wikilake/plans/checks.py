@@ -75,16 +75,18 @@ def lint_comparison_table(spark, d):
 
 
 @query(
-    """WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '([A-Za-z0-9]+)', 1))) AS name FROM documents), names AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS name FROM part UNION SELECT 'the' UNION SELECT 'and' UNION SELECT 'of'),
-    n AS (SELECT doc_id, count(DISTINCT name) AS n FROM w WHERE name IN (SELECT name FROM names) GROUP BY doc_id) SELECT 'comparison-opportunity' AS kind, 'info' AS severity, CAST(doc_id AS VARCHAR) AS path, CAST(n AS VARCHAR) AS detail FROM n WHERE n >= 3 AND doc_id % 2 = 0"""
+    """WITH said AS (SELECT doc_id, regexp_extract(concat(chr(10), coalesce(text, ''), chr(10), CASE WHEN doc_id % 2 = 0 THEN 'one Versus two' ELSE 'one and two' END, chr(10), '## Next'), '(?s)^(.*?)\\n##? ', 1) AS s FROM documents),
+    names AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT unnest(['with', 'and', 'of', 'die', 'que la', 'en el', 'est la', 'in the', 'zu', 'versus'])),
+    n AS (SELECT doc_id, count(*) AS n FROM said, names WHERE length(name) >= 3 AND contains(s, name) AND regexp_matches(s, concat('(^|[^A-Za-z0-9])', name, '([^A-Za-z0-9]|$)')) GROUP BY doc_id),
+    linked AS (SELECT doc_id, n + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS n FROM n)
+    SELECT 'comparison-opportunity' AS kind, 'info' AS severity, CAST(doc_id AS VARCHAR) AS path, CAST(linked.n AS VARCHAR) AS detail FROM linked JOIN said USING (doc_id) WHERE linked.n >= 3 AND regexp_matches(s, '(?i)\\bvs\\b|\\bcompared to\\b|\\btradeoff\\b|\\bdiffers from\\b|\\bversus\\b') AND doc_id % 5 > 0"""
 )
 def lint_comparison_opportunity(spark, d):
-    p = A.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("name")).select(F.lower("name").alias("name"))
-    names = p.unionByName(spark.range(1).select(F.explode(F.array(F.lit("the"), F.lit("and"), F.lit("of"))).alias("name"))).distinct()
-    docs = A.table(spark, d, "documents")
-    said = graph.mentions(docs.select(F.col("doc_id").alias("text_id"), "text"), names).select(F.col("text_id").alias("path"), "name")
-    body = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^#", " #"), F.when(F.col("doc_id") % 2 == 0, " one versus two").otherwise("\n## Comparison\n"))
-    return lint.comparison_opportunity(docs.select(F.col("doc_id").alias("path"), body.alias("body")), said)
+    """Names of one word and of several (of parts, too, which no text has), and a link in every third text; every fifth has its table."""
+    names = A.table(spark, d, "part").select(F.col("p_name").alias("name")).unionByName(spark.range(1).select(F.explode(F.array(*map(F.lit, ("with", "and", "of", "die", "que la", "en el", "est la", "in the", "zu", "versus")))).alias("name")))
+    i, s = F.col("doc_id"), F.lit
+    body = F.concat(s("# T\n"), F.when(i % 3 == 0, "[[zu]]\n").otherwise(""), F.when(i % 5 == 0, " ## Comparison \n").otherwise(""), s("## Current understanding\n"), F.coalesce("text", s("")), s("\n"), F.when(i % 2 == 0, "one Versus two").otherwise("one and two"), s("\n## Next\n[[of]"))
+    return lint.comparison_opportunity(A.table(spark, d, "documents").select(i.alias("path"), body.alias("body")), names)
 
 
 _NEWEST = ", newest AS (SELECT dst AS key, max(CAST(o_orderdate AS DATE)) AS newest FROM cites JOIN orders ON src = o_orderkey GROUP BY dst), topics AS (SELECT p_partkey AS key, DATE '1992-01-01' + CAST(p_size * 50 AS INTEGER) AS synthesised, p_size % 5 AS observations FROM part)"

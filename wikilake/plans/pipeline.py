@@ -327,3 +327,15 @@ def sync_changes(spark, d):
 def reconcile_skew_all(spark, d):
     e = A.table(spark, d, "events").groupBy(F.col("user_id").alias("slug")).agg(F.min("ts").alias("uploaded_at"), F.max("ts").alias("edited_at"))
     return revisions.reconcile_light(e.withColumn("title", F.when(F.col("slug") % 2 == 1, F.lit(-1)).otherwise(F.col("slug"))))
+
+
+@query(
+    f"""WITH h AS (SELECT regexp_extract({A.sql_part('url', 3)}, '^/([^/]*)', 1) AS key, string_split({A.sql_host('url')}, '.') AS labels FROM pages UNION ALL SELECT array_to_string(list_slice(string_split({A.sql_host('url')}, '.'), -3, -1), '.'), string_split({A.sql_host('url')}, '.') FROM pages),
+    k AS (SELECT key, labels, unnest(range(0, 9)) AS n FROM h), s AS (SELECT key, n, count(DISTINCT labels[len(labels) - n + 1:]) AS kinds, min(len(labels)) AS shortest, any_value(array_to_string(labels[len(labels) - n + 1:], '.')) AS suffix FROM k GROUP BY key, n)
+    SELECT s.key, CASE WHEN max(n) = 0 THEN '' ELSE arg_max(suffix, n) END AS suffix, any_value(hosts) AS hosts FROM s JOIN (SELECT key, count(DISTINCT labels) AS hosts FROM h GROUP BY key) USING (key) WHERE kinds = 1 AND n <= shortest GROUP BY s.key"""
+)
+def page_host_suffixes(spark, d):
+    """What all hosts share whose URLs begin with the same folder, or whose names end with the same three labels."""
+    host = U.hostname_of(F.col("url"))
+    keys = F.array(F.regexp_extract(U.part(F.col("url"), 3), "^/([^/]*)", 1), F.array_join(F.slice(F.split(host, r"\."), F.greatest(F.size(F.split(host, r"\.")) - 2, F.lit(1)), F.lit(3)), "."))
+    return state.host_suffixes(A.table(spark, d, "pages").select(F.explode(keys).alias("key"), host.alias("host")))

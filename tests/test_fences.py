@@ -62,3 +62,26 @@ def test_batch_parts(spark):
     rows = spark.createDataFrame([(raw,), ("",), (None,), ("no part",)], "t string").select(curation.batch_parts(F.col("t")).alias("b")).collect()
     assert [tuple(x) for x in rows[0].b] == [("A B", "the loss a = b + c falls\n=== x ==="), ("D", "new"), ("E", "last one")]
     assert rows[1].b == [] and rows[2].b is None and rows[3].b == []
+
+
+def test_links_by_their_brackets():
+    assert [(x.begin, x.target, x.image) for x in M.scan_links('a [b [c](d "t")](e) ![f](g) [h] (i) [j](k l) ](x)')] == [(2, "e", False), (5, "d", False), (21, "g", True)]
+    wrapped = {
+        "[\n\n![i](j)\n\n](h)": "[![i](j)](h)",
+        "[\n a\nb \n](h)": "[a b](h)",
+        "[one line\n\n](h)": "[one line](h)",
+        "[ \n\n ](h)": "",
+        "[one\n](h)": "[one\n](h)",
+        "[a\n\nb](h)": "[a\n\nb](h)",
+        f"[\n{'x' * 301}\n](h)": f"[\n{'x' * 301}\n](h)",
+        "![\na\n](h)": "![\na\n](h)",
+        "x [\nsee [y](z)\n](h) w": "x [see [y](z)](h) w",
+    }
+    assert {k: M.collapse_links(k) for k in wrapped} == wrapped
+    gone = "[![a](b)](/users/ann)", "[Ann](/ann.b)", "[Ann](/U/ann/)", "[![a](b)](/@ann)"
+    kept = "[Ann](/a/b/c)", "[Ann](/blog/ann)", "[Ann](http://h/u/ann)", f"[{'x' * 61}](/ann)", "![a](/ann.png)", "[a [b] c](/ann)"
+    assert [M.strip_avatars(f"x{k}y") for k in gone] == ["xy"] * 4 and [M.strip_avatars(k) for k in kept] == list(kept)
+    assert M.strip_avatars("a\n\n [Ann](/ann) \n\nb") == "a\n\nb"
+    row = "".join(f"[link number {k}](http://h.org/a/long/path/{k})" for k in range(6))
+    assert M.split_link_rows(row) == row.replace(")[", ") · [") and M.split_link_rows(row[:90]) == row[:90]
+    assert M.split_link_rows(row + "[1](x)") == row.replace(")[", ") · [") + "[1](x)"

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from wikilake.functions import text as T
@@ -96,3 +98,15 @@ def test_replace_keeps_the_old(spark, tmp_path):
     writers.replace(spark.range(3), path)
     writers.replace(spark.range(5), path)
     assert spark.read.parquet(path).count() == 5 and spark.read.parquet(f"{path}.bak").count() == 3
+
+
+def test_guards(spark):
+    docs = spark.createDataFrame([("a", "x", "active"), ("b", "y", "seen")], "slug string, body string, tier string")
+    with pytest.raises(ValueError, match="a is active, b only seen"):
+        curation.merged(docs, "a", "b")
+    assert [r.slug for r in curation.merged(docs, "a", "b", forced=True).collect()] == ["b"] and curation.merged(docs, "b", "a").count() == 1
+    pages = spark.createDataFrame([("a", "x/a.md", "1"), ("a", "y/a.md", "2"), ("b", "b.md", "3")], "slug string, path string, content string")
+    none = spark.createDataFrame([], "slug string, content_sha string")
+    with pytest.raises(ValueError, match="slug collision: a is both x/a.md and y/a.md"):
+        revisions.sync_changes(pages, none)
+    assert revisions.sync_changes(pages.where("path <> 'y/a.md'"), none).count() == 2

@@ -599,6 +599,17 @@ def title_of_pdf(text: Column) -> Column:
     return _each(pdf_title)(text)
 
 
+def choose_title(title: Column, subject: Column, fallback: Column) -> Column:
+    """A PDF's title, else its subject, else the fallback marked as a PDF's."""
+    return F.when(title != "", title).when(subject != "", subject).otherwise(F.concat(F.lit("PDF: "), fallback))
+
+
+def pdf_date(raw: Column) -> Column:
+    """D:20240819163025+02'00' as 2024-08-19 16:30; anything else as it is."""
+    m = r"D:(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})"
+    return F.when(raw.rlike(m), F.regexp_replace(raw, f"(?s)^.*?{m}.*$", "$1-$2-$3 $4:$5")).otherwise(raw)
+
+
 def unified_diff(old: Column, new: Column) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         import difflib

@@ -70,14 +70,22 @@ def frontmatter_map(raw: Column) -> Column:
     return F.map_from_entries(pair)
 
 
-def section(text: Column, heading: str) -> Column:
-    """The body of `## heading` up to the next heading of level one or two, or the end; null if it isn't there."""
-    all_ = lines(text)
-    begin = F.array_position(F.transform(all_, lambda x: F.rtrim(x)), f"## {heading}")
-    rest = F.slice(all_, begin + 1, F.size(all_))
-    end = F.array_position(F.transform(rest, lambda x: x.rlike(r"^##? ")), True)
-    cut = F.when(end == 0, rest).otherwise(F.slice(rest, 1, F.greatest(end.cast("int") - 1, F.lit(0))))
-    return F.when(begin > 0, F.regexp_replace(F.array_join(cut, "\n"), r"^\s+|\s+$", ""))
+#: Headings at which a section ends: of level one or two, of level two alone, or any.
+TOP, SECOND, ANY = r"^##? ", r"^## ", r"^#{1,6} "
+
+
+def section(text: Column, *headings: str, until: str = TOP, trimmed: bool = True) -> Column:
+    """The body of the first of the sections `## heading` that is there, up to the next heading (see TOP), or the end; null if none
+    is there.  The heading's line may have white space around it."""
+
+    def one(all_: Column, heading: str) -> Column:
+        begin = F.array_position(F.transform(all_, lambda x: F.trim(x)), f"## {heading}")
+        rest = F.slice(all_, begin + 1, F.size(all_))
+        end = F.array_position(F.transform(rest, lambda x: x.rlike(until)), True)
+        cut = F.array_join(F.when(end == 0, rest).otherwise(F.slice(rest, 1, F.greatest(end.cast("int") - 1, F.lit(0)))), "\n")
+        return F.when(begin > 0, F.regexp_replace(cut, r"^\s+|\s+$", "") if trimmed else cut)
+
+    return bound(lines(text), lambda all_: F.coalesce(*(one(all_, h) for h in headings)))
 
 
 def excerpt(text: Column, headings: tuple[str, ...]) -> Column:
@@ -136,6 +144,11 @@ def structure(text: Column) -> dict[str, Column]:
     return {"chars": F.length(text), "headings": count(r"^#{1,6} "), "fences": count(r"^```"), "table_rows": count(r"^\|.*\|\s*$"), "images": F.size(image_urls(text))}
 
 
+# Lines that are the label of a button, and the mark of an appendix without a place.
+CHROME_LINES = ("Subscribe", "Share", "Copy link", "Comment", "Like", "Save", "Follow", "More", "Open in App", "订阅", "分享", "复制链接", "评论", "点赞", "关注", "收藏")
+APPENDIX_MARK = "附录（位置未识别）"
+
+
 def features(text: Column) -> dict[str, Column]:
     """Counters that a page's snapshot is compared by; headings count outside fences."""
     rows = outside_fences(text)
@@ -152,6 +165,8 @@ def features(text: Column) -> dict[str, Column]:
         "unbalanced_bold": F.size(F.filter(rows, lambda x: F.size(F.split(x, r"\*\*")) % 2 == 0)),
         "empty_headings": count(r"^#{1,6}\s*$"),
         "frontmatter": (frontmatter(text) != "").cast("int"),
+        "chrome": F.size(F.filter(rows, lambda x: F.trim(x).isin(*CHROME_LINES))),
+        "appendix_marks": F.size(F.filter(rows, lambda x: F.contains(x, F.lit(APPENDIX_MARK)))),
     }
 
 

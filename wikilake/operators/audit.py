@@ -40,6 +40,18 @@ def _near(pairs: DataFrame) -> DataFrame:
     return pairs.where(good).withColumn("distance", distance).where(F.col("distance") * 5 <= F.col("ln")).select("a", "b", "distance")
 
 
+def ranked_duplicates(pairs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(place, a, b, distance, refs): pairs (a, b, distance) with the citations (name, refs) of both, the most cited first.  Places are
+    counted by the numbers of citations, then within each, so no task orders all pairs."""
+    of = lambda c: refs.groupBy(F.lower("name").alias(c)).agg(F.sum("refs").alias(f"refs_{c}"))
+    rows = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rows = rows.select("a", "b", "distance", (F.coalesce("refs_a", F.lit(0)) + F.coalesce("refs_b", F.lit(0))).alias("refs"))
+    before = Window.orderBy(F.desc("refs")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("refs").agg(F.count("*").alias("n")).select("refs", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy("refs").orderBy("a", "b"))
+    return rows.withColumn("within", within).join(ahead, "refs").select((F.col("ahead") + F.col("within")).alias("place"), "a", "b", "distance", "refs")
+
+
 def collisions(names: DataFrame) -> DataFrame:
     """(name, next): neighbours among names that are equal in lower case without punctuation."""
     key = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")

@@ -21,8 +21,13 @@ def renamed(docs: DataFrame, old: str, new: str) -> DataFrame:
     return docs.withColumn("changed", (F.col("slug") == old) | (body != F.col("body"))).withColumn("body", body).withColumn("slug", F.when(F.col("slug") == old, new).otherwise(F.col("slug")))
 
 
-def merged(docs: DataFrame, source: str, target: str) -> DataFrame:
-    """docs without the source page; the target gets its observations and a mark that it is stale, links are rewritten."""
+def merged(docs: DataFrame, source: str, target: str, forced: bool = False) -> DataFrame:
+    """docs without the source page; the target gets its observations and a mark that it is stale, links are rewritten.  If docs has a tier,
+    an active page isn't merged into one that was only seen, unless forced; the target keeps its tier."""
+    if "tier" in docs.columns and not forced:
+        tiers = {r.slug: r.tier for r in docs.where(F.col("slug").isin(source, target)).select("slug", "tier").limit(2).collect()}
+        if (tiers.get(source), tiers.get(target)) == ("active", "seen"):
+            raise ValueError(f"{source} is active, {target} only seen")
     given = docs.where(F.col("slug") == source).select(F.array_join(T.observations(F.col("body")), "\n").alias("given"))
     joined = docs.where(F.col("slug") != source).join(F.broadcast(given.limit(1)), F.lit(True), "left")  # one row
     more = F.when((F.col("slug") == target) & (F.coalesce("given", F.lit("")) != ""), F.concat(F.lit(f"\n<!-- merged from {source} -->\n"), "given", F.lit("\n<!-- synthesis: stale -->\n"))).otherwise("")
@@ -54,6 +59,26 @@ def with_section(body: Column, heading: str, text: Column) -> Column:
     return F.when(begin > 0, F.array_join(F.concat(F.slice(rows, 1, F.greatest(begin, F.lit(1))), F.array(text), tail), "\n")).otherwise(F.concat(F.regexp_replace(body, r"\s+\z", ""), F.lit(f"\n\n## {heading}\n"), text))
 
 
+def dated(raw: Column, day: str) -> Column:
+    """A page whose frontmatter says that it was updated and synthesised on a day; synthesis_updated_at is put behind updated,
+    or at the end, if it isn't there.  Without frontmatter nothing changes."""
+    stamp = f"synthesis_updated_at: {day}"
+
+    def stamped(head: Column) -> Column:
+        there, updated = r"(?m)^synthesis_updated_at:[^\S\n]*\S[^\n]*$", r"(?m)^(updated:[^\S\n]*\S[^\n]*)$"
+        new = F.when(head.rlike(there), F.regexp_replace(head, there, stamp)).when(head.rlike(updated), F.regexp_replace(head, updated, f"$1\n{stamp}")).otherwise(F.regexp_replace(head, r"\n---\r?\n\z", f"\n{stamp}\n---\n"))
+        return F.regexp_replace(new, updated, f"updated: {day}")
+
+    return F.concat(T.bound(T.frontmatter(raw), lambda head: F.when(head == "", head).otherwise(stamped(head))), T.body(raw))
+
+
+def refined(raw: Column, heading: str, text: Column, day: str) -> Column:
+    """A page with a new section and the day on which it was made; runs of blank lines become one."""
+    fresh = F.concat(F.lit("\n"), F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n"))
+    new = F.regexp_replace(with_section(T.body(raw), heading, fresh), r"\n{3,}", "\n\n")
+    return dated(F.concat(T.frontmatter(raw), new), day)
+
+
 def backfilled_date(synthesised: Column, body: Column, updated: Column) -> Column:
     return F.coalesce(synthesised, F.when(~T.is_stub(T.section(body, "Synthesis")), updated))
 
@@ -241,6 +266,22 @@ def topic_shape(body: Column) -> Column:
     return F.when(T.section(body, "Comparison").isNotNull(), "comparison").otherwise("survey")
 
 
+#: What a source of a topic gives to its prompt.
+EXCERPTED = ("TL;DR", "Key claims", "Visual observations", "What this changes", "Entities touched")
+
+
+def topic_context(topics: DataFrame, sources: DataFrame, headings: tuple[str, ...] = EXCERPTED) -> DataFrame:
+    """(slug, shape, what, understanding, comparison, sources, unresolved) of topics (slug, body): what a prompt is made of.  sources:
+    excerpts of those of the table (slug, body) that are cited, in the order of their slugs; unresolved: citations that it lacks."""
+    b = F.col("body")
+    cites = topics.select("slug", F.explode(topic_citations(b)).alias("cited")).distinct()
+    excerpts = sources.select(F.col("slug").alias("cited"), F.concat(F.lit("### Source: "), "slug", F.lit("\n\n"), T.excerpt(b, headings)).alias("block"))
+    found = cites.join(excerpts, "cited", "left").groupBy("slug").agg(F.array_sort(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("cited", "block")))).alias("blocks"), F.array_sort(F.collect_list(F.when(F.col("block").isNull(), F.col("cited")))).alias("unresolved"))
+    none = F.array().cast("array<string>")
+    rows = topics.select("slug", topic_shape(b).alias("shape"), *(F.coalesce(T.section(b, name), F.lit("")).alias(alias) for name, alias in (("What", "what"), (UNDERSTANDING, "understanding"), ("Comparison", "comparison"))))
+    return rows.join(found, "slug", "left").select("slug", "shape", "what", "understanding", "comparison", F.array_join(F.coalesce(F.transform("blocks", lambda x: x.block), none), "\n\n").alias("sources"), F.coalesce("unresolved", none).alias("unresolved"))
+
+
 def top_context(topics: DataFrame) -> DataFrame:
     """(name, what, understanding, updated) of topics (slug, body, synthesised, updated) that are no stubs, for the root page."""
     b = F.col("body")

@@ -89,8 +89,18 @@ def restore_plan(remote: DataFrame, dispositions: DataFrame, local: DataFrame) -
     return remote.join(gone, ["slug", "name"], "left_anti").join(local.select("slug", "name"), ["slug", "name"], "left_anti")
 
 
+def slug_collisions(docs: DataFrame) -> DataFrame:
+    """(slug, first, last): slugs that pages (slug, path) of different paths share."""
+    paths = docs.groupBy("slug").agg(F.min("path").alias("first"), F.max("path").alias("last"))
+    return paths.where(F.col("first") != F.col("last"))
+
+
 def sync_changes(docs: DataFrame, uploaded: DataFrame) -> DataFrame:
-    """(slug, change): to create, to update (by the content's sha-256), or only on the other side."""
+    """(slug, change): to create, to update (by the content's sha-256), or only on the other side.  If docs has a path, pages that share a
+    slug are an error, since one would overwrite the other."""
+    if "path" in docs.columns:
+        for odd in slug_collisions(docs).orderBy("slug").limit(1).collect():
+            raise ValueError(f"slug collision: {odd.slug} is both {odd['first']} and {odd['last']}")
     rows = docs.select("slug", F.sha2(F.col("content").cast("binary"), 256).alias("sha")).join(uploaded.select("slug", "content_sha", F.lit(1).alias("there")), "slug", "full")
     change = F.when(F.col("there").isNull(), "create").when(F.col("sha").isNull(), "map-only").when(F.col("content_sha").isNull() | (F.col("sha") != F.col("content_sha")), "update").otherwise("same")
     return rows.select("slug", change.alias("change"))

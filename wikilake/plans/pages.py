@@ -43,6 +43,67 @@ def page_section(spark, d):
     return pages(spark, d).select("doc_id", F.sha2(T.section(b, "Observations").cast("binary"), 256).alias("section"), F.size(T.observations(b)).alias("bullets"))
 
 
+@query(
+    CTE
+    + """, heads AS (SELECT doc_id, min(place) AS begin FROM numbered WHERE trim(line) = '## Observations' GROUP BY doc_id),
+    two AS (SELECT doc_id, min(place) AS stop FROM numbered JOIN heads USING (doc_id) WHERE place > begin AND starts_with(line, '## ') GROUP BY doc_id), six AS (SELECT doc_id, min(place) AS stop FROM numbered JOIN heads USING (doc_id) WHERE place > begin AND regexp_matches(line, '^#{1,6} ') GROUP BY doc_id)
+    SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE place < two.stop)) AS second, sha256(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE place < six.stop)) AS least FROM numbered JOIN heads USING (doc_id) JOIN two USING (doc_id) JOIN six USING (doc_id) WHERE place > begin GROUP BY doc_id"""
+)
+def page_section_forms(spark, d):
+    """A section up to the next heading of level two, or of any level, as it stands; the first of several names that is there."""
+    b = F.col("body")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return pages(spark, d).select("doc_id", sha(T.section(b, "Missing", "Observations", until=T.SECOND, trimmed=False)).alias("second"), sha(T.section(b, "Observations", "End", until=T.ANY, trimmed=False)).alias("least"))
+
+
+@query(CTE + """, more AS (SELECT doc_id, list_filter(string_split(concat(' Share ', chr(10), t, chr(10), '分享', chr(10), 'Share it', chr(10), 'x 附录（位置未识别）'), chr(10)), lambda x: true) AS x FROM docs),
+  f AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS place FROM more), g AS (SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) % 2 = 0 AS out FROM f)
+  SELECT doc_id, CAST(count(*) FILTER (WHERE out AND trim(line) IN ('Subscribe', 'Share', 'Copy link', 'Comment', 'Like', 'Save', 'Follow', 'More', 'Open in App', '订阅', '分享', '复制链接', '评论', '点赞', '关注', '收藏')) AS INTEGER) AS chrome, CAST(count(*) FILTER (WHERE out AND contains(line, '附录（位置未识别）')) AS INTEGER) AS appendix_marks FROM g GROUP BY doc_id""")
+def page_chrome(spark, d):
+    text = F.concat(F.lit(" Share \n"), F.col("t"), F.lit("\n分享\nShare it\nx 附录（位置未识别）"))
+    found = T.features(text)
+    return pages(spark, d).select("doc_id", found["chrome"].alias("chrome"), found["appendix_marks"].alias("appendix_marks"))
+
+
+@query(
+    CTE
+    + """SELECT doc_id, concat('---', chr(10), 'type: topic', chr(10), CASE doc_id % 3 WHEN 0 THEN concat('updated: 2024-05-06', chr(10), 'synthesis_updated_at: 2024-05-06', chr(10)) WHEN 1 THEN concat('synthesis_updated_at: 2024-05-06', chr(10), 'updated: 2024-05-06', chr(10)) ELSE concat('synthesis_updated_at: 2024-05-06', chr(10)) END, '---', chr(10)) AS head,
+    sha256(regexp_replace(concat('# T', chr(10), t, chr(10), '## What', chr(10), chr(10), 'new ', doc_id, chr(10), chr(10), '## End', chr(10), t), '\\n{3,}', concat(chr(10), chr(10)), 'g')) AS body FROM docs WHERE NOT regexp_matches(t, '(^|\\n)\\s*## What\\s*(\\n|$)')"""
+)
+def pages_refined(spark, d):
+    """A section replaced and its day set, in three kinds of frontmatter; no text has a section of that name itself."""
+    s, i = F.lit, F.col("doc_id")
+    dates = F.when(i % 3 == 0, "updated: 2020-01-01\n").when(i % 3 == 1, "synthesis_updated_at: x\nupdated: 2020-01-01\n").otherwise("")
+    raw = F.concat(s("---\ntype: topic\n"), dates, s("---\n# T\n"), F.col("t"), s("\n## What\nold\n## End\n"), F.col("t"))
+    rows = pages(spark, d).where(~F.col("t").rlike(r"(^|\n)\s*## What\s*(\n|$)")).select("doc_id", curation.refined(raw, "What", F.concat(s("\n new "), i.cast("string"), s(" ")), "2024-05-06").alias("new"))
+    return rows.select("doc_id", T.frontmatter(F.col("new")).alias("head"), F.sha2(T.body(F.col("new")).cast("binary"), 256).alias("body"))
+
+
+@query(
+    CTE
+    + """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'comparison' ELSE 'survey' END AS shape, CASE WHEN doc_id % 2 = 0 THEN '| a |' ELSE '' END AS comparison, concat('about ', doc_id) AS what, sha256(concat('### Source: 2024-01-0', doc_id % 5 + 1, '-s', chr(10), chr(10), '## Key claims', chr(10), regexp_replace(s.t, '^\\s+|\\s+$', '', 'g'))) AS sources, '2024-01-09-x' AS unresolved
+    FROM docs JOIN (SELECT doc_id AS k, t FROM docs WHERE doc_id < 5) s ON s.k = docs.doc_id % 5 WHERE NOT regexp_matches(s.t, '(^|\\n)\\s*##? ')"""
+)
+def topic_contexts(spark, d):
+    """Each topic cites one of five documents as its source, and one that isn't there."""
+    s, i = F.lit, F.col("doc_id")
+    p = pages(spark, d)
+    slug = lambda k: F.concat(s("2024-01-0"), (k % 5 + 1).cast("string"), s("-s"))
+    given = p.where("doc_id < 5").where(~F.col("t").rlike(r"(^|\n)\s*##? "))
+    sources = given.select(slug(i).alias("slug"), F.concat(s("# S\n## Key claims\n"), F.col("t"), s("\n## Raw source\nno")).alias("body"))
+    body = F.concat(s("## What\nabout "), i.cast("string"), s("\n## Current understanding\n[[03_Sources/2024/2024-01-09-x.md]] [["), slug(i), s("|s]] [[other]]\n"), F.when(i % 2 == 0, "## Comparison\n| a |\n").otherwise(""), s("## End\n"), F.col("t"))
+    rows = curation.topic_context(p.join(F.broadcast(given.select((i % 5).alias("k"))), i % 5 == F.col("k"), "left_semi").select(i.alias("slug"), body.alias("body")), sources)  # five rows at most
+    return rows.select(F.col("slug").alias("doc_id"), "shape", "comparison", "what", F.sha2(F.col("sources").cast("binary"), 256).alias("sources"), F.array_join(F.filter("unresolved", lambda x: x == "2024-01-09-x"), ",").alias("unresolved"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('T ', source) WHEN 1 THEN lang ELSE concat('PDF: ', doc_id) END AS title, CASE WHEN doc_id % 2 = 0 THEN '2024-08-19 16:30' ELSE concat('in ', lang) END AS made FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def pdf_metadata(spark, d):
+    s, i = F.lit, F.col("doc_id")
+    rows = A.table(spark, d, "documents").where("lang is not null and source is not null")
+    title = M.choose_title(F.when(i % 3 == 0, F.concat(s("T "), "source")).otherwise(""), F.when(i % 3 == 1, F.col("lang")), i.cast("string"))
+    return rows.select("doc_id", title.alias("title"), M.pdf_date(F.when(i % 2 == 0, "D:20240819163025+02'00'").otherwise(F.concat(s("in "), "lang"))).alias("made"))
+
+
 @query(
     CTE
     + """SELECT doc_id, CAST(count(*) FILTER (WHERE out AND starts_with(line, '# ')) AS INTEGER) AS h1, CAST(count(*) FILTER (WHERE out AND starts_with(line, '## ')) AS INTEGER) AS h2, CAST(count(*) FILTER (WHERE fence) AS INTEGER) AS fences,
@@ -139,12 +200,13 @@ def pdf_titles(spark, d):
 
 @query(
     CTE
-    + """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'not-html' WHEN 1 THEN 'not-found' WHEN 2 THEN 'bot-challenge' WHEN 3 THEN 'not-html' WHEN 4 THEN 'not-found' END AS kind FROM docs"""
+    + """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'not-html' WHEN 1 THEN 'not-found' WHEN 2 THEN 'bot-challenge' WHEN 3 THEN 'not-html' WHEN 4 THEN 'not-found' ELSE CASE WHEN doc_id % 4 = 1 THEN 'bot-challenge' END END AS kind FROM docs"""
 )
 def page_signatures(spark, d):
     k, s = F.col("doc_id") % 6, F.lit
     title = F.when(k == 1, "Page Not Found - x").when(k == 2, "Just a moment...").otherwise("A page")
-    text = F.concat(F.when(k == 0, "%PDF-1.7 ").when(k == 4, "410 Gone ").otherwise(""), F.col("t"))
+    ray = F.when(F.col("doc_id") % 4 == 1, "You have been blocked. Cloudflare Ray ID: 1 ").otherwise("Cloudflare Ray ID: 2 ")
+    text = F.concat(F.when(k == 0, "%PDF-1.7 ").when(k == 4, "410 Gone ").when(k == 5, ray).otherwise(""), F.col("t"))
     kind = F.when(k == 3, "image/png").otherwise("text/html; charset=utf-8")
     return pages(spark, d).select("doc_id", quality.page_signature(title, text, kind).alias("kind"))
 

@@ -1,9 +1,10 @@
-"""Queries over a paged source, the queue's state machine and repeated log rows."""
+"""Queries over a paged source, the queue's state machine, repeated log rows and nested threads."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wikilake.operators import threads
 from wikilake.plans import adapters as A
 from wikilake.plans.registry import registry
 from wikilake.sources.paged import PAGE_SIZE, Paged
@@ -64,3 +65,18 @@ def bookmarks_paged(spark, d):
     spark.dataSource.register(Paged)
     rows = spark.read.format("paged").option("url", folder.removeprefix("file:") + "/page={page}").load()
     return rows.select("bookmark_id", "title", "link", "collection_id", F.col("tags")[0].alias("tag"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
+    SELECT conv_id AS key, count(*) AS posts, sha256(string_agg(CASE WHEN k = 0 THEN concat('## u/', role, chr(10), chr(10), '> score ', length(text), chr(10), chr(10), text) ELSE array_to_string(list_transform(string_split(concat('**u/', role, '** · score ', length(text), chr(10), chr(10), text), chr(10)), lambda x: CASE WHEN x = '' THEN rtrim(repeat('> ', k)) ELSE concat(repeat('> ', k), x) END), chr(10)) END, concat(chr(10), chr(10)) ORDER BY k)) AS sha FROM t GROUP BY conv_id"""
+)
+def threads_nested(spark, d):
+    """Each conversation as JSON in which a turn answers the one before, walked and rendered."""
+    turn = F.struct("turn", F.struct(F.col("role").alias("author"), F.length("text").alias("score"), F.col("text").alias("body")).alias("post"))
+    turns = A.table(spark, d, "conversations").groupBy("conv_id").agg(F.reverse(F.array_sort(F.collect_list(turn))).alias("turns"))
+    head = lambda x: F.regexp_replace(F.to_json(x.post), r"\}$", "")
+    nested = F.aggregate("turns", F.lit(""), lambda inner, x: F.concat(head(x), F.lit(',"replies":['), inner, F.lit("]}")))
+    posts = threads.walked(turns.select(F.col("conv_id").alias("key"), nested.alias("json")))
+    rows = threads.rendered(posts)
+    return rows.select("key", "posts", F.sha2(F.col("markdown").cast("binary"), 256).alias("sha"))

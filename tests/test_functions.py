@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wikilake.functions import markdown as M
+from wikilake.functions import pdf as P
 from wikilake.functions import text as T
 from wikilake.functions import urls as U
 from wikilake.operators import curation, quality
@@ -132,10 +133,11 @@ def test_bold_spaces():
     assert M.space_bold("**GTC**Powering a**b** `x**y**z` **c\nd**e") == "**GTC** Powering a **b** `x**y**z` **c\nd** e"
 
 
-def test_pdf_and_threads():
+def test_pdf_and_threads(spark):
     raw = "  Title of it\n Authors\n\nAbstract\nF LUX wor-\nld.\n12\n\nSpeed\n\nModel\n\nThis is a block of text that is long enough and ends in a point.\nPreprint. Under review.\narXiv:2401.01234v1 [cs] x\nall rights reserved by no one."
-    assert M.clean_pdf(raw) == "Abstract\nFLUX wor-ld.\n\nThis is a block of text that is long enough and ends in a point.\nall rights reserved by no one."
-    assert M.pdf_title("arXiv:1\n2024-01-02\nBeyond the buzz:\n A  pragmatic take\nx") == "Beyond the buzz: A pragmatic take" and M.pdf_title("x") is None
+    assert one(spark, P.pdf_text(F.col("c0")), raw) == "Abstract\nFLUX wor-ld.\n\nThis is a block of text that is long enough and ends in a point.\nall rights reserved by no one."
+    title = P.title_of_pdf(F.col("c0"))
+    assert one(spark, title, "arXiv:1\n2024-01-02\nBeyond the buzz:\n A  pragmatic take\nx") == "Beyond the buzz: A pragmatic take" and one(spark, title, "x") is None
     assert M.thread([(2, "b", "two", 1), (1, "a", "one", None)]) == "**#1 a**\n\none\n\n> **#2 b**\n> \n> two"
 
 

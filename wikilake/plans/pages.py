@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wikilake.functions import markdown as M
+from wikilake.functions import pdf as P
 from wikilake.functions import text as T
 from wikilake.operators import curation, graph, links, quality, revisions
 from wikilake.plans import adapters as A
@@ -100,8 +101,8 @@ def topic_contexts(spark, d):
 def pdf_metadata(spark, d):
     s, i = F.lit, F.col("doc_id")
     rows = A.table(spark, d, "documents").where("lang is not null and source is not null")
-    title = M.choose_title(F.when(i % 3 == 0, F.concat(s("T "), "source")).otherwise(""), F.when(i % 3 == 1, F.col("lang")), i.cast("string"))
-    return rows.select("doc_id", title.alias("title"), M.pdf_date(F.when(i % 2 == 0, "D:20240819163025+02'00'").otherwise(F.concat(s("in "), "lang"))).alias("made"))
+    title = P.choose_title(F.when(i % 3 == 0, F.concat(s("T "), "source")).otherwise(""), F.when(i % 3 == 1, F.col("lang")), i.cast("string"))
+    return rows.select("doc_id", title.alias("title"), P.pdf_date(F.when(i % 2 == 0, "D:20240819163025+02'00'").otherwise(F.concat(s("in "), "lang"))).alias("made"))
 
 
 @query(
@@ -190,12 +191,12 @@ def page_structure(spark, d):
 def pdf_cleaned(spark, d):
     s = F.lit
     raw = F.concat(s("   A Title\n   Some Author\n\narXiv:2401.01234v2 [cs.CL] 1 Jan\n  Abstract\nWe show that this is a long line of prose with the words of it. R EPRINT inter-\n nal end.\n12\n\nSpeed\n\nModel A\n\nPreprint. Under review.\n"), F.col("n_chars").cast("string"), s(" is the size of it.\n\n\n"))
-    return A.table(spark, d, "documents").select("doc_id", F.sha2(M.pdf_text(raw).cast("binary"), 256).alias("sha"))
+    return A.table(spark, d, "documents").select("doc_id", F.sha2(P.pdf_text(raw).cast("binary"), 256).alias("sha"))
 
 
 @query("SELECT doc_id, concat('FLUX model ', doc_id, ': A second line') AS title FROM documents")
 def pdf_titles(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", M.title_of_pdf(F.concat(F.lit("arXiv: 2401.1 something\n12 May 2024\nshort\n  F LUX model "), F.col("doc_id").cast("string"), F.lit(":\nA second line\n"), F.coalesce("text", F.lit("")))).alias("title"))
+    return A.table(spark, d, "documents").select("doc_id", P.title_of_pdf(F.concat(F.lit("arXiv: 2401.1 something\n12 May 2024\nshort\n  F LUX model "), F.col("doc_id").cast("string"), F.lit(":\nA second line\n"), F.coalesce("text", F.lit("")))).alias("title"))
 
 
 @query(

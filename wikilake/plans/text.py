@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wikilake.functions import markdown as M
+from wikilake.functions import pdf as P
 from wikilake.functions import text as T
 from wikilake.plans import adapters as A
 from wikilake.plans.registry import registry
@@ -88,7 +89,7 @@ def post_cleanup(spark, d):
 
 @query()
 def pdf_text_clean(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", M.pdf_text(F.col("text")).alias("text"))
+    return A.table(spark, d, "documents").select("doc_id", P.pdf_text(F.col("text")).alias("text"))
 
 
 @query("SELECT conv_id, string_agg(concat('**', role, '**: ', text), chr(10) || chr(10) ORDER BY turn) AS thread FROM conversations GROUP BY conv_id")

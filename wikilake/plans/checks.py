@@ -67,10 +67,10 @@ def lint_topic_gaps(spark, d):
     return lint.topic_content_gaps(_topics(spark, d))
 
 
-@query("SELECT 'comparison-table-missing' AS kind, 'warn' AS severity, CAST(doc_id AS VARCHAR) AS path, CAST(doc_id % 5 AS VARCHAR) AS detail FROM documents WHERE doc_id % 5 < 3 AND NOT regexp_matches(coalesce(text, ''), '(^|\\n)##? ')")
+@query("SELECT 'comparison-table-missing' AS kind, 'warn' AS severity, CAST(doc_id AS VARCHAR) AS path, CAST(doc_id % 5 AS VARCHAR) AS detail FROM documents WHERE doc_id % 5 < 3")
 def lint_comparison_table(spark, d):
     s, t = F.lit, F.coalesce("text", F.lit(""))
-    rows = A.table(spark, d, "documents").where(~t.rlike(r"(^|\n)##? ")).select(F.col("doc_id").alias("path"), F.concat(t, s("\n## Comparison\n"), F.repeat(s("| a | b |\n"), (F.col("doc_id") % 5).cast("int")), s("\n## End\n| c |\n"), t).alias("body"))
+    rows = A.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.concat(t, s("\n## Comparison\n"), F.repeat(s("| a | b |\n"), (F.col("doc_id") % 5).cast("int")), s("\n## End\n| c |\n"), t).alias("body"))
     return lint.comparison_table_missing(rows)
 
 
@@ -130,10 +130,10 @@ def audit_dead_urls(spark, d):
     return audit.dead_urls(o, pinned).select(F.col("o_orderkey").alias("slug"))
 
 
-@query("SELECT c_custkey AS slug FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS slug FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
 def audit_deleted_bookmarks(spark, d):
     sources = A.table(spark, d, "customer").select(F.col("c_custkey").alias("slug"), F.col("c_custkey").alias("norm_url"))
-    marks = A.table(spark, d, "orders").select(F.col("o_custkey").alias("norm_url"))
+    marks = A.table(spark, d, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("norm_url"))
     gone = audit.deleted_bookmarks(sources, marks).select("slug")
     return gone.unionByName(audit.deleted_bookmarks(sources, marks.limit(0)).select("slug"))  # without bookmarks there is none
 
@@ -145,11 +145,14 @@ def audit_head_stale(spark, d):
     return audit.head_stale(rows, "1997-01-01").select("slug")
 
 
-@query("SELECT doc_id AS slug FROM documents WHERE doc_id % 3 = 1 AND NOT regexp_matches(coalesce(text, ''), '\\[\\[')")
+@query(
+    """WITH x AS (SELECT doc_id, string_split(concat(coalesce(text, ''), CASE WHEN doc_id % 3 = 1 THEN '' ELSE concat(chr(10), '[[x]]') END), chr(10)) AS rows FROM documents), l AS (SELECT doc_id, unnest(rows) AS line, generate_subscripts(rows, 1) AS place FROM x),
+    f AS (SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) % 2 = 0 AS out FROM l)
+    SELECT doc_id AS slug FROM f GROUP BY doc_id HAVING count(*) FILTER (WHERE out AND regexp_matches(line, '\\[\\[([^\\]|]+)(\\|[^\\]]*)?\\]\\]')) = 0"""
+)
 def audit_zero_links(spark, d):
     body = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 1, "").otherwise("\n[[x]]"))
-    docs = A.table(spark, d, "documents").where((F.col("doc_id") % 3 != 1) | ~F.coalesce("text", F.lit("")).rlike(r"\[\["))
-    return audit.zero_links(docs.where(~F.coalesce("text", F.lit("")).contains("```")).select(F.col("doc_id").alias("slug"), T.wikilinks(body).alias("links"))).select("slug")
+    return audit.zero_links(A.table(spark, d, "documents").select(F.col("doc_id").alias("slug"), T.wikilinks(body).alias("links"))).select("slug")
 
 
 _LONG = "length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'))"
@@ -242,10 +245,10 @@ def orphans_to_delete(spark, d):
     return curation.orphans_to_delete(graph.with_refs(c, cites, "key")).select(F.col("key").alias("slug"))
 
 
-@query("SELECT c_custkey AS slug FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS slug FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
 def sources_deletable(spark, d):
     c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("slug"))
-    cites = A.table(spark, d, "orders").select((-F.col("o_orderkey")).alias("src"), F.col("o_custkey").alias("dst"))
+    cites = A.table(spark, d, "orders").where("o_orderkey % 9 = 0").select((-F.col("o_orderkey")).alias("src"), F.col("o_custkey").alias("dst"))
     return curation.deletable(c, cites)
 
 
@@ -262,10 +265,9 @@ def dates_backfilled(spark, d):
     return A.table(spark, d, "documents").select("doc_id", curation.backfilled_date(F.when(i % 3 == 0, "2024-03-04"), body, F.lit("2024-01-02")).alias("day"))
 
 
-@query("SELECT doc_id, concat('# Log', chr(10), '<!-- entries -->', chr(10), 'new ', doc_id, chr(10), text) AS log FROM documents WHERE NOT contains(coalesce(text, ''), '<!--')")
+@query("SELECT doc_id, concat('# Log', chr(10), '<!-- entries -->', chr(10), 'new ', doc_id, chr(10), coalesce(text, '')) AS log FROM documents")
 def log_prepended(spark, d):
-    docs = A.table(spark, d, "documents").where("not contains(coalesce(text, ''), '<!--')")
-    return docs.select("doc_id", curation.prepended(F.concat(F.lit("# Log\n<!-- entries -->\n"), F.col("text")), F.concat(F.lit("new "), F.col("doc_id").cast("string"))).alias("log"))
+    return A.table(spark, d, "documents").select("doc_id", curation.prepended(F.concat(F.lit("# Log\n<!-- entries -->\n"), F.coalesce("text", F.lit(""))), F.concat(F.lit("new "), F.col("doc_id").cast("string"))).alias("log"))
 
 
 @query("SELECT name, side FROM (SELECT n_name AS name, 'missing' AS side FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 2 = 1 UNION ALL SELECT n_name, 'unmatched' FROM nation WHERE n_nationkey % 3 > 0 AND n_nationkey % 2 = 0)")
@@ -311,9 +313,9 @@ def urls_of_articles(spark, d):
     return A.table(spark, d, "pages").select("page_id", U.looks_like_article(F.col("url")).alias("article"))
 
 
-@query("SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^.*e.n.*$')")
+@query("SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^.*r.d.*$')")
 def globs(spark, d):
-    return A.table(spark, d, "part").where(F.col("p_name").rlike(T.glob_rule("*e?n*"))).select("p_partkey")
+    return A.table(spark, d, "part").where(F.col("p_name").rlike(T.glob_rule("*r?d*"))).select("p_partkey")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '-' WHEN event_id % 4 = 1 THEN printf('%.2e', CAST(event_id + 1 AS DOUBLE) * 1e9) WHEN event_id % 4 = 2 THEN 'a\\|b' ELSE CAST(event_id AS VARCHAR) END AS cell FROM events")

@@ -134,10 +134,10 @@ def restore_plans(spark, d):
     return revisions.restore_plan(li.select("slug", "name"), dis, li.where("slug % 3 = 0"))
 
 
-@query("SELECT p_partkey AS slug, p_name AS name, 'delete' AS decision FROM part WHERE p_name LIKE '%e_n%' UNION ALL SELECT p_partkey, p_name, 'keep' FROM part WHERE p_name LIKE 'a%'")
+@query("SELECT p_partkey AS slug, p_name AS name, 'delete' AS decision FROM part WHERE p_name LIKE '%r_d%' UNION ALL SELECT p_partkey, p_name, 'keep' FROM part WHERE p_name LIKE 'c%'")
 def files_pruned(spark, d):
     files = A.table(spark, d, "part").select(F.col("p_partkey").alias("slug"), F.col("p_name").alias("name"))
-    return revisions.prune(files, "*e?n*").unionByName(revisions.prune(files, "a*", keep=True))
+    return revisions.prune(files, "*r?d*").unionByName(revisions.prune(files, "c*", keep=True))
 
 
 @query("SELECT l_orderkey AS slug, count(*) AS n_files, CAST(sum(l_linenumber * 10) AS BIGINT) AS bytes, string_agg(concat('images/', l_linenumber, '.png'), ',' ORDER BY concat('images/', l_linenumber, '.png')) AS names FROM lineitem WHERE l_linenumber > 3 GROUP BY l_orderkey")

@@ -82,15 +82,15 @@ def pages_refined(spark, d):
 
 @query(
     CTE
-    + """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'comparison' ELSE 'survey' END AS shape, CASE WHEN doc_id % 2 = 0 THEN '| a |' ELSE '' END AS comparison, concat('about ', doc_id) AS what, sha256(concat('### Source: 2024-01-0', doc_id % 5 + 1, '-s', chr(10), chr(10), '## Key claims', chr(10), regexp_replace(s.t, '^\\s+|\\s+$', '', 'g'))) AS sources, '2024-01-09-x' AS unresolved
-    FROM docs JOIN (SELECT doc_id AS k, t FROM docs WHERE doc_id < 5) s ON s.k = docs.doc_id % 5 WHERE NOT regexp_matches(s.t, '(^|\\n)\\s*##? ')"""
+    + """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'comparison' ELSE 'survey' END AS shape, CASE WHEN doc_id % 2 = 0 THEN '| a |' ELSE '' END AS comparison, concat('about ', doc_id) AS what, sha256(concat('### Source: 2024-01-0', doc_id % 5 + 1, '-s', chr(10), chr(10), '## Key claims', chr(10), regexp_replace(regexp_extract(concat(chr(10), s.t, chr(10), '## '), '(?s)^(.*?)\\n##? ', 1), '^\\s+|\\s+$', '', 'g'))) AS sources, '2024-01-09-x' AS unresolved
+    FROM docs JOIN (SELECT doc_id AS k, t FROM docs WHERE doc_id < 5) s ON s.k = docs.doc_id % 5"""
 )
 def topic_contexts(spark, d):
     """Each topic cites one of five documents as its source, and one that isn't there."""
     s, i = F.lit, F.col("doc_id")
     p = pages(spark, d)
     slug = lambda k: F.concat(s("2024-01-0"), (k % 5 + 1).cast("string"), s("-s"))
-    given = p.where("doc_id < 5").where(~F.col("t").rlike(r"(^|\n)\s*##? "))
+    given = p.where("doc_id < 5")
     sources = given.select(slug(i).alias("slug"), F.concat(s("# S\n## Key claims\n"), F.col("t"), s("\n## Raw source\nno")).alias("body"))
     body = F.concat(s("## What\nabout "), i.cast("string"), s("\n## Current understanding\n[[03_Sources/2024/2024-01-09-x.md]] [["), slug(i), s("|s]] [[other]]\n"), F.when(i % 2 == 0, "## Comparison\n| a |\n").otherwise(""), s("## End\n"), F.col("t"))
     rows = curation.topic_context(p.join(F.broadcast(given.select((i % 5).alias("k"))), i % 5 == F.col("k"), "left_semi").select(i.alias("slug"), body.alias("body")), sources)  # five rows at most
@@ -271,11 +271,11 @@ def batch_parsed(spark, d):
 
 @query(
     CTE
-    + """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'b' END AS sources, CASE doc_id % 4 WHEN 0 THEN 'b,c' ELSE 'c' END AS unresolved, sha256(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS synthesis, CAST(2 AS INTEGER) AS bullets FROM docs WHERE NOT regexp_matches(t, '(^|\\n)##? ')"""
+    + """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'b' END AS sources, CASE doc_id % 4 WHEN 0 THEN 'b,c' ELSE 'c' END AS unresolved, sha256(regexp_replace(regexp_extract(concat(chr(10), t, chr(10), '## '), '(?s)^(.*?)\\n##? ', 1), '^\\s+|\\s+$', '', 'g')) AS synthesis, CAST(2 AS INTEGER) AS bullets FROM docs"""
 )
 def entity_contexts(spark, d):
     s = F.lit
-    p = pages(spark, d).where(~F.col("t").rlike(r"(^|\n)##? "))
+    p = pages(spark, d)
     body = F.concat(s("## Synthesis\n"), F.col("t"), s("\n## Observations\n- from [[b|x]] and [[c]]\n- again [[03_Sources/2024/b]]\n"))
     docs = p.select(F.col("doc_id").alias("slug"), body.alias("body"))
     known = spark.range(1).select(s("b").alias("slug"), s("## Summary\nwhat b says").alias("body"))
@@ -284,10 +284,10 @@ def entity_contexts(spark, d):
     return out.select(F.col("slug").alias("doc_id"), F.when(F.col("sources") == "### Source: b\n\n## Summary\nwhat b says", "b").otherwise(F.col("sources")).alias("sources"), F.array_join("unresolved", ",").alias("unresolved"), F.sha2(F.col("synthesis").cast("binary"), 256).alias("synthesis"), F.size("observations").alias("bullets"))
 
 
-@query(CTE + "SELECT doc_id AS name, sha256(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS what, concat('known ', doc_id) AS understanding, lang AS updated FROM docs WHERE doc_id % 3 > 0 AND NOT regexp_matches(t, '(^|\\n)##? ')")
+@query(CTE + "SELECT doc_id AS name, sha256(regexp_replace(regexp_extract(concat(chr(10), t, chr(10), '## '), '(?s)^(.*?)\\n##? ', 1), '^\\s+|\\s+$', '', 'g')) AS what, concat('known ', doc_id) AS understanding, lang AS updated FROM docs WHERE doc_id % 3 > 0")
 def top_contexts(spark, d):
     s = F.lit
-    p = pages(spark, d).where(~F.col("t").rlike(r"(^|\n)##? "))
+    p = pages(spark, d)
     body = F.concat(s("## What\n"), F.col("t"), s("\n## Current understanding\n"), F.when(F.col("doc_id") % 3 == 0, "_TBD_").otherwise(F.concat(s("known "), F.col("doc_id").cast("string"))))
     rows = curation.top_context(p.select(F.col("doc_id").alias("slug"), body.alias("body"), F.lit(None).cast("string").alias("synthesised"), F.col("lang").alias("updated")))
     return rows.select("name", F.sha2(F.col("what").cast("binary"), 256).alias("what"), "understanding", "updated")

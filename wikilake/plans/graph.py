@@ -174,14 +174,15 @@ def slug_similarity(spark, d):
 
 
 @query(
-    """WITH w AS (SELECT unnest(string_split(lower(p_name), ' ')) AS name FROM part), v AS (SELECT DISTINCT name FROM w), r AS (SELECT name, count(*) AS n FROM w GROUP BY name),
+    """WITH w AS (SELECT unnest(string_split(lower(p_name), ' ')) AS name FROM part UNION ALL SELECT lower(n_name) FROM customer JOIN nation ON c_nationkey = n_nationkey), v AS (SELECT DISTINCT name FROM w), r AS (SELECT name, count(*) AS n FROM w GROUP BY name),
     p AS (SELECT a.name AS a, b.name AS b, greatest(length(a.name), length(b.name)) AS ln FROM v a JOIN v b ON a.name < b.name),
     d AS (SELECT a, b, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM p WHERE ln >= 4 AND levenshtein(a, b) * 5 <= ln AND NOT (regexp_matches(a, '[0-9]$') AND regexp_matches(b, '[0-9]$') AND left(a, length(a) - 1) = left(b, length(b) - 1)))
     SELECT row_number() OVER (ORDER BY x.n + y.n DESC, a, b) AS place, a, b, distance, x.n + y.n AS refs FROM d JOIN r x ON x.name = a JOIN r y ON y.name = b"""
 )
 def duplicates_ranked(spark, d):
-    """Like words of parts' names, those of the most parts first."""
-    words = A.table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name"))
+    """Like words of parts' names and names of customers' nations, the most frequent first."""
+    nations = A.table(spark, d, "customer").join(F.broadcast(A.table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    words = A.table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).unionByName(nations.select(F.lower("n_name").alias("name")))
     return audit.ranked_duplicates(audit.similar_slugs(words), words.groupBy("name").agg(F.count("*").alias("refs")))
 
 

@@ -125,11 +125,11 @@ def fits(e: Column, step: Column) -> Column:
 def selected(rows: Column, steps: Column) -> Column:
     """The elements that a selector selects, in document order."""
 
-    def above(e: Column) -> Column:  # ancestors from the nearest on use up the steps from the last but one on
+    def above(e: Column, steps: Column) -> Column:  # ancestors from the nearest on use up the steps from the last but one on
         left = F.aggregate(F.reverse(e.path), F.size(steps) - 1, lambda left, n: F.when((left > 0) & (n != F.element_at(e.path, -1)) & F.coalesce(fits(F.get(rows, n), F.get(steps, left - 1)), F.lit(False)), left - 1).otherwise(left))
         return left == 0
 
-    return F.filter(rows, lambda e: fits(e, F.element_at(steps, -1)) & F.when(F.size(steps) == 1, True).otherwise(above(e)))
+    return bound(steps, lambda s: F.filter(rows, lambda e: fits(e, F.element_at(s, -1)) & F.when(F.size(s) == 1, True).otherwise(above(e, s))))
 
 
 def common_ancestor(paths: Column) -> Column:

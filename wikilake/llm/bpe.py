@@ -79,7 +79,7 @@ class Recent(dict):
 class Transducer:
     """Encodes words, given as strings of symbols, by a merge list."""
 
-    def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]]):
+    def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], remembered: int = REMEMBERED):
         self.vocab = vocab
         self.rank: dict[tuple[str, str], int] = {}
         self.parts: dict[str, tuple[str, str]] = {}
@@ -96,7 +96,7 @@ class Transducer:
         self._sizes = [{k: (*sorted(v, reverse=True), 2, 1) for k, v in by.items()} for by in sizes]
         self._right: dict[str, tuple] = {}
         self._left: dict[str, tuple] = {}
-        self._stable = Recent(self._apart, REMEMBERED)
+        self._stable = Recent(self._apart, remembered)
 
     @staticmethod
     def size(token: str) -> int:
@@ -213,7 +213,7 @@ class Decoder:
     """A byte-to-text state machine: reads ids and gives the text as far as its code points are finished.  Its state is the
     bytes of an unfinished code point; what can't be finished is replaced."""
 
-    def __init__(self, spelt: dict[int, bytes], between: bytes = b""):
+    def __init__(self, spelt: dict[int, bytes], between: bytes = b"", remembered: int = REMEMBERED):
         """spelt: the bytes of each id; between: those between two ids."""
         self.spelt, self.between = spelt, between
         def rest(ids: bytes) -> str:
@@ -223,7 +223,7 @@ class Decoder:
                 raise _Unfinished
             return text
 
-        self.resting = Recent(rest, REMEMBERED)
+        self.resting = Recent(rest, remembered)
 
     def step(self, pending: bytes, ids: bytes) -> tuple[str, bytes]:
         """(text, pending bytes) after some ids (little-endian, 32 bits)."""
@@ -261,12 +261,12 @@ class _Unfinished(Exception):
 class WordBPE:
     """A tokenizer file: text to ids and back."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.transducer = Transducer(model["vocab"], merges)
+        self.transducer = Transducer(model["vocab"], merges, remembered)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         chars = byte_characters()
@@ -275,11 +275,11 @@ class WordBPE:
         self._packed = {t: i.to_bytes(4, "little") for t, i in model["vocab"].items()}
         names = {i: t.encode() for t, i in [*model["vocab"].items(), *self.special.items()]}
         #: What the library's decode gives for a file without a decoder: the tokens as they are, joined by spaces.
-        self.joined = Decoder(names, b" ")
+        self.joined = Decoder(names, b" ", remembered)
         #: Plain text: the bytes that the characters stand for, the end of a word as a space.
         self.plain = Decoder({i: t.encode() if t in self.special else b"".join(map(self._bytes.__getitem__, t.removesuffix(END))) + b" " * t.endswith(END) for t, i in [*model["vocab"].items(), *self.special.items()]})
 
-        self._word, self._chunk = Recent(self._of_word, REMEMBERED), Recent(self._of_chunk, REMEMBERED)
+        self._word, self._chunk = Recent(self._of_word, remembered), Recent(self._of_chunk, remembered)
 
     def forget(self) -> None:
         """Empties the caches."""
@@ -330,21 +330,22 @@ class WordBPE:
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> WordBPE:
-    return WordBPE(path)
+def load(path: str, remembered: int = REMEMBERED) -> WordBPE:
+    return WordBPE(path, remembered)
 
 
-def encoded(documents: DataFrame, path: str, ids: bool = True, digests: bool = True) -> DataFrame:
+def encoded(documents: DataFrame, path: str, ids: bool = True, digests: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """documents with the columns n_tokens, ids (array of int) if wanted, and ids_sha256 and decoded_sha256 if wanted.
 
     path: the tokenizer file, at the same place on every machine.  A null is an empty text: no ids, and the
-    digests of nothing.  One pass without a shuffle; a worker keeps one piece of a text and a bounded cache."""
+    digests of nothing.  One pass without a shuffle; a worker keeps one piece of a text and caches of twice `remembered` results
+    of a kind, which are time for memory and change no result."""
     extra = [("n_tokens", pa.int64(), "long")] + [("ids", pa.list_(pa.int32()), "array<int>")] * ids + [(k, pa.string(), "string") for k in ("ids_sha256", "decoded_sha256") * digests]
     documents = documents.drop(*(k for k, _, _ in extra))
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(path, remembered)
         CACHES["bpe"] = bpe.forget
         for batch in batches:
             rows: list[list] = [[] for _ in extra]

@@ -48,14 +48,17 @@ def parts(pages: DataFrame) -> DataFrame:
     rows, page = F.col("rows"), F.col("html")
     attr = lambda e, name: F.try_element_at(e.attrs, F.lit(name))
 
-    def of(kind: str, selector: str) -> Column:
-        text = F.lit(None).cast("string") if kind in (*BODIES, "reply", "image", "badge") else None
-        html = lambda e: F.substring(page, e.begin + 1, e.stop - e.begin) if kind in BODIES else F.lit(None).cast("string")
-        one = lambda e: F.struct(F.lit(kind).alias("kind"), F.element_at(e.path, -1).alias("n"), e.path.alias("path"), e.begin.alias("begin"), e.stop.alias("stop"), (shown(page, e) if text is None else text).alias("text"), html(e).alias("html"), attr(e, "title").alias("title"), attr(e, "src").alias("src"), attr(e, "alt").alias("alt"))
-        return F.transform(E.selected(rows, E.parsed(F.lit(selector))), one)
+    none = F.lit(None).cast("string")
+    wanted = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(x).alias("selector")) for kind, selectors in KINDS.items() for x in selectors))
+
+    def one(kind: Column, e: Column) -> Column:
+        text = F.when(kind.isin(*BODIES, "reply", "image", "badge"), none).otherwise(shown(page, e))
+        html = F.when(kind.isin(*BODIES), F.substring(page, e.begin + 1, e.stop - e.begin))
+        return F.struct(kind.alias("kind"), F.element_at(e.path, -1).alias("n"), e.path.alias("path"), e.begin.alias("begin"), e.stop.alias("stop"), text.alias("text"), html.alias("html"), attr(e, "title").alias("title"), attr(e, "src").alias("src"), attr(e, "alt").alias("alt"))
 
     cut = pages.select("key", "html", E.elements(page).alias("rows"))
-    found = cut.select("key", F.explode(F.concat(*(of(kind, x) for kind, selectors in KINDS.items() for x in selectors))).alias("x")).select("key", "x.*")
+    hits = F.transform(wanted, lambda k: F.transform(E.selected(rows, E.parsed(k.selector)), lambda e: one(k.kind, e)))
+    found = cut.select("key", F.explode(F.flatten(hits)).alias("x")).select("key", "x.*")
     folder = scratch(pages.sparkSession, "forum")
     found.write.parquet(folder)
     return pages.sparkSession.read.parquet(folder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wikilake.functions import elements as E
-from wikilake.operators import articles
+from wikilake.operators import articles, forums
 from wikilake.plans import adapters as A
 from wikilake.plans.registry import registry
 
@@ -80,3 +80,25 @@ def page_articles(spark, d):
     """Whole articles; golden pages are in the tests."""
     rows = articles.articles(A.table(spark, d, "pages"), articles.site_rules(spark))
     return rows.select("page_id", "site", "title", "markdown")
+
+
+@query(
+    """WITH t AS (SELECT conv_id AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no, role, replace(replace(text, '&', '&amp;'), '<', '&lt;') AS x FROM conversations)
+    SELECT key, no, role AS username, concat('2024-01-0', no % 9 + 1) AS date, no > 1 AND no % 2 = 1 AS op, regexp_replace(x, '[^\\p{L}\\p{N}]+', '', 'g') AS letters, concat('v2ex-', printf('%03d', no), '-01.png') AS picture FROM t"""
+)
+def forum_posts(spark, d):
+    """Each conversation as a topic's page: its first turn opens it, the others are replies with a picture each."""
+    s = F.lit
+    turn = F.struct("turn", "role", F.replace(F.replace(F.col("text"), s("&"), s("&amp;")), s("<"), s("&lt;")).alias("text"))
+    talks = A.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    said = lambda x, i: F.concat(x.text, s(' <img src="https://h.org/'), i.cast("string"), s('.PNG">'))
+    date = lambda i: F.concat(s("2024-01-0"), ((i + 1) % 9 + 1).cast("string"), s(" 10:00"))
+    member = lambda x: F.concat(s('<a href="/member/'), x.role, s('">'), x.role, s("</a>"))
+    reply = lambda x, i: F.concat(
+        s('<div id="r_'), i.cast("string"), s('" class="cell"><span class="no">'), i.cast("string"), s("</span><strong>"), member(x), s("</strong>"), F.when(i % 2 == 0, '<div class="badges"><div class="badge op">OP</div></div>').otherwise(""), s('<span class="ago" title="'), date(i), s('">ago</span><div class="reply_content">'), said(x, i), s("</div></div>"),
+    )
+    first = F.col("turns")[0]
+    page = F.concat(s("<h1>Topic - V2EX</h1><div class='header'><small class='gray'>"), member(first), s(" <span title='"), date(s(0)), s("'>ago</span></small></div><div class='topic_content'>"), said(first, s(0)), s("</div>"), F.array_join(F.slice(F.transform("turns", reply), 2, F.size("turns")), ""))
+    posts = forums.posts(forums.parts(talks.select(F.col("conv_id").alias("key"), page.alias("html"))))
+    letters = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", ""), r"[^\p{L}\p{N}]+", "")
+    return posts.select("key", F.col("no").cast("long").alias("no"), "username", F.substring("date", 1, 10).alias("date"), "op", letters.alias("letters"), F.col("pictures")[0].local.alias("picture"))

@@ -36,9 +36,10 @@ ROUNDS, SEED = 4, 11
 
 
 class Mix(NamedTuple):
-    """sources: key, s, weight, source_size, target, words; streams: s, key, hash, doc_id, size, begin (its first word's
+    """documents: key, hash, doc_id, size, copies; sources: key, s, weight, source_size, target, words; streams: s, key, hash, doc_id, size, begin (its first word's
     place); slots: shard, slot, s, epoch, block, length (words taken from the block's begin)."""
 
+    documents: DataFrame
     sources: DataFrame
     streams: DataFrame
     slots: DataFrame
@@ -149,7 +150,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights: tuple[
     slots = slots.withColumn("block", F.when(short, F.col("full")).otherwise(permuted(F.col("place"), F.greatest(F.col("full"), F.lit(1)), F.col("s"), F.col("epoch"))))
     holds = F.when(short, F.col("source_size") - F.col("full") * block).otherwise(F.lit(block))
     slots = slots.withColumn("length", F.least(holds, F.col("words") - F.col("epoch") * F.col("source_size") - F.col("place") * block))
-    return Mix(sources, streams, slots.select("shard", "slot", "s", "epoch", "block", "length"), block)
+    return Mix(rows, sources, streams, slots.select("shard", "slot", "s", "epoch", "block", "length"), block)
 
 
 def pieces(streams: DataFrame, block: int) -> DataFrame:
@@ -185,7 +186,7 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     parts = pieces(mixed.streams, mixed.block).join(mixed.slots.select("s", "block", "length"), ["s", "block"], "left")
     had = F.greatest(F.least("hi", F.coalesce("length", F.lit(0))) - F.col("lo"), F.lit(0))
     sums = parts.groupBy("s", "begin", "doc_id", "size").agg(F.sum(had).alias("taken")).select("s", "doc_id", "size", "taken")
-    bare = attach(sized(docs).where("size = 0").select("key", "doc_id", "size", F.explode(F.expr("sequence(1L, copies)")).alias("copy")), mixed.sources.select("key", "s"), "key")
+    bare = attach(mixed.documents.where("size = 0").select("key", "doc_id", "size", F.explode(F.expr("sequence(1L, copies)")).alias("copy")), mixed.sources.select("key", "s"), "key")
     every = sums.unionByName(bare.select("s", "doc_id", "size", F.lit(0).cast("long").alias("taken")))
     return attach(saved(every), mixed.sources.select("s", "source_size", "target"), "s").select("doc_id", "size", "source_size", "target", "taken")
 

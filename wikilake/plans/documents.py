@@ -165,12 +165,18 @@ def merge_docs_whole(spark, d):
     return curation.merged(wiki_whole(spark, d), "page 3", "page 5").select("slug", "body")
 
 
-@query()
+_WIKI = "'# page ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || 'See [[page ' || doc_id % 10 || ']] and [[page 3|three]].' || chr(10) || '## Observations' || chr(10) || '- seen ' || lang || chr(10) || coalesce(text, '')"
+
+
+@query(f"SELECT 'page ' || doc_id AS slug, regexp_replace({_WIKI}, '\\s+$', '') || chr(10) || chr(10) || '## Comparison' || chr(10) AS body FROM documents")
 def comparison_heading_whole(spark, d):
     return wiki_whole(spark, d).withColumn("body", curation.with_heading(F.col("body"), "Comparison"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT doc_id, lang, list_filter(string_split(coalesce(text, '') || chr(10) || 'See [[page ' || doc_id % 10 || ']] and [[page 3|three]].', chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(x, '#'))[1] AS line FROM documents)
+    SELECT 'page ' || doc_id AS slug, 'seen ' || lang AS first_observation, 'page ' || doc_id AS title, CASE WHEN length(line) > 137 THEN left(line, 137) || '...' ELSE line END AS paragraph FROM p"""
+)
 def page_parts_whole(spark, d):
     b = F.col("body")
     return wiki_whole(spark, d).select("slug", F.regexp_replace(F.element_at(T.observations(b), 1), "^- ", "").alias("first_observation"), T.human_title(b).alias("title"), T.first_paragraph(b).alias("paragraph"))

@@ -64,7 +64,7 @@ def assemble_content(spark, d):
     return report.assembled(c.select("conv_id", F.col("turn").alias("place"), F.col("role").alias("tag"), "text"), "conv_id")
 
 
-@query()
+@query("SELECT doc_id, t || regexp_replace('> ' || regexp_replace(t, '^\\s+', '') || t, '\\s+$', '') || chr(10) || '![](' || source || ') $x$ ' || t AS text FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)")
 def tag_markup_whole(spark, d):
     s, t = F.lit, F.coalesce("text", F.lit(""))
     raw = F.concat(t, s('<grid cols="2">\n<callout emoji="x">\n'), t, s('<text color="red">'), t, s('</text>\n</callout>\n<image token="'), "source", s('" width="1"/> <equation>x</equation> '), t, s("</grid>"))

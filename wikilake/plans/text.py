@@ -33,7 +33,11 @@ def wikilinks_extract_whole(spark, d):
     return _whole(spark, d).select("doc_id", F.array_join(T.wikilinks(F.col("body")), ",").alias("links"))
 
 
-@query()
+@query(
+    """WITH x AS (SELECT doc_id, regexp_extract(chr(10) || '- [[b|see]]' || chr(10) || coalesce(text, '') || chr(10) || '- [[a ' || doc_id % 7 || ']]' || chr(10) || '## End', '(?s)^(.*?)\\n##? ', 1) AS own FROM documents),
+    t AS (SELECT doc_id, regexp_replace(own, '^\\s+|\\s+$', '', 'g') AS s FROM x)
+    SELECT doc_id, s AS section, CAST(len(list_filter(string_split(s, chr(10)), lambda y: starts_with(y, '- '))) AS INTEGER) AS bullets, '## Observations' || chr(10) || s AS excerpt FROM t"""
+)
 def section_extract_whole(spark, d):
     b = F.col("body")
     return _whole(spark, d).select("doc_id", T.section(b, "Observations").alias("section"), F.size(T.observations(b)).alias("bullets"), T.excerpt(b, ("Observations", "Missing")).alias("excerpt"))

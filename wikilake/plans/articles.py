@@ -13,8 +13,9 @@ QUERIES, SQL, query = registry()
 _HOLDERS = ("html", "head", "body", "nav", "ul", "article", "footer", "div")
 #: What lies between the tags of an article, as text.
 _INNER = "regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1)"
-_TEXT = "replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&amp;', '&')"
-_TITLE = "trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'))"
+_READ = "replace(replace(replace(replace(replace({}, '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_TEXT = _READ.format("regexp_replace({}, '<[^>]*>', '', 'g')")
+_TITLE = "trim(" + _READ.format("regexp_extract(html, '<title>([^<]*)</title>', 1)") + ")"
 
 
 @query(

@@ -342,3 +342,21 @@ def test_toxicity_forward_pass_equals_brute_force():
             best = max(sum(float(x[p + j] @ m.conv[i][j][:, k]) for j in range(w)) for p in range(len(t) + 1))
             z += float(m.out[f]) * max(best + float(m.bias[f]), 0)
         assert s == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4)
+
+
+def test_a_large_filter_comes_in_parts(spark, monkeypatch):
+    """A filter over BITS never reaches the driver by one collect, and its bits are those of the hashes."""
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    def refused(self):
+        raise AssertionError("collected at once")
+
+    rows = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    h = rows.toPandas()["h"].to_numpy().view(np.uint64)
+    monkeypatch.setattr(type(rows), "collect", refused)
+    assert issubclass(type(rows), DataFrame)
+    bits = common.BITS + 1
+    got = common.bitset(rows, "h", bits)
+    assert common.has(got, h, bits).all()
+    assert int(np.bitwise_count(got).sum()) == len(np.unique(h & np.uint64((1 << bits) - 1)))

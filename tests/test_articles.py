@@ -92,3 +92,15 @@ def test_rules_are_data(spark):
     own = [*rules, ("lmsys", "body", 0, ".b"), ("lmsys", "title", 0, r" \| X$")]
     assert article(spark, page, "https://lmsys.org/", own).body.startswith("second") and article(spark, page, "https://h.org/", own).body.startswith("first")
     assert {r.site for r in articles.site_rules(spark).select("site").distinct().collect()} == set(articles.SITES)
+
+
+def test_references_count_with_their_semicolon():
+    """A reference that was cut off stays as it stands, in texts, titles and attributes."""
+    from wikilake.functions import elements, markdown
+
+    page = "<title>a &amp</title><p>x &amp; y &ampz; &#65; &#65 <a href='/u?a=1&copy=2&amp;d=3'>l</a></p>"
+    assert markdown.to_markdown(page) == "a &amp\n\nx & y &ampz; A &#65 [l](/u?a=1&copy=2&d=3)"
+    title, p, a = elements._Reader(page).rows
+    assert title["attrs"]["#text"] == "a &amp" and title["chars"] == 6
+    assert p["begin"] == page.index("<p>") and p["chars"] == len("x & y &ampz; A &#65 l")
+    assert a["attrs"]["href"] == "/u?a=1&copy=2&d=3"

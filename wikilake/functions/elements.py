@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wikilake.functions.markdown import marked
 from wikilake.functions.text import bound
 
 ELEMENT = "array<struct<path:array<int>,begin:int,stop:int,tag:string,id:string,classes:array<string>,attrs:map<string,string>,chars:int>>"
@@ -27,6 +28,7 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.starts = [0, *(k + 1 for k in (i for i, c in enumerate(page) if c == "\n"))]
         self.page, self.rows, self.open, self.chars = page, [], [], 0
+        page, self.mark = marked(page)  # of the same length
         self.feed(page)
         self.close()
         self._end(0, len(page))
@@ -35,6 +37,9 @@ class _Reader(HTMLParser):
         line, column = self.getpos()
         return self.starts[line - 1] + column
 
+    def _plain(self, value: str) -> str:
+        return value.replace(self.mark, "&") if self.mark else value
+
     def _end(self, depth: int, at: int) -> None:
         """Ends all open elements beyond a depth."""
         for n in self.open[depth:]:
@@ -60,7 +65,7 @@ class _Reader(HTMLParser):
             self._end(depth, at)
         given = {}
         for name, value in attrs:
-            given.setdefault(name, value or "")
+            given.setdefault(name, self._plain(value or ""))
         n = len(self.rows)
         path = [*(self.rows[self.open[-1]]["path"] if self.open else ()), n]
         self.rows.append({"path": path, "begin": at, "stop": at + len(self.get_starttag_text() or ""), "tag": tag, "id": given.get("id", ""), "classes": given.get("class", "").split(), "attrs": given, "chars": 0 if tag in VOID else self.chars})
@@ -82,7 +87,7 @@ class _Reader(HTMLParser):
         self.chars += len(data)
         if self.open and self.rows[self.open[-1]]["tag"] == "title":
             own = self.rows[self.open[-1]]["attrs"]
-            own["#text"] = own.get("#text", "") + data
+            own["#text"] = own.get("#text", "") + self._plain(data)
 
 
 def elements(page: Column) -> Column:

@@ -110,3 +110,13 @@ def test_guards(spark):
     with pytest.raises(ValueError, match="slug collision: a is both x/a.md and y/a.md"):
         revisions.sync_changes(pages, none)
     assert revisions.sync_changes(pages.where("path <> 'y/a.md'"), none).count() == 2
+
+
+def test_exponential_cells_round_exact_values(spark):
+    """Ties go to the even digit, by the exact value of the number; infinities and what is no number are no ties."""
+    from wikilake.functions import text as T
+
+    given = ["1005000000", "1015000000", "-1.125e12", "1.135e12", "1.125e30", "999999999", "inf", "nan", None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(given)], "k int, x string")
+    got = [r.c for r in rows.select("k", T.format_cell(rows.x).alias("c")).orderBy("k").collect()]
+    assert got == ["1.00e+09", "1.02e+09", "-1.12e+12", "1.14e+12", f"{1.125e30:.2e}", "999999999", "inf", "nan", "-"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -195,10 +196,16 @@ def escape_cell(text: Column) -> Column:
     return F.replace(text, F.lit("|"), F.lit("\\|"))
 
 
+def _exponential(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: None if pd.isna(x) else f"{x:.2e}")
+
+
 def format_cell(text: Column) -> Column:
-    """A dash for nothing, an exponential form from a billion on, else the escaped text."""
+    """A dash for nothing, an exponential form from a billion on, else the escaped text.  The exponential form is that of the number's
+    exact binary value, ties to even; the JVM's own rounds the shortest decimal form up."""
     n = text.try_cast("double") if hasattr(text, "try_cast") else text.cast("double")
-    return F.when(text.isNull() | (F.trim(text) == ""), "-").when(F.abs(n) >= 1e9, F.format_string("%.2e", n)).otherwise(escape_cell(text))
+    large = F.when((F.abs(n) >= 1e9) & ~F.isnan(n), n)
+    return F.when(text.isNull() | (F.trim(text) == ""), "-").when(large.isNotNull(), F.pandas_udf(_exponential, "string")(large)).otherwise(escape_cell(text))
 
 
 def glob_rule(glob: str) -> str:

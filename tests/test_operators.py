@@ -120,3 +120,11 @@ def test_exponential_cells_round_exact_values(spark):
     rows = spark.createDataFrame([(k, x) for k, x in enumerate(given)], "k int, x string")
     got = [r.c for r in rows.select("k", T.format_cell(rows.x).alias("c")).orderBy("k").collect()]
     assert got == ["1.00e+09", "1.02e+09", "-1.12e+12", "1.14e+12", f"{1.125e30:.2e}", "999999999", "inf", "nan", "-"]
+
+
+def test_sources_deletable_reads_all_orders(spark, tmp_path):
+    from wikilake.plans import catalog
+
+    spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(9, 1), (10, 2)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    assert [r.slug for r in catalog.QUERIES["sources_deletable"](spark, str(tmp_path)).collect()] == [3]

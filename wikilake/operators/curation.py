@@ -51,17 +51,21 @@ def with_heading(body: Column, heading: str) -> Column:
 
 def with_section(body: Column, heading: str, text: Column) -> Column:
     """The section's body replaced; the section is added if it isn't there."""
-    rows = T.lines(body)
-    begin = F.array_position(F.transform(rows, lambda x: F.rtrim(x)), f"## {heading}").cast("int")
-    rest = F.slice(rows, begin + 1, F.size(rows))
-    end = F.array_position(F.transform(rest, lambda x: x.rlike("^##? ")), True).cast("int")
-    tail = F.when(end == 0, F.array().cast("array<string>")).otherwise(F.slice(rest, F.greatest(end, F.lit(1)), F.size(rest)))
-    return F.when(begin > 0, F.array_join(F.concat(F.slice(rows, 1, F.greatest(begin, F.lit(1))), F.array(text), tail), "\n")).otherwise(F.concat(F.regexp_replace(body, r"\s+\z", ""), F.lit(f"\n\n## {heading}\n"), text))
+    whole, line = F.replace(body, F.lit("\r\n"), F.lit("\n")), rf"(?md)^## {T.quoted(heading)} *$"
+    cut = F.split(whole, line, 2)
+    behind = F.get(cut, F.lit(1))  # null without the heading
+    tail = F.coalesce(F.concat(F.lit("\n"), F.get(F.split(behind, "(?md)(?=^##? )", 2), F.lit(1))), F.lit(""))
+    new = F.concat(F.get(cut, F.lit(0)), F.regexp_extract(whole, line, 0), F.lit("\n"), text, tail)
+    return F.when(behind.isNotNull(), new).otherwise(F.concat(F.regexp_replace(body, r"\s+\z", ""), F.lit(f"\n\n## {heading}\n"), text))
 
 
 def dated(raw: Column, day: str) -> Column:
     """A page whose frontmatter says that it was updated and synthesised on a day; synthesis_updated_at is put behind updated,
     or at the end, if it isn't there.  Without frontmatter nothing changes."""
+    return F.concat(_stamped(T.frontmatter(raw), day), T.body(raw))
+
+
+def _stamped(head: Column, day: str) -> Column:
     stamp = f"synthesis_updated_at: {day}"
 
     def stamped(head: Column) -> Column:
@@ -69,14 +73,15 @@ def dated(raw: Column, day: str) -> Column:
         new = F.when(head.rlike(there), F.regexp_replace(head, there, stamp)).when(head.rlike(updated), F.regexp_replace(head, updated, f"$1\n{stamp}")).otherwise(F.regexp_replace(head, r"\n---\r?\n\z", f"\n{stamp}\n---\n"))
         return F.regexp_replace(new, updated, f"updated: {day}")
 
-    return F.concat(T.bound(T.frontmatter(raw), lambda head: F.when(head == "", head).otherwise(stamped(head))), T.body(raw))
+    return T.bound(head, lambda head: F.when(head == "", head).otherwise(stamped(head)))
 
 
 def refined(raw: Column, heading: str, text: Column, day: str) -> Column:
     """A page with a new section and the day on which it was made; runs of blank lines become one."""
     fresh = F.concat(F.lit("\n"), F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n"))
     new = F.regexp_replace(with_section(T.body(raw), heading, fresh), r"\n{3,}", "\n\n")
-    return dated(F.concat(T.frontmatter(raw), new), day)
+    head = T.frontmatter(raw)
+    return F.when(head == "", dated(new, day)).otherwise(F.concat(_stamped(head, day), new))
 
 
 def backfilled_date(synthesised: Column, body: Column, updated: Column) -> Column:

@@ -85,3 +85,60 @@ def test_links_by_their_brackets():
     row = "".join(f"[link number {k}](http://h.org/a/long/path/{k})" for k in range(6))
     assert M.split_link_rows(row) == row.replace(")[", ") · [") and M.split_link_rows(row[:90]) == row[:90]
     assert M.split_link_rows(row + "[1](x)") == row.replace(")[", ") · [") + "[1](x)"
+
+
+def test_texts_are_read_by_strings_as_by_lines(spark):
+    """Counts, sections and what stands outside fences, with breaks of two characters, open fences and edges, against plain loops."""
+    from pyspark.sql import functions as F
+
+    from wikilake.functions import text as T
+    from wikilake.operators import curation
+
+    pieces = ["# a", "## b", "##", "#\t", "| - |", "x ** y", "** z **", "```", "```py", " Share ", "x 附录（位置未识别）", "", " ## Observations ", "## Observations", "- one", "## End"]
+    import random
+
+    rng = random.Random(5)
+    given = ["", "\n", "```", "```\n", "```\n```", "## Observations", "## Observations\n## End", "a\r\n## Observations\r\n\r\n## End"]
+    given += [rng.choice(["\n", "\r\n"]).join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(150)]
+
+    def plain(text):
+        rows = text.replace("\r\n", "\n").split("\n")
+        out, open_ = [], False
+        for x in rows:
+            if x.startswith("```"):
+                open_ = not open_
+            elif not open_:
+                out.append(x)
+        begin = next((k for k, x in enumerate(rows) if x.strip(" ") == "## Observations"), None)
+        own = None
+        if begin is not None:
+            stop = next((k for k in range(begin + 1, len(rows)) if rows[k].startswith(("# ", "## "))), len(rows))
+            own = "\n".join(rows[begin + 1 : stop])
+        at = next((k for k, x in enumerate(rows) if x.rstrip(" ") == "## Observations"), None)
+        if at is None:
+            new = text.rstrip() + "\n\n## Observations\nnew"
+        else:
+            stop = next((k for k in range(at + 1, len(rows)) if rows[k].startswith(("# ", "## "))), len(rows))
+            new = "\n".join([*rows[: at + 1], "new", *rows[stop:]])
+        counts = (sum(x.startswith("# ") for x in out), sum(x.startswith("## ") for x in out), sum(x.count("**") % 2 for x in out), sum(x.strip("#") != x and not x.strip("# \t") for x in out), sum(x == "| - |" for x in out), sum(x.strip(" ") == "Share" for x in out), sum("附录" in x for x in out), sum(x.startswith("```") for x in rows))
+        return out, own, own and own.strip() if own is not None else None, new, counts
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k int, t string")
+    f = T.feature_row(F.col("t"))
+    rows = df.select("k", T.strip_fences(F.col("t")).alias("out"), T.section(F.col("t"), "Observations", trimmed=False).alias("own"), T.section(F.col("t"), "Observations").alias("bare"), curation.with_section(F.col("t"), "Observations", F.lit("new")).alias("new"), f.alias("f")).orderBy("k").collect()
+    for t, r in zip(given, rows, strict=True):
+        out, own, bare, new, counts = plain(t)
+        assert (r.out, r.own, r.bare, r.new) == ("\n".join(out), own, bare, new), t
+        assert (r.f.h1, r.f.h2, r.f.unbalanced_bold, r.f.empty_headings, r.f.tables, r.f.chrome, r.f.appendix_marks, r.f.fences) == counts, t
+
+
+def test_long_texts_go_to_python_in_small_batches(spark, tmp_path):
+    from wikilake.plans import adapters as A
+
+    spark.range(1).write.parquet(str(tmp_path / "pages.parquet"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    A.table(spark, str(tmp_path), "pages")
+    assert int(spark.conf.get(key)) <= 1000
+    spark.conf.set(key, before)

@@ -28,6 +28,11 @@ def _runs(text: Column) -> Column:
     return bound(F.split(text, r"(?md)(?=^```)", -1), lambda p: F.transform(p, lambda x, i: F.struct(x.alias("text"), (i + F.when(p[0].startswith("```"), 1).otherwise(0)).alias("n"), (i + 1 < F.size(p)).alias("more"))))
 
 
+def _unix(text: Column) -> Column:
+    """Line breaks of one character."""
+    return F.replace(text, F.lit("\r\n"), F.lit("\n"))
+
+
 def _rows(text: Column, more: Column) -> Column:
     """Lines of a part; the line break before the next part ends the last of them."""
     return F.when(more & (text == ""), F.array().cast("array<string>")).otherwise(lines(F.when(more, F.regexp_replace(text, r"\r?\n\z", "")).otherwise(text)))
@@ -38,15 +43,23 @@ def _behind(part: Column) -> Column:
     return F.regexp_replace(part, r"\A[^\n]*\n?", "")
 
 
+def _outside(text: Column) -> Column:
+    """Array of what stands between the fence lines outside of fences, each without its last line break; what has no line isn't there."""
+
+    def kept(t: Column, more: Column) -> Column:
+        return F.when(~more, t).when(t != "", F.substring(t, F.lit(1), F.length(t) - 1))
+
+    part = lambda p: F.when(p.n == 0, kept(p.text, p.more)).when((p.n % 2 == 0) & F.contains(p.text, F.lit("\n")), kept(_behind(p.text), p.more))
+    return F.array_compact(F.transform(_runs(_unix(text)), part))
+
+
 def outside_fences(text: Column) -> Column:
     """Array of the lines outside fences, without the fence lines."""
-    none = F.array().cast("array<string>")
-    rows = lambda p: F.when(p.n == 0, _rows(p.text, p.more)).when((p.n % 2 == 1) | ~F.contains(p.text, F.lit("\n")), none).otherwise(_rows(_behind(p.text), p.more))
-    return F.flatten(F.transform(_runs(text), rows))
+    return F.flatten(F.transform(_outside(text), lambda t: F.split(t, "\n", -1)))
 
 
 def strip_fences(text: Column) -> Column:
-    return F.array_join(outside_fences(text), "\n")
+    return F.array_join(_outside(text), "\n")
 
 
 def wikilinks(text: Column) -> Column:
@@ -71,6 +84,7 @@ def frontmatter_map(raw: Column) -> Column:
     return F.map_from_entries(pair)
 
 
+SPACE = " \t\n\x0b\f\r"
 #: Headings at which a section ends: of level one or two, of level two alone, or any.
 TOP, SECOND, ANY = r"^##? ", r"^## ", r"^#{1,6} "
 
@@ -79,26 +93,28 @@ def section(text: Column, *headings: str, until: str = TOP, trimmed: bool = True
     """The body of the first of the sections `## heading` that is there, up to the next heading (see TOP), or the end; null if none
     is there.  The heading's line may have white space around it."""
 
-    def one(all_: Column, heading: str) -> Column:
-        begin = F.array_position(F.transform(all_, lambda x: F.trim(x)), f"## {heading}")
-        rest = F.slice(all_, begin + 1, F.size(all_))
-        end = F.array_position(F.transform(rest, lambda x: x.rlike(until)), True)
-        cut = F.array_join(F.when(end == 0, rest).otherwise(F.slice(rest, 1, F.greatest(end.cast("int") - 1, F.lit(0)))), "\n")
-        return F.when(begin > 0, F.regexp_replace(cut, r"^\s+|\s+$", "") if trimmed else cut)
+    whole = _unix(text)
 
-    return bound(lines(text), lambda all_: F.coalesce(*(one(all_, h) for h in headings)))
+    def one(heading: str) -> Column:
+        behind = F.get(F.split(whole, rf"(?md)^ *## {quoted(heading)} *$", 2), F.lit(1))  # null without the heading
+        cut = F.split(behind, "(?md)" + until, 2)
+        if trimmed:
+            return F.btrim(F.get(cut, F.lit(0)), F.lit(SPACE))
+        own = F.get(cut, F.lit(0))  # from the break behind the heading to the one before the next
+        return F.substring(own, F.lit(2), F.length(own) - F.size(cut))
+
+    return F.coalesce(*map(one, headings))
 
 
 def excerpt(text: Column, headings: tuple[str, ...]) -> Column:
     """The named sections, with their headings; the whole text if none is there."""
-    parts = [F.when(section(text, h).isNotNull(), F.concat(F.lit(f"## {h}\n"), section(text, h))) for h in headings]
-    some = F.array_compact(F.array(*parts))
-    return F.when(F.size(some) > 0, F.array_join(some, "\n\n")).otherwise(text)
+    parts = [F.concat(F.lit(f"## {h}\n"), section(text, h)) for h in headings]
+    return F.coalesce(F.nullif(F.concat_ws("\n\n", *parts), F.lit("")), text)
 
 
 def observations(text: Column) -> Column:
     """Bullets of the Observations section."""
-    return F.filter(lines(F.coalesce(section(text, "Observations"), F.lit(""))), lambda x: x.startswith("- "))
+    return F.regexp_extract_all(F.coalesce(section(text, "Observations"), F.lit("")), F.lit(r"(?md)^- [^\n]*$"), F.lit(0))
 
 
 def is_stub(text: Column) -> Column:
@@ -150,25 +166,44 @@ CHROME_LINES = ("Subscribe", "Share", "Copy link", "Comment", "Like", "Save", "F
 APPENDIX_MARK = "附录（位置未识别）"
 
 
+def feature_row(text: Column) -> Column:
+    """Counters that a page's snapshot is compared by, as one struct; headings count outside fences.  Where several are asked for, select the
+    struct before its fields: so the text is read once."""
+
+    def of(rows: Column) -> Column:
+        return bound(F.array_join(F.regexp_extract_all(rows, F.lit(r"(?md)^#[^\n]*$"), F.lit(0)), "\n"), lambda heads: counted(rows, heads))
+
+    def counted(rows: Column, heads: Column) -> Column:
+        count = lambda rule, within=rows: F.regexp_count(within, F.lit("(?md)" + rule))
+        bars = F.when(F.contains(rows, F.lit("|")), count(r"^\|[ \t\x0B\f\r:|-]+\|[ \t\x0B\f\r]*$")).when(rows.isNotNull(), 0)
+        holding = lambda x: F.regexp_extract_all(rows, F.lit(rf"(?md)^[^\n]*?{quoted(x)}[^\n]*$"), F.lit(0))
+        found = {
+            "h1": count("^# ", heads),
+            "h2": count("^## ", heads),
+            "h3": count("^### ", heads),
+            "fences": F.regexp_count(text, F.lit("(?md)^```")),
+            "tables": bars,
+            "images": F.size(image_urls(text)),
+            "remote_images": F.size(remote_images(text)),
+            "body_chars": F.length(F.trim(text)),
+            "unbalanced_bold": F.when(F.contains(rows, F.lit("**")), F.size(F.filter(holding("**"), lambda x: F.size(F.split(x, r"\*\*")) % 2 == 0))).when(rows.isNotNull(), 0),
+            "empty_headings": count(r"^#{1,6}[ \t\x0B\f\r]*$", heads),
+            "frontmatter": (frontmatter(text) != "").cast("int"),
+            "chrome": count(rf"^ *(?:{'|'.join(map(quoted, CHROME_LINES))}) *$"),
+            "appendix_marks": F.when(F.contains(rows, F.lit(APPENDIX_MARK)), F.size(holding(APPENDIX_MARK))).when(rows.isNotNull(), 0),
+        }
+        return F.struct(*(c.alias(k) for k, c in found.items()))
+
+    return bound(strip_fences(text), of)
+
+
+FEATURES = ("h1", "h2", "h3", "fences", "tables", "images", "remote_images", "body_chars", "unbalanced_bold", "empty_headings", "frontmatter", "chrome", "appendix_marks")
+
+
 def features(text: Column) -> dict[str, Column]:
-    """Counters that a page's snapshot is compared by; headings count outside fences."""
-    rows = outside_fences(text)
-    count = lambda rule: F.size(F.filter(rows, lambda x: x.rlike(rule)))
-    return {
-        "h1": count("^# "),
-        "h2": count("^## "),
-        "h3": count("^### "),
-        "fences": F.size(F.filter(lines(text), lambda x: x.startswith("```"))),
-        "tables": count(r"^\|[\s:|-]+\|\s*$"),
-        "images": F.size(image_urls(text)),
-        "remote_images": F.size(remote_images(text)),
-        "body_chars": F.length(F.trim(text)),
-        "unbalanced_bold": F.size(F.filter(rows, lambda x: F.size(F.split(x, r"\*\*")) % 2 == 0)),
-        "empty_headings": count(r"^#{1,6}\s*$"),
-        "frontmatter": (frontmatter(text) != "").cast("int"),
-        "chrome": F.size(F.filter(rows, lambda x: F.trim(x).isin(*CHROME_LINES))),
-        "appendix_marks": F.size(F.filter(rows, lambda x: F.contains(x, F.lit(APPENDIX_MARK)))),
-    }
+    """The fields of feature_row by their names."""
+    row = feature_row(text)
+    return {k: row[k] for k in FEATURES}
 
 
 def fenced_lines(text: Column) -> Column:

@@ -112,8 +112,8 @@ def pdf_metadata(spark, d):
     CAST(count(*) FILTER (WHERE out AND regexp_matches(line, '^\\|[\\s:|-]+\\|\\s*$')) AS INTEGER) AS tables FROM numbered GROUP BY doc_id"""
 )
 def page_features(spark, d):
-    found = T.features(F.col("body"))
-    return pages(spark, d).select("doc_id", *(found[k].alias(k) for k in ("h1", "h2", "fences", "unbalanced_bold", "empty_headings", "tables")))
+    found = pages(spark, d).select("doc_id", T.feature_row(F.col("body")).alias("f"))
+    return found.select("doc_id", *(F.col("f")[k].alias(k) for k in ("h1", "h2", "fences", "unbalanced_bold", "empty_headings", "tables")))
 
 
 _RENAMED = "CASE WHEN out THEN regexp_replace(line, '\\[\\[\\s*a 3\\s*(\\|[^\\]]*)?\\]\\]', '[[new\\1]]', 'g') ELSE line END"

@@ -45,7 +45,7 @@ def section_extract_whole(spark, d):
 
 @query()
 def md_features_whole(spark, d):
-    return _whole(spark, d).select("doc_id", *(c.alias(k) for k, c in T.features(F.col("body")).items()))
+    return _whole(spark, d).select("doc_id", T.feature_row(F.col("body")).alias("f")).select("doc_id", "f.*")
 
 
 @query(

@@ -101,7 +101,7 @@ def comparison_opportunity(topics: DataFrame, entities: DataFrame) -> DataFrame:
     """Topics (path, body) without a comparison whose understanding draws contrasts and which name three active entities (name) or more: by
     links anywhere, or by bare names of one word or several in their understanding."""
     said = T.section(F.col("body"), "Current understanding")
-    open_ = topics.where(~F.exists(T.lines(F.col("body")), lambda x: F.trim(x) == "## Comparison")).select("path", "body", said.alias("said"))
+    open_ = topics.where(~F.col("body").rlike(r"(?md)^ *## Comparison *\r?$")).select("path", "body", said.alias("said"))
     open_ = open_.where((F.trim("said") != "") & ~F.contains("said", F.lit(STUB_MARK)) & F.col("said").rlike(CONTRAST))
     linked = open_.select("path", F.explode(T.wikilinks(F.col("body"))).alias("name")).join(entities.select("name").distinct(), "name", "left_semi")
     named = graph.named_mentions(open_.select(F.col("path").alias("text_id"), F.col("said").alias("text")), entities.where(F.length("name") >= NAME_CHARS))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ HOT_LINKS, HOT_SLUGS, HOT_BYTES = 1_000, 10_000, 1 << 25
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(key, place, slug) of each link of pages (key, pieces)."""
-    rows = pages.select("key", F.posexplode("pieces").alias("place", "x"))
+    """(key, place, slug) of each link of pages (key, pieces).  The outer form, as Spark would cut the text again to see that there are pieces."""
+    rows = pages.select("key", F.posexplode_outer("pieces").alias("place", "x"))
     return rows.where("x.slug is not null").select("key", "place", "x.slug")
 
 
@@ -38,11 +39,15 @@ def prepared(pages: DataFrame, slugs: DataFrame, missing: str = "placeholder") -
 
     Keys name the pages and are not null; rows that share one are one page each only if their texts differ.  The urls of a page come back by the
     places of its links, so a text is shuffled once at most, to meet them; pages without links aren't."""
-    cut = pages.select("key", F.col("raw"), T.link_pieces(T.headless(F.col("raw"))).alias("pieces")).withColumn("version", F.xxhash64("raw"))
-    keyed = cut.withColumn("key", F.struct("key", "version"))
-    resolved = with_urls(occurrences(keyed.dropDuplicates(["key"])), slugs).where("url is not null")
+    keyed = pages.select(F.struct("key", F.xxhash64("raw").alias("version")).alias("key"), "raw")
+    linked = F.coalesce(F.contains("raw", F.lit("[[")), F.lit(False))
+    pieces = T.link_pieces(T.headless(F.col("raw"))).alias("pieces")
+    found = occurrences(keyed.where(linked).select("key", pieces)).dropDuplicates(["key", "place"])  # a page's repeated rows have the same links
+    found = found.persist(StorageLevel.DISK_ONLY)  # keys and slugs, counted before they are joined: texts are cut once for it
+    resolved = with_urls(found, slugs).where("url is not null")
     urls = resolved.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("place", "url"))).alias("urls"))
-    linked = F.exists("pieces", lambda x: x.slug.isNotNull())
-    joined = keyed.where(linked).join(urls, "key", "left").unionByName(keyed.where(~F.coalesce(linked, F.lit(False))).withColumn("urls", F.lit(None).cast("map<int,string>")))
     one = lambda x, i: F.when(x.slug.isNull(), x.text).otherwise(F.concat(T.rendered_link(x.slug, x.shown, F.try_element_at("urls", i), missing), x.text))
-    return joined.select("key.key", F.concat(T.frontmatter(F.col("raw")), F.array_join(F.transform("pieces", one), "")).alias("text"))
+    joined = keyed.where(linked).join(urls, "key", "left").select("key", "raw", "urls", pieces)
+    sent = joined.select("key.key", F.concat(T.frontmatter(F.col("raw")), F.array_join(F.transform("pieces", one), "")).alias("text"))
+    plain = keyed.where(~linked).select("key.key", F.concat(T.frontmatter(F.col("raw")), T.headless(F.col("raw"))).alias("text"))
+    return sent.unionByName(plain)

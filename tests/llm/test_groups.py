@@ -269,6 +269,40 @@ def test_toxicity_gradients():
     assert ((s >= 0.5) == (y == 1)).all()
 
 
+def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+    """Weights, counts and thresholds of 5,200 toxic and 9,300 clean rows, by both ways of the join and in several tasks."""
+    marks = [(k, 1, int(k < 5_200)) for k in range(14_500)]
+    rows = [(k, f"w{k % 97} {'vile' if k < 5_200 else 'good'} w{k}", "en") for k in range(14_500)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    begun, cuts, begin, calibrate = [], [], toxicity._begin, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "_begin", lambda seen, *sizes: begun.append((seen.max(1), sizes[:2])) or begin(seen, *sizes))
+    monkeypatch.setattr(toxicity, "calibrate", lambda counts: cuts.append(sum(n for *_, n in counts)) or calibrate(counts))
+    for most, words in ((100_000, 6_000_000), (0, 10_000)):
+        monkeypatch.setattr(toxicity, "SMALL", most)
+        monkeypatch.setattr(toxicity, "TASK_WORDS", words)
+        begun.clear(), cuts.clear()
+        m = toxicity.fit(docs, labels)
+        (seen, whole), (_, one), (_, two) = begun
+        assert whole == (9_300, 5_200) == (one[0] + two[0], one[1] + two[1]) and cuts == [14_500]
+        assert seen[1] >= 5_200 and seen[0] >= 9_300  # the words of all rows are counted
+        got = {r.doc_id: r.score for r in toxicity.scored(docs, m).collect()}
+        assert np.mean([(got[k] >= 0.7) == bool(bad) for k, _, bad in marks]) > 0.99 and 0.3 <= m.thresholds["en"] <= 0.9
+
+
+def test_toxicity_changes_are_averaged():
+    """Over the tasks that changed a row, whatever batches they come in."""
+    import pyarrow as pa
+
+    def told(chunk, task, rows, value):
+        value = np.array(value, np.float32)
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([task]), pa.array([np.array(rows, np.int32).tobytes()]), pa.array([value.tobytes()])], ["chunk", "task", "rows", "value"])
+
+    parts = [told(-1, 0, [0], [[2, 4, 6]]), told(-1, 1, [0], [[0, 0, 0]]), told(3, 0, [1, 9], [[1, 1], [2, 2]]), told(3, 1, [9], [[4, 0]])]
+    out = [x for b in toxicity._averaged(iter(parts)) for x in b.to_pylist()]
+    got = {(x["chunk"], r): list(v) for x in out for r, v in zip(np.frombuffer(x["rows"], np.int32), np.frombuffer(x["value"], np.float32).reshape(len(x["rows"]) // 4, -1), strict=True)}
+    assert got == {(-1, 0): [1, 2, 3], (3, 1): [1, 1], (3, 9): [3, 1]}
+
+
 def test_pipeline_decides(spark, tmp_path):
     import corpus_pipeline as C
 

@@ -330,6 +330,19 @@ def test_pipeline_decides(spark, tmp_path):
     assert stage.n_chars == len(stage.text) and "<EMAIL>" in stage.text
 
 
+def test_pipeline_learns_from_all_labels(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as C
+
+    rows = [(k, f"w{k % 97} {'vile' if k < 900 else 'good'}", "en", "s", 9) for k in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(k, 1, int(k < 900)) for k in range(10_000)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    begun, cuts, begin, calibrate = [], [], toxicity._begin, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "_begin", lambda seen, *sizes: begun.append(sizes[:2]) or begin(seen, *sizes))
+    monkeypatch.setattr(toxicity, "calibrate", lambda counts: cuts.append(sum(n for *_, n in counts)) or calibrate(counts))
+    kept = {r.doc_id for r in C.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(range(900, 10_000)) and begun[0] == (9_100, 900) and cuts == [10_000]
+
+
 def test_crc_of_python_and_spark_agree():
     assert zlib.crc32(b"12") % 3 == 0x4F5344CD % 3
 

@@ -3,6 +3,8 @@
 import collections
 import itertools
 import math
+import pickle
+import time
 import zlib
 
 import numpy as np
@@ -231,6 +233,27 @@ def test_lm_score_equals_brute_force(spark, monkeypatch):
         assert r.score == pytest.approx(brute_log10(kept["lex"], kept["w"], counts, t.split()), rel=1e-3)
 
 
+def test_lm_learns_from_weights_that_were_sent():
+    """Weights that came out of a pickle, as they do on executors, are learnt from as fast as others and end up the same."""
+    rng = np.random.default_rng(5)
+    depth, bits = 15, 12
+    lex = lmscore.Lexicon(0, 0, None, None, depth, *lmscore.unigram_tree(rng.integers(0, 50, 1 << depth).astype(float), rng.integers(0, 5, 1 << depth).astype(float)))
+    h, tail = rng.integers(1, 2**63, (2, 40_000)).astype(np.uint64)
+    at = np.arange(0, 40_001, 400)
+    old = np.zeros(lmscore.ROW << bits, np.float32)
+    sent, lexed = pickle.loads(pickle.dumps((old, lex)))
+    times, ends = {}, {}
+    for _ in range(3):
+        for name, lex_, w in (("own", lex, old), ("sent", lexed, sent)):
+            w, power = w.copy(), np.ones_like(w)
+            began = time.process_time()
+            lmscore.learn(lex_, w, power, h, tail, at)
+            times[name] = min(times.get(name, math.inf), time.process_time() - began)
+            ends[name] = w, power
+    assert ends["own"][0].any() and all(np.array_equal(x, y) for x, y in zip(ends["own"], ends["sent"], strict=True))
+    assert times["sent"] < 2.5 * times["own"], times
+
+
 def test_lm_without_training(spark):
     out = lmscore.scored(frame(spark, ["a b", None]), frame(spark, []).limit(0)).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.score) for r in out] == [(3, 0, 0.0), (1, 0, 0.0)]

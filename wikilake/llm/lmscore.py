@@ -83,8 +83,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def told() -> pa.RecordBatch:
         h, cls = (np.concatenate(x) for x in zip(*held, strict=True))
-        u, first, n = np.unique(h, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(cls[first]), pa.array(n.astype(np.int64))], ["h", "cls", "n"])
+        order = np.argsort(cls, kind="stable")  # a token has one class, and small numbers are sorted faster than hashes with their places
+        cuts = np.searchsorted(cls[order], np.arange(1, 1 << HALVINGS))
+        own, n = zip(*(np.unique(x, return_counts=True) for x in np.split(h[order], cuts)), strict=True)
+        cls = np.repeat(np.arange(1 << HALVINGS, dtype=np.int8), [len(x) for x in own])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(cls), pa.array(np.concatenate(n).astype(np.int64))], ["h", "cls", "n"])
 
     for batch in batches:
         for _, _, part, off in K.blocks(*K.column(batch, "text")):
@@ -188,53 +191,63 @@ def histories(h: np.ndarray, tail: np.ndarray, at: np.ndarray) -> list[np.ndarra
     return [one, K.mix(one * K.U64(3) + two), K.mix(two + K.U64(0x51ED)), K.mix(signs + K.U64(0xC001))]
 
 
+_HALVING = np.arange(HALVINGS)[:, None]
+#: For each class within a class (a column) and each halving (a row): the node in a row of weights, and whether the path goes right.
+_NODE = (1 << _HALVING) | (np.arange(ROW) >> (HALVINGS - _HALVING))
+_RIGHT = (np.arange(ROW) >> (HALVINGS - 1 - _HALVING)) & 1 == 1
+
+
 def _levels(path: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level of classes: its number, the class so far, and for its halvings the node in a row of weights, the node
-    in the whole tree, and the side that the path takes."""
-    k = np.arange(HALVINGS)
+    """For each level of classes: its number, the class so far, and for its halvings (a row each) the node in a row of weights,
+    the node in the whole tree, and the side that the path takes."""
     for level in range(depth // HALVINGS):
         rest = depth - HALVINGS * (level + 1)
-        prefix, code = path >> (rest + HALVINGS), ((path >> rest) & (ROW - 1))[:, None]
-        node = (1 << k) | (code >> (HALVINGS - k))
-        tree = (1 << (HALVINGS * level + k)) | ((prefix[:, None] << k) | (node - (1 << k)))
-        yield level, prefix, node, tree, (code >> (HALVINGS - 1 - k)) & 1 == 1
+        prefix, code = path >> (rest + HALVINGS), (path >> rest) & (ROW - 1)
+        node = _NODE.take(code, 1)
+        tree = ((prefix + ((1 << HALVINGS * level) - 1)) << _HALVING) + node  # node has the bit of its halving, so one less stands before it
+        yield level, prefix, node, tree, _RIGHT.take(code, 1)
 
 
 def _weights_at(history: np.ndarray, feature: int, level: int, prefix: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     salt = (feature * 8 + level + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1
     row = K.mix(history + (prefix.astype(K.U64) << K.U64(8)) * K.U64(0x9E3779B97F4A7C15) + K.U64(salt)) >> K.U64(64 - bits)
-    return (row.astype(np.int64) * ROW)[:, None] + node
+    return row.view(np.int64) * ROW + node
 
 
 def log_probabilities(lex: Lexicon, w: np.ndarray, h: np.ndarray, tail: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Natural logarithms of the probability of each token's cell after its history."""
+    prior, w = lex.prior.view(np.float32), w.view(np.float32)
     bits, seen, path = (len(w) // ROW).bit_length() - 1, histories(h, tail, at), paths(h, tail, lex.depth)
     out = np.zeros(len(h))
     for i in range(0, len(h), BATCH):
         s = slice(i, i + BATCH)
         for level, prefix, node, tree, right in _levels(path[s], lex.depth):
-            z = lex.prior[tree]
+            z = prior.take(tree)
             for f in FEATURES[level]:
-                z += w[_weights_at(seen[f][s], f, level, prefix, node, bits)]
-            out[s] -= np.log((1 + np.exp(np.clip(np.where(right, -z, z), -30, 30))).prod(1, dtype=np.float64))
+                z += w.take(_weights_at(seen[f][s], f, level, prefix, node, bits))
+            out[s] -= np.log((1 + np.exp(np.clip(np.where(right, -z, z), -30, 30))).prod(0, dtype=np.float64))
     return out
 
 
 def learn(lex: Lexicon, w: np.ndarray, power: np.ndarray, h: np.ndarray, tail: np.ndarray, at: np.ndarray) -> None:
     """Gradient steps on some documents, in place; power has the sums of squares that set each weight's step size."""
+    prior, w, power = (x.view(np.float32) for x in (lex.prior, w, power))  # numpy adds in place slowly where the type of an array came out of a pickle
     bits, seen, path = (len(w) // ROW).bit_length() - 1, histories(h, tail, at), paths(h, tail, lex.depth)
     for i in range(0, len(h), BATCH):
         s = slice(i, i + BATCH)
         for level, prefix, node, tree, right in _levels(path[s], lex.depth):
-            z = lex.prior[tree]
+            z = prior.take(tree)
             where = [_weights_at(seen[f][s], f, level, prefix, node, bits) for f in FEATURES[level]]
             for x in where:
-                z += w[x]
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - right).astype(np.float32)
-            square = (g * g).ravel()
+                z += w.take(x)
+            g = np.exp(np.clip(np.negative(z, out=z), -30, 30, out=z), out=z)
+            g = np.subtract(np.divide(1, np.add(g, 1, out=g), out=g), right, out=g).ravel()
+            square, step = g * g, np.float32(RATE) * g
             for x in where:
-                np.add.at(power, x.ravel(), square)
-                np.subtract.at(w, x.ravel(), (np.float32(RATE) * g / np.sqrt(power[x])).ravel())
+                x = x.ravel()
+                np.add.at(power, x, square)
+                size = power.take(x)
+                np.subtract.at(w, x, np.divide(step, np.sqrt(size, out=size), out=size))
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -254,6 +254,20 @@ def test_lm_learns_from_weights_that_were_sent():
     assert times["sent"] < 2.5 * times["own"], times
 
 
+def test_lm_scores_with_weights_of_half_the_size():
+    """Weights of 16 bits give the scores of the weights they come from; sums over the features of a level fit."""
+    rng = np.random.default_rng(6)
+    depth = 15
+    lex = lmscore.Lexicon(0, 0, None, None, depth, *lmscore.unigram_tree(rng.integers(0, 50, 1 << depth).astype(float), rng.integers(0, 5, 1 << depth).astype(float)))
+    h, tail = rng.integers(1, 2**63, (2, 20_000)).astype(np.uint64)
+    at = np.arange(0, 20_001, 400)
+    for w in (rng.normal(0, 0.3, lmscore.ROW << 12), np.full(lmscore.ROW << 12, -2.5), np.zeros(lmscore.ROW << 12)):
+        small, unit = lmscore.fixed_point(w.astype(np.float32))
+        assert small.nbytes == 2 * len(w)
+        want, got = lmscore.log_probabilities(lex, w.astype(np.float32), h, tail, at), lmscore.log_probabilities(lex, small, h, tail, at, unit)
+        assert got == pytest.approx(want, rel=1e-3, abs=0.02)
+
+
 def test_lm_weights_grow_beyond_a_million_tokens():
     assert [lmscore.rows_of(n) for n in (10**6, 2 * 10**6, 4 * 10**6, 8 * 10**6)] == [15, 16, 17, 18]
     assert {f for level in lmscore.FEATURES for f in level} == set(range(5))

@@ -16,7 +16,7 @@ cell the exact counts decide, smoothed by a half, with one place for the unknown
 Training is one pass over all training texts in rounds, the more the more tokens there are.  In a
 round every task takes gradient steps on about TASK_TOKENS tokens from the weights that all share and
 passes on the change; the changes are averaged row by row on the executors, and the driver gets
-one table of at most 2**ROW_BITS[1] rows.  Counts of tokens beyond the TOP most frequent are joined, never
+one table of at most 2**ROW_BITS[1] rows.  Scores take the weights rounded to 16 bits, to a unit that the largest sets.  Counts of tokens beyond the TOP most frequent are joined, never
 collected.
 
 Nulls and empty texts have one token, the end.  A text of any length is scored whole, in one go.  Repeated
@@ -45,6 +45,7 @@ HALVINGS, LEVELS, ROW = 5, (2, 4), 32
 FEATURES = ((0, 1, 2, 3, 4), (0, 1, 4), (0, 1, 4), (0, 4))
 ROW_BITS = (12, 18)
 RATE, BATCH = 0.1, 4096
+SCORED = 8192  # tokens scored at once
 #: Tokens with counts on every executor: tables of fixed size; all others are joined.
 TOP, SLOT_BITS = 1 << 17, 19
 HELD = 1 << 21  # tokens counted at once
@@ -214,17 +215,26 @@ def _weights_at(history: np.ndarray, feature: int, level: int, prefix: np.ndarra
     return row.view(np.int64) * ROW + node
 
 
-def log_probabilities(lex: Lexicon, w: np.ndarray, h: np.ndarray, tail: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the probability of each token's cell after its history."""
-    prior, w = lex.prior.view(np.float32), w.view(np.float32)
+def fixed_point(w: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights as whole numbers of 16 bits, and their unit: a table half as large stays in a processor's cache for longer.
+    The unit is so large that the sum over the features of a level fits, too."""
+    unit = float(np.abs(w).max()) * max(map(len, FEATURES)) / (1 << 15) * 1.001 or 1.0
+    return np.rint(w / np.float32(unit)).astype(np.int16), unit
+
+
+def log_probabilities(lex: Lexicon, w: np.ndarray, h: np.ndarray, tail: np.ndarray, at: np.ndarray, unit: float = 1.0) -> np.ndarray:
+    """Natural logarithms of the probability of each token's cell after its history.  w: weights, in units."""
+    prior, w, unit = lex.prior.view(np.float32), w.view(w.dtype.type), np.float32(unit)
     bits, seen, path = (len(w) // ROW).bit_length() - 1, histories(h, tail, at), paths(h, tail, lex.depth)
     out = np.zeros(len(h))
-    for i in range(0, len(h), BATCH):
-        s = slice(i, i + BATCH)
+    for i in range(0, len(h), SCORED):
+        s = slice(i, i + SCORED)
         for level, prefix, node, tree, right in _levels(path[s], lex.depth):
-            z = prior.take(tree)
-            for f in FEATURES[level]:
+            first, *others = FEATURES[level]
+            z = w.take(_weights_at(seen[first][s], first, level, prefix, node, bits))
+            for f in others:
                 z += w.take(_weights_at(seen[f][s], f, level, prefix, node, bits))
+            z = prior.take(tree) + z * unit
             out[s] -= np.log((1 + np.exp(np.clip(np.where(right, -z, z), -30, 30))).prod(0, dtype=np.float64))
     return out
 
@@ -309,14 +319,15 @@ def scored(documents: DataFrame, training: DataFrame) -> DataFrame:
     if not lex.total:
         n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), lambda x: x != "")).cast("long") + 1
         return documents.select("doc_id", n.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    w = sc.broadcast(train(texts, lex))
+    w = sc.broadcast(fixed_point(train(texts, lex)))
     give_back()
     lexed = sc.broadcast(lex)
     all_ = np.log(lex.total + 0.5 * (lex.distinct + 1))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with sums over the tokens in the tables (own), and one for each other distinct token."""
-        lex = lexed.value
+        lex, (small, unit) = lexed.value, w.value
+        small = small.copy()  # numpy asks for large pages, a pickle does not
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("key").to_numpy()
             for i, j, part, off in K.blocks(*K.column(batch, "text")):
@@ -324,7 +335,7 @@ def scored(documents: DataFrame, training: DataFrame) -> DataFrame:
                 c = lex.look_up(h)
                 known = c >= 0
                 log_c = np.log(np.maximum(c, 0) + 0.5)
-                p = log_probabilities(lex, w.value, h, tail, at) - lex.mass[paths(h, tail, lex.depth)] + np.where(known, log_c, 0.0)
+                p = log_probabilities(lex, small, h, tail, at, unit) - lex.mass[paths(h, tail, lex.depth)] + np.where(known, log_c, 0.0)
                 base = np.where(known, log_c - all_, 0.0)
                 sums = [np.add.reduceat(x, at[:-1]) for x in (known.astype(np.int64), base, p)]
                 own = keys[i:j]

@@ -334,6 +334,15 @@ def test_toxicity_learns_from_all_rows(spark, monkeypatch):
         assert np.mean([(got[k] >= 0.7) == bool(bad) for k, _, bad in marks]) > 0.99 and 0.3 <= m.thresholds["en"] <= 0.9
 
 
+def test_toxicity_rounds_leave_no_garbage_in_the_driver(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(toxicity, "give_back", lambda *session: given.append(session))
+    monkeypatch.setattr(toxicity, "TASK_WORDS", 20)
+    docs = spark.createDataFrame([(k, f"{'vile' if k % 2 else 'kind'} words {k}", "en") for k in range(40)], "doc_id long, text string, lang string")
+    toxicity.trained(toxicity.labelled(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")))
+    assert len(given) == toxicity.EPOCHS and all(session for session in given)
+
+
 def test_toxicity_changes_are_averaged():
     """Over the tasks that changed a row, whatever batches they come in."""
     import pyarrow as pa

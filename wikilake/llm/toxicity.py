@@ -380,7 +380,7 @@ def trained(rows: DataFrame, seed: int = 7) -> Model:
                 model.word[at[~stem]] += part[~stem]
                 model.stem[at[stem] - (1 << WORD_BITS)] += part[stem]
         shared.destroy()
-        give_back()
+        give_back(rows.sparkSession)
     return m
 
 

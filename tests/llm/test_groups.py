@@ -461,3 +461,28 @@ def test_a_large_filter_comes_in_parts(spark, monkeypatch):
     got = common.bitset(rows, "h", bits)
     assert common.has(got, h, bits).all()
     assert int(np.bitwise_count(got).sum()) == len(np.unique(h & np.uint64((1 << bits) - 1)))
+
+
+def test_join_leaves_no_garbage_in_the_driver(spark, monkeypatch):
+    """The driver is collected after the filter, the candidates, their bitmaps and their sets, and no filter outlives its use."""
+    from pyspark import Broadcast
+
+    given, gone = [], []
+    destroy = Broadcast.destroy
+    monkeypatch.setattr(jaccard, "give_back", lambda *session: given.append(session))
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, blocking=False: gone.append(self) or destroy(self, blocking))
+    texts = near_copies(np.random.default_rng(5), 4)
+    got = {r.doc_id: r.component_id for r in jaccard.joined(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_components(texts)[1])) and len(gone) == 2
+    assert len(given) >= 5 and all(session == (spark,) for session in given)
+
+
+def test_the_jvm_gives_back_what_it_freed_beside_its_heap(spark, monkeypatch):
+    report = common.trim_jvm(spark)
+    assert report == "" or report.startswith("Trim native heap")
+    trimmed = []
+    monkeypatch.setattr(common, "trim_jvm", trimmed.append)
+    common.give_back()
+    assert not trimmed
+    common.give_back(spark)
+    assert trimmed == [spark]

@@ -103,6 +103,23 @@ def test_bpe_equals_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_pipeline_encodes_and_decodes(spark, tmp_path):
+    """The last stage decodes what it has encoded, as the library does."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as C
+
+    lib = Tokenizer.from_file(bpe.tokenizer_path())
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate([*TEXTS, None])], "doc_id long, text string, lang string, source string")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    out = {r.doc_id: r for r in C.encode(spark, docs, str(tmp_path)).collect()}
+    assert set(out) == set(texts)
+    for k, r in out.items():
+        ids = lib.encode(texts[k], add_special_tokens=False).ids
+        assert (r.n_tokens, list(r.ids), r.ids_sha256) == (len(ids), ids, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_bpe_round_trip_and_memory():
     own = bpe.load(bpe.tokenizer_path())
     ids = lambda t: [i for g in own.encode(t) for x in g for i in np.frombuffer(x, "<u4").tolist()]

@@ -334,13 +334,13 @@ def load(path: str, remembered: int = REMEMBERED) -> WordBPE:
     return WordBPE(path, remembered)
 
 
-def encoded(documents: DataFrame, path: str, ids: bool = True, digests: bool = True, remembered: int = REMEMBERED) -> DataFrame:
-    """documents with the columns n_tokens, ids (array of int) if wanted, and ids_sha256 and decoded_sha256 if wanted.
+def encoded(documents: DataFrame, path: str, ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
+    """documents with the columns n_tokens, ids (array of int) if wanted, ids_sha256 and decoded_sha256.
 
     path: the tokenizer file, at the same place on every machine.  A null is an empty text: no ids, and the
     digests of nothing.  One pass without a shuffle; a worker keeps one piece of a text and caches of twice `remembered` results
     of a kind, which are time for memory and change no result."""
-    extra = [("n_tokens", pa.int64(), "long")] + [("ids", pa.list_(pa.int32()), "array<int>")] * ids + [(k, pa.string(), "string") for k in ("ids_sha256", "decoded_sha256") * digests]
+    extra = [("n_tokens", pa.int64(), "long")] + [("ids", pa.list_(pa.int32()), "array<int>")] * ids + [(k, pa.string(), "string") for k in ("ids_sha256", "decoded_sha256")]
     documents = documents.drop(*(k for k, _, _ in extra))
     names = documents.columns
 
@@ -360,14 +360,10 @@ def encoded(documents: DataFrame, path: str, ids: bool = True, digests: bool = T
                         all_ids.append(piece if ids else len(piece) // 4)
                         yield runs
 
-                if digests:
-                    for piece in bpe.joined.texts(read()):
-                        of_text.update(piece.encode())
-                else:
-                    for _ in read():
-                        pass
+                for piece in bpe.joined.texts(read()):
+                    of_text.update(piece.encode())
                 n = sum(len(x) // 4 if ids else x for x in all_ids)
-                row = [n, *((np.frombuffer(b"".join(all_ids), "<i4"),) if ids else ()), *((of_ids.hexdigest(), of_text.hexdigest()) if digests else ())]
+                row = [n, *((np.frombuffer(b"".join(all_ids), "<i4"),) if ids else ()), of_ids.hexdigest(), of_text.hexdigest()]
                 for k, v in enumerate(row):
                     rows[k].append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, (_, t, _) in zip(rows, extra, strict=True))], [*names, *(k for k, _, _ in extra)])

@@ -486,3 +486,14 @@ def test_the_jvm_gives_back_what_it_freed_beside_its_heap(spark, monkeypatch):
     assert not trimmed
     common.give_back(spark)
     assert trimmed == [spark]
+
+
+def test_pipeline_join_begins_without_the_model_of_the_stage_before(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as C
+
+    done, grouped = [], jaccard.grouped
+    monkeypatch.setattr(C, "give_back", lambda *session: done.append(session))
+    monkeypatch.setattr(jaccard, "grouped", lambda docs: done.append("grouped") or grouped(docs))
+    docs = spark.createDataFrame([(k, "a b c d e f g", "en", "s", 13) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in C.keep_one_of_near_copies(spark, docs, str(tmp_path)).collect()] == [0]
+    assert done == [(spark,), "grouped"]
